@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op9_byte_bpe
+from .packing import op6_packing
 from .sharding import op7_sharding
 from .url_filter import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_sharding": op7_sharding, "op8_url_filter": op8_url_filter}
+    return {
+        "op6_packing": op6_packing,
+        "op7_sharding": op7_sharding,
+        "op8_url_filter": op8_url_filter,
+        "op9_byte_bpe": op9_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

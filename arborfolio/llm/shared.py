@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +55,32 @@ class Workspace:
 def tasks(spark: SparkSession, per_core: int = 2) -> int:
     """How many tasks keep the cluster's cores busy."""
     return max(2, spark.sparkContext.defaultParallelism) * per_core
+
+
+#: Spark's names of the Arrow types that operators add.
+DDL = {"int64": "long", "int32": "int", "double": "double", "string": "string", "binary": "binary", "bool": "boolean"}
+
+
+def ddl(kind: pa.DataType) -> str:
+    if pa.types.is_list(kind):
+        return f"array<{ddl(kind.value_type)}>"
+    if pa.types.is_struct(kind):
+        return "struct<" + ", ".join(f"{f.name}: {ddl(f.type)}" for f in kind) + ">"
+    return DDL[str(kind)]
+
+
+def add_columns(frame: DataFrame, keep: list[str], new: dict[str, pa.DataType], make: Callable[[], Callable]) -> DataFrame:
+    """``keep`` columns untouched, nulls included, and the ``new`` ones, batch by batch.
+
+    ``make()`` is called once per task; what it returns is called with each Arrow batch and gives the
+    new columns in order, as lists or Arrow arrays.
+    """
+    columns = [f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            made = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, type=t) for a, t in zip(step(batch), new.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *new])
+
+    return frame.mapInArrow(run, ", ".join([*columns, *(f"`{n}` {ddl(t)}" for n, t in new.items())]))

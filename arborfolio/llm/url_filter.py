@@ -10,16 +10,15 @@ search, and each hit is confirmed against the stored string, so a digest collisi
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, table
+from .shared import Workspace, add_columns, table
 
 SEED = 42
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,27 +82,24 @@ def _candidates(host: str, path: str, lengths: list[int]) -> list[str]:
     return sorted(found, key=lambda x: -len(x[0]) - len(x[1]))
 
 
-def _probe(batches: Iterator[pd.DataFrame], index: dict, default: str) -> Iterator[pd.DataFrame]:
-    shards = [_shard(*s) for s in index["shards"] if s[1]]
-    for batch in batches:
-        owners, texts = [], []
-        for row, (host, path) in enumerate(zip(batch["host"], batch["path"], strict=True)):
-            for found in _candidates(host, path, index["lengths"]):
-                owners.append(row)
-                texts.append(found)
-        digests = np.array([xxhash.xxh64_intdigest(h + p, SEED) for h, p in texts], dtype=np.uint64)
-        best: dict[int, tuple[int, str, str]] = {}
-        for keys, ends, text in shards:
-            left, right = np.searchsorted(keys, digests, "left"), np.searchsorted(keys, digests, "right")
-            for i in np.flatnonzero(left < right):
-                row, (host, path) = owners[i], texts[i]
-                for k in range(left[i], right[i]):
-                    size, verdict, rule = bytes(text[ends[k] : ends[k + 1]]).decode().split("\t", 2)
-                    if rule == host + path and int(size) == len(host) and len(rule) > best.get(row, (0,))[0]:
-                        best[row] = len(rule), rule, verdict
-        batch["rule"] = [best[i][1] if i in best else None for i in range(len(batch))]
-        batch["verdict"] = [best[i][2] if i in best else default for i in range(len(batch))]
-        yield batch
+def _probe(hosts: list[str], paths: list[str], index: dict, default: str) -> tuple[list, list]:
+    owners, texts = [], []
+    for row, (host, path) in enumerate(zip(hosts, paths, strict=True)):
+        for found in _candidates(host, path, index["lengths"]):
+            owners.append(row)
+            texts.append(found)
+    digests = np.array([xxhash.xxh64_intdigest(h + p, SEED) for h, p in texts], dtype=np.uint64)
+    best: dict[int, tuple[int, str, str]] = {}
+    for keys, ends, text in (_shard(*s) for s in index["shards"] if s[1]):
+        left, right = np.searchsorted(keys, digests, "left"), np.searchsorted(keys, digests, "right")
+        for i in np.flatnonzero(left < right):
+            row, (host, path) = owners[i], texts[i]
+            for k in range(left[i], right[i]):
+                size, verdict, rule = bytes(text[ends[k] : ends[k + 1]]).decode().split("\t", 2)
+                if rule == host + path and int(size) == len(host) and len(rule) > best.get(row, (0,))[0]:
+                    best[row] = len(rule), rule, verdict
+    rows = range(len(hosts))
+    return [best[i][1] if i in best else None for i in rows], [best[i][2] if i in best else default for i in rows]
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -117,9 +113,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     index = build_index(pages.sparkSession, rules)
     host, path = url_parts(F.col(url))
     rows = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    kept = [f for f in rows.schema.fields if f.name != url]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", rule string, verdict string"
-    return rows.select(*(f.name for f in kept)).mapInPandas(lambda batches: _probe(batches, index, default), schema)
+    kept = [c for c in rows.columns if c != url]
+    make = lambda: lambda b: _probe(b.column("host").to_pylist(), b.column("path").to_pylist(), index, default)
+    return add_columns(rows.select(*kept), kept, {"rule": pa.string(), "verdict": pa.string()}, make)
 
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
