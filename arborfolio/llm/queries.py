@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op9_byte_bpe
+from .language import op4_language_id
 from .packing import op6_packing
 from .sharding import op7_sharding
+from .simhash import op10_simhash
+from .toxicity import op5_toxicity
 from .url_filter import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_language_id": op4_language_id,
+        "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
         "op7_sharding": op7_sharding,
         "op8_url_filter": op8_url_filter,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_simhash": op10_simhash,
     }
 
 
