@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .shared import Workspace, table
 
 BUCKET_BYTES = 16 << 20
+BROADCAST_BUCKETS = 1_000_000
 
 
 def shuffle_into_shards(records: DataFrame, shards: int, text: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -50,6 +51,8 @@ def shuffle_into_shards(records: DataFrame, shards: int, text: str = "text", see
         F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"),
         F.sum("__n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"),
     )
+    if buckets <= BROADCAST_BUCKETS:  # one row of 24 bytes for each bucket
+        places = F.broadcast(places)
     base, more = F.expr(f"__all div {shards}"), F.expr(f"__all % {shards}")
     rank = F.col("__before") + F.col("__pos")
     dealt = shuffled.join(places, "__bucket").withColumns({"__rank": rank, "__cut": more * (base + 1), "__base": base, "__more": more})
