@@ -136,7 +136,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns of ``tokens`` and ``bytes``: the raw bytes of the ids, concatenated."""
     def make():
         own, _ = encoding(path)
-        return lambda b: [[own.decode_bytes(x or []) for x in b.column(ids).to_pylist()]]
+        return lambda b: [[own.decode_bytes(x.as_py() or []) for x in b.column(ids)]]
 
     return add_columns(tokens, [c for c in tokens.columns if c != "bytes"], {"bytes": pa.binary()}, make)
 
@@ -144,10 +144,13 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 def _digests(path: str):
     own, names = encoding(path)
 
-    def run(batch: pa.RecordBatch) -> tuple[list, list, list]:
-        ids = batch.column("ids").to_pylist()
-        texts = [hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest() for x in ids]
-        return [len(x) for x in ids], texts, [hashlib.sha256(own.decode_bytes(x)).hexdigest() for x in ids]
+    def one(ids: list[int]) -> tuple[int, str, str]:
+        listed = ",".join([names[i] for i in ids]).encode()
+        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest()
+
+    def run(batch: pa.RecordBatch) -> list[list]:
+        found = [one(x.values.to_pylist()) for x in batch.column("ids")]
+        return [[f[k] for f in found] for k in range(3)]
 
     return run
 

@@ -57,6 +57,9 @@ def tasks(spark: SparkSession, per_core: int = 2) -> int:
     return max(2, spark.sparkContext.defaultParallelism) * per_core
 
 
+#: Rows that a step turns into Python objects at a time; Spark's batches hold thousands of whole texts.
+SLICE = 256
+
 #: Spark's names of the Arrow types that operators add.
 DDL = {"int64": "long", "int32": "int", "double": "double", "string": "string", "binary": "binary", "bool": "boolean"}
 
@@ -79,7 +82,7 @@ def add_columns(frame: DataFrame, keep: list[str], new: dict[str, pa.DataType],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             made = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, type=t) for a, t in zip(step(batch), new.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *new])
 
