@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op9_byte_bpe
+from .embedding_dedup import OP3_SQL, op3_embedding_dedup
 from .language import op4_language_id
 from .packing import op6_packing
 from .sharding import op7_sharding
@@ -17,6 +18,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
@@ -28,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
