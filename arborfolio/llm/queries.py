@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op9_byte_bpe
 from .embedding_dedup import OP3_SQL, op3_embedding_dedup
+from .html_text import op1_html_text
 from .language import op4_language_id
 from .packing import op6_packing
 from .sharding import op7_sharding
@@ -18,6 +19,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
