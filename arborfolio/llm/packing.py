@@ -10,6 +10,7 @@ the k-th piece of a length takes the k-th place the plan has for that length.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -22,40 +23,74 @@ from tokenizers import Tokenizer
 from .shared import Workspace, add_columns, table
 
 WINDOW, END_ID, BINS, DEPTH, SALTS = 2048, 1, 128, 3, 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
-_loaded: dict[str, Tokenizer] = {}
+_loaded: dict[str, WordEncoder] = {}
+
+#: Words of printable ASCII and Latin-1 letters only; for them the parts below are what the tokenizer makes.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordEncoder:
     """Ids of a text as bytes, by a cache of the ids of words between spaces.
 
     The tokenizer turns white space into boundaries that no token crosses, so the ids of a text are
-    those of its words in order. The cache is emptied when full.
+    those of its words in order. Of a plain word, each run of letters, digit or run of other marks is
+    looked up on its own, and only unknown runs go to the tokenizer's model; any other word goes
+    through the whole tokenizer. A full cache is emptied.
     """
 
     def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, str.maketrans({b: c for b, c in byte_letters().items()})
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> WordEncoder:
+        """One for each Python worker."""
         if path not in _loaded:
-            _loaded[path] = Tokenizer.from_file(path)
-            _loaded[path].encode_special_tokens = True
-        self.tokenizer, self.known = _loaded[path], {}
+            _loaded[path] = WordEncoder(path)
+        return _loaded[path]
+
+    def _part(self, part: str) -> bytes:
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if not PLAIN.fullmatch(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        known = self.parts
+        return b"".join([known[p] if p in known else self._part(p) for p in PARTS.findall(word.lower())])
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.known]
-        if new:
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
             if len(self.known) > CACHED_WORDS:
-                self.known, new = {}, list(set(words))
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+                self.known, self.parts = {}, {}
+            for word in set(words):
+                if word not in self.known:
+                    self.known[word] = self._word(word)
+            return b"".join(map(self.known.__getitem__, words))
 
 
 PIECE = pa.struct([(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens")])
 
 
 def _cutter(path: str, window: int):
-    encode, end = WordEncoder(path), np.array([END_ID], dtype="<u4").tobytes()
+    encode, end = WordEncoder.of(path), np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(text: str | None) -> list[dict]:
         ids = encode(text or "") + end
