@@ -128,8 +128,8 @@ class Scorer:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` but text, and lang_pred, score (0 to 1).
+def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all but text, if not given), and lang_pred, score (0 to 1).
 
     A text that is null or has no letter is ``und`` with score 0, as is any when nothing was learned.
     Ties go to the first language by name. Columns named lang_pred or score are replaced.
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
         return step
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "text")]
+    keep = keep or [c for c in docs.columns if c not in ("lang_pred", "score", "text")]
     return add_columns(docs, keep, {"lang_pred": pa.string(), "score": pa.float64()}, make)
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op9_byte_bpe
 from .embedding_dedup import OP3_SQL, op3_embedding_dedup
 from .html_text import op1_html_text
 from .language import op4_language_id
+from .neighbours import op2_nearest_neighbours
 from .packing import op6_packing
 from .sharding import op7_sharding
 from .simhash import op10_simhash
@@ -20,6 +22,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
@@ -28,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_simhash": op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 

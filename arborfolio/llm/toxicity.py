@@ -171,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict:
     }
 
 
-def score(docs: DataFrame, model: dict, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """All columns of ``docs`` but text, and score (0 to 1), predicted (1 from 0.3), evidence (ids and cosines).
+def score(docs: DataFrame, model: dict, neighbours: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all but text, if not given), and score (0 to 1), predicted (1 from 0.3), evidence (ids and cosines).
 
     A text without any of the terms, null and empty ones included, takes the rate of label 1 among
     examples without terms. With no labelled example of label 1 every score is 0. Columns named
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: dict, neighbours: int = NEIGHBOURS) -> DataFra
 
         return step
 
-    keep = [c for c in docs.columns if c not in ("score", "predicted", "evidence", "text")]
+    keep = keep or [c for c in docs.columns if c not in ("score", "predicted", "evidence", "text")]
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
     return add_columns(docs, keep, {"score": pa.float64(), "predicted": pa.int32(), "evidence": evidence}, make)
 
