@@ -86,29 +86,55 @@ view("rates_aligned", """SELECT date, currency, CASE WHEN date <= max(CASE WHEN
   FROM (SELECT DISTINCT date FROM nation_levels) CROSS JOIN (SELECT DISTINCT currency FROM rates) LEFT JOIN rates USING (date, currency)""")
 
 
-# Shared inputs of the queries
+# Shared inputs of the queries: each is persisted once for a session and folder
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(make):
+    def get(spark: SparkSession, sf: str, *args) -> DataFrame:
+        key = spark.sparkContext.applicationId, sf, make.__name__, args
+        if key not in _SHARED:
+            _SHARED[key] = make(spark, sf, *args).persist()
+        return _SHARED[key]
+
+    return get
+
+
+def forget() -> None:
+    """Drop all shared inputs."""
+    for frame in _SHARED.values():
+        frame.unpersist()
+    _SHARED.clear()
+
+
+@shared
 def aligned(spark: SparkSession, sf: str, kind: str = "type") -> DataFrame:
     return pa.align(getattr(pr, f"{kind}_levels")(spark, sf))
 
 
+@shared
 def valuation(spark: SparkSession, sf: str, kind: str = "type") -> DataFrame:
     return pa.complete_case(pa.simple_returns(aligned(spark, sf, kind)))
 
 
+@shared
 def estimation(spark: SparkSession, sf: str) -> DataFrame:
     return fo.resample(valuation(spark, sf), "W")
 
 
+@shared
 def rolling(spark: SparkSession, sf: str, expanding: bool = False) -> DataFrame:
     v = valuation(spark, sf)
-    return fo.folds(v, fo.resample(v, "W"), fo.rebalance_schedule(v, "M"), TRAIN, expanding)
+    return fo.folds(v, estimation(spark, sf), fo.rebalance_schedule(v, "M"), TRAIN, expanding)
 
 
+@shared
 def train(spark: SparkSession, sf: str) -> DataFrame:
     return fo.training_rows(rolling(spark, sf), estimation(spark, sf))
 
 
+@shared
 def hold(spark: SparkSession, sf: str) -> DataFrame:
     return fo.holding_rows(rolling(spark, sf), valuation(spark, sf))
 

@@ -22,10 +22,12 @@ def view(name: str, sql: str) -> None:
 def oracle(final: str) -> str:
     """``final`` with all the named steps that it needs, as one statement."""
     order: list[str] = []
+    met: set[str] = set()
 
     def need(sql: str) -> None:
         for name in re.findall(r"[a-z_][a-z0-9_]*", sql):
-            if name in _VIEWS and name not in order:
+            if name in _VIEWS and name not in met:
+                met.add(name)
                 need(_VIEWS[name])
                 order.append(name)
 
