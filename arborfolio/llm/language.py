@@ -91,21 +91,39 @@ class Scorer:
     """Scores of words by the model, remembered in a bounded table."""
 
     def __init__(self, model: dict):
-        self.langs, self.tables = model["langs"], model["tables"]
+        self.langs = model["langs"]
+        terms = [(n, t) for n, found in enumerate(model["tables"]) for t in found]
+        self.matrix = np.array([model["tables"][n][t] for n, t in terms] + [np.zeros(len(self.langs))], dtype=np.float32)
+        self.place: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for i, (n, t) in enumerate(terms):
+            self.place[n][t] = i
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.langs)), dtype=np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        if word in self.tables[0]:
-            return self.tables[0][word]
+    def terms(self, word: str) -> list[int]:
+        """The model's rows whose mean is the word's score: its own, or those of its longest known n-grams."""
+        if (own := self.place[0].get(word)) is not None:
+            return [own]
+        padded = f" {word} "
         for n in range(LONGEST, 0, -1):
-            found = [self.tables[n][g] for g in grams_of(word, n) if g in self.tables[n]]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
+            get = self.place[n].get
+            if found := [k for i in range(len(padded) - n + 1) if (k := get(padded[i : i + n])) is not None]:
+                return found
+        return [-1]
+
+    def learn(self, words: set[str]) -> None:
+        found = [self.terms(w) for w in words]
+        sizes = np.array([len(f) for f in found])
+        flat = np.fromiter((k for f in found for k in f), dtype=np.int64, count=sizes.sum())
+        means = np.add.reduceat(self.matrix[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        at = len(self.rows)
+        while len(self.scores) < at + len(found):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[at : at + len(found)] = means
+        self.rows.update(zip(words, range(at, at + len(found)), strict=True))
 
     def predict(self, text: str) -> tuple[str, float]:
         words = words_of(text)
@@ -116,11 +134,7 @@ class Scorer:
         try:
             at = [*map(self.rows.__getitem__, words)]
         except KeyError:
-            for word in set(words) - self.rows.keys():
-                if len(self.rows) == len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[len(self.rows)] = self.word(word)
-                self.rows[word] = len(self.rows)
+            self.learn({w for w in words if w not in self.rows})
             at = [*map(self.rows.__getitem__, words)]
         mean = self.scores[at].mean(axis=0, dtype=np.float64)
         odds = np.exp(np.minimum(len(words), 50) * np.log(10) * (mean - mean.max()))
