@@ -70,7 +70,8 @@ def holding_days(valuation: DataFrame, signals: DataFrame) -> DataFrame:
         signals.select(F.col("signal").alias("date"), F.col("signal").alias("at"), F.col("next_signal").alias("until"))
     )
     before = Window.orderBy("date", F.col("at").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = marks.select("date", "at", F.last("at", True).over(before).alias("signal"), F.last("until", True).over(before).alias("stop"))
+    last = F.last(F.when(F.col("at").isNotNull(), F.struct("at", "until")), True).over(before)
+    seen = marks.select("date", "at", last.alias("s")).select("date", "at", F.col("s.at").alias("signal"), F.col("s.until").alias("stop"))
     return seen.where("at IS NULL AND signal IS NOT NULL AND (stop IS NULL OR date <= stop)").select("signal", "date")
 
 

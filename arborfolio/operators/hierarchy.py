@@ -1,0 +1,94 @@
+"""Allocation trees: walks, composed weights, node series and exposures.
+
+Trees are edges (parent_id, child_id). Walks loop over depth, one join a level, never over nodes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_DEPTH, DROPPED = 10, 1e-12
+
+
+def walk(edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(node_id, depth, path, root_id) for every node below the roots (column node_id); paths join ids with /."""
+    text = lambda c: F.col(c).cast("string")
+    level = roots.select("node_id", F.lit(0).alias("depth"), text("node_id").alias("path"), F.col("node_id").alias("root_id"))
+    found = level
+    for d in range(1, depth + 1):
+        below = level.join(edges, level["node_id"] == edges["parent_id"])
+        level = below.select(F.col("child_id").alias("node_id"), F.lit(d).alias("depth"), F.concat_ws("/", "path", text("child_id")).alias("path"), "root_id")
+        found = found.unionByName(level)
+    return found
+
+
+def subtree_terminals(edges: DataFrame, node_instruments: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(node_id, instrument) for the instruments of a node and of all below it."""
+    everyone = edges.select(F.col("parent_id").alias("node_id")).union(edges.select("child_id")).distinct()
+    below = walk(edges, everyone, depth).select(F.col("root_id").alias("top"), "node_id")
+    return below.join(node_instruments, "node_id").select(F.col("top").alias("node_id"), "instrument").distinct()
+
+
+def compose(root: DataFrame, child_weights: DataFrame, own_weights: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(key.., instrument, weight): products of weights along the paths from the root, summed.
+
+    ``root`` (key.., node_id), ``child_weights`` (key.., parent_id, child_id, weight) and ``own_weights``
+    (key.., node_id, instrument, weight) share the key columns. Weights within 1e-12 of zero go.
+    """
+    key = [c for c in root.columns if c != "node_id"]
+    reach = node_weights(root, child_weights, depth)
+    held = reach.withColumnRenamed("weight", "global").join(own_weights, [*key, "node_id"])
+    total = held.groupBy(*key, "instrument").agg(F.sum(F.col("global") * F.col("weight")).alias("weight"))
+    return total.where(F.abs("weight") > DROPPED)
+
+
+def node_weights(root: DataFrame, child_weights: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(key.., node_id, weight): each node's share of the whole."""
+    key = [c for c in root.columns if c != "node_id"]
+    level = root.withColumn("weight", F.lit(1.0))
+    found = level
+    for _ in range(depth):
+        up = level.withColumnsRenamed({"node_id": "parent_id", "weight": "above"})
+        level = up.join(child_weights, [*key, "parent_id"]).select(*key, F.col("child_id").alias("node_id"), (F.col("above") * F.col("weight")).alias("weight"))
+        found = found.unionByName(level)
+    return found
+
+
+def node_series(weights: DataFrame, returns: DataFrame, key: list[str]) -> DataFrame:
+    """(key.., node_id, date, ret): the return of each node's own portfolio."""
+    return weights.join(returns, [c for c in returns.columns if c in (*key, "instrument")]).groupBy(*key, "node_id", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
+
+
+def node_candidates(node_instruments: DataFrame, edges: DataFrame, proxies: DataFrame, backward: bool) -> DataFrame:
+    """(node_id, candidate, kind): a node's instruments, and its children by proxy or by synthetic series."""
+    own = node_instruments.select("node_id", F.col("instrument").alias("candidate"), F.lit("instrument").alias("kind"))
+    child = edges.join(proxies, edges["child_id"] == proxies["node_id"]).select(F.col("parent_id").alias("node_id"), "proxy")
+    name = F.concat("proxy", F.lit("_SYNTH")) if backward else F.col("proxy")
+    return own.unionByName(child.select("node_id", name.alias("candidate"), F.lit("synthetic" if backward else "proxy").alias("kind")))
+
+
+def implemented_benchmark(benchmark: DataFrame, proxies: DataFrame, child_weights: DataFrame) -> DataFrame:
+    """(instrument, weight): weight on a child's proxy replaced by that child's own instruments."""
+    joined = benchmark.withColumnRenamed("instrument", "held").join(proxies.select("node_id", F.col("proxy").alias("held")), "held", "left")
+    spread = joined.join(child_weights.select("node_id", "instrument", F.col("weight").alias("inner")), "node_id", "left")
+    name, weight = F.coalesce("instrument", "held"), F.col("weight") * F.coalesce("inner", F.lit(1.0))
+    return spread.groupBy(name.alias("instrument")).agg(F.sum(weight).alias("weight"))
+
+
+def exposures(weights: DataFrame, key: list[str]) -> DataFrame:
+    """Per key: risky, cash and net exposure."""
+    cash = F.col("instrument").startswith("cash:")
+    return weights.groupBy(key).agg(
+        F.sum(F.when(~cash, F.col("weight")).otherwise(0.0)).alias("risky"), F.sum(F.when(cash, F.col("weight")).otherwise(0.0)).alias("cash"), F.sum("weight").alias("net")
+    )
+
+
+def inverse_variance_split(edges_of: DataFrame, variances: DataFrame, key: list[str]) -> DataFrame:
+    """(key.., parent_id, child_id, weight): each parent's budget split by the inverse variance of its children.
+
+    ``edges_of`` (parent_id, child_id), ``variances`` (key.., child_id, var); children without a variance get nothing.
+    """
+    joined = edges_of.join(variances.where("var > 0"), "child_id").withColumn("inverse", 1 / F.col("var"))
+    total = joined.groupBy(*key, "parent_id").agg(F.sum("inverse").alias("total"))
+    return joined.join(total, [*key, "parent_id"]).select(*key, "parent_id", "child_id", (F.col("inverse") / F.col("total")).alias("weight"))

@@ -228,8 +228,8 @@ def view_issues(views: DataFrame, universe: DataFrame) -> DataFrame:
     heads = views.groupBy(at).agg(
         F.max("q").alias("q"),
         F.max(F.abs("coef")).alias("largest"),
-        F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "instrument", F.format_number("coef", 6))))).alias("picks"),
-        F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "instrument", F.format_number(-F.col("coef"), 6))))).alias("turned"),
+        F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "instrument", F.format_number(F.col("coef") + 0.0, 6))))).alias("picks"),
+        F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "instrument", F.format_number(0.0 - F.col("coef"), 6))))).alias("turned"),
     )
     a, b = heads.alias("a"), heads.alias("b")
     later = (F.col("a.node_id") == F.col("b.node_id")) & (F.col("a.view_id") > F.col("b.view_id"))

@@ -1 +1,318 @@
-"""Queries."""
+"""Queries on catalogs, configs, histories, regimes and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from arborfolio.functions.periods import rounded
+from arborfolio.operators import catalog as ca
+from arborfolio.operators import ledger as le
+from arborfolio.operators import regimes as rg
+from arborfolio.plans.ledger_queries import BPS
+from arborfolio.plans.panel_queries import rolling, train, valuation
+from arborfolio.plans.registry import query, view
+from arborfolio.sources.prices import brand_levels, table
+from arborfolio.sources.written import shared
+from arborfolio.streaming import jobs
+
+# Catalog: brands are listings, parts their instruments
+
+view("coverage", "SELECT substr(instrument, 8) AS symbol, count(*) AS observations, min(date) AS first_date, max(date) AS last_date FROM brand_levels GROUP BY 1")
+view("listings", "SELECT DISTINCT upper(p_brand) AS symbol, p_brand AS name FROM part")
+view("kinds", "SELECT upper(p_brand) AS symbol, min(p_type) AS kind, CAST(count(*) AS VARCHAR) AS \"group\" FROM part GROUP BY 1")
+
+
+def coverage(spark, sf):
+    return brand_levels(spark, sf).groupBy(F.substring("instrument", 8, 50).alias("symbol")).agg(F.count("*").alias("observations"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+def kinds(spark, sf):
+    return table(spark, sf, "part").groupBy(F.upper("p_brand").alias("symbol")).agg(F.min("p_type").alias("kind"), F.count("*").cast("string").alias("group"))
+
+
+@query("catalog_search", """SELECT l.symbol, l.name, k.kind, c.observations, c.first_date, c.last_date FROM listings l JOIN kinds k USING (symbol) LEFT JOIN coverage c USING (symbol)
+  WHERE contains(upper(concat_ws(' ', l.symbol, l.name, k.kind, k."group")), 'BRAND#1') AND coalesce(c.observations, 0) >= 10 ORDER BY l.symbol <> 'BRAND#1', l.symbol LIMIT 20""")
+def catalog_search(spark, sf):
+    listings = table(spark, sf, "part").select(F.upper("p_brand").alias("symbol"), F.col("p_brand").alias("name")).distinct()
+    found = ca.search(listings, kinds(spark, sf), coverage(spark, sf), "Brand#1", 10, 20)
+    return found.select("symbol", "name", "kind", "observations", "first_date", "last_date")
+
+
+@query("instrument_labels", "SELECT symbol, name || ' (' || kind || ')' AS label FROM listings JOIN kinds USING (symbol)")
+def instrument_labels(spark, sf):
+    listings = table(spark, sf, "part").select(F.upper("p_brand").alias("symbol"), F.col("p_brand").alias("name")).distinct()
+    return listings.join(kinds(spark, sf), "symbol").select("symbol", F.format_string("%s (%s)", "name", "kind").alias("label"))
+
+
+@query("normalized_symbols", "SELECT DISTINCT upper(trim(p_name)) AS symbol FROM part WHERE trim(p_name) <> ''")
+def normalized_symbols(spark, sf):
+    p = table(spark, sf, "part")
+    mixed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" Ticker:"), "p_name", F.lit(" "))).otherwise(F.lower("p_name"))
+    return ca.normalized_symbols(p.select(mixed.alias("name")))
+
+
+@query("data_fingerprint", "SELECT sha256(string_agg(symbol || '|' || last_date || '|' || observations, chr(10) ORDER BY symbol || '|' || last_date || '|' || observations)) AS fingerprint, CAST(max(last_date) AS VARCHAR) AS as_of FROM coverage")
+def data_fingerprint(spark, sf):
+    return ca.fingerprint(coverage(spark, sf))
+
+
+# Configs: one JSON text for each customer
+
+view("config_in", """SELECT c_custkey AS tree_id, CASE c_custkey % 9 WHEN 0 THEN 'best' WHEN 1 THEN NULL WHEN 2 THEN 'max_return' ELSE 'min_risk' END AS objective, CASE c_nationkey % 5 WHEN 0 THEN 0.5 WHEN 1 THEN NULL ELSE 1.5 END AS leverage,
+  CASE c_custkey % 7 WHEN 0 THEN -1.0 WHEN 1 THEN NULL ELSE 25.0 END AS spread, (c_custkey % 13) / 10.0 AS confidence, (c_custkey % 12) / 10.0 AS lo, (c_custkey % 8) / 10.0 AS hi FROM customer""")
+view("config_v", "SELECT tree_id, coalesce(objective, 'min_risk') AS objective, coalesce(leverage, 1.0) AS leverage, coalesce(spread, 0.0) AS spread, confidence, lo, hi FROM config_in")
+
+
+def configs(spark, sf):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    objective = F.when(k % 9 == 0, "best").when(k % 9 == 2, "max_return").when(k % 9 != 1, "min_risk")
+    leverage = F.when(n % 5 == 0, 0.5).when(n % 5 != 1, 1.5)
+    spread = F.when(k % 7 == 0, -1.0).when(k % 7 != 1, 25.0)
+    maps = lambda v: F.create_map(F.lit("ticker:A"), v)
+    body = F.to_json(F.struct(F.concat(F.lit("N"), k.cast("string")).alias("node_id"), objective.alias("objective"), leverage.alias("leverage"), spread.alias("spread"), ((k % 13) / 10).alias("confidence"), maps((k % 12) / 10).alias("min_weights"), maps((k % 8) / 10).alias("max_weights")))
+    return table(spark, sf, "customer").select(k.alias("tree_id"), body.alias("body"))
+
+
+@query("config_nodes", "SELECT tree_id, 'N' || tree_id AS node_id, objective, round(leverage, 6) AS leverage, round(spread, 6) AS spread, round(confidence, 6) AS confidence FROM config_v")
+def config_nodes(spark, sf):
+    return ca.parse_configs(configs(spark, sf)).select("tree_id", "node_id", "objective", *(F.round(c, 6).alias(c) for c in ("leverage", "spread", "confidence")))
+
+
+@query("config_bounds", "SELECT tree_id, 'ticker:A' AS instrument, round(lo, 6) AS lo, round(hi, 6) AS hi FROM config_v")
+def config_bounds(spark, sf):
+    return ca.config_bounds(ca.parse_configs(configs(spark, sf))).select("tree_id", "instrument", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query("config_violations", """SELECT tree_id, 'objective' AS rule FROM config_v WHERE objective NOT IN ('min_risk', 'max_return', 'max_ratio', 'max_utility') UNION ALL SELECT tree_id, 'leverage' FROM config_v WHERE leverage < 1
+  UNION ALL SELECT tree_id, 'spread' FROM config_v WHERE spread < 0 UNION ALL SELECT tree_id, 'spread without financing' FROM config_v WHERE spread > 0 AND leverage <= 1 UNION ALL SELECT tree_id, 'confidence' FROM config_v WHERE confidence <= 0 OR confidence > 1
+  UNION ALL SELECT tree_id, 'bound range' FROM config_v WHERE lo NOT BETWEEN 0 AND 1 OR hi NOT BETWEEN 0 AND 1 UNION ALL SELECT tree_id, 'crossed bounds' FROM config_v WHERE lo > hi""")
+def config_violations(spark, sf):
+    return ca.config_violations(ca.parse_configs(configs(spark, sf)))
+
+
+# A flawed tree: suppliers under nations; every 40th id is listed twice, every 25th hangs under two parents, every 30th edge leads nowhere
+
+view("flawed_nodes", "SELECT 'ROOT' AS node_id, CAST(NULL AS VARCHAR) AS proxy UNION ALL SELECT 'N' || n_nationkey, 'x' FROM nation UNION ALL SELECT 'S' || s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 'x' END FROM supplier UNION ALL SELECT 'S' || s_suppkey, 'x' FROM supplier WHERE s_suppkey % 40 = 1 UNION ALL SELECT 'LOST' || s_suppkey, 'x' FROM supplier WHERE s_suppkey % 33 = 2")
+view("flawed_edges", "SELECT 'ROOT' AS parent_id, 'N' || n_nationkey AS child_id FROM nation UNION ALL SELECT 'N' || s_nationkey, CASE WHEN s_suppkey % 30 = 3 THEN 'X' || s_suppkey ELSE 'S' || s_suppkey END FROM supplier UNION ALL SELECT 'N' || ((s_nationkey + 1) % 25), 'S' || s_suppkey FROM supplier WHERE s_suppkey % 25 = 4 UNION ALL SELECT 'N' || s_nationkey, 'ROOT' FROM supplier WHERE s_suppkey = 5")
+view("flawed_reach", "SELECT 'ROOT' AS node_id, 0 AS d UNION ALL SELECT e.child_id, r.d + 1 FROM flawed_reach r JOIN flawed_edges e ON e.parent_id = r.node_id WHERE r.d < 2")
+
+
+@query("tree_violations", """SELECT node_id, 'duplicate id' AS rule FROM flawed_nodes GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT child_id, 'unknown child' FROM flawed_edges WHERE child_id NOT IN (SELECT node_id FROM flawed_nodes)
+  UNION ALL SELECT child_id, 'two parents' FROM flawed_edges GROUP BY 1 HAVING count(DISTINCT parent_id) > 1 UNION ALL SELECT DISTINCT child_id, 'root as child' FROM flawed_edges WHERE child_id = 'ROOT'
+  UNION ALL SELECT DISTINCT node_id, 'missing proxy' FROM flawed_nodes WHERE node_id <> 'ROOT' AND proxy IS NULL UNION ALL SELECT DISTINCT node_id, 'unreachable' FROM flawed_nodes WHERE node_id NOT IN (SELECT node_id FROM flawed_reach)""")
+def tree_violations(spark, sf):
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    k = F.col("s_suppkey")
+    nodes = spark.range(1).select(F.lit("ROOT").alias("node_id"), F.lit(None).cast("string").alias("proxy"))
+    nodes = nodes.union(n.select(name("N", "n_nationkey"), F.lit("x"))).union(s.select(name("S", "s_suppkey"), F.when(k % 6 != 0, "x")))
+    nodes = nodes.union(s.where(k % 40 == 1).select(name("S", "s_suppkey"), F.lit("x"))).union(s.where(k % 33 == 2).select(name("LOST", "s_suppkey"), F.lit("x")))
+    child = F.when(k % 30 == 3, name("X", "s_suppkey")).otherwise(name("S", "s_suppkey"))
+    edges = n.select(F.lit("ROOT").alias("parent_id"), name("N", "n_nationkey").alias("child_id")).union(s.select(name("N", "s_nationkey"), child))
+    second = F.concat(F.lit("N"), ((F.col("s_nationkey") + 1) % 25).cast("string"))
+    edges = edges.union(s.where(k % 25 == 4).select(second, name("S", "s_suppkey"))).union(s.where(k == 5).select(name("N", "s_nationkey"), F.lit("ROOT")))
+    return ca.tree_violations(nodes, edges, "ROOT", 2)
+
+
+@query("content_hash", """SELECT p_partkey AS id, sha256('{"brand":"' || p_brand || '","name":"' || p_name || '","size":"' || p_size || '","type":"' || p_type || '"}') AS hash FROM part""")
+def content_hash(spark, sf):
+    entries = F.create_map(F.lit("type"), "p_type", F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), "p_brand", F.lit("name"), "p_name")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), ca.content_hash(entries).alias("hash"))
+
+
+@query("redact_keys", """SELECT event_id, '{"api_key":"***","k":"' || json_extract_string(props, '$.k') || '","user_Token":"***"}' AS body FROM events""")
+def redact_keys(spark, sf):
+    props = F.map_concat(F.from_json("props", "MAP<STRING, STRING>"), F.create_map(F.lit("user_Token"), F.col("user_id").cast("string"), F.lit("api_key"), F.col("event_id").cast("string")))
+    return table(spark, sf, "events").select("event_id", ca.canonical_json(ca.redact_keys(props)).alias("body"))
+
+
+@query("redact_pii")
+def redact_pii(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", ca.redact_pii(F.col("text")).alias("text"))
+
+
+view("history", "SELECT user_id AS entity, event_id AS seq, event_type AS status FROM events")
+view("legal", "SELECT * FROM (VALUES " + ", ".join(map(str, ca.LEGAL)) + ") l(before, status)")
+
+
+@query("illegal_transitions", "SELECT entity, seq, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY entity ORDER BY seq) AS before FROM history) WHERE before IS NOT NULL AND (before, status) NOT IN (SELECT (before, status) FROM legal)")
+def illegal_transitions(spark, sf):
+    return ca.illegal_transitions(table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.col("event_type").alias("status")))
+
+
+view("revisions", "SELECT o_custkey AS tree_id, o_orderkey AS revision_id, o_orderdate AS created, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent_id FROM orders")
+view("head_v", "SELECT tree_id, arg_max(revision_id, (created, revision_id)) AS revision_id FROM revisions GROUP BY 1")
+view("chain_v", "SELECT tree_id, revision_id, 0 AS step FROM head_v UNION ALL SELECT c.tree_id, r.parent_id, c.step + 1 FROM chain_v c JOIN revisions r ON r.revision_id = c.revision_id WHERE r.parent_id IS NOT NULL AND c.step < 5")
+
+
+def revisions(spark, sf):
+    up = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("tree_id"), F.col("o_orderkey").alias("revision_id"), F.col("o_orderdate").alias("created"), up.alias("parent_id"))
+
+
+@query("tree_heads", "SELECT * FROM head_v")
+def tree_heads(spark, sf):
+    return ca.heads(revisions(spark, sf))
+
+
+@query("revision_chain", "SELECT * FROM chain_v")
+def revision_chain(spark, sf):
+    rows = revisions(spark, sf)
+    return ca.revision_chain(rows, ca.heads(rows), 5)
+
+
+@query("unmigrated", "SELECT c_custkey AS tree_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def unmigrated(spark, sf):
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderstatus = 'P'")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("c_custkey").alias("tree_id"))
+
+
+@query("latest_runs", "SELECT cache_key, run_id, created FROM (SELECT o_custkey || '-' || o_orderpriority AS cache_key, o_orderkey AS run_id, o_orderdate AS created, row_number() OVER (PARTITION BY o_custkey || '-' || o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1 ORDER BY created DESC, run_id DESC LIMIT 100")
+def latest_runs(spark, sf):
+    runs = table(spark, sf, "orders").select(F.concat_ws("-", F.col("o_custkey").cast("string"), "o_orderpriority").alias("cache_key"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created"))
+    return ca.latest(runs, "cache_key", ["created", "run_id"]).orderBy(F.desc("created"), F.desc("run_id")).limit(100)
+
+
+@query("latest_report", "SELECT l_orderkey AS run_id, l_linenumber AS artifact FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS k FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_returnflag = 'R')) WHERE k = 1")
+def latest_report(spark, sf):
+    rows = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("artifact"), "l_shipdate").distinct()
+    return ca.latest(rows, "run_id", ["l_shipdate", "artifact"]).select("run_id", "artifact")
+
+
+# Profiles: the winner's settings for each node, and nodes that only one profile has
+
+view("profile_rows", "SELECT o_custkey AS node_id, o_orderstatus AS profile, count(*) AS orders, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2")
+view("profile_best", "SELECT node_id, arg_min(profile, (-value, profile)) AS profile FROM profile_rows GROUP BY 1")
+
+
+def profiles(spark, sf):
+    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("node_id"), F.col("o_orderstatus").alias("profile")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("value"))
+
+
+@query("apply_profiles", "SELECT node_id, profile, orders FROM profile_rows JOIN profile_best USING (node_id, profile)")
+def apply_profiles(spark, sf):
+    rows = profiles(spark, sf)
+    best = rows.groupBy("node_id").agg(F.min_by("profile", F.struct(-F.col("value"), "profile")).alias("profile"))
+    return rows.join(best, ["node_id", "profile"]).select("node_id", "profile", "orders")
+
+
+@query("topology_mismatch", "SELECT coalesce(a.node_id, b.node_id) AS node_id, a.node_id IS NOT NULL AS in_first, b.node_id IS NOT NULL AS in_second FROM (SELECT node_id FROM profile_rows WHERE profile = 'O') a FULL JOIN (SELECT node_id FROM profile_rows WHERE profile = 'F') b ON a.node_id = b.node_id WHERE a.node_id IS NULL OR b.node_id IS NULL")
+def topology_mismatch(spark, sf):
+    rows = profiles(spark, sf)
+    a, b = (rows.where(F.col("profile") == p).select("node_id", F.lit(True).alias(n)) for p, n in (("O", "in_first"), ("F", "in_second")))
+    return a.join(b, "node_id", "full").where("in_first IS NULL OR in_second IS NULL").fillna(False, ["in_first", "in_second"])
+
+
+# Regimes: the share of urgent orders of a day is the probability of stress
+
+view("regimes", "SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0 END) > 0.25 THEN 'stress' ELSE 'calm' END AS state, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0 END) AS p FROM orders GROUP BY 1")
+view("state_p", "SELECT date, 'stress' AS state, p AS weight FROM regimes UNION ALL SELECT date, 'calm', 1 - p FROM regimes")
+view("state_mu", "SELECT state, instrument, sum(weight * ret) / sum(weight) AS mu FROM type_valuation JOIN state_p USING (date) GROUP BY ALL")
+view("state_asof", "SELECT v.date, r.state, r.p FROM (SELECT DISTINCT date FROM resampled_w) v ASOF LEFT JOIN regimes r ON v.date >= r.date")
+view("switches", "SELECT date, state FROM (SELECT *, lag(state) OVER (ORDER BY date) AS before FROM regimes) WHERE before IS NULL OR before <> state")
+
+
+@shared
+def regimes(spark, sf):
+    p = F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double"))
+    daily = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(p.alias("p"))
+    return daily.select("date", F.when(F.col("p") > 0.25, "stress").otherwise("calm").alias("state"), "p")
+
+
+@query("regime_conditional_means", "SELECT state, instrument, round(mu, 10) + 0.0 AS mu FROM state_mu")
+def regime_conditional_means(spark, sf):
+    return rg.conditional_means(valuation(spark, sf), regimes(spark, sf)).withColumn("mu", rounded(F.col("mu"), 10))
+
+
+@query("regime_transitions", "SELECT * FROM switches")
+def regime_transitions(spark, sf):
+    return rg.transitions(regimes(spark, sf))
+
+
+def weekly_states(spark, sf):
+    from arborfolio.plans.panel_queries import estimation
+
+    return rg.as_of(estimation(spark, sf), regimes(spark, sf))
+
+
+@query("regime_asof", "SELECT date, state, round(p, 8) AS p FROM state_asof")
+def regime_asof(spark, sf):
+    return weekly_states(spark, sf).withColumn("p", F.round("p", 8))
+
+
+@query("regime_views", "SELECT date, instrument, round(252 * sum(weight * mu), 8) + 0.0 AS q FROM (SELECT date, 'stress' AS state, p AS weight FROM state_asof UNION ALL SELECT date, 'calm', 1 - p FROM state_asof) JOIN state_mu USING (state) GROUP BY ALL")
+def regime_views(spark, sf):
+    means = rg.conditional_means(valuation(spark, sf), regimes(spark, sf))
+    return rg.views(means, weekly_states(spark, sf), 252).withColumn("q", rounded(F.col("q"), 8))
+
+
+@query("regime_blended_weights", """WITH s AS (SELECT f.fold_id, r.p FROM folds_r f ASOF JOIN regimes r ON f.signal >= r.date),
+b AS (SELECT fold_id, state, instrument FROM (SELECT fold_id, state, instrument, row_number() OVER (PARTITION BY fold_id, state ORDER BY avg(ret) DESC, instrument) AS k FROM train JOIN state_asof USING (date) GROUP BY fold_id, state, instrument HAVING count(*) >= 3) WHERE k = 1),
+w AS (SELECT fold_id, instrument, CASE WHEN state = 'stress' THEN p ELSE 1 - p END AS share FROM b JOIN s USING (fold_id)),
+x AS (SELECT fold_id, instrument, CASE WHEN sum(share) OVER (PARTITION BY fold_id) > 0 THEN share / sum(share) OVER (PARTITION BY fold_id) ELSE 1.0 / count(*) OVER (PARTITION BY fold_id) END AS weight FROM w)
+SELECT fold_id, instrument, round(sum(weight), 6) + 0.0 AS weight FROM x GROUP BY ALL""")
+def regime_blended_weights(spark, sf):
+    f = rolling(spark, sf)
+    at = rg.as_of(f.select(F.col("signal").alias("date")), regimes(spark, sf)).join(f.select("fold_id", F.col("signal").alias("date")), "date")
+    done = rg.blended_best(train(spark, sf), weekly_states(spark, sf), at)
+    return done.withColumn("weight", rounded(F.col("weight")))
+
+
+view("event_folds", "SELECT date AS signal, coalesce(lead(date) OVER (ORDER BY date), DATE '9999-12-31') AS until, row_number() OVER (ORDER BY date) AS fold_id FROM switches")
+view("event_hold", "SELECT fold_id, v.date, instrument, ret FROM type_valuation v JOIN event_folds f ON v.date > f.signal AND v.date <= f.until")
+
+
+@query("event_rebalance_returns", f"""WITH t AS (SELECT DISTINCT fold_id, instrument, 1.0 / 6 AS weight FROM event_hold),
+g AS (SELECT fold_id, date, instrument, product(1 + ret) OVER (PARTITION BY fold_id, instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM event_hold),
+v AS (SELECT fold_id, date, 1 + sum((g - 1) / 6) AS v FROM g GROUP BY ALL)
+SELECT fold_id, date, round(v / coalesce(lag(v) OVER (PARTITION BY fold_id ORDER BY date), 1) - 1, 8) + 0.0 AS ret FROM v""")
+def event_rebalance_returns(spark, sf):
+    from arborfolio.operators.folds import holding_days
+
+    order = Window.orderBy("date")
+    switch = rg.transitions(regimes(spark, sf)).select(F.col("date").alias("signal"), F.lead("date").over(order).alias("next_signal"), F.row_number().over(order).alias("fold_id"))
+    v = valuation(spark, sf)
+    rows = holding_days(v, switch).join(switch.select("signal", "fold_id"), "signal").join(v, "date").select("fold_id", "date", "instrument", "ret")
+    targets = rows.select("fold_id", "instrument").distinct().select("fold_id", F.lit("EVENT").alias("arm"), "instrument", F.lit(1 / 6).alias("weight"))
+    return le.ledger_returns(le.growth(targets, rows)).select("fold_id", "date", rounded(F.col("ret"), 8).alias("ret"))
+
+
+@query("lagged_switch_returns", """SELECT date, round(CASE before WHEN 'stress' THEN s WHEN 'calm' THEN c END, 8) + 0.0 AS ret FROM (SELECT date, s, c, lag(state) OVER (ORDER BY date) AS before FROM (
+  SELECT date, max(CASE WHEN instrument = 'ticker:ECONOMY' THEN ret END) AS s, max(CASE WHEN instrument = 'ticker:PROMO' THEN ret END) AS c FROM type_valuation GROUP BY 1) JOIN regimes USING (date))""")
+def lagged_switch_returns(spark, sf):
+    return rg.lagged_switch(valuation(spark, sf), regimes(spark, sf), "ticker:ECONOMY", "ticker:PROMO").withColumn("ret", rounded(F.col("ret"), 8))
+
+
+# Streams over the events
+
+view("running", "SELECT user_id AS job FROM events GROUP BY 1 HAVING arg_max(event_type, (ts, event_id)) <> 'purchase'")
+STALE = "SELECT job, heartbeat FROM (SELECT user_id AS job, max(ts) AS heartbeat FROM events GROUP BY 1) WHERE job IN (SELECT job FROM running) AND heartbeat < (SELECT max(ts) FROM events) - INTERVAL 12 HOURS"
+
+
+def _running(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("job")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last")).where("last <> 'purchase'").select("job")
+
+
+@query("stale_jobs", STALE)
+def stale_jobs(spark, sf):
+    beats = table(spark, sf, "events").groupBy(F.col("user_id").alias("job")).agg(F.max("ts").alias("heartbeat"))
+    return jobs.stale(beats, _running(spark, sf), "12 HOURS")
+
+
+@query("stream_stale_jobs", STALE)
+def stream_stale_jobs(spark, sf):
+    feed = jobs.arriving(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("job"), "ts")
+    return jobs.stale(jobs.last_heartbeats(feed), _running(spark, sf), "12 HOURS")
+
+
+@query("stream_period_returns", "SELECT CAST(time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-03') + INTERVAL 6 DAYS AS DATE) AS week_end, event_type AS instrument, round(product(1 + value / 100000) - 1, 6) + 0.0 AS ret FROM events GROUP BY 1, 2")
+def stream_period_returns(spark, sf):
+    feed = jobs.arriving(spark, f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("instrument"), (F.col("value") / 100000).alias("ret"))
+    return jobs.period_returns(feed).withColumn("ret", rounded(F.col("ret")))
+
+
+@query("stream_transitions", "SELECT user_id AS key, ts, before, event_type AS state FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type")
+def stream_transitions(spark, sf):
+    feed = jobs.arriving(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    return jobs.transitions(feed)

@@ -9,10 +9,11 @@ from arborfolio.operators import folds as fo
 from arborfolio.operators import inference as inf
 from arborfolio.operators import ledger as le
 from arborfolio.operators import pruning as pru
-from arborfolio.plans.panel_queries import hold, rolling, shared, valuation
+from arborfolio.plans.panel_queries import hold, rolling, valuation
 from arborfolio.plans.registry import query, view
 from arborfolio.plans.risk_queries import benchmark, means
 from arborfolio.sources.prices import table
+from arborfolio.sources.written import shared
 
 BPS = 10.0
 

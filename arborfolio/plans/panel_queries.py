@@ -13,6 +13,7 @@ from arborfolio.operators import panel as pa
 from arborfolio.plans.registry import query, view
 from arborfolio.sources import prices as pr
 from arborfolio.sources.prices import table
+from arborfolio.sources.written import shared
 
 TRAIN = 52
 
@@ -86,27 +87,7 @@ view("rates_aligned", """SELECT date, currency, CASE WHEN date <= max(CASE WHEN
   FROM (SELECT DISTINCT date FROM nation_levels) CROSS JOIN (SELECT DISTINCT currency FROM rates) LEFT JOIN rates USING (date, currency)""")
 
 
-# Shared inputs of the queries: each is persisted once for a session and folder
-
-_SHARED: dict[tuple, DataFrame] = {}
-
-
-def shared(make):
-    def get(spark: SparkSession, sf: str, *args) -> DataFrame:
-        key = spark.sparkContext.applicationId, sf, make.__name__, args
-        if key not in _SHARED:
-            _SHARED[key] = make(spark, sf, *args).persist()
-        return _SHARED[key]
-
-    return get
-
-
-def forget() -> None:
-    """Drop all shared inputs."""
-    for frame in _SHARED.values():
-        frame.unpersist()
-    _SHARED.clear()
-
+# Shared inputs of the queries
 
 @shared
 def aligned(spark: SparkSession, sf: str, kind: str = "type") -> DataFrame:

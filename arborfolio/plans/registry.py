@@ -33,7 +33,10 @@ def oracle(final: str) -> str:
 
     need(final)
     steps = ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in order)
-    recursive = "RECURSIVE " if any("UNION ALL" in _VIEWS[n] and re.search(rf"\b{n}\b", _VIEWS[n]) for n in order) else ""
+    recursive = "RECURSIVE " if any("UNION ALL" in _VIEWS[n] and re.search(rf"\b{n}\b", _VIEWS[n]) for n in order) or final.startswith("WITH RECURSIVE") else ""
+    own = re.match(r"WITH (?:RECURSIVE )?(.*)", final, re.S)
+    if own:
+        return f"WITH {recursive}" + ",\n".join([steps, own[1]] if order else [own[1]])
     return (f"WITH {recursive}{steps}\n" if order else "") + final
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from arborfolio.functions.periods import rounded
 from arborfolio.operators import folds as fo
 from arborfolio.operators import moments as mo
-from arborfolio.plans.panel_queries import estimation, rolling, shared, train
+from arborfolio.plans.panel_queries import estimation, rolling, train
 from arborfolio.plans.registry import query, view
 from arborfolio.sources.prices import table
+from arborfolio.sources.written import shared
 
 DIGITS = 10
 

@@ -1 +1,240 @@
-"""Queries."""
+"""Queries on allocation trees, and on pruning of the region tree."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from arborfolio.functions.periods import rounded
+from arborfolio.operators import allocation as al
+from arborfolio.operators import hierarchy as hi
+from arborfolio.operators import pruning as pru
+from arborfolio.plans.allocation_queries import best_return
+from arborfolio.plans.panel_queries import train
+from arborfolio.plans.registry import query, view
+from arborfolio.plans.risk_queries import benchmark, covariances, means
+from arborfolio.sources.prices import table
+from arborfolio.sources.written import shared
+
+# The wide tree: root -> regions -> nations -> suppliers, each supplier an instrument
+
+view("edges", "SELECT 'ROOT' AS parent_id, 'R' || r_regionkey AS child_id FROM region UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier")
+view("walked", "SELECT 'ROOT' AS node_id, 0 AS depth, 'ROOT' AS path UNION ALL SELECT e.child_id, w.depth + 1, w.path || '/' || e.child_id FROM walked w JOIN edges e ON e.parent_id = w.node_id WHERE w.depth < 10")
+
+
+def edges(spark, sf):
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    r = table(spark, sf, "region").select(F.lit("ROOT").alias("parent_id"), name("R", "r_regionkey").alias("child_id"))
+    n = table(spark, sf, "nation").select(name("R", "n_regionkey").alias("parent_id"), name("N", "n_nationkey").alias("child_id"))
+    s = table(spark, sf, "supplier").select(name("N", "s_nationkey").alias("parent_id"), name("S", "s_suppkey").alias("child_id"))
+    return r.union(n).union(s)
+
+
+def roots(spark):
+    return spark.range(1).select(F.lit("ROOT").alias("node_id"))
+
+
+@query("tree_depths", "SELECT node_id, depth, path FROM walked")
+def tree_depths(spark, sf):
+    return hi.walk(edges(spark, sf), roots(spark), 4).select("node_id", "depth", "path")
+
+
+@query("subtree_terminals", """SELECT DISTINCT a.node_id, 'ticker:' || b.node_id AS instrument FROM walked a JOIN walked b ON starts_with(b.path || '/', a.path || '/') WHERE starts_with(b.node_id, 'S')""")
+def subtree_terminals(spark, sf):
+    held = edges(spark, sf).where("child_id LIKE 'S%'").select(F.col("child_id").alias("node_id"), F.concat(F.lit("ticker:"), "child_id").alias("instrument"))
+    return hi.subtree_terminals(edges(spark, sf), held, 4)
+
+
+view("split", """SELECT 'ROOT' AS parent_id, 'R' || n_regionkey AS child_id, sum(s_acctbal + 1000) / sum(sum(s_acctbal + 1000)) OVER () AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey
+  UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey, sum(s_acctbal + 1000) / sum(sum(s_acctbal + 1000)) OVER (PARTITION BY n_regionkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey""")
+view("held_in", "SELECT 'N' || s_nationkey AS node_id, CASE WHEN s_suppkey % 17 = 0 THEN 'cash:RF' ELSE 'ticker:S' || s_suppkey END AS instrument, (s_acctbal + 1000) / sum(s_acctbal + 1000) OVER (PARTITION BY s_nationkey) AS weight FROM supplier")
+view("shares", "SELECT 'ROOT' AS node_id, CAST(1.0 AS DOUBLE) AS weight, 0 AS d UNION ALL SELECT s.child_id, w.weight * s.weight, w.d + 1 FROM shares w JOIN split s ON s.parent_id = w.node_id WHERE w.d < 4")
+
+
+def split(spark, sf):
+    from pyspark.sql import Window
+
+    j = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    size = F.sum(F.col("s_acctbal") + 1000).alias("w")
+    region = j.groupBy(F.lit("ROOT").alias("parent_id"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("child_id")).agg(size)
+    nation = j.groupBy(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("child_id")).agg(size)
+    return region.union(nation).select("parent_id", "child_id", (F.col("w") / F.sum("w").over(Window.partitionBy("parent_id"))).alias("weight"))
+
+
+def held_in(spark, sf):
+    from pyspark.sql import Window
+
+    s = table(spark, sf, "supplier")
+    name = F.when(F.col("s_suppkey") % 17 == 0, "cash:RF").otherwise(F.concat(F.lit("ticker:S"), F.col("s_suppkey").cast("string")))
+    share = (F.col("s_acctbal") + 1000) / F.sum(F.col("s_acctbal") + 1000).over(Window.partitionBy("s_nationkey"))
+    return s.select(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("node_id"), name.alias("instrument"), share.alias("weight"))
+
+
+@query("terminal_weights", "SELECT instrument, round(sum(s.weight * h.weight), 8) + 0.0 AS weight FROM shares s JOIN held_in h USING (node_id) GROUP BY 1 HAVING abs(sum(s.weight * h.weight)) > 1e-12")
+def terminal_weights(spark, sf):
+    return hi.compose(roots(spark), split(spark, sf), held_in(spark, sf), 3).withColumn("weight", rounded(F.col("weight"), 8))
+
+
+@query("global_exposure", """SELECT node_id, round(sum(CASE WHEN starts_with(instrument, 'cash:') THEN 0 ELSE s.weight * h.weight END), 8) + 0.0 AS risky, round(sum(CASE WHEN starts_with(instrument, 'cash:') THEN s.weight * h.weight ELSE 0 END), 8) + 0.0 AS cash,
+  round(sum(s.weight * h.weight), 8) + 0.0 AS net FROM shares s JOIN held_in h USING (node_id) GROUP BY 1""")
+def global_exposure(spark, sf):
+    share = hi.node_weights(roots(spark), split(spark, sf), 3).withColumnRenamed("weight", "share")
+    rows = share.join(held_in(spark, sf), "node_id").select("node_id", "instrument", (F.col("share") * F.col("weight")).alias("weight"))
+    return hi.exposures(rows, ["node_id"]).withColumns({c: rounded(F.col(c), 8) for c in ("risky", "cash", "net")})
+
+
+# The return tree: root -> two sleeves -> part types; a sleeve's proxy is its equal-weight series
+
+view("sleeves", "SELECT DISTINCT CASE WHEN instrument < 'ticker:N' THEN 'CORE' ELSE 'GROWTH' END AS node_id, instrument FROM type_levels")
+
+
+def sleeves(spark, sf):
+    from arborfolio.sources.prices import type_levels
+
+    return type_levels(spark, sf).select("instrument").distinct().select(F.when(F.col("instrument") < "ticker:N", "CORE").otherwise("GROWTH").alias("node_id"), "instrument")
+
+
+def sleeve_edges(spark, sf):
+    return sleeves(spark, sf).select(F.lit("ROOT").alias("parent_id"), F.col("node_id").alias("child_id")).distinct()
+
+
+def proxies(spark, sf):
+    return sleeves(spark, sf).select("node_id", F.concat(F.lit("ticker:"), "node_id").alias("proxy")).distinct()
+
+
+@query("node_candidates", """SELECT node_id, instrument AS candidate, 'instrument' AS kind, 'forward' AS pass FROM sleeves UNION ALL SELECT DISTINCT 'ROOT', 'ticker:' || node_id, 'proxy', 'forward' FROM sleeves
+  UNION ALL SELECT node_id, instrument, 'instrument', 'backward' FROM sleeves UNION ALL SELECT DISTINCT 'ROOT', 'ticker:' || node_id || '_SYNTH', 'synthetic', 'backward' FROM sleeves""")
+def node_candidates(spark, sf):
+    parts = [hi.node_candidates(sleeves(spark, sf), sleeve_edges(spark, sf), proxies(spark, sf), back).withColumn("pass", F.lit("backward" if back else "forward")) for back in (False, True)]
+    return parts[0].union(parts[1])
+
+
+view("top_in_sleeve", "SELECT fold_id, node_id, instrument, CASE WHEN k = 1 THEN 0.7 ELSE 0.3 END AS weight FROM (SELECT fold_id, node_id, instrument, row_number() OVER (PARTITION BY fold_id, node_id ORDER BY mu DESC, instrument) AS k FROM mu_e JOIN sleeves USING (instrument)) WHERE k <= 2")
+view("synthetic", "SELECT fold_id, node_id, date, sum(weight * ret) AS ret FROM top_in_sleeve JOIN train USING (fold_id, instrument) GROUP BY ALL")
+view("proxy_rows", "SELECT fold_id, node_id, date, avg(ret) AS ret FROM train JOIN sleeves USING (instrument) GROUP BY ALL")
+
+
+def _top(mu, key):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("mu"), "instrument"))
+    return mu.withColumn("k", k).where("k <= 2").select(*key, "instrument", F.when(F.col("k") == 1, 0.7).otherwise(0.3).alias("weight"))
+
+
+@shared
+def leaf_weights(spark, sf):
+    return _top(means(spark, sf).join(sleeves(spark, sf), "instrument"), ["fold_id", "node_id"])
+
+
+@shared
+def synthetic(spark, sf):
+    return hi.node_series(leaf_weights(spark, sf), train(spark, sf), ["fold_id"])
+
+
+@query("synthetic_series", "SELECT fold_id, node_id, date, round(ret, 8) + 0.0 AS ret FROM synthetic")
+def synthetic_series(spark, sf):
+    return synthetic(spark, sf).withColumn("ret", rounded(F.col("ret"), 8))
+
+
+def root_split(series):
+    """Root weights by the mean of each child's series: 70 % to the higher, 30 % to the other."""
+    mu = series.groupBy("fold_id", F.col("node_id").alias("instrument")).agg(F.avg("ret").alias("mu"))
+    return _top(mu, ["fold_id"]).select("fold_id", F.lit("ROOT").alias("parent_id"), F.col("instrument").alias("child_id"), "weight")
+
+
+def composed(spark, sf, series):
+    split_ = root_split(series)
+    start = split_.select("fold_id").distinct().select("fold_id", F.lit("ROOT").alias("node_id"))
+    return hi.compose(start, split_, leaf_weights(spark, sf), 1).withColumn("weight", rounded(F.col("weight")))
+
+
+def composed_sql(series):
+    return f"""SELECT t.fold_id, t.instrument, round(t.weight * r.weight, 6) + 0.0 AS weight FROM top_in_sleeve t JOIN (SELECT fold_id, node_id, CASE WHEN row_number() OVER (PARTITION BY fold_id ORDER BY m DESC, node_id) = 1 THEN 0.7 ELSE 0.3 END AS weight FROM (SELECT fold_id, node_id, avg(ret) AS m FROM {series} GROUP BY ALL)) r USING (fold_id, node_id)"""
+
+
+@query("forward_allocation", composed_sql("proxy_rows"))
+def forward_allocation(spark, sf):
+    series = train(spark, sf).join(sleeves(spark, sf), "instrument").groupBy("fold_id", "node_id", "date").agg(F.avg("ret").alias("ret"))
+    return composed(spark, sf, series)
+
+
+@query("backward_allocation", composed_sql("synthetic"))
+def backward_allocation(spark, sf):
+    return composed(spark, sf, synthetic(spark, sf))
+
+
+@query("bottom_up_allocation", composed_sql("synthetic"))
+def bottom_up_allocation(spark, sf):
+    """Leaves first, then the root on what they hold, without a forward pass; equal to the backward result."""
+    leaves = _top(means(spark, sf).join(sleeves(spark, sf), "instrument"), ["fold_id", "node_id"])
+    return composed(spark, sf, hi.node_series(leaves, train(spark, sf), ["fold_id"]))
+
+
+@query("flat_allocation", "SELECT fold_id, instrument, round(weight, 6) + 0.0 AS weight FROM max_return_w WHERE abs(weight) > 1e-12")
+def flat_allocation(spark, sf):
+    return best_return(spark, sf).where("abs(weight) > 1e-12").withColumn("weight", rounded(F.col("weight")))
+
+
+view("variances", "SELECT fold_id, node_id, i AS instrument, cov AS var FROM cov_s JOIN sleeves ON i = instrument WHERE i = j")
+
+
+@query("alloc_tree_inverse_variance", """WITH leaf AS (SELECT fold_id, node_id, instrument, (1 / var) / sum(1 / var) OVER (PARTITION BY fold_id, node_id) AS weight FROM variances),
+top AS (SELECT a.fold_id, a.node_id, 1 / sum(a.weight * b.weight * cov) AS inv FROM cov_s c JOIN leaf a ON a.fold_id = c.fold_id AND a.instrument = i JOIN leaf b ON b.fold_id = c.fold_id AND b.instrument = j AND b.node_id = a.node_id GROUP BY ALL)
+SELECT fold_id, instrument, round(weight * inv / total, 6) + 0.0 AS weight FROM leaf JOIN (SELECT *, sum(inv) OVER (PARTITION BY fold_id) AS total FROM top) USING (fold_id, node_id)""")
+def alloc_tree_inverse_variance(spark, sf):
+    cov, where = covariances(spark, sf), sleeves(spark, sf)
+    own = cov.where("i = j").select("fold_id", F.col("i").alias("child_id"), F.col("cov").alias("var"))
+    leaf = hi.inverse_variance_split(where.select(F.col("node_id").alias("parent_id"), F.col("instrument").alias("child_id")), own, ["fold_id"]).select("fold_id", F.col("parent_id").alias("node_id"), F.col("child_id").alias("instrument"), "weight")
+    a, b = (leaf.select("fold_id", F.col("node_id").alias(f"n{c}"), F.col("instrument").alias(c), F.col("weight").alias(f"w{c}")) for c in ("i", "j"))
+    var = cov.join(a, ["fold_id", "i"]).join(b, ["fold_id", "j"]).where("ni = nj").groupBy("fold_id", F.col("ni").alias("child_id")).agg(F.sum(F.col("wi") * F.col("wj") * F.col("cov")).alias("var"))
+    top = hi.inverse_variance_split(sleeve_edges(spark, sf), var, ["fold_id"])
+    start = top.select("fold_id").distinct().select("fold_id", F.lit("ROOT").alias("node_id"))
+    return hi.compose(start, top, leaf, 1).withColumn("weight", rounded(F.col("weight")))
+
+
+@query("synthetic_benchmark", """WITH b AS (SELECT 'ticker:CORE' AS instrument, sum(CASE WHEN p_size < 25 THEN 1.0 ELSE 0 END) / count(*) AS weight FROM part UNION ALL SELECT 'ticker:OTHER', 1 - sum(CASE WHEN p_size < 25 THEN 1.0 ELSE 0 END) / count(*) FROM part),
+w AS (SELECT DISTINCT node_id, instrument, 1.0 / count(*) OVER (PARTITION BY node_id) AS inner_ FROM sleeves)
+SELECT coalesce(w.instrument, b.instrument) AS instrument, round(sum(b.weight * coalesce(w.inner_, 1)), 8) + 0.0 AS weight FROM b LEFT JOIN w ON b.instrument = 'ticker:' || w.node_id GROUP BY 1""")
+def synthetic_benchmark(spark, sf):
+    from pyspark.sql import Window
+
+    share = table(spark, sf, "part").agg(F.avg((F.col("p_size") < 25).cast("double")).alias("w"))
+    bench = share.select(F.lit("ticker:CORE").alias("instrument"), F.col("w").alias("weight")).union(share.select(F.lit("ticker:OTHER"), 1 - F.col("w")))
+    inner = sleeves(spark, sf).withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("node_id")))
+    return hi.implemented_benchmark(bench, proxies(spark, sf), inner).withColumn("weight", rounded(F.col("weight"), 8))
+
+
+@query("fold_audit_series", "SELECT fold_id, date, node_id AS series, 'synthetic' AS kind, round(ret, 8) + 0.0 AS ret FROM synthetic UNION ALL SELECT fold_id, date, node_id, 'father', round(ret, 8) + 0.0 FROM proxy_rows UNION ALL SELECT fold_id, date, instrument, 'raw', round(ret, 8) + 0.0 FROM train")
+def fold_audit_series(spark, sf):
+    t = train(spark, sf)
+    father = t.join(sleeves(spark, sf), "instrument").groupBy("fold_id", "date", F.col("node_id").alias("series")).agg(F.avg("ret").alias("ret"))
+    out = synthetic(spark, sf).select("fold_id", "date", F.col("node_id").alias("series"), F.lit("synthetic").alias("kind"), "ret")
+    out = out.unionByName(father.withColumn("kind", F.lit("father"))).unionByName(t.withColumnRenamed("instrument", "series").withColumn("kind", F.lit("raw")))
+    return out.withColumn("ret", rounded(F.col("ret"), 8))
+
+
+# Contraction of the wide tree under decisions taken from its suppliers' balances
+
+view("tree_decisions", "SELECT child_id AS node_id, CASE WHEN CAST(substr(child_id, 2) AS BIGINT) * 7 % 10 < 4 THEN 'prune' ELSE 'retain' END AS decision FROM edges")
+view("acted", """SELECT 'ROOT' AS node_id, 0 AS depth, false AS pruned, false AS up, CAST(NULL AS VARCHAR) AS parent, false AS cut, 'kept' AS action, CAST(NULL AS VARCHAR) AS new_parent
+  UNION ALL SELECT node_id, depth, pruned, CASE WHEN action = 'lifted' THEN false ELSE p_pruned END, CASE WHEN action = 'lifted' THEN p_parent ELSE parent_id END, p_cut OR (NOT p_cut AND p_pruned AND p_up), action,
+    CASE action WHEN 'lifted' THEN p_parent WHEN 'kept' THEN parent_id END FROM (
+    SELECT e.child_id AS node_id, w.depth + 1 AS depth, d.decision = 'prune' AS pruned, e.parent_id, w.pruned AS p_pruned, w.up AS p_up, w.parent AS p_parent, w.cut AS p_cut,
+      CASE WHEN w.cut THEN 'removed_with_ancestor' WHEN NOT w.pruned THEN CASE WHEN d.decision = 'prune' THEN 'contracted' ELSE 'kept' END WHEN w.up THEN 'removed_with_ancestor' WHEN d.decision = 'prune' THEN 'removed_with_ancestor' ELSE 'lifted' END AS action
+    FROM acted w JOIN edges e ON e.parent_id = w.node_id JOIN tree_decisions d ON d.node_id = e.child_id)""")
+
+
+def acted(spark, sf):
+    e = edges(spark, sf)
+    tree = hi.walk(e, roots(spark), 3).select("node_id", "depth").join(e.withColumnRenamed("child_id", "node_id"), "node_id", "left")
+    decided = e.select(F.col("child_id").alias("node_id"), F.when(F.substring("child_id", 2, 20).cast("long") * 7 % 10 < 4, "prune").otherwise("retain").alias("decision"))
+    return pru.contraction(tree, decided, 3)
+
+
+@query("prune_actions", "SELECT node_id, action, new_parent FROM acted WHERE node_id <> 'ROOT'")
+def prune_actions(spark, sf):
+    return acted(spark, sf)
+
+
+@query("pruned_tree_edges", "SELECT new_parent AS parent_id, node_id AS child_id FROM acted WHERE node_id <> 'ROOT' AND action IN ('kept', 'lifted')")
+def pruned_tree_edges(spark, sf):
+    return pru.pruned_edges(acted(spark, sf))
