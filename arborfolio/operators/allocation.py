@@ -89,7 +89,7 @@ def select_best(screened: DataFrame, objective: str, vol_cap: float, te_cap: flo
     score = {
         "min_risk": F.col("model_vol"),
         "max_return": -F.col("expected"),
-        "max_ratio": -F.col("expected") / F.col("model_vol"),
+        "max_ratio": -F.try_divide("expected", "model_vol"),
         "max_utility": -(F.col("expected") - aversion / 2 * F.col("model_vol") * F.col("model_vol")),
     }[objective]
     te, vol = F.greatest(F.col("tracking_error") - te_cap, F.lit(0.0)), F.greatest(F.col("realized_vol") - vol_cap, F.lit(0.0))
@@ -127,7 +127,7 @@ def minimum_variance(cov: DataFrame, steps: int = 4000) -> DataFrame:
 def canonical(weights: DataFrame, key: list[str]) -> DataFrame:
     """Tiny weights become zero and the rest is rescaled to one."""
     kept = F.when(F.abs("weight") < ZERO, 0.0).otherwise(F.col("weight"))
-    return weights.withColumn("weight", kept).withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(key)))
+    return weights.withColumn("weight", kept).withColumn("weight", F.try_divide(F.col("weight"), F.sum("weight").over(Window.partitionBy(key))))
 
 
 def audit(weights: DataFrame, bounds: DataFrame, key: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ def bootstrap(paired: DataFrame, key: list[str], samples: int = SAMPLES, block:
     a sample are taken from the indexed rows by an equi-join; nothing is collected.
     """
     rows = paired.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("date")) - 1)
-    sharpe = (F.avg("c") / F.stddev_samp("c") - F.avg("b") / F.stddev_samp("b")) * F.sqrt(F.lit(float(periods)))
+    sharpe = (F.try_divide(F.avg("c"), F.stddev_samp("c")) - F.try_divide(F.avg("b"), F.stddev_samp("b"))) * F.sqrt(F.lit(float(periods)))
     point = rows.groupBy(key).agg(F.count("*").alias("n"), (F.avg("diff") * periods).alias("mean_diff"), sharpe.alias("sharpe_diff"))
     sized = point.where(F.col("n") > block).select(*key, "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     picked = resampled_indices(sized, samples, block).join(rows, [*key, "k"])

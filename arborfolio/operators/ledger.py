@@ -36,7 +36,7 @@ def ledger_returns(grown: DataFrame) -> DataFrame:
 def drifted_weights(grown: DataFrame) -> DataFrame:
     """(arm, fold_id, date, instrument, weight) at the end of each day."""
     value = 1 + F.sum(F.col("weight") * (F.col("g") - 1)).over(Window.partitionBy("arm", "fold_id", "date"))
-    return grown.select("arm", "fold_id", "date", "instrument", (F.col("weight") * F.col("g") / value).alias("weight"))
+    return grown.select("arm", "fold_id", "date", "instrument", F.try_divide(F.col("weight") * F.col("g"), value).alias("weight"))
 
 
 def turnover_costs(targets: DataFrame, drifted: DataFrame, bps: float) -> DataFrame:
@@ -83,7 +83,7 @@ def metrics(curves: DataFrame, key: list[str], rate: Column | float = 0.0) -> Da
     year = F.lit(float(DAYS))
     return base.select(
         *key,
-        (F.pow("wealth", year / F.col("n_obs")) - 1).alias("cagr"),
+        (F.pow("wealth", F.try_divide(year, F.col("n_obs"))) - 1).alias("cagr"),
         (F.col("sd") * F.sqrt(year)).alias("annualized_volatility"),
         (F.col("mean") * year).alias("annualized_excess_return"),
         F.when(F.col("sd") > 0, F.col("mean") / F.col("sd") * F.sqrt(year)).otherwise(0.0).alias("annualized_sharpe"),
@@ -97,7 +97,7 @@ def drawdowns(curves: DataFrame, key: list[str]) -> DataFrame:
     so_far = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     wealth = curves.withColumn("wealth", F.product(1 + F.col("ret")).over(so_far))
     peaked = wealth.withColumn("peak", F.max("wealth").over(so_far))
-    return peaked.select(*key, "date", "wealth", "peak", (F.col("wealth") / F.col("peak") - 1).alias("drawdown"))
+    return peaked.select(*key, "date", "wealth", "peak", (F.try_divide("wealth", "peak") - 1).alias("drawdown"))
 
 
 def max_drawdown(curves: DataFrame, key: list[str]) -> DataFrame:

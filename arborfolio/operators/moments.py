@@ -54,7 +54,7 @@ def rolling_covariance(estimation: DataFrame, folds: DataFrame, ordinals: DataFr
     early = ends.select("fold_id", F.col("e0").alias("e")).join(sums, "e").select("fold_id", "i", "j", *(F.col(c).alias(f"{c}0") for c in ("sx", "sy", "sxy")))
     both = late.join(early, ["fold_id", "i", "j"], "left")
     s = {c: F.col(c) - F.coalesce(F.col(f"{c}0"), F.lit(0.0)) for c in ("sx", "sy", "sxy")}
-    return _symmetric(both.select("fold_id", "i", "j", ((s["sxy"] - s["sx"] * s["sy"] / F.col("n")) / (F.col("n") - 1)).alias("cov")), "cov")
+    return _symmetric(both.select("fold_id", "i", "j", ((s["sxy"] - s["sx"] * s["sy"] / F.col("n"))  / F.nullif(F.col("n") - 1, F.lit(0))).alias("cov")), "cov")
 
 
 def shrunk_covariance(returns: DataFrame, delta: float = SHRINKAGE) -> DataFrame:
@@ -168,7 +168,7 @@ def single_view_mean(cov: DataFrame, means: DataFrame, view: DataFrame, q: float
     """mu + c cov p (q - p'mu) / (p' cov p): the posterior mean of one view with confidence c."""
     push, scalars = _view_sums(cov, means, view)
     joined = means.join(push, ["fold_id", "instrument"]).join(scalars, "fold_id")
-    shift = confidence * F.col("push") * (q - F.col("prior")) / F.col("spread")
+    shift = F.try_divide(confidence * F.col("push") * (q - F.col("prior")), F.col("spread"))
     return joined.select("fold_id", "instrument", (F.col("mu") + shift).alias("mu"))
 
 
@@ -177,7 +177,7 @@ def single_view_cov(cov: DataFrame, means: DataFrame, view: DataFrame, confidenc
     push, scalars = _view_sums(cov, means, view)
     pi, pj = (push.select("fold_id", F.col("instrument").alias(c), F.col("push").alias(f"p{c}")) for c in ("i", "j"))
     joined = cov.join(pi, ["fold_id", "i"]).join(pj, ["fold_id", "j"]).join(scalars, "fold_id")
-    after = F.col("cov") + tau * (F.col("cov") - confidence * F.col("pi") * F.col("pj") / F.col("spread"))
+    after = F.col("cov") + tau * (F.col("cov") - F.try_divide(confidence * F.col("pi") * F.col("pj"), F.col("spread")))
     return joined.select("fold_id", "i", "j", after.alias("cov"))
 
 

@@ -60,7 +60,7 @@ def alignment_counters(aligned: DataFrame) -> DataFrame:
 def simple_returns(levels: DataFrame) -> DataFrame:
     """(date, instrument, ret): null where either side is."""
     before = F.lag("level").over(Window.partitionBy("instrument").orderBy("date"))
-    return levels.select("date", "instrument", (F.col("level") / before - 1).alias("ret"))
+    return levels.select("date", "instrument", (F.try_divide("level", before) - 1).alias("ret"))
 
 
 def realign_rates(days: DataFrame, rates: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
@@ -76,7 +76,7 @@ def convert_levels(levels: DataFrame, native: DataFrame, rates: DataFrame, targe
     own = rates.select("date", F.col("currency"), F.col("usd_per_unit").alias("own_rate"))
     other = rates.where(F.col("currency") == target).select("date", F.col("usd_per_unit").alias("target_rate"))
     joined = levels.join(native.select("instrument", "currency"), "instrument").join(own, ["date", "currency"], "left").join(other, "date", "left")
-    converted = F.when(F.col("currency") == target, F.col("level")).otherwise(F.col("level") * F.col("own_rate") / F.col("target_rate"))
+    converted = F.when(F.col("currency") == target, F.col("level")).otherwise(F.try_divide(F.col("level") * F.col("own_rate"), F.col("target_rate")))
     return joined.select("date", "instrument", converted.alias("level"))
 
 

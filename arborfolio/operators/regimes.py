@@ -18,7 +18,7 @@ def by_state(regimes: DataFrame) -> DataFrame:
 def conditional_means(returns: DataFrame, regimes: DataFrame) -> DataFrame:
     """(state, instrument, mu): probability-weighted means."""
     joined = returns.where("ret IS NOT NULL").join(by_state(regimes), "date")
-    return joined.groupBy("state", "instrument").agg((F.sum(F.col("weight") * F.col("ret")) / F.sum("weight")).alias("mu"))
+    return joined.groupBy("state", "instrument").agg(F.try_divide(F.sum(F.col("weight") * F.col("ret")), F.sum("weight")).alias("mu"))
 
 
 def transitions(regimes: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def pair_levels(orders: DataFrame) -> DataFrame:
 
 def usd_per_unit(pairs: DataFrame) -> DataFrame:
     """(date, currency, usd_per_unit): the yen pair turned over, and the dollar itself as one."""
-    rate = F.when(F.col("pair") == "USDJPY=X", 1 / F.col("level")).otherwise(F.col("level"))
+    rate = F.when(F.col("pair") == "USDJPY=X", F.try_divide(F.lit(1.0), F.col("level"))).otherwise(F.col("level"))
     own = pairs.select("date").distinct().select("date", F.lit("USD").alias("currency"), F.lit(1.0).alias("usd_per_unit"))
     return pairs.select("date", "currency", rate.alias("usd_per_unit")).unionByName(own)
 

@@ -1,0 +1,172 @@
+from datetime import date, timedelta
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from arborfolio.operators import allocation as al
+from arborfolio.operators import catalog as ca
+from arborfolio.operators import hierarchy as hi
+from arborfolio.operators import inference as inf
+from arborfolio.operators import ledger as le
+from arborfolio.operators import moments as mo
+from arborfolio.operators import pruning as pru
+from arborfolio.operators import regimes as rg
+
+
+def days(n):
+    return [date(2024, 1, 1) + timedelta(k) for k in range(n)]
+
+
+def panel(spark, t=60, names="ABCD", seed=3, fold=1):
+    r = np.random.default_rng(seed).normal(0.0004, 0.01, (t, len(names)))
+    rows = [(fold, d, n, float(r[k, j])) for k, d in enumerate(days(t)) for j, n in enumerate(names)]
+    return r, spark.createDataFrame(rows, "fold_id int, date date, instrument string, ret double")
+
+
+def test_ledger_equals_a_plain_loop(spark):
+    r, first = panel(spark, 30, "AB", 1)
+    r2, second = panel(spark, 20, "AB", 2, fold=2)
+    weights = {1: np.array([0.7, 0.3]), 2: np.array([0.2, 0.9])}
+    targets = spark.createDataFrame([(f, "X", n, float(x)) for f, w in weights.items() for n, x in zip("AB", w)], "fold_id int, arm string, instrument string, weight double")
+    grown = le.growth(targets, first.union(second))
+    got = {(x.fold_id, x.date): x.ret for x in le.ledger_returns(grown).collect()}
+    costs = {x.fold_id: x.turnover for x in le.turnover_costs(targets, le.drifted_weights(grown), 10).collect()}
+    held = np.zeros(2)
+    for f, rows in ((1, r), (2, r2)):
+        assert costs[f] == pytest.approx(np.abs(weights[f] - held).sum())
+        held = weights[f]
+        for k, d in enumerate(days(len(rows))):
+            day = held @ rows[k]
+            assert got[f, d] == pytest.approx(day, abs=1e-12)
+            held = held * (1 + rows[k]) / (1 + day)
+
+
+def test_cost_is_taken_once(spark):
+    returns = spark.createDataFrame([("X", 1, d, 0.01) for d in days(3)], "arm string, fold_id int, date date, ret double")
+    costs = spark.createDataFrame([("X", 1, 1.4, 0.0014)], "arm string, fold_id int, turnover double, cost double")
+    assert [round(x.ret, 6) for x in le.net_returns(returns, costs).orderBy("date").collect()] == [0.0086, 0.01, 0.01]
+
+
+def test_metrics_and_drawdown(spark):
+    v = np.random.default_rng(4).normal(0.0005, 0.01, 300)
+    curves = spark.createDataFrame([("X", d, float(x)) for d, x in zip(days(300), v)], "arm string, date date, ret double")
+    m = le.metrics(curves, ["arm"], F.lit(0.02)).first()
+    excess, wealth = v - 0.02 / 252, np.cumprod(1 + v)
+    assert m.cagr == pytest.approx(wealth[-1] ** (252 / 300) - 1) and m.annualized_sharpe == pytest.approx(excess.mean() / excess.std(ddof=1) * 252**0.5)
+    assert m.annualized_sortino == pytest.approx(excess.mean() * 252 / (np.sqrt((np.minimum(excess, 0) ** 2).mean()) * 252**0.5))
+    assert le.max_drawdown(curves, ["arm"]).first().max_drawdown == pytest.approx((wealth / np.maximum.accumulate(wealth) - 1).min())
+
+
+def test_evidence_ends_before_the_signal(spark):
+    curves = spark.createDataFrame([("X", d, r) for d, r in zip(days(4), (0.01, -0.005, 0.80, -0.90))], "arm string, date date, ret double")
+    signals = spark.createDataFrame([(days(3)[2],)], "signal date")
+    assert le.metrics_before(curves, signals).first().n_obs == 2 and le.metrics_before(curves, signals, inclusive=True).first().n_obs == 3
+
+
+def test_moments_equal_numpy(spark):
+    r, rows = panel(spark)
+    cov = {(x.i, x.j): x.cov for x in mo.covariance(rows).collect()}
+    want = np.cov(r.T, ddof=1)
+    assert all(cov[a, b] == pytest.approx(want[i, j]) for i, a in enumerate("ABCD") for j, b in enumerate("ABCD"))
+    x = r - r.mean(axis=0)
+    s = x.T @ x / len(x)
+    m = np.trace(s) / 4
+    d2 = ((s - m * np.eye(4)) ** 2).sum()
+    b2 = min(d2, sum(((np.outer(v, v) - s) ** 2).sum() for v in x) / len(x) ** 2)
+    lw = {(q.i, q.j): q.cov for q in mo.ledoit_wolf(rows).collect()}
+    done = (1 - b2 / d2) * s + b2 / d2 * m * np.eye(4)
+    assert all(lw[a, b] == pytest.approx(done[i, j]) for i, a in enumerate("ABCD") for j, b in enumerate("ABCD"))
+
+
+def test_views_closed_form_equals_matrix_form(spark):
+    _, rows = panel(spark)
+    cov, mu = mo.covariance(rows).persist(), mo.mean(rows).persist()
+    view = spark.createDataFrame([("A", 1.0), ("B", -1.0)], "instrument string, coef double")
+    one = {x.instrument: x.mu for x in mo.single_view_mean(cov, mu, view, 0.001, 0.6).collect()}
+    stated = spark.createDataFrame([(1, "A", 1.0, 0.001, 0.6), (1, "B", -1.0, 0.001, 0.6)], "view_id int, instrument string, coef double, q double, confidence double")
+    many = {x.instrument: x.mu for x in mo.multi_view_mean(cov, mu, stated).collect()}
+    assert all(one[n] == pytest.approx(many[n], abs=1e-12) for n in "ABCD")
+
+
+def test_shrunk_means_stay_between_mean_and_anchor(spark):
+    r, rows = panel(spark)
+    for method in ("bayes_stein", "james_stein"):
+        got = np.array([x.mu for x in mo.shrunk_means(rows, method).orderBy("instrument").collect()])
+        assert got.std() <= r.mean(axis=0).std() + 1e-12
+
+
+def test_bounded_rules(spark):
+    b = spark.createDataFrame([("k", "A", 0.1, 0.5), ("k", "B", 0.0, 0.4), ("k", "C", 0.2, 0.6)], "key string, instrument string, lo double, hi double")
+    mu = spark.createDataFrame([("k", "A", 0.3), ("k", "B", 0.2), ("k", "C", 0.1)], "key string, instrument string, mu double")
+    assert {x.instrument: round(x.weight, 9) for x in al.max_return(mu, b, ["key"]).collect()} == {"A": 0.5, "B": 0.3, "C": 0.2}
+    filled = {x.instrument: round(x.weight, 9) for x in al.water_fill(b, ["key"]).collect()}
+    assert sum(filled.values()) == pytest.approx(1) and filled == {"A": round(0.1 + 0.7 / 3, 9), "B": round(0.7 / 3, 9), "C": round(0.2 + 0.7 / 3, 9)}
+    tight = spark.createDataFrame([("k", "A", 0.0, 0.1), ("k", "B", 0.0, 1.0)], "key string, instrument string, lo double, hi double")
+    assert {x.instrument: round(x.weight, 9) for x in al.water_fill(tight, ["key"]).collect()} == {"A": 0.1, "B": 0.9}
+
+
+def test_minimum_variance_meets_its_conditions(spark):
+    r, rows = panel(spark)
+    w = np.array([x.weight for x in al.minimum_variance(mo.covariance(rows)).orderBy("instrument").collect()])
+    g = np.cov(r.T, ddof=1) @ w
+    assert w.sum() == pytest.approx(1) and (w >= 0).all()
+    assert np.ptp(g[w > 1e-6]) < 1e-8 and (g >= g[w > 1e-6].min() - 1e-8).all()
+
+
+def test_bootstrap_intervals_and_small_samples(spark):
+    rng = np.random.default_rng(0)
+    rows = [("GOOD", d, float(x + 0.002), float(x)) for d, x in zip(days(120), rng.normal(0, 0.001, 120))] + [("FEW", d, 0.01, 0.0) for d in days(20)]
+    paired = spark.createDataFrame(rows, "arm string, date date, c double, b double").withColumn("diff", F.col("c") - F.col("b"))
+    got = {x.arm: x for x in inf.bootstrap(paired, ["arm"], 100).collect()}
+    assert got["GOOD"].mean_lo == pytest.approx(0.002 * 252) and got["FEW"].mean_p is None and got["FEW"].note
+    again = {x.arm: x for x in inf.bootstrap(paired.orderBy(F.desc("date")), ["arm"], 100).collect()}
+    assert again["GOOD"].sharpe_hi == pytest.approx(got["GOOD"].sharpe_hi)
+
+
+def test_holm_does_not_depend_on_order(spark):
+    rows = [("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None)]
+    want = {"a": 0.03, "b": 0.06, "c": 0.06, "d": None}
+    for order in (rows, rows[::-1]):
+        got = {x.test: x.adjusted for x in inf.holm(spark.createDataFrame(order, "test string, p double")).collect()}
+        assert {k: v if v is None else round(v, 9) for k, v in got.items()} == want
+
+
+def test_pruning_decisions(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    rows = [(p, n, s, sh, dd, 0.1) for p in ("rolling", "expanding") for n, s, sh, dd in (("a", "NODE", 0.6, -0.1), ("a", "FATHER", 0.5, -0.1), ("b", "NODE", 0.51, -0.1), ("b", "FATHER", 0.5, -0.1))]
+    measured = spark.createDataFrame(rows, "protocol string, node_id string, side string, sharpe double, max_drawdown double, volatility double")
+    got = {x.node_id: x for x in pru.decisions(pru.observations(nodes, measured, ["rolling", "expanding"])).collect()}
+    assert (got["a"].decision, got["b"].decision, got["c"].decision) == ("retain", "prune", "prune") and "missing" in got["c"].reason
+
+
+def test_contraction_lifts_once_and_cuts_twice(spark):
+    tree = spark.createDataFrame([("R", None, 0), ("p", "R", 1), ("k", "R", 1), ("up", "p", 2), ("pp", "p", 2), ("cut", "pp", 3), ("leaf", "cut", 4), ("ok", "k", 2)], "node_id string, parent_id string, depth int")
+    decided = spark.createDataFrame([("p", "prune"), ("k", "retain"), ("up", "retain"), ("pp", "prune"), ("cut", "retain"), ("leaf", "retain"), ("ok", "retain")], "node_id string, decision string")
+    got = {x.node_id: (x.action, x.new_parent) for x in pru.contraction(tree, decided, 4).collect()}
+    assert got["p"][0] == "contracted" and got["up"] == ("lifted", "R") and got["pp"][0] == "removed_with_ancestor"
+    assert got["cut"][0] == got["leaf"][0] == "removed_with_ancestor" and got["ok"] == ("kept", "k") and got["k"] == ("kept", "R")
+
+
+def test_compose_weights(spark):
+    root = spark.createDataFrame([("R",)], "node_id string")
+    children = spark.createDataFrame([("R", "x", 0.6), ("R", "y", 0.3), ("x", "z", 0.5)], "parent_id string, child_id string, weight double")
+    own = spark.createDataFrame([("R", "A", 0.1), ("x", "A", 0.5), ("y", "B", 1.0), ("z", "C", 1.0), ("z", "D", 0.0)], "node_id string, instrument string, weight double")
+    got = {x.instrument: round(x.weight, 9) for x in hi.compose(root, children, own, 3).collect()}
+    assert got == {"A": 0.4, "B": 0.3, "C": 0.3}
+
+
+def test_regimes(spark):
+    rows = [(d, s, p) for d, s, p in zip(days(5), ("calm", "calm", "stress", "stress", "calm"), (0.0, 0.0, 1.0, 1.0, 0.0))]
+    regimes = spark.createDataFrame(rows, "date date, state string, p double")
+    assert [x.date.day for x in rg.transitions(regimes).orderBy("date").collect()] == [1, 3, 5]
+    asked = spark.createDataFrame([(date(2023, 12, 1),), (days(3)[2],), (date(2025, 1, 1),)], "date date")
+    assert [x.state for x in rg.as_of(asked, regimes).orderBy("date").collect()] == [None, "stress", "calm"]
+
+
+def test_text_rules(spark):
+    texts = spark.createDataFrame([("mail a.b@c.org or 415-555-1234 or +1 (415) 555-1234, id 1234567890",)], "t string")
+    assert texts.select(ca.redact_pii(F.col("t"))).first()[0] == "mail [email] or [phone] or [phone], id [number]"
+    entries = spark.createDataFrame([({"b": "1", "my_Token": "x", "a": "2"},)], "m map<string,string>")
+    assert entries.select(ca.canonical_json(ca.redact_keys(F.col("m")))).first()[0] == '{"a":"2","b":"1","my_Token":"***"}'
