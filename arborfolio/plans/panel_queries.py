@@ -278,7 +278,7 @@ def folds_rolling(spark, sf):
 
 @query("folds_expanding", f"SELECT {', '.join(FOLD_COLUMNS)} FROM folds_x")
 def folds_expanding(spark, sf):
-    return rolling(spark, sf, expanding=True).select(FOLD_COLUMNS)
+    return rolling(spark, sf, True).select(FOLD_COLUMNS)
 
 
 @query("fold_training_rows", "SELECT fold_id, date, instrument, round(ret, 6) + 0.0 AS ret FROM train")
