@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import add_columns, table
 
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 
 _loaded: dict[str, tuple] = {}
 
