@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .shared import add_columns, table
 
-PER_LANGUAGE, WORDS, GRAMS, LONGEST = 1500, 40_000, 12_000, 4
+PER_LANGUAGE, WORDS, GRAMS, LONGEST = 1000, 40_000, 12_000, 4
 PENALTY = 1.0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -80,11 +80,15 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     langs = sorted({lang for lang, _ in totals})
     place = {lang: i for i, lang in enumerate(langs)}
     floor = {n: -np.log10(max((t for (_, m), t in totals.items() if m == n), default=1)) - PENALTY for n in range(LONGEST + 1)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for r in kept.collect():
-        row = tables[r["n"]].setdefault(r["term"], np.full(len(langs), floor[r["n"]], dtype=np.float32))
-        row[place[r["lang"]]] = np.log10(r["count"] / totals[r["lang"], r["n"]])
-    return {"langs": langs, "tables": tables}
+    merged = kept.groupBy("n", "term").agg(F.collect_list(F.struct("lang", "count")).alias("counts")).orderBy("n", "term")
+    terms, rows = [[] for _ in range(LONGEST + 1)], []
+    for r in merged.toLocalIterator():
+        row = np.full(len(langs), floor[r["n"]], dtype=np.float32)
+        for lang, count in r["counts"]:
+            row[place[lang]] = np.log10(count / totals[lang, r["n"]])
+        terms[r["n"]].append(r["term"])
+        rows.append(row)
+    return {"langs": langs, "terms": terms, "matrix": np.array([*rows, np.zeros(len(langs))], dtype=np.float32)}
 
 
 class Scorer:
@@ -92,11 +96,10 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        terms = [(n, t) for n, found in enumerate(model["tables"]) for t in found]
-        self.matrix = np.array([model["tables"][n][t] for n, t in terms] + [np.zeros(len(self.langs))], dtype=np.float32)
-        self.place: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        for i, (n, t) in enumerate(terms):
-            self.place[n][t] = i
+        self.matrix, self.place, at = model["matrix"], [], 0
+        for terms in model["terms"]:
+            self.place.append({t: at + i for i, t in enumerate(terms)})
+            at += len(terms)
         self.forget()
 
     def forget(self) -> None:
@@ -127,7 +130,7 @@ class Scorer:
 
     def predict(self, text: str) -> tuple[str, float]:
         words = words_of(text)
-        if not words or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         if len(self.rows) > CACHED_WORDS:
             self.forget()

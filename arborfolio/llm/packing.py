@@ -22,8 +22,10 @@ from tokenizers import Tokenizer
 
 from .shared import Workspace, add_columns, table
 
-WINDOW, END_ID, BINS, DEPTH, SALTS = 2048, 1, 128, 3, 64
-CACHED_WORDS = 600_000
+WINDOW, END_ID, BINS, DEPTH = 2048, 1, 128, 3
+#: Pieces of one length that are ranked in one task, about.
+RANKED_ROWS = 200_000
+CACHED_WORDS = 300_000
 
 _loaded: dict[str, WordEncoder] = {}
 
@@ -220,7 +222,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = pieces.sparkSession
     keys = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = pieces.select(*keys).withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    pieces = pieces.select(*keys).withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(8 + pieces.count() // RANKED_ROWS)))
     cells = pieces.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     histogram: dict[int, int] = {}
     for row in cells.groupBy("length").agg(F.sum("__n").alias("n")).collect():

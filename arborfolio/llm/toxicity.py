@@ -29,7 +29,7 @@ PER_LABEL, TERMS, NEIGHBOURS, BLOCK = 4000, 4096, 15, 64
 SKETCHES, PURITY = 3, 0.7
 PREFIXES = (4, 5, 6)
 LEAST_DOCS, THRESHOLD, SMOOTHING = 2, 0.3, 0.5
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: dict, neighbours: int = NEIGHBOURS, keep: list
             if not found:
                 return m["rest"], []
             if found not in seen:
-                if len(seen) > 50_000:
+                if len(seen) > 10_000:
                     seen.clear()
                 near = index.nearest(found, neighbours)
                 weight = sum(s * m["weights"][i] for s, i in near)

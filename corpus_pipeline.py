@@ -17,20 +17,24 @@ from arborfolio.llm.shared import Workspace, table
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """The documents with all columns but text renamed, so none clashes with an operator's, and the way back."""
+    names = {c: "text" if c == "text" else f"doc_{k}" for k, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(names), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters and undecided ones go."""
-    names = docs.columns
-    told = language.identify(docs.withColumnsRenamed({c: f"doc_{k}" for k, c in enumerate(names)}).withColumn("text", F.col(f"doc_{names.index('text')}")), language.fit_language(docs), [f"doc_{k}" for k in range(len(names))])
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*(F.col(f"doc_{k}").alias(c) for k, c in enumerate(names)))
+    apart, back = _apart(docs)
+    told = language.identify(apart, language.fit_language(docs), apart.columns)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(back)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't mark as toxic."""
-    names = docs.columns
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumnsRenamed({c: f"doc_{k}" for k, c in enumerate(names)}).withColumn("text", F.col(f"doc_{names.index('text')}")), model, keep=[f"doc_{k}" for k in range(len(names))])
-    return scored.where("predicted = 0").select(*(F.col(f"doc_{k}").alias(c) for k, c in enumerate(names)))
+    apart, back = _apart(docs)
+    scored = toxicity.score(apart, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=apart.columns)
+    return scored.where("predicted = 0").select(back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
