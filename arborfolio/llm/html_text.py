@@ -4,7 +4,8 @@ For every node but marks inside a line of a page's tree: characters C, tags T, l
 subtree. The density of a node is its characters per tag, scaled down where they sit in links. A
 node's density sum adds the densities of its children. The node with the largest sum sets the
 threshold: the smallest density on its path to the body. Going down from the body through nodes
-that reach the threshold, the subtree with the largest density sum is the main content.
+that reach the threshold, the subtree with the largest density sum under each of them is marked; the
+marked subtrees, with the short blocks that belong to them, are the main content.
 
 Elements that cannot hold the article (scripts, menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments) are taken out by their tag, role, class or id before densities are computed.
@@ -30,6 +31,8 @@ PLAIN = (INLINE | {"br"}) - {"a"}
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "math", "canvas", "audio", "video", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "input", "dialog", "menu"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: Blocks of running text, kept beside marked subtrees even if short.
+BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "dl", "li", "dt", "dd", "blockquote", "pre", "table", "figure", "figcaption", "hgroup"}
 SAME_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs",
@@ -42,7 +45,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "below", "children", "density", "links", "link_tags", "parent", "sum", "tag", "tags", "text")
+    __slots__ = ("attrs", "below", "children", "density", "links", "link_tags", "parent", "peak", "sum", "tag", "tags", "text")
 
     def __init__(self, tag: str, parent: Node | None, attrs: list | tuple = ()):
         self.tag, self.parent, self.attrs, self.children = tag, parent, attrs, []
@@ -138,7 +141,7 @@ def set_densities(order: list[Node], body: Node) -> None:
         node.sum = node.below or node.density
 
 
-def main_node(order: list[Node]) -> Node:
+def main_parts(order: list[Node]) -> list[Node | str]:
     body = next((n for n in order if n.tag == "body"), order[0])
     set_densities(order, body)
     inside, stack = [], [body]
@@ -151,12 +154,60 @@ def main_node(order: list[Node]) -> Node:
     while node is not body:
         node = node.parent
         threshold = min(threshold, node.density)
-    return max((n for n in inside if n.density >= threshold and n.tag not in PLAIN), key=lambda n: n.sum, default=body)
+    for node in reversed(inside):  # the node of the largest sum in each subtree, the first of equals
+        node.peak = node
+        for child in reversed([c for c in node.children if not isinstance(c, str)]):
+            if node.peak.tag in PLAIN or child.peak.tag not in PLAIN and child.peak.sum >= node.peak.sum:
+                node.peak = child.peak
+        if node.tag not in PLAIN and node.sum >= node.peak.sum:
+            node.peak = node
+    marked, stack = {peak}, [body]
+    while stack:
+        node = stack.pop()
+        if node.tag in PLAIN or node.density >= threshold or node is body:
+            if node.tag not in PLAIN:
+                marked.add(node.peak)
+            stack += [c for c in node.children if not isinstance(c, str)]
+    return kept_parts(body, marked)
+
+
+def kept_parts(body: Node, marked: set[Node]) -> list[Node | str]:
+    """The marked subtrees and what belongs between them, in page order.
+
+    Inside an article everything is kept. Elsewhere each node above marked ones gives its marked parts, and of its
+    other parts, unless most of their text is links, those with as much text a tag as the body; where the marked ones
+    part, also the plain blocks beside them and whatever lies between the first and the last.
+    """
+    above: dict[Node, int] = {}
+    for node in marked:
+        while node is not None:
+            above[node] = above.get(node, 0) + 1
+            node = node.parent if node is not body else None
+    least, parted = body.text / max(1, body.tags), False
+
+    def belongs(c: Node | str, beside: bool, between: bool) -> bool:
+        if isinstance(c, str):
+            return beside
+        if c in above:
+            return True
+        plain = c.tag in BLOCKS or c.tag in INLINE
+        return 2 * c.links <= c.text and (c.text >= least * max(1, c.tags) or beside and (plain or between))
+
+    found, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or node in marked or node not in above or node.tag == "article":
+            found.append(node)
+            continue
+        held = [i for i, c in enumerate(node.children) if not isinstance(c, str) and c in above]
+        parted = parted or len(held) > 1 or node.tag == "main"
+        stack += [c for i, c in reversed(list(enumerate(node.children))) if belongs(c, parted, held[0] < i < held[-1])]
+    return found
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks under a node, each with its white space as single spaces."""
-    found, now, stack = [], [], [node]
+def blocks(parts: list[Node | str]) -> list[str]:
+    """Texts of the blocks under the nodes, each with its white space as single spaces."""
+    found, now, stack = [], [], list(reversed(parts))
 
     def end() -> None:
         text = SPACE.sub(" ", "".join(now)).strip()
@@ -185,7 +236,7 @@ def main_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    return "\n".join(blocks(main_node(measure(builder.root))))
+    return "\n".join(blocks(main_parts(measure(builder.root))))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

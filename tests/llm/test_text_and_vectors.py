@@ -32,6 +32,27 @@ def test_main_text():
     assert html_text.main_text(many_links).startswith("Plain words") and "link" not in html_text.main_text(many_links)
 
 
+def _section(name, count, tag="section"):
+    return f"<{tag}>" + "".join(f"<p>{name} {i}: " + "plain words of it " * 11 + "</p>" for i in range(count)) + f"</{tag}>"
+
+
+@pytest.mark.parametrize("tag", ["section", "div"])
+@pytest.mark.parametrize("outer", ["article", "div"])
+@pytest.mark.parametrize("counts", [(10, 10), (10, 10, 10), (10, 4)])
+def test_main_text_of_several_sections(tag, outer, counts):
+    links = "<div>" + "<a href=x>Some link text</a> " * 40 + "</div>"
+    page = f"<body>{links}<{outer}><h1>The title</h1>" + "".join(_section(f"s{k}", n, tag) for k, n in enumerate(counts)) + f"</{outer}></body>"
+    lines = html_text.main_text(page).split("\n")
+    assert [x.split(":")[0] for x in lines if x != "The title"] == [f"s{k} {i}" for k, n in enumerate(counts) for i in range(n)]
+    assert lines[0] == "The title"
+
+
+def test_main_text_of_lists():
+    paragraphs, items = "".join(f"<p>Paragraph {i} " + "has plain words " * 12 + "</p>" for i in range(3)), "".join(f"<li>item {i} with some words</li>" for i in range(60))
+    lines = html_text.main_text(f"<body><article><h1>T</h1>{paragraphs}<ul>{items}</ul></article></body>").split("\n")
+    assert len(lines) == 64 and lines[0] == "T" and lines[-1].startswith("item 59")
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, None), (3, "u", "", "x"), (3, "u", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
