@@ -8,7 +8,8 @@ that reach the threshold, the subtree with the largest density sum under each of
 marked subtrees, with the short blocks that belong to them, are the main content.
 
 Elements that cannot hold the article (scripts, menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments) are taken out by their tag, role, class or id before densities are computed.
+forms, reader comments) are taken out by their tag, role, class or id before densities are computed,
+unless they hold most of the page's article: such wrappers are left to the densities.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rb", "rt", "rp"}
 #: Marks inside a line: no nodes of their own to the densities.
 PLAIN = (INLINE | {"br"}) - {"a"}
-SKIPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "math", "canvas", "audio", "video", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "input", "dialog", "menu"}
+SKIPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "math", "canvas", "audio", "video", "button", "select", "textarea", "input"}
+ASIDE = {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: Blocks of running text, kept beside marked subtrees even if short.
@@ -39,13 +41,19 @@ NAMES = {
     "header", "masthead", "footer", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "alert",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "form", "comment", "comments", "commentlist", "disqus", "discussion", "replies", "respond", "pagination", "pager", "toolbar", "copyright", "legal", "skip",
 }
+#: Words that may stand beside one of NAMES in a class or id and say nothing of what it holds.
+PLACES = {
+    "site", "page", "global", "main", "primary", "secondary", "top", "bottom", "left", "right", "upper", "lower", "bar", "box", "block", "area", "section", "container", "wrap", "wrapper", "inner", "outer",
+    "list", "item", "items", "link", "links", "button", "buttons", "icons", "posts", "unit", "slot",
+}
+REPLIES = {"comment", "comments", "reply", "replies"}
 
-WORDS = re.compile(r"[A-Za-z0-9]+")
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "below", "children", "density", "links", "link_tags", "parent", "peak", "sum", "tag", "tags", "text")
+    __slots__ = ("attrs", "below", "children", "density", "held", "links", "link_tags", "parent", "peak", "sum", "tag", "tags", "text")
 
     def __init__(self, tag: str, parent: Node | None, attrs: list | tuple = ()):
         self.tag, self.parent, self.attrs, self.children = tag, parent, attrs, []
@@ -94,26 +102,59 @@ class TreeBuilder(HTMLParser):
             node = node.parent
 
 
+def named_aside(token: str) -> bool:
+    """Whether a class or id is a name of boilerplate, as a whole or with words that only place it."""
+    words = [w.lower() for w in WORDS.findall(token)]
+    names = sum(w in NAMES for w in words)
+    return names > 0 and all(w in NAMES or w in PLACES or w.isdigit() for w in words)
+
+
 def boilerplate(node: Node) -> bool:
-    if node.tag in SKIPPED:
+    if node.tag in ASIDE:
         return True
     if node.tag in ("html", "body", "article", "main"):
         return False
     for name, value in node.attrs:
-        if name in ("class", "id") and value and any(w.lower() in NAMES for w in WORDS.findall(value)):
+        if name in ("class", "id") and value and any(map(named_aside, value.split())):
             return True
         if name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
+def set_held(root: Node) -> None:
+    """Take out what is never text and set, for each subtree, characters outside links: all, in articles, in articles or mains.
+
+    Readers' comments that are marked up as articles don't count as such.
+    """
+    order, stack = [], [(root, False, False, False)]
+    while stack:
+        node, article, holder, link = stack.pop()
+        if node.tag == "article" and not any(n in ("class", "id") and v and REPLIES & {w.lower() for w in WORDS.findall(v)} for n, v in node.attrs):
+            article = True
+        holder, link = holder or article or node.tag == "main", link or node.tag == "a"
+        order.append((node, article, holder, link))
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in SKIPPED]
+        stack += [(c, article, holder, link) for c in node.children if not isinstance(c, str)]
+    for node, article, holder, link in reversed(order):
+        own = 0 if link else sum(len(SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        below = [c.held for c in node.children if not isinstance(c, str)]
+        node.held = tuple(own * counts + sum(h[k] for h in below) for k, counts in enumerate((True, article, holder)))
+
+
 def measure(root: Node) -> list[Node]:
-    """Take boilerplate out and set the counts of each subtree; nodes in page order."""
+    """Take boilerplate out and set the counts of each subtree; nodes in page order.
+
+    A subtree that holds most of the text in articles stays, or, on a page without any, most of that in mains or of all.
+    """
+    set_held(root)
+    kind = 1 if root.held[1] else 2 if root.held[2] else 0
+    most = root.held[kind] / 2
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not boilerplate(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or c.held[kind] > most or not boilerplate(c)]
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
     for node in reversed(order):
         own = sum(len(SPACE.sub("", c)) for c in node.children if isinstance(c, str))

@@ -53,6 +53,22 @@ def test_main_text_of_lists():
     assert len(lines) == 64 and lines[0] == "T" and lines[-1].startswith("item 59")
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-header", "article-header", "search-results", "legal-text", "widget-body", "header", "widget"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_keep_their_article(name, inner):
+    rest = '<div class="site-header">Name of the site</div><div class="sidebar">Short words beside it</div><div class="cookie-notice">We use them</div>'
+    page = f'<body>{rest}<div class="{name}"><{inner}>{_section("a", 3)}</{inner}></div><div id="mainNav">Go here</div></body>'
+    assert [x.split(":")[0] for x in html_text.main_text(page).split("\n")] == ["a 0", "a 1", "a 2"]
+
+
+def test_whole_page_form():
+    page = f'<body><form id="aspnetForm"><input type=hidden value=q><div class="header">Name of the site</div><div>{_section("a", 4)}</div><select><option>One</select></form></body>'
+    assert [x.split(":")[0] for x in html_text.main_text(page).split("\n")] == ["a 0", "a 1", "a 2", "a 3"]
+    comments = "".join(f'<article class="comment-body">{_section("c", 9)}</article>' for _ in range(3))
+    page = f'<body><article>{_section("a", 3)}</article><div id="comments" class="comments-area">{comments}</div></body>'
+    assert [x.split(":")[0] for x in html_text.main_text(page).split("\n")] == ["a 0", "a 1", "a 2"]
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, None), (3, "u", "", "x"), (3, "u", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
