@@ -19,14 +19,14 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import held_out
 from .shared import Workspace, add_columns, table
 
 PER_LABEL, TERMS, NEIGHBOURS, BLOCK = 4000, 4096, 15, 64
-SKETCHES, PURITY = 3, 0.7
+SKETCHES, COPY, PURITY = 3, 0.8, 0.7
 PREFIXES = (4, 5, 6)
 LEAST_DOCS, THRESHOLD, SMOOTHING = 2, 0.3, 0.5
 CACHED_WORDS = 200_000
@@ -40,24 +40,28 @@ def terms_of(word: str) -> list[str]:
 
 
 def _example_terms(batches):
-    """Partial counts by term: texts with it, and those of them labelled 1; empty term: all texts."""
-    all_, toxic = Counter(), Counter()
+    """Partial counts by term: texts with it, those of them labelled 1, and what both stand for; empty term: all texts."""
+    all_, toxic, stands, stands_toxic = Counter(), Counter(), Counter(), Counter()
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+        for text, label, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "stands_for")), strict=True):
             found = {t for w in set(LETTERS.findall((text or "").lower())) for t in terms_of(w)} | {""}
             all_.update(found)
+            stands.update(dict.fromkeys(found, weight))
             if label:
                 toxic.update(found)
+                stands_toxic.update(dict.fromkeys(found, weight))
     names = list(all_) if all_ else []
     for at in range(0, len(names), 50_000):
         some = names[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([all_[t] for t in some], pa.int64()), pa.array([toxic[t] for t in some], pa.int64())], names=["term", "n", "n_toxic"])
+        counts = [pa.array([c[t] for t in some], kind) for c, kind in ((all_, pa.int64()), (toxic, pa.int64()), (stands, pa.float64()), (stands_toxic, pa.float64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *counts], names=["term", "n", "n_toxic", "stands", "stands_toxic"])
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """(doc_id, text, toxic, stands_for) of the sampled examples; of several labels of a document the largest counts.
 
-    stands_for is how many labelled documents of its label a sampled one stands for.
+    stands_for is how many labelled documents of its label an example stands for: those that a sampled one
+    stands for, summed over the near copies of one label that are folded into it.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(4, 2)).select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
@@ -67,18 +71,45 @@ def examples_of(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL)
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").join(F.broadcast(rate), "toxic")
     sketches = {f"__s{k}": pa.int64() for k in range(SKETCHES)}
     one = add_columns(found, ["doc_id", "text", "toxic", "stands_for"], sketches, lambda: _sketches)
-    for name in sketches:  # near copies of one text are one example
-        first = Window.partitionBy(name).orderBy("doc_id")
-        one = one.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+    schema = ", ".join(["doc_id long", "text string", "toxic int", "stands_for double", *(f"{name} long" for name in sketches)])
+    for name in sketches:
+        one = one.groupBy("toxic", name).applyInArrow(_fold_copies, schema)
     return one.drop(*sketches)
 
 
+def _shingles(text: str | None) -> set[str]:
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _fold_copies(rows: pa.Table) -> pa.Table:
+    """Of examples with one label and sketch, one for each group of copies, standing for all of them.
+
+    Examples are taken by doc_id; one is a copy of the first kept one with COPY of its five-word shingles
+    by exact Jaccard similarity. Repeated rows of a document count once.
+    """
+    if rows.num_rows == 1:
+        return rows
+    ids, stands, texts = (rows.column(c).to_pylist() for c in ("doc_id", "stands_for", "text"))
+    kept: list[tuple[int, set, set]] = []
+    for i in sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")):
+        own = _shingles(texts[i])
+        for k, shingles, members in kept:
+            if min(len(own), len(shingles)) >= COPY * max(len(own), len(shingles)) and len(own & shingles) >= COPY * len(own | shingles):
+                stands[k] += 0 if ids[i] in members else stands[i]
+                members.add(ids[i])
+                break
+        else:
+            kept.append((i, own, {ids[i]}))
+    rows = rows.set_column(rows.column_names.index("stands_for"), "stands_for", pa.array(stands, pa.float64()))
+    return rows.take(pa.array([i for i, _, _ in kept], pa.int64()))
+
+
 def _sketches(batch: pa.RecordBatch) -> list[list[int]]:
     """Smallest hashes of the text's five-word shingles, under several seeds."""
     found = []
     for text in batch.column("text").to_pylist():
-        words = (text or "").lower().split()
-        shingles = {" ".join(words[i : i + 5]).encode() for i in range(max(1, len(words) - 4))}
+        shingles = [x.encode() for x in _shingles(text)]
         found.append([min(xxhash.xxh64_intdigest(x, seed) for x in shingles) >> 1 for seed in range(SKETCHES)])
     return [[f[k] for f in found] for k in range(SKETCHES)]
 
@@ -140,8 +171,8 @@ class BlockMaxIndex:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict:
     """Terms, their weights and the examples' vectors; all bounded by ``per_label`` and TERMS."""
     examples = Workspace(docs.sparkSession, "toxicity").write(examples_of(docs, labels, per_label), "examples")
-    stands = {r["toxic"]: r["stands_for"] for r in examples.groupBy("toxic").agg(F.max("stands_for").alias("stands_for")).collect()}
-    counted = examples.mapInArrow(_example_terms, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    terms = examples.select("text", "toxic", "stands_for").mapInArrow(_example_terms, "term string, n long, n_toxic long, stands double, stands_toxic double")
+    counted = terms.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "stands", "stands_toxic")))
     counted = counted.where(f"n >= {LEAST_DOCS} OR term = ''")
     total = counted.where("term = ''").first()
     n, toxic = (total["n"], total["n_toxic"]) if total else (0, 0)
@@ -150,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict:
     # The gain is the likelihood ratio for label 1 against chance; a term must beat the best of so many by chance.
     p, a, m = toxic / n, F.col("n_toxic"), F.col("n")
     gain = a * F.log(a / (m * F.lit(p))) + F.when(m > a, (m - a) * F.log((m - a) / (m * F.lit(max(1 - p, 1e-9))))).otherwise(0.0)
-    pure = a * F.lit(stands[1]) / (a * F.lit(stands[1]) + (m - a) * F.lit(stands.get(0, 1.0)))
+    pure = F.col("stands_toxic") / F.col("stands")
     picked = counted.where(f"term <> '' AND n_toxic > n * {p} AND n < {n}").withColumns({"gain": gain, "pure": pure})
     picked = picked.where((F.col("gain") > np.log(counted.count())) & (F.col("pure") >= PURITY)).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
     number = {r["term"]: i for i, r in enumerate(picked)}

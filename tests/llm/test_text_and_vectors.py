@@ -136,6 +136,23 @@ def test_toxicity_finds_marked_words(spark):
     assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.0}
 
 
+def test_toxicity_folds_only_confirmed_copies_of_a_label(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    passage, copied = [word() for _ in range(60)], [word() for _ in range(100)]
+    texts = {i: " ".join(passage + [word() for _ in range(40)]) for i in range(60)}  # one passage, Jaccard below 0.5
+    texts |= {100 + i: " ".join(copied[:-1] + [word()]) if i % 3 else " ".join(copied) for i in range(60)}  # near and exact copies under both labels
+    docs = spark.createDataFrame([*texts.items(), (100, texts[100])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in texts], "doc_id long, toxic int")
+    known = labels.where(~language.held_out(4, 2))
+    got = toxicity.examples_of(docs, labels).collect()
+    want = [r.doc_id for r in known.collect() if r.doc_id < 100]
+    assert sorted(r.doc_id for r in got if r.doc_id < 100) == sorted(want)
+    assert {r.stands_for for r in got if r.doc_id < 100} == {1.0}
+    copies = known.where("doc_id >= 100").groupBy("toxic").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).collect()
+    assert sorted((r.toxic, r.doc_id, r.stands_for) for r in got if r.doc_id >= 100) == sorted((r.toxic, r.least, float(r.n)) for r in copies)
+
+
 # SimHash
 
 
