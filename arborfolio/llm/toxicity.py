@@ -91,15 +91,23 @@ def _fold_copies(rows: pa.Table) -> pa.Table:
     if rows.num_rows == 1:
         return rows
     ids, stands, texts = (rows.column(c).to_pylist() for c in ("doc_id", "stands_for", "text"))
+    sets = [_shingles(t) for t in texts]
+    common = Counter(x for own in sets for x in own)
     kept: list[tuple[int, set, set]] = []
+    index: dict[str, list[int]] = {}  # copies share one of their rarest shingles, so many
     for i in sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")):
-        own = _shingles(texts[i])
-        for k, shingles, members in kept:
-            if min(len(own), len(shingles)) >= COPY * max(len(own), len(shingles)) and len(own & shingles) >= COPY * len(own | shingles):
+        own = sets[i]
+        rarest = sorted(own, key=lambda x: (common[x], x))[: int((1 - COPY) * len(own) + 1e-9) + 1]
+        for at in sorted({at for x in rarest for at in index.get(x, ())}):
+            k, shingles, members = kept[at]
+            both = len(own & shingles) if min(len(own), len(shingles)) >= COPY * max(len(own), len(shingles)) else 0
+            if both and both >= COPY * (len(own) + len(shingles) - both):
                 stands[k] += 0 if ids[i] in members else stands[i]
                 members.add(ids[i])
                 break
         else:
+            for x in rarest:
+                index.setdefault(x, []).append(len(kept))
             kept.append((i, own, {ids[i]}))
     rows = rows.set_column(rows.column_names.index("stands_for"), "stands_for", pa.array(stands, pa.float64()))
     return rows.take(pa.array([i for i, _, _ in kept], pa.int64()))
