@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that setting is absent."""
+    """The folder named by spark.checkpoint.dir; a temporary one only in a local session without that setting."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -52,6 +56,20 @@ class Workspace:
         return target
 
 
+def publish(space: Workspace, arrays: dict[str, np.ndarray]) -> str:
+    """Store arrays of bounded size in the shared folder and have executors fetch them as files; returns their common name."""
+    name = f"map-{uuid.uuid4().hex}"
+    for part, values in arrays.items():
+        space.spark.sparkContext.addFile(space.put(f"{name}.{part}", values.tobytes()))
+    return name
+
+
+def mapped(name: str, part: str, kind: type) -> np.ndarray:
+    """A published array, memory-mapped by this worker from its executor's copy."""
+    raw = np.memmap(SparkFiles.get(f"{name}.{part}"), dtype=np.uint8, mode="r") if name else np.zeros(0, dtype=np.uint8)
+    return raw.view(kind)
+
+
 def tasks(spark: SparkSession, per_core: int = 2) -> int:
     """How many tasks keep the cluster's cores busy."""
     return max(2, spark.sparkContext.defaultParallelism) * per_core

@@ -1,14 +1,19 @@
 """Toxicity by nearest labelled examples.
 
-Texts become TF-IDF vectors over terms that the labels single out: words and word beginnings. The
-nearest examples by exact cosine are found with an inverted index whose postings are cut into
-blocks of examples; every block of a term keeps its largest weight, so blocks are visited in falling
-order of their best possible score and the search ends when no block left can change the result.
-The nearest vote with their similarity, and the votes, smoothed by the rate among texts without any
-term, give the score; the neighbours found are the evidence.
+Texts become TF-IDF vectors over every term of the labelled examples: words, and the beginnings of
+longer ones. Document frequencies are counted over the whole corpus. As is usual for classification
+by TF-IDF, a term's weight also grows with how strongly the labels lean on it, so that what two
+texts share by chance counts little; no term and no example is left out.
+
+The nearest examples by exact cosine are found with an inverted index whose postings are cut into
+blocks of examples; every block of a term keeps its largest weight. The blocks that promise most are
+read first, then those whose best possible score still reaches the result. The nearest vote with
+the square of their cosine and with what each example stands for. Votes become probabilities by a logistic
+curve fitted on a quarter of the examples, whose votes come from the other three quarters alone; the
+neighbours found are the evidence.
 
 The examples are a bounded sample of the labelled rows: for each label value at most ``per_label``
-documents, those with the smallest hash of the id. Term statistics are summed over it by Spark.
+documents, those with the smallest hash of the id, and at most LABEL_BYTES of their texts.
 """
 
 from __future__ import annotations
@@ -18,228 +23,331 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .language import held_out
 from .shared import Workspace, add_columns, table
 
-PER_LABEL, TERMS, NEIGHBOURS, BLOCK = 4000, 4096, 15, 64
-SKETCHES, COPY, PURITY = 3, 0.8, 0.7
-PREFIXES = (4, 5, 6)
-LEAST_DOCS, THRESHOLD, SMOOTHING = 2, 0.3, 0.5
+PER_LABEL, LABEL_BYTES = 2000, 64 << 20
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, COMMON, BEGINNING = 15, 64, 4, 0.06, 5
+THRESHOLD, SMOOTHING = 0.3, 0.2
 CACHED_WORDS = 200_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    """A word and its beginnings of a few lengths, marked by a trailing hyphen."""
-    return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)]
+def words_of(text: str | None) -> list[str]:
+    return LETTERS.findall((text or "").lower())
 
 
-def _example_terms(batches):
-    """Partial counts by term: texts with it, those of them labelled 1, and what both stand for; empty term: all texts."""
-    all_, toxic, stands, stands_toxic = Counter(), Counter(), Counter(), Counter()
-    for batch in batches:
-        for text, label, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "stands_for")), strict=True):
-            found = {t for w in set(LETTERS.findall((text or "").lower())) for t in terms_of(w)} | {""}
-            all_.update(found)
-            stands.update(dict.fromkeys(found, weight))
-            if label:
-                toxic.update(found)
-                stands_toxic.update(dict.fromkeys(found, weight))
-    names = list(all_) if all_ else []
-    for at in range(0, len(names), 50_000):
-        some = names[at : at + 50_000]
-        counts = [pa.array([c[t] for t in some], kind) for c, kind in ((all_, pa.int64()), (toxic, pa.int64()), (stands, pa.float64()), (stands_toxic, pa.float64()))]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *counts], names=["term", "n", "n_toxic", "stands", "stands_toxic"])
+def terms_of(word: str) -> list[str]:
+    """A word and, if it is longer, its beginning, marked by a trailing hyphen."""
+    return [word, f"{word[:BEGINNING]}-"] if len(word) > BEGINNING else [word]
 
 
-def examples_of(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
-    """(doc_id, text, toxic, stands_for) of the sampled examples; of several labels of a document the largest counts.
+def examples_of(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, label_bytes: int = LABEL_BYTES) -> DataFrame:
+    """(doc_id, text, toxic, stands_for, tries) of the sampled examples.
 
-    stands_for is how many labelled documents of its label an example stands for: those that a sampled one
-    stands for, summed over the near copies of one label that are folded into it.
+    Of several labels of a document the largest counts, of several texts under one id the first in
+    order. stands_for is how many labelled documents of its label an example stands for; tries marks
+    the quarter that the votes are calibrated on.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(4, 2)).select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
     sample = known.where("toxic = 1").orderBy(*order).limit(per_label).union(known.where("toxic = 0").orderBy(*order).limit(per_label))
-    rate = known.groupBy("toxic").agg((F.count("*") / F.least(F.count("*"), F.lit(per_label))).alias("stands_for"))
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").join(F.broadcast(rate), "toxic")
-    sketches = {f"__s{k}": pa.int64() for k in range(SKETCHES)}
-    one = add_columns(found, ["doc_id", "text", "toxic", "stands_for"], sketches, lambda: _sketches)
-    schema = ", ".join(["doc_id long", "text string", "toxic int", "stands_for double", *(f"{name} long" for name in sketches)])
-    for name in sketches:
-        one = one.groupBy("toxic", name).applyInArrow(_fold_copies, schema)
-    return one.drop(*sketches)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    so_far = F.sum(size).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    kept = texts.withColumn("__ahead", F.coalesce(so_far, F.lit(0)) + size).where(F.col("__ahead") <= label_bytes)
+    of_label = Window.partitionBy("toxic")
+    counts = known.groupBy("toxic").agg(F.count("*").alias("__all"))
+    stands = F.col("__all") / F.count("*").over(of_label)
+    tries = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
+    return kept.join(F.broadcast(counts), "toxic").select("doc_id", "text", "toxic", stands.alias("stands_for"), tries.alias("tries"))
 
 
-def _shingles(text: str | None) -> set[str]:
-    words = (text or "").lower().split()
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+def _example_terms(batches):
+    """Partial counts by term over examples: all, toxic ones, and both without those that are tried."""
+    counts = [Counter() for _ in range(4)]
+    for batch in batches:
+        for text, toxic, tried in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "tries")), strict=True):
+            found = {t for w in set(words_of(text)) for t in terms_of(w)}
+            for counter, counts_here in zip(counts, (True, toxic, not tried, toxic and not tried), strict=True):
+                if counts_here:
+                    counter.update(found)
+    names = list(counts[0])
+    for at in range(0, len(names), 50_000):
+        some = names[at : at + 50_000]
+        columns = [pa.array(some, pa.string()), *(pa.array([c[t] for t in some], pa.int64()) for c in counts)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "n_toxic", "m", "m_toxic"])
 
 
-def _fold_copies(rows: pa.Table) -> pa.Table:
-    """Of examples with one label and sketch, one for each group of copies, standing for all of them.
+class Vocabulary:
+    """Term numbers and counts of texts; terms that no example has are left out."""
 
-    Examples are taken by doc_id; one is a copy of the first kept one with COPY of its five-word shingles
-    by exact Jaccard similarity. Repeated rows of a document count once.
-    """
-    if rows.num_rows == 1:
-        return rows
-    ids, stands, texts = (rows.column(c).to_pylist() for c in ("doc_id", "stands_for", "text"))
-    sets = [_shingles(t) for t in texts]
-    common = Counter(x for own in sets for x in own)
-    kept: list[tuple[int, set, set]] = []
-    index: dict[str, list[int]] = {}  # copies share one of their rarest shingles, so many
-    for i in sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")):
-        own = sets[i]
-        rarest = sorted(own, key=lambda x: (common[x], x))[: int((1 - COPY) * len(own) + 1e-9) + 1]
-        for at in sorted({at for x in rarest for at in index.get(x, ())}):
-            k, shingles, members = kept[at]
-            both = len(own & shingles) if min(len(own), len(shingles)) >= COPY * max(len(own), len(shingles)) else 0
-            if both and both >= COPY * (len(own) + len(shingles) - both):
-                stands[k] += 0 if ids[i] in members else stands[i]
-                members.add(ids[i])
-                break
-        else:
-            for x in rarest:
-                index.setdefault(x, []).append(len(kept))
-            kept.append((i, own, {ids[i]}))
-    rows = rows.set_column(rows.column_names.index("stands_for"), "stands_for", pa.array(stands, pa.float64()))
-    return rows.take(pa.array([i for i, _, _ in kept], pa.int64()))
-
-
-def _sketches(batch: pa.RecordBatch) -> list[list[int]]:
-    """Smallest hashes of the text's five-word shingles, under several seeds."""
-    found = []
-    for text in batch.column("text").to_pylist():
-        shingles = [x.encode() for x in _shingles(text)]
-        found.append([min(xxhash.xxh64_intdigest(x, seed) for x in shingles) >> 1 for seed in range(SKETCHES)])
-    return [[f[k] for f in found] for k in range(SKETCHES)]
-
-
-class Vectors:
-    """TF-IDF vectors of texts over a model's terms: {term number: weight}, of length one."""
-
-    def __init__(self, number: dict[str, int], idf: np.ndarray):
-        self.number, self.idf, self.known = number, idf, {}
-
-    def __call__(self, text: str) -> tuple[tuple[int, float], ...]:
+    def __init__(self, terms: list[str]):
+        self.number, self.known = {t: i for i, t in enumerate(terms)}, {}
+
+    def of_word(self, word: str) -> tuple[int, ...]:
+        return tuple(self.number[t] for t in terms_of(word) if t in self.number)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers in order, counts) of a text."""
+        words = Counter(words_of(text))
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        found: Counter = Counter()
-        for word in LETTERS.findall(text.lower()):
-            if word not in self.known:
-                self.known[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-            found.update(self.known[word])
-        if not found:
-            return ()
-        weights = np.array([1 + np.log(k) for k in found.values()]) * self.idf[list(found)]
-        weights /= np.sqrt((weights * weights).sum())
-        return tuple(sorted(zip(found, weights.tolist(), strict=True)))
+        known, listed, times = self.known, [], []
+        for word, k in words.items():
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self.of_word(word)
+            listed += ids
+            times += (k,) * len(ids)
+        numbers, at = np.unique(np.array(listed, dtype=np.int32), return_inverse=True)
+        return numbers, np.bincount(at, np.array(times, dtype=np.float64), minlength=len(numbers))
+
+
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    """In how many documents each term occurs, and how many documents there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # terms of at most 2 * LABEL_BYTES of text
+
+    def count(batches):
+        vocabulary, found, rows = Vocabulary(shared.value), np.zeros(len(terms), dtype=np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for text in batch.column("text").to_pylist():
+                found[vocabulary(text)[0]] += 1
+        some = np.flatnonzero(found)
+        columns = [np.append(some, -1), np.append(found[some], rows)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n, found = counted.column("term").to_numpy(), counted.column("n").to_numpy(), np.zeros(len(terms), dtype=np.int64)
+    found[at[at >= 0]] = n[at >= 0]
+    return found, int(n[at < 0].sum())
+
+
+def term_weights(df: np.ndarray, rows: int, n: np.ndarray, n_toxic: np.ndarray, examples: int, toxic: int) -> np.ndarray:
+    """Inverse document frequency, raised by how far the labels lean on the term.
+
+    The lean is the likelihood ratio of the term's labels against chance, in units of what the best
+    of so many terms reaches by chance. Every term keeps at least its inverse document frequency.
+    """
+    idf = np.log(1 + rows / np.maximum(df, 1))
+    if not 0 < toxic < examples:
+        return idf
+    p, a, b = toxic / examples, n_toxic, n - n_toxic
+    part = lambda x, chance: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(n * chance, 1e-12)), 0.0)
+    return idf * (1 + (part(a, p) + part(b, 1 - p)) / np.log(max(3, len(df))))
+
+
+def unit(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of length one from the counts of a text's terms and the weights of these."""
+    values = (1 + np.log(counts)) * weights
+    return values / max(np.sqrt((values * values).sum()), 1e-300)
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of runs of postings, one run after another."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+    at += np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+    return at
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit vectors, by blocks of examples, with each block's largest weight."""
+    """Inverted lists of unit vectors, by blocks of examples, with each block's largest weight.
 
-    def __init__(self, vectors: list[tuple], terms: int, block: int = BLOCK):
+    The few terms that very many examples have are kept as a matrix, since their lists are all but full.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         self.block, self.count = block, len(vectors)
-        blocks = max(1, -(-len(vectors) // block))
-        self.most = np.zeros((terms, blocks), dtype=np.float64)
-        lists: list[dict[int, list]] = [{} for _ in range(terms)]
-        for i, vector in enumerate(vectors):
-            for term, weight in vector:
-                lists[term].setdefault(i // block, []).append((i % block, weight))
-                self.most[term, i // block] = max(self.most[term, i // block], weight)
-        self.lists = [{b: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for b, p in by.items()} for by in lists]
-
-    def nearest(self, vector: tuple, k: int) -> list[tuple[float, int]]:
-        """The ``k`` examples of highest cosine, if above zero; ties to the earlier example."""
-        if not vector or not self.count:
-            return []
-        terms = [t for t, _ in vector]
-        bound = np.array([w for _, w in vector]) @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for term, weight in vector:
-                if (postings := self.lists[term].get(int(b))) is not None:
-                    scores[postings[0]] += weight * postings[1]
-            hit = np.flatnonzero(scores)
-            best = sorted([*best, *((float(scores[i]), int(b) * self.block + int(i)) for i in hit)], key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict:
-    """Terms, their weights and the examples' vectors; all bounded by ``per_label`` and TERMS."""
-    examples = Workspace(docs.sparkSession, "toxicity").write(examples_of(docs, labels, per_label), "examples")
-    terms = examples.select("text", "toxic", "stands_for").mapInArrow(_example_terms, "term string, n long, n_toxic long, stands double, stands_toxic double")
-    counted = terms.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "stands", "stands_toxic")))
-    counted = counted.where(f"n >= {LEAST_DOCS} OR term = ''")
-    total = counted.where("term = ''").first()
-    n, toxic = (total["n"], total["n_toxic"]) if total else (0, 0)
-    if not toxic:
-        return {"number": {}, "idf": np.zeros(0), "vectors": [], "toxic": [], "ids": [], "weights": [], "rest": 0.0}
-    # The gain is the likelihood ratio for label 1 against chance; a term must beat the best of so many by chance.
-    p, a, m = toxic / n, F.col("n_toxic"), F.col("n")
-    gain = a * F.log(a / (m * F.lit(p))) + F.when(m > a, (m - a) * F.log((m - a) / (m * F.lit(max(1 - p, 1e-9))))).otherwise(0.0)
-    pure = F.col("stands_toxic") / F.col("stands")
-    picked = counted.where(f"term <> '' AND n_toxic > n * {p} AND n < {n}").withColumns({"gain": gain, "pure": pure})
-    picked = picked.where((F.col("gain") > np.log(counted.count())) & (F.col("pure") >= PURITY)).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
-    number = {r["term"]: i for i, r in enumerate(picked)}
-    idf = np.array([np.log(1 + n / r["n"]) for r in picked])
-    make = lambda: (lambda v: lambda b: [[[{"t": t, "w": w} for t, w in v(x or "")] for x in b.column("text").to_pylist()]])(Vectors(number, idf))
-    pair = pa.list_(pa.struct([("t", pa.int32()), ("w", pa.float64())]))
-    rows = add_columns(examples, ["doc_id", "toxic", "stands_for"], {"vector": pair}, make).collect()
-    rest = [(r["stands_for"], r["toxic"]) for r in rows if not r["vector"]]
-    rows = sorted((r for r in rows if r["vector"]), key=lambda r: ([t["t"] for t in r["vector"]], r["doc_id"]))
+        self.blocks = max(1, -(-len(vectors) // block))
+        none = np.zeros(0, dtype=np.int32)
+        term = np.concatenate([none, *(t for t, _ in vectors)])
+        owner = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        common = np.flatnonzero(np.bincount(term, minlength=terms) > max(block, COMMON * len(vectors)))
+        self.column = np.full(terms, -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.blocks * block))
+        held = self.column[term] >= 0
+        self.matrix[self.column[term[held]], owner[held]] = weight[held]
+        term, owner, weight = term[~held], owner[~held], weight[~held]
+        order = np.lexsort((owner, term))
+        term, self.owner, self.weight = term[order], owner[order], weight[order]
+        run = term.astype(np.int64) * self.blocks + self.owner // block
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
+        self.run_block, self.run_at = self.owner[starts] // block, np.append(starts, len(run)).astype(np.int32)
+        self.term_at = np.searchsorted(term[starts], np.arange(terms + 1)).astype(np.int32)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query the ``k`` examples of highest cosine, if above zero; ties to the earlier example."""
+        known, split = np.zeros((len(queries), len(self.matrix))), []
+        for row, (terms, weights) in enumerate(queries):
+            column = self.column[terms]
+            rare = column < 0
+            known[row, column[~rare]] = weights[~rare]
+            split.append((terms[rare], weights[rare]))
+        return [self._nearest(*q, scores, k) for q, scores in zip(split, known @ self.matrix, strict=True)]
+
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[float, int]]:
+        sizes = self.term_at[terms + 1] - self.term_at[terms]
+        runs, own = _runs(self.term_at[terms], sizes), np.repeat(weights, sizes)
+        blocks = self.run_block[runs]
+        reached = scores.reshape(self.blocks, self.block).max(axis=1)
+        bound = reached + np.bincount(blocks, own * self.most[runs], minlength=self.blocks)
+        first = np.zeros(self.blocks, dtype=bool)
+        first[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else slice(None)] = True
+        k, wanted = min(k, len(scores)), first
+        for again in (True, False):
+            picked = np.flatnonzero(wanted[blocks])
+            starts = self.run_at[runs[picked]]
+            lengths = self.run_at[runs[picked] + 1] - starts
+            at = _runs(starts, lengths)
+            scores += np.bincount(self.owner[at], np.repeat(own[picked], lengths) * self.weight[at], minlength=len(scores))
+            least = np.partition(scores, -k)[-k]
+            if again:  # a block whose bound stays below the k-th best so far can't hold a nearer example
+                wanted = ~first & (bound > 0) & (bound >= least - 1e-9)
+        hit = np.flatnonzero((scores > 0) & (scores >= least - 1e-11))
+        return sorted(((float(scores[i]), int(i)) for i in hit), key=lambda x: (-round(x[0], 12), x[1]))[:k]
+
+
+def _order(vectors: list[tuple[np.ndarray, np.ndarray]], frequency: np.ndarray) -> list[int]:
+    """An order that brings alike examples into one block: by the heaviest frequent term, then by the commonest ones."""
+
+    def key(i: int) -> tuple:
+        terms, weights = vectors[i]
+        if not len(terms):
+            return (-1,), ()
+        top = int(terms[weights.argmax()])
+        common = terms[np.argsort(-frequency[terms], kind="stable")[:6]]
+        return (top if frequency[top] > 20 else -1,), tuple(common.tolist())
+
+    return sorted(range(len(vectors)), key=key)
+
+
+def _model(terms: list[str], weights: np.ndarray, rows: list[dict], frequency: np.ndarray) -> dict:
+    vectors = [(r["terms"], unit(r["counts"], weights[r["terms"]])) for r in rows]
+    order = _order(vectors, frequency)
+    rows = [rows[i] for i in order]
+    stands, toxic = np.array([r["stands_for"] for r in rows]), np.array([r["toxic"] for r in rows])
+    rate = (stands * toxic).sum() / stands.sum() if len(rows) else 0.0
     return {
-        "number": number,
-        "idf": idf,
-        "vectors": [tuple((t["t"], t["w"]) for t in r["vector"]) for r in rows],
-        "toxic": [r["toxic"] for r in rows],
-        "ids": [r["doc_id"] for r in rows],
-        "weights": [r["stands_for"] for r in rows],
-        "rest": (sum(w for w, y in rest if y) + 0.01) / (sum(w for w, _ in rest) + 1.0),
-    }
+        "terms": terms, "weights": weights, "index": BlockMaxIndex([vectors[i] for i in order], len(terms)),
+        "ids": [r["doc_id"] for r in rows], "toxic": toxic, "stands": stands, "rate": float(rate), "curve": (1.0, 0.0),
+    }
+
+
+class Voter:
+    """Votes of the nearest examples, before calibration, and the nearest of them."""
+
+    def __init__(self, model: dict, neighbours: int):
+        self.model, self.neighbours, self.vocabulary = model, neighbours, Vocabulary(model["terms"])
+        self.own = SMOOTHING * float(model["stands"].mean()) if len(model["stands"]) else 1.0
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        m, counted = self.model, [self.vocabulary(t) for t in texts]
+        found = m["index"].nearest([(terms, unit(counts, m["weights"][terms])) for terms, counts in counted], self.neighbours)
+        return [(self._vote(near), near) for near in found]
+
+    def _vote(self, near: list[tuple[float, int]]) -> float:
+        m, weights = self.model, [s * s * self.model["stands"][i] for s, i in near]
+        votes = sum(w for w, (_, i) in zip(weights, near, strict=True) if m["toxic"][i])
+        return (votes + self.own * m["rate"]) / (sum(weights) + self.own)
+
+
+def _log_odds(vote):
+    vote = np.clip(vote, 1e-4, 1 - 1e-4)
+    return np.log(vote / (1 - vote))
+
+
+def fit_curve(votes: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the logistic curve sigmoid(a * log odds of the vote + b), drawn a little towards (1, 0)."""
+    if not 0 < toxic.sum() < len(toxic):
+        return 1.0, 0.0
+    x = np.stack([_log_odds(votes), np.ones(len(votes))], axis=1)
+    weights, curve, prior = weights * len(weights) / weights.sum(), np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ curve))
+        slope = x.T @ (weights * (toxic - p)) - (curve - prior)
+        bend = (x * (weights * p * (1 - p))[:, None]).T @ x + np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        curve = curve + step * min(1.0, 2 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(curve[0], 0.05)), float(curve[1])
+
+
+def calibrated(vote: float, curve: tuple[float, float]) -> float:
+    return float(1 / (1 + np.exp(-(curve[0] * _log_odds(vote) + curve[1]))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, neighbours: int = NEIGHBOURS) -> dict:
+    """Terms, their weights, the index of the examples and the curve; its size is bounded by ``per_label`` and LABEL_BYTES."""
+    examples = Workspace(docs.sparkSession, "toxicity").write(examples_of(docs, labels, per_label), "examples")
+    counted = examples.select("text", "toxic", "tries").mapInArrow(_example_terms, "term string, n long, n_toxic long, m long, m_toxic long")
+    counted = counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "m", "m_toxic"))).orderBy("term").toArrow()
+    terms = counted.column("term").to_pylist()
+    n, n_toxic, m, m_toxic = (counted.column(c).to_numpy() for c in ("n", "n_toxic", "m", "m_toxic"))
+    df, rows = document_frequencies(docs, terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # terms of at most 2 * LABEL_BYTES of text
+
+    def number():
+        vocabulary = Vocabulary(shared.value)
+
+        def step(batch: pa.RecordBatch) -> list[list]:
+            found = [vocabulary(t) for t in batch.column("text").to_pylist()]
+            return [[t.tolist() for t, _ in found], [c.tolist() for _, c in found]]
+
+        return step
+
+    listed = {"terms": pa.list_(pa.int32()), "counts": pa.list_(pa.float64())}
+    found = add_columns(examples, ["doc_id", "toxic", "stands_for", "tries"], listed, number).orderBy("doc_id").toArrow().to_pylist()
+    for r in found:
+        r["terms"], r["counts"] = np.array(r["terms"], dtype=np.int32), np.array(r["counts"], dtype=np.float64)
+    toxic = sum(r["toxic"] for r in found)
+    model = _model(terms, term_weights(df, rows, n, n_toxic, len(found), toxic), found, n)
+    others = [r for r in found if not r["tries"]]
+    part = _model(terms, term_weights(df, rows, m, m_toxic, len(others), sum(r["toxic"] for r in others)), others, m)
+    tried = voted(examples.where("tries"), part, ["toxic", "stands_for"], neighbours).toArrow()
+    model["curve"] = fit_curve(*(tried.column(c).to_numpy() for c in ("vote", "toxic", "stands_for")))
+    return model
+
+
+def voted(docs: DataFrame, model: dict, keep: list[str], neighbours: int = NEIGHBOURS) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and vote, the share of the nearest examples' votes for label 1."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # see fit
+
+    def make():
+        voter = Voter(shared.value, neighbours)
+        return lambda batch: [[vote for vote, _ in voter(batch.column("text").to_pylist())]]
+
+    return add_columns(docs, keep, {"vote": pa.float64()}, make)
 
 
 def score(docs: DataFrame, model: dict, neighbours: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all but text, if not given), and score (0 to 1), predicted (1 from 0.3), evidence (ids and cosines).
 
-    A text without any of the terms, null and empty ones included, takes the rate of label 1 among
-    examples without terms. With no labelled example of label 1 every score is 0. Columns named
-    score, predicted or evidence are replaced.
+    A text without any of the terms, null and empty ones included, has no neighbours and takes the
+    rate of label 1. With no labelled example of label 1 every score is 0. Repeated rows are each
+    scored. Columns named score, predicted or evidence are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by 2 * PER_LABEL examples and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # see fit
 
     def make():
         m = shared.value
-        vector, index = Vectors(m["number"], m["idf"]), BlockMaxIndex(m["vectors"], len(m["number"]))
-        seen: dict[tuple, tuple] = {}
-
-        def one(text: str) -> tuple[float, list[dict]]:
-            found = vector(text)
-            if not found:
-                return m["rest"], []
-            if found not in seen:
-                if len(seen) > 10_000:
-                    seen.clear()
-                near = index.nearest(found, neighbours)
-                weight = sum(s * m["weights"][i] for s, i in near)
-                votes = sum(s * m["weights"][i] for s, i in near if m["toxic"][i])
-                seen[found] = (votes + SMOOTHING * m["rest"]) / (weight + SMOOTHING), [{"doc_id": m["ids"][i], "cosine": s} for s, i in near[:3]]
-            return seen[found]
+        voter, some = Voter(m, neighbours), bool(m["toxic"].any())
 
         def step(batch: pa.RecordBatch) -> list[list]:
-            found = [one(t or "") for t in batch.column("text").to_pylist()]
-            return [[s for s, _ in found], [int(s >= THRESHOLD) for s, _ in found], [e for _, e in found]]
+            found = voter(batch.column("text").to_pylist())
+            scores = [calibrated(vote, m["curve"]) if some else 0.0 for vote, _ in found]
+            evidence = [[{"doc_id": m["ids"][i], "cosine": s} for s, i in near[:3]] for _, near in found]
+            return [scores, [int(s >= THRESHOLD) for s in scores], evidence]
 
         return step
 
