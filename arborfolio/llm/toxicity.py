@@ -88,25 +88,36 @@ class Vocabulary:
     """Term numbers and counts of texts; terms that no example has are left out."""
 
     def __init__(self, terms: list[str]):
-        self.number, self.known = {t: i for i, t in enumerate(terms)}, {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        return tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start a new table of words met; its rows hold the numbers of a word's terms, -1 for none."""
+        self.rows: dict[str, int] = {}
+        self.terms = np.full((1 << 14, 2), -1, dtype=np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        for word in words:
+            if word not in self.rows:
+                row = self.rows[word] = len(self.rows)
+                if row == len(self.terms):
+                    self.terms = np.concatenate([self.terms, np.full_like(self.terms, -1)])
+                for k, term in enumerate(terms_of(word)):
+                    self.terms[row, k] = self.number.get(term, -1)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers in order, counts) of a text."""
-        words = Counter(words_of(text))
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        known, listed, times = self.known, [], []
-        for word, k in words.items():
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self.of_word(word)
-            listed += ids
-            times += (k,) * len(ids)
-        numbers, at = np.unique(np.array(listed, dtype=np.int32), return_inverse=True)
-        return numbers, np.bincount(at, np.array(times, dtype=np.float64), minlength=len(numbers))
+        words = words_of(text)
+        try:
+            rows = [*map(self.rows.__getitem__, words)]
+        except KeyError:
+            if len(self.rows) > CACHED_WORDS:
+                self.forget()
+            self.learn(words)
+            rows = [*map(self.rows.__getitem__, words)]
+        found = self.terms[np.array(rows, dtype=np.int32)].ravel()
+        numbers, counts = np.unique(found[found >= 0], return_counts=True)
+        return numbers, counts.astype(np.float64)
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
