@@ -1,6 +1,6 @@
 """Main text of web pages by composite text density.
 
-For every node but marks inside a line of a page's tree: characters C, tags T, link characters LC and link tags LT of its
+For every node of a page's tree: characters C, tags T, link characters LC and link tags LT of its
 subtree. The density of a node is its characters per tag, scaled down where they sit in links. A
 node's density sum adds the densities of its children. The node with the largest sum sets the
 threshold: the smallest density on its path to the body. Going down from the body through nodes
@@ -14,9 +14,9 @@ unless they hold most of the page's article: such wrappers are left to the densi
 
 from __future__ import annotations
 
+import html as references
 import math
 import re
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +27,6 @@ from .shared import add_columns, table
 # HTML's element categories.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rb", "rt", "rp"}
-#: Marks inside a line: no nodes of their own to the densities.
-PLAIN = (INLINE | {"br"}) - {"a"}
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "math", "canvas", "audio", "video", "button", "select", "textarea", "input"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
@@ -48,58 +46,107 @@ PLACES = {
 }
 REPLIES = {"comment", "comments", "reply", "replies"}
 
+HOLDERS = {"article", "body", "main", "section", "div", "table"}
+P_HOLDERS = {"article", "body", "div", "section", "main", "td", "th", "li", "blockquote", "table", "button"}
+#: Elements whose content is no markup.
+RAW = {n: re.compile(f"</{n}(?![a-z])", re.IGNORECASE) for n in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
+#: A slash before the end of these tags' marks closes nothing.
+HTML_NAMES = (INLINE | CLOSES_P | ASIDE | SKIPPED | {"html", "body", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "caption"}) - {"svg", "math"}
+
+MARKUP = re.compile("<(?=[a-zA-Z!?]|/[a-zA-Z>])")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+))?)?""")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "below", "children", "density", "held", "links", "link_tags", "parent", "peak", "sum", "tag", "tags", "text")
+    __slots__ = ("attrs", "children", "density", "held", "links", "link_tags", "parent", "peak", "sum", "tag", "tags", "text")
 
     def __init__(self, tag: str, parent: Node | None, attrs: list | tuple = ()):
         self.tag, self.parent, self.attrs, self.children = tag, parent, attrs, []
 
 
-class TreeBuilder(HTMLParser):
-    """A tree from any markup: unknown nesting is closed where the next block begins or the page ends."""
+class TreeBuilder:
+    """A tree from any markup: unknown nesting is closed where the next block begins or the page ends.
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.open = Node("#root", None)
+    Every character is read a bounded number of times, and where an open element of some name lies is
+    known without walking, so the time grows with the page's length whatever it holds. A comment, a
+    tag or a script that is never closed ends with the page.
+    """
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def __init__(self):
+        self.root = Node("#root", None)
+        self.open, self.places = [self.root], {}
+
+    def feed(self, page: str) -> None:
+        at, end = 0, len(page)
+        while at < end:
+            found = MARKUP.search(page, at)
+            self._text(page[at : found.start() if found else end])
+            at = self._markup(page, found.start()) if found else end
+
+    def _text(self, data: str) -> None:
+        if data:
+            self.open[-1].children.append(references.unescape(data))
+
+    def _markup(self, page: str, at: int) -> int:
+        """Take in what begins at a ``<``; returns where it ends."""
+        kind, end = page[at + 1], len(page)
+        if kind in "!?":
+            close = "-->" if page.startswith("<!--", at) else ">"
+            found = page.find(close, at + 2)
+            return end if found < 0 else found + len(close)
+        name = NAME.match(page, at + 2 if kind == "/" else at + 1)
+        tag = name[0].lower() if name else ""
+        if kind == "/":
+            found = page.find(">", at)
+            if tag:
+                self._end(tag)
+            return end if found < 0 else found + 1
+        attrs, at = [], name.end()
+        while part := ATTRIBUTE.match(page, at):
+            value = part[2] if part[2] is not None else part[3] if part[3] is not None else part[4]
+            attrs.append((part[1].lower(), references.unescape(value or "")))
+            at = part.end()
+        at = page.find(">", at)
+        if at < 0:
+            return end
+        self._start(tag, attrs, page[at - 1] == "/")
+        if tag in RAW:
+            found = RAW[tag].search(page, at + 1)
+            self._end(tag)
+            return end if not found else max(page.find(">", found.start()), found.start()) + 1
+        return at + 1
+
+    def _start(self, tag: str, attrs: list, closed: bool) -> None:
         if tag in CLOSES_P:
-            self._close({"p"}, {"article", "body", "div", "section", "main", "td", "th", "li", "blockquote", "table", "button"})
+            self._close({"p"}, P_HOLDERS)
         if tag in SAME_CLOSES:
             self._close(*SAME_CLOSES[tag])
-        node = Node(tag, self.open, attrs)
-        self.open.children.append(node)
-        if tag not in VOID:
-            self.open = node
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.open = self.open.parent
-
-    def handle_endtag(self, tag: str) -> None:
-        node = self.open
-        while node is not self.root and node.tag != tag:
-            if node.tag in ("article", "body", "main", "section", "div", "table") and tag in INLINE:
-                return  # a stray end of an inline element closes no block
-            node = node.parent
-        if node is not self.root:
-            self.open = node.parent
-
-    def handle_data(self, data: str) -> None:
-        self.open.children.append(data)
+        node = Node(tag, self.open[-1], attrs)
+        self.open[-1].children.append(node)
+        if tag not in VOID and not (closed and tag not in HTML_NAMES):
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
+
+    def _last(self, tags: set[str]) -> int:
+        """The place of the innermost open element of one of these names; 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+
+    def _end(self, tag: str) -> None:
+        place = self._last({tag})
+        if place and not (tag in INLINE and self._last(HOLDERS) > place):  # a stray end of an inline element closes no block
+            self._close_from(place)
 
     def _close(self, tags: set[str], until: set[str]) -> None:
-        node = self.open
-        while node is not self.root and node.tag not in until:
-            if node.tag in tags:
-                self.open = node.parent
-                return
-            node = node.parent
+        place = self._last(tags)
+        if place > self._last(until):
+            self._close_from(place)
 
 
 def named_aside(token: str) -> bool:
@@ -160,7 +207,7 @@ def measure(root: Node) -> list[Node]:
         own = sum(len(SPACE.sub("", c)) for c in node.children if isinstance(c, str))
         kids = [c for c in node.children if not isinstance(c, str)]
         node.text = own + sum(c.text for c in kids)
-        node.tags = sum(c.tags + (c.tag not in PLAIN) for c in kids)
+        node.tags = sum(c.tags + 1 for c in kids)
         is_link = node.tag == "a"
         node.links = node.text if is_link else sum(c.links for c in kids)
         node.link_tags = 1 if is_link else sum(c.link_tags for c in kids)
@@ -177,9 +224,7 @@ def set_densities(order: list[Node], body: Node) -> None:
         base = math.log(c * lc / max(1, c - lc) + ratio * c + math.e)
         node.density = c / t * math.log(max(1.0, c * t / (max(1, lc) * lt))) / base if lc < c else 0.0
     for node in reversed(order):
-        kids = [c for c in node.children if not isinstance(c, str)]
-        node.below = sum(c.below if c.tag in PLAIN else c.density for c in kids)
-        node.sum = node.below or node.density
+        node.sum = sum(c.density for c in node.children if not isinstance(c, str)) or node.density
 
 
 def main_parts(order: list[Node]) -> list[Node | str]:
@@ -190,7 +235,7 @@ def main_parts(order: list[Node]) -> list[Node | str]:
         node = stack.pop()
         inside.append(node)
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
-    peak = max((n for n in inside if n.tag not in PLAIN), key=lambda n: n.sum)
+    peak = max(inside, key=lambda n: n.sum)
     threshold, node = peak.density, peak
     while node is not body:
         node = node.parent
@@ -198,16 +243,15 @@ def main_parts(order: list[Node]) -> list[Node | str]:
     for node in reversed(inside):  # the node of the largest sum in each subtree, the first of equals
         node.peak = node
         for child in reversed([c for c in node.children if not isinstance(c, str)]):
-            if node.peak.tag in PLAIN or child.peak.tag not in PLAIN and child.peak.sum >= node.peak.sum:
+            if child.peak.sum >= node.peak.sum:
                 node.peak = child.peak
-        if node.tag not in PLAIN and node.sum >= node.peak.sum:
+        if node.sum >= node.peak.sum:
             node.peak = node
     marked, stack = {peak}, [body]
     while stack:
         node = stack.pop()
-        if node.tag in PLAIN or node.density >= threshold or node is body:
-            if node.tag not in PLAIN:
-                marked.add(node.peak)
+        if node.density >= threshold or node is body:
+            marked.add(node.peak)
             stack += [c for c in node.children if not isinstance(c, str)]
     return kept_parts(body, marked)
 
@@ -219,10 +263,10 @@ def kept_parts(body: Node, marked: set[Node]) -> list[Node | str]:
     other parts, unless most of their text is links, those with as much text a tag as the body; where the marked ones
     part, also the plain blocks beside them and whatever lies between the first and the last.
     """
-    above: dict[Node, int] = {}
+    above: set[Node] = set()
     for node in marked:
-        while node is not None:
-            above[node] = above.get(node, 0) + 1
+        while node is not None and node not in above:
+            above.add(node)
             node = node.parent if node is not body else None
     least, parted = body.text / max(1, body.tags), False
 
@@ -276,7 +320,6 @@ def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by line ends; empty if there is none."""
     builder = TreeBuilder()
     builder.feed(html or "")
-    builder.close()
     return "\n".join(blocks(main_parts(measure(builder.root))))
 
 

@@ -1,4 +1,6 @@
+import html
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -77,11 +79,63 @@ def test_extract_rows(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
-def test_op1_keeps_articles(spark):
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    for r in html_text.op1_html_text(spark, SF).collect():
-        article = re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1]
-        assert re.sub(r"\W", "", r.text) == re.sub(r"\W", "", re.sub(r"<[^>]*>", "", article).replace("&amp;", "&").replace("&quot;", '"')) or "&" in article
+def test_op1_equals_articles(spark):
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = html_text.op1_html_text(spark, "/root/testdata/sf0.01")
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    rows = got.collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        article = re.search("<article>(.*?)</article>", pages[r.page_id].html, re.S)[1]
+        want = html.unescape(re.sub(r"<[^>]*>", "", article))
+        assert "".join(r.text.split()) == "".join(want.split()) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_densities_equal_brute_force():
+    page = PAGE + "<div><ul><li><a href=x>Link <b>one</b></a> and more<li>two<ul><li><a>deep</a></ul></ul></div>" + _section("s", 3)
+    builder = html_text.TreeBuilder()
+    builder.feed(page)
+    order = html_text.measure(builder.root)
+    body = next(n for n in order if n.tag == "body")
+    html_text.set_densities(order, body)
+
+    def kids(n):
+        return [c for c in n.children if not isinstance(c, str)]
+
+    def below(n):
+        return [m for c in kids(n) for m in (c, *below(c))]
+
+    def chars(n, linked=False):
+        linked = linked or n.tag == "a"
+        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        parts = [chars(c, linked) for c in kids(n)]
+        return own + sum(p[0] for p in parts), own * linked + sum(p[1] for p in parts)
+
+    for n in order:
+        c, lc = chars(n)
+        t, lt = max(1, len(below(n))), max(1, 1 if n.tag == "a" else sum(m.tag == "a" for m in below(n)))
+        bc, blc = chars(body)
+        want = 0.0
+        if 0 < c and lc < c:
+            want = c / t * max(0.0, np.log(c * t / (max(1, lc) * lt))) / np.log(c * lc / (c - lc) + blc / bc * c + np.e)
+        assert abs(n.density - want) < 1e-9
+        assert abs(n.sum - (sum(k.density for k in kids(n)) or n.density)) < 1e-9
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 8000 + "</x>" * 8000, "<!--" * 250_000, "<a x=" * 200_000, "<p><button>" + "<i>" * 80_000 + "<hr>" * 80_000, "<" * 1_000_000, "<a x='" * 100_000 + '"', "<article>" + "<div><p>some words</p>" * 20_000],
+)
+def test_long_and_deep_pages_take_seconds(page):
+    start = time.time()
+    html_text.main_text(page)
+    assert time.time() - start < 20
+
+
+def test_page_with_unclosed_and_odd_markup():
+    assert html_text.main_text("<body><p>1 < 2 and 3 <4 words</p><p>go on &amp; on<!-- never closed <p>x") == "1 < 2 and 3 <4 words\ngo on & on"
+    assert html_text.main_text("<body><SCRIPT>a</b></Script ><P>Words of <B>it</b>.<BR/>More</P><script>x") == "Words of it.\nMore"
+    assert html_text.main_text('<body><p title="a > b" class=\'c>\'>Words</p></><?x y?><!DOCTYPE html><p>and more') == "Words\nand more"
 
 
 # Language and toxicity
