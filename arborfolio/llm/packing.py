@@ -10,6 +10,7 @@ the k-th piece of a length takes the k-th place the plan has for that length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -41,18 +42,35 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: How tokenizer files that the word cache fits normalise a text and cut it into words.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
-    """Ids of a text as bytes, by a cache of the ids of words between spaces.
+    """Ids of a text as bytes, as the tokenizer's own ``encode`` gives them, by a cache of the ids of words between spaces.
 
     The tokenizer turns white space into boundaries that no token crosses, so the ids of a text are
     those of its words in order. Of a plain word, each run of letters, digit or run of other marks is
-    looked up on its own, and only unknown runs go to the tokenizer's model; any other word goes
-    through the whole tokenizer. A full cache is emptied.
+    looked up on its own, and only unknown runs go to the tokenizer's model; any other word, and one
+    that holds a special token, goes through the whole tokenizer. A full cache is emptied. A file
+    that normalises or cuts texts in another way is used without the cache, on whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        added = told.get("added_tokens") or []
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not re.search(r"\s", t["content"]) for t in added)
+        self.fits = plain and told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER and not (told.get("post_processor") or told.get("truncation"))
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
         self.model, self.letters = self.tokenizer.model, str.maketrans({b: c for b, c in byte_letters().items()})
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -69,13 +87,18 @@ class WordEncoder:
         ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
         return ids
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not PLAIN.fullmatch(word) or self.added.search(word):
+            return self._whole(word)
         known = self.parts
         return b"".join([known[p] if p in known else self._part(p) for p in PARTS.findall(word.lower())])
 
     def __call__(self, text: str) -> bytes:
+        if not self.fits:
+            return self._whole(text)
         words = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.known.__getitem__, words))

@@ -1,10 +1,12 @@
 """Shuffled shards of a corpus by a two-pass external shuffle, in DataFrame operations only.
 
-Pass one scatters whole records uniformly over memory-sized buckets with a seeded hash. Pass two
-takes each bucket into memory, runs Spark's Fisher-Yates ``shuffle`` over it and writes it. The
-written buckets, one after another, are one random permutation of the corpus; cutting it into equal
-runs gives the shards. The permutation is read back from the written table, so a task that is run
-again after a lost executor can't deal records differently.
+Pass one scatters whole records uniformly over memory-sized buckets with a seeded hash, one shuffle
+partition for each bucket. Pass two takes each bucket into memory, runs Spark's Fisher-Yates
+``shuffle`` over it and writes it. The written buckets, one after another, are one random permutation
+of the corpus; cutting it into equal runs gives the shards. The permutation is read back from the
+written table, so a task that is run again after a lost executor can't deal records differently. A
+corpus of more buckets than one exchange should have is scattered over groups of buckets first, which
+are written and then shuffled one after another.
 """
 
 from __future__ import annotations
@@ -14,36 +16,58 @@ from pyspark.sql import functions as F
 
 from .shared import Workspace, table
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, GROUP_BUCKETS = 16 << 20, 16_384
 BROADCAST_BUCKETS = 1_000_000
 
 
-def shuffle_into_shards(records: DataFrame, shards: int, text: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _shuffle_buckets(scattered: DataFrame, buckets: int, first: int, seed: int) -> DataFrame:
+    """(__bucket, __pos, record columns) of records (__place from 0 to buckets - 1, __key, __row, __record).
+
+    Each bucket is a partition of its own, sorted before it is collected, so the result doesn't
+    depend on the order in which the shuffle's parts arrive.
+    """
+    dealt = scattered.repartitionById(buckets, F.col("__place")).sortWithinPartitions("__key", "__row")
+    return (
+        dealt.groupBy("__place")
+        .agg(F.collect_list("__record").alias("__records"))
+        .select((F.col("__place") + first).alias("__bucket"), F.posexplode(F.shuffle("__records", seed)).alias("__pos", "__record"))
+        .select("__bucket", "__pos", "__record.*")
+    )
+
+
+def shuffle_into_shards(
+    records: DataFrame, shards: int, text: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES, group_buckets: int = GROUP_BUCKETS
+) -> DataFrame:
     """All columns of ``records`` and shard (0 to shards - 1), slot (gapless from 0 in its shard).
 
     Law ``rows``: shard sizes differ by at most one record. Records with equal text or a null id are
-    placed one by one like any others: the scatter hashes every column and the input partition, so
-    repeated rows don't meet in one bucket. An empty table gives an empty result; with fewer records
-    than shards some shards stay empty. Columns named shard or slot are replaced.
+    placed one by one like any others: the scatter hashes the record's number in the input, so
+    repeated rows spread over all buckets. The same input files and seed give the same result; a
+    frame that is not read from files should be written first, since its rows have no fixed numbers.
+    An empty table gives an empty result; with fewer records than shards some shards stay empty.
+    Columns named shard or slot are replaced.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     spark, space = records.sparkSession, Workspace(records.sparkSession, "shards")
     records = records.drop("shard", "slot")
-    size = records.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
+    size = records.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 64)).first()[0] or 0
     buckets = max(shards, -(-size // bucket_bytes))
     names = records.columns
-    scattered = records.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.spark_partition_id(), *names), F.lit(buckets)).alias("__bucket"),
-        F.struct(*names).alias("__record"),
-    ).repartition(buckets, "__bucket")
-    shuffled = space.write(
-        scattered.groupBy("__bucket")
-        .agg(F.collect_list("__record").alias("__records"))
-        .select("__bucket", F.posexplode(F.shuffle("__records", seed)).alias("__pos", "__record"))
-        .select("__bucket", "__pos", "__record.*"),
-        "buckets",
-    )
+    numbered = records.select(F.monotonically_increasing_id().alias("__row"), F.struct(*names).alias("__record"))
+    numbered = numbered.withColumn("__key", F.xxhash64(F.lit(seed), "__row"))
+    bucket = F.pmod("__key", F.lit(buckets))
+    if buckets <= group_buckets:
+        shuffled = space.write(_shuffle_buckets(numbered.withColumn("__place", bucket.cast("int")), buckets, 0, seed), "buckets")
+    else:
+        grouped = numbered.withColumns({"__group": (bucket / group_buckets).cast("int"), "__place": (bucket % group_buckets).cast("int")})
+        grouped.write.option("compression", "zstd").partitionBy("__group").parquet(f"{space.root}/scattered")
+        for group in range(-(-buckets // group_buckets)):
+            first = group * group_buckets
+            part = spark.read.schema(grouped.schema).parquet(f"{space.root}/scattered").where(F.col("__group") == group)
+            own = _shuffle_buckets(part.drop("__group"), min(group_buckets, buckets - first), first, seed)
+            own.write.mode("append").option("compression", "zstd").parquet(f"{space.root}/buckets")
+        shuffled = space.read("buckets", own)
     counts = shuffled.groupBy("__bucket").agg(F.count("*").alias("__n"))
     ahead = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.select(

@@ -2,8 +2,8 @@
 
 Rules (host, path, verdict) are keyed by the 64-bit xxHash of ``host + path``. The sorted keys and
 the rule strings are stored as flat files in the shared folder, copied once to every executor and
-memory-mapped there. A URL's candidates are its host suffixes joined with its path prefixes of the
-lengths that occur among the rules; all candidates of a batch are probed with one vectorised binary
+memory-mapped there. A URL's candidates are its host suffixes joined with its path prefixes, both of
+lengths that occur together among the rules; all candidates of a batch are probed with one vectorised binary
 search, and each hit is confirmed against the stored string, so a digest collision cannot match.
 """
 
@@ -38,7 +38,8 @@ def url_parts(url):
 def build_index(spark: SparkSession, rules: DataFrame, shard_bytes: int = SHARD_BYTES) -> dict:
     """Write the digest shards of ``rules`` and register them with the executors.
 
-    Only one shard's rules are on the driver at a time, and a shard's size is measured first.
+    Only one shard's rules are on the driver at a time, and a shard's size is measured first. The pairs of
+    lengths of host and path that occur are few, as URLs are short.
     Rules with a null host or path are ignored; of equal (host, path) rows 'block' wins.
     """
     rules = (
@@ -50,10 +51,15 @@ def build_index(spark: SparkSession, rules: DataFrame, shard_bytes: int = SHARD_
     )
     size = rules.agg(F.sum(F.octet_length("rule") + 40)).first()[0] or 0
     shards = 1 + int(size // shard_bytes)
-    lengths = sorted(r[0] for r in rules.select(F.char_length("path")).distinct().collect())
     space, names = Workspace(spark, "url-rules"), []
+    placed = rules.select("rule", "host", "path", "verdict", F.pmod("digest", F.lit(shards)).alias("shard"))
+    placed.repartition(shards, "shard").write.partitionBy("shard").parquet(f"{space.root}/rules")
+    rules = spark.read.schema(placed.schema).parquet(f"{space.root}/rules")
+    lengths: dict[int, list[int]] = {}
+    for host, path in sorted(map(tuple, rules.select(F.char_length("host"), F.char_length("path")).distinct().collect())):
+        lengths.setdefault(host, []).append(path)
     for shard in range(shards):
-        rows = rules.where(F.pmod("digest", F.lit(shards)) == shard).select("rule", "host", "verdict").collect()
+        rows = rules.where(F.col("shard") == shard).select("rule", "host", "verdict").collect()
         digests = np.array([xxhash.xxh64_intdigest(r.rule, SEED) for r in rows], dtype=np.uint64)
         order = np.argsort(digests, kind="stable")
         texts = [f"{len(rows[i].host)}\t{rows[i].verdict}\t{rows[i].rule}".encode() for i in order]
@@ -73,13 +79,13 @@ def _shard(name: str, count: int) -> tuple:
     return _mapped[name]
 
 
-def _candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Rule strings that would fit, with the host's length, longest rule first."""
-    if not host:
-        return []
-    hosts = [host] + [host[i + 1 :] for i, c in enumerate(host) if c == "." and i + 1 < len(host)]
-    found = [(h, path[:n]) for h in hosts for n in lengths if n <= len(path)]
-    return sorted(found, key=lambda x: -len(x[0]) - len(x[1]))
+def _candidates(host: str, path: str, lengths: dict[int, list[int]]) -> list[tuple[str, str]]:
+    """The (host, path) that a fitting rule could have: suffixes and beginnings of lengths that occur among the rules."""
+    found = []
+    for h, paths in lengths.items():
+        if 0 < h <= len(host) and (h == len(host) or host[-h - 1] == "."):
+            found += [(host[len(host) - h :], path[:n]) for n in paths if n <= len(path)]
+    return found
 
 
 def _probe(hosts: list[str], paths: list[str], index: dict, default: str) -> tuple[list, list]:

@@ -3,10 +3,12 @@ import hashlib
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from arborfolio.llm import byte_bpe, packing, sharding, url_filter
@@ -55,7 +57,6 @@ def test_decode(spark):
 
 def check_packed(rows, docs, path, window=2048):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -92,6 +93,21 @@ def test_packing_odd_rows(spark):
     assert packing.pack_documents(odd_docs(spark).where("false"), path).count() == 0
 
 
+def test_packing_ids_are_the_library_s(spark):
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(4)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "Don't", "I'LL", "é", "ß", "\u00a0", "\t", "\n", " ", " ", "x1y22", "...", "##a", "日本", "e\u0301", "İ", "\u2028", "word", "Words"]
+    docs = {i: "".join(rng.choice(marks, rng.integers(0, 12))) for i in range(400)}
+    rows = packing.pack_documents(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), path).collect()
+    check_packed(rows, docs, path)
+
+
+def test_packing_with_another_tokenizer_file(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.WordEncoder(path).fits
+    docs = {1: "Hello  world, it's <|endoftext|> here\n", 2: None}
+    check_packed(packing.pack_documents(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), path).collect(), docs, path)
+
+
 def test_packing_hot_length(spark):
     pieces = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 700L, id % 2048 + 1) length")
     rows = packing.pack(pieces).collect()
@@ -127,6 +143,30 @@ def test_sharding_law(spark, shards):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
+def test_sharding_query(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = sharding.op7_sharding(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    sizes = [sum(r.shard == s for r in rows) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == len(docs)
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
+    for r in rows:
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(docs[r.doc_id]) + 1, zlib.crc32(docs[r.doc_id]), "rows", None)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, sharding.op7_sharding(spark, SF).collect()))
+
+
+def test_sharding_spreads_equal_rows_and_takes_groups_of_buckets(spark, tmp_path):
+    spark.range(0, 4000, 1, 4).selectExpr("'same' text", "map('k', 1) m").write.parquet(str(tmp_path / "same"))
+    same = spark.read.parquet(str(tmp_path / "same"))
+    numbered = same.select(F.monotonically_increasing_id().alias("n"))
+    sizes = [r["count"] for r in numbered.groupBy(F.pmod(F.xxhash64(F.lit(7), "n"), F.lit(20))).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 300
+    for group in (16_384, 6):
+        rows = sharding.shuffle_into_shards(same, 3, bucket_bytes=14_000, group_buckets=group).collect()
+        assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s, n in ((0, 1334), (1, 1333), (2, 1333)) for i in range(n)]
+
+
 def test_sharding_mixes_and_takes_few_or_no_rows(spark):
     rows = sharding.shuffle_into_shards(spark.range(2000).selectExpr("id", "'t' text", "1 shard"), 4).collect()
     first = sorted((r.slot, r.id) for r in rows if r.shard == 0)
@@ -158,3 +198,18 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(pages.where("false"), rules).count() == 0
     sharded = url_filter.build_index(spark, rules, shard_bytes=60)
     assert len(sharded["shards"]) > 1
+
+
+def test_url_rules_with_long_hosts(spark):
+    host = "a." * 50_000 + "example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, f"http://{host}x/en/x"), (3, "http://." + "/" * 100_000), (4, "://com" + "/en" * 30_000)], "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: (None, "allow"), 3: (None, "allow"), 4: ("com/", "allow")}
+
+
+def test_url_query_equals_its_sql(spark):
+    known = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.op8_url_filter(spark, SF).collect()}
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    assert known == set(duck.sql(url_filter.OP8_SQL).fetchall())
