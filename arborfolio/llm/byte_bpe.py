@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import add_columns, table
+from .shared import Workspace, add_columns, table
 
 CHUNK, OVERLAP = 32_768, 512
 
@@ -96,6 +96,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
     whole = docs.where(short).select(*kept, F.coalesce("text", F.lit("")).alias("__text"))
     whole = _with_ids(whole, kept, path)
     long = docs.where(~short).withColumn("__row", F.monotonically_increasing_id())
+    long = Workspace(docs.sparkSession, "long-texts").write(long, "rows")  # numbered once, whatever is computed again
     encoded = _encode_long(long.select("__row", "text"), path, chunk, overlap)
     return whole.unionByName(long.select("__row", *kept).join(encoded, "__row").drop("__row"))
 

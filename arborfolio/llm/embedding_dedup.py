@@ -112,10 +112,11 @@ def _place(model: dict, threshold: float):
     return step
 
 
-def tile_links(block: int, turn: np.ndarray, home: np.ndarray, own: np.ndarray, kind: str, threshold: float, step: int = 256, most: int = 65_536):
+def tile_links(block: int, turn: np.ndarray, home: np.ndarray, own: np.ndarray, kind: str, threshold: float, step: int = 256, most: int = 1 << 22):
     """Pairs (i, j, sure) of one tile within reach that have ``block`` as their first block, in pieces.
 
     Tiles of kind 'h' compare residents with each other, those of kind 'v' residents with visitors.
+    Vectors of at most ``most`` coordinates are compared at a time.
     """
     dims = turn.shape[1]
     cuts, limit = block_cuts(dims), limits(dims, threshold) * GRID**2
@@ -135,8 +136,9 @@ def tile_links(block: int, turn: np.ndarray, home: np.ndarray, own: np.ndarray,
         if left is right:
             near &= np.arange(len(right)) > np.arange(at, min(at + step, len(left)))[:, None]
         i_all, j_all = np.nonzero(near)
-        for s in range(0, len(i_all), most):
-            i, j = left[i_all[s : s + most] + at], right[j_all[s : s + most]]
+        some = max(1, most // dims)
+        for s in range(0, len(i_all), some):
+            i, j = left[i_all[s : s + some] + at], right[j_all[s : s + some]]
             for b in range(block):
                 gap = grid[i, cuts[b][0] : cuts[b][1]] - grid[j, cuts[b][0] : cuts[b][1]]
                 later = (gap * gap).sum(axis=1) > limit[b]

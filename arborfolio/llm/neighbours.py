@@ -2,7 +2,7 @@
 
 A neighbour graph is started from random k-d leaves and improved by NN-descent: every round joins,
 for each vector, its neighbours and some of those it is a neighbour of, compares them with each
-other and keeps what improves their lists, until few lists change. A query then walks the graph
+other and keeps what improves their lists, until at most the share SETTLED of all edges is new. A query then walks the graph
 greedily: the best unvisited vectors of its beam are joined to their neighbour lists, whose vectors
 are compared with the query, until the beam stays. Both work on 8-bit copies of the vectors that
 travel with the edges; the beam's final distances are computed on the original vectors.
@@ -11,6 +11,7 @@ travel with the edges; the beam's final distances are computed on the original v
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .embedding_dedup import cells, planes
 from .shared import Workspace, add_columns, table, tasks
 
-DEGREE, REVERSE, TREES, LEAF, ROUNDS, SETTLED = 24, 14, 3, 256, 5, 0.03
-BEAM, WIDTH, HOPS, SAMPLE = 480, 128, 40, 20_000
+DEGREE, REVERSE, TREES, LEAF, SETTLED = 24, 14, 3, 256, 0.03
+BEAM, WIDTH, SAMPLE = 480, 128, 20_000
 EDGES = "v long, u long, d float"
 
 
@@ -117,7 +118,7 @@ def build_graph(nodes: DataFrame, space: Workspace, parts: int, degree: int = DE
     graph = space.write(_best(first.withColumn("fresh", F.lit(True)), parts, degree), "graph0")
     slim = nodes.select("node", "code")
     by_hash = Window.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("v", "u"))
-    for k in range(1, ROUNDS + 1):
+    for k in count_from(1):  # every round that goes on brings some list nearer, so this ends
         back = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "fresh").withColumn("k", F.row_number().over(by_hash))
         members = graph.select("v", "u", "fresh").union(back.where(F.col("k") <= REVERSE).drop("k"))
         worst = graph.groupBy(F.col("v").alias("w")).agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
@@ -157,7 +158,7 @@ def walk(graph: DataFrame, nodes: DataFrame, queries: DataFrame, space: Workspac
     mine = queries.select(F.col("q").alias("qq"), F.col("code").alias("mine"))
     beam = space.write(queries.select("q", "node", F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done"), F.lit(True).alias("turn")), "beam0")
     order = Window.partitionBy("q")
-    for hop in range(1, HOPS + 1):
+    for hop in count_from(1):  # a vector that was visited isn't again, so this ends
         full = F.when(F.count("*") >= BEAM, F.max("d")).otherwise(F.lit(float("inf"))).cast("float")
         front = beam.where("turn").select("q", F.col("node").alias("v")).join(beam.groupBy(F.col("q").alias("qb")).agg(full.alias("bound")), F.col("q") == F.col("qb"))
         front = front.join(mine, F.col("q") == F.col("qq")).select("q", "v", "bound", "mine")

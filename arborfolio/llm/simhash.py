@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -160,21 +160,35 @@ def links(prints: DataFrame, rows: int, space: Workspace, radius: int = RADIUS)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: equal or near fingerprints share a component.
+def near_copies(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, the columns ``keep``, fp, group, component_id) for every row: equal or near fingerprints share a group.
 
     component_id is the smallest doc_id reachable over links (null only if all are). Null, empty and
     wordless texts have fingerprint zero and link like any other. Repeated rows stay repeated.
     """
-    spark, space = docs.sparkSession, Workspace(docs.sparkSession, "simhash")
-    printed = space.write(add_columns(docs.select("doc_id", "text"), ["doc_id"], {"fp": pa.int64()}, _fingerprints), "prints")
+    spark, space, keep = docs.sparkSession, Workspace(docs.sparkSession, "simhash"), ["doc_id", *(keep or [])]
+    printed = space.write(add_columns(docs.select(*keep, "text"), keep, {"fp": pa.int64()}, _fingerprints), "prints")
     distinct = space.write(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = space.write(links(distinct, distinct.count(), space, radius), "links")
     groups = components(found)
     member = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     least = member.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = member.join(least, "group").select("fp", "component_id")
-    return printed.join(named, "fp").select("doc_id", "fp", "component_id")
+    return printed.join(member.join(least, "group").select("fp", "group", "component_id"), "fp").select(*keep, "fp", "group", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row, all columns as they are, of each group of near copies: that of the smallest doc_id.
+
+    Rows that share an id are told apart by their other columns; a row without an id stays only if
+    its whole group has none.
+    """
+    mark = F.xxhash64(*docs.columns)
+    rows = docs.select("doc_id", "text", mark.alias("__mark"))
+    known = near_copies(rows, size, radius, ["__mark"])
+    first = known.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__mark")).alias("first")).select("first.doc_id", "first.__mark")
+    chosen = docs.withColumn("__mark", mark).alias("d").join(first.alias("f"), F.expr("d.__mark = f.__mark AND d.doc_id <=> f.doc_id"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy(F.lit(0)))
+    return chosen.withColumn("__turn", turn).where("__turn = 1").select(docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

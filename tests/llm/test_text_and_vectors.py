@@ -3,7 +3,9 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,6 +380,20 @@ def test_simhash_links_crowded_shards(spark, monkeypatch, crowd):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr("arborfolio.llm.components.HUB_EDGES", 20)
+    edges = spark.createDataFrame([(7, 100 + i) for i in range(90)] + [(150, 3), (300, 301)], "a long, b long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert all(got[x] == 3 for x in (7, 3, *range(100, 190))) and got[301] == 300 and len(got) == 94
+
+
+def test_one_of_each_keeps_rows_with_equal_ids(spark):
+    rows = [(1, "one text of some words here", "a"), (1, "another text with other words", "b"), (1, "one text of some words here", "a"), (2, "one text of some words here", "c"), (None, "a third text that has no id", "d"), (None, "another text with other words", "e")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __turn string")).collect()
+    assert sorted((r.doc_id or 0, r["__turn"]) for r in got) == [(0, "d"), (1, "a"), (1, "b")]
+    assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, k string").where("false")).count() == 0
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
@@ -433,6 +449,36 @@ def test_nearest_neighbours_recall(spark):
     assert neighbours.nearest(frame.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_neighbours_recall_of_many_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20_000, 64)).astype(np.float32)
+    x[10_000:] = rng.standard_normal((50, 64)).astype(np.float32)[rng.integers(0, 50, 10_000)] + 0.3 * x[10_000:]
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": list(map(np.ndarray.tolist, x))}), "vec_id long, embedding array<float>")
+    got = neighbours.nearest(frame, F.col("vec_id") % 100 == 0).toPandas()
+    wide = x.astype(float)
+    hits = 0
+    for q, rows in got.groupby("query_id"):
+        far = ((wide - wide[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(set(np.argpartition(far, 10)[:10].tolist()) & set(rows.vec_id))
+    assert len(got) == 2000 and hits / 2000 >= 0.9
+
+
+def test_nearest_neighbours_query(spark):
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = neighbours.op2_nearest_neighbours(spark, SF).collect()
+    assert {r.query_id for r in got} == {v for v in rows if v % 100 == 0}
+    for r in got:
+        assert abs(np.linalg.norm(np.array(rows[r.query_id], float) - np.array(rows[r.vec_id], float)) - r.score) < 1e-9
+
+
+def test_embedding_query_equals_its_sql(spark):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.op3_embedding_dedup(spark, SF).collect()}
+    assert got == set(duck.sql(embedding_dedup.OP3_SQL).fetchall())
+
+
 # Pipeline
 
 
