@@ -7,7 +7,7 @@ Parquet, so a lost executor costs a reread.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborfolio.llm import language, packing, simhash, toxicity
@@ -38,14 +38,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies; of rows that share an id one stays.
-
-    Rows without an id can't be told apart and stay.
-    """
-    stays = simhash.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    named = docs.join(stays, "doc_id", "left_semi").withColumn("__turn", turn).where("__turn = 1").select(docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One document, that of the smallest id, of each group of near copies; rows that share an id but not a text are different documents."""
+    return simhash.one_of_each(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
