@@ -182,13 +182,14 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> D
     Rows that share an id are told apart by their other columns; a row without an id stays only if
     its whole group has none.
     """
-    mark = F.xxhash64(*docs.columns)
-    rows = docs.select("doc_id", "text", mark.alias("__mark"))
-    known = near_copies(rows, size, radius, ["__mark"])
-    first = known.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__mark")).alias("first")).select("first.doc_id", "first.__mark")
-    chosen = docs.withColumn("__mark", mark).alias("d").join(first.alias("f"), F.expr("d.__mark = f.__mark AND d.doc_id <=> f.doc_id"), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy(F.lit(0)))
-    return chosen.withColumn("__turn", turn).where("__turn = 1").select(docs.columns)
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # apart from the columns added here
+    plain = [F.to_json(F.struct(c)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c) for c in docs.columns]
+    marked = docs.select(F.xxhash64(*plain).alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *(F.col(c).alias(n) for c, n in names.items()))
+    known = near_copies(marked.select("mark", "doc_id", "text"), size, radius, ["mark"])
+    first = known.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first")).select("first.doc_id", "first.mark")
+    chosen = marked.alias("d").join(first.alias("f"), F.expr("d.mark = f.mark AND d.doc_id <=> f.doc_id"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.lit(0)))
+    return chosen.withColumn("turn", turn).where("turn = 1").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
