@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborfolio.sources.written import grow
+
 CONFIG = "STRUCT<node_id: STRING, objective: STRING, leverage: DOUBLE, spread: DOUBLE, confidence: DOUBLE, min_weights: MAP<STRING, DOUBLE>, max_weights: MAP<STRING, DOUBLE>>"
 OBJECTIVES = ("min_risk", "max_return", "max_ratio", "max_utility")
 #: Parts of key names whose values are secrets.
 SECRET_WORDS = ("token", "secret", "password", "api_key", "apikey")
-#: The transitions a status may take; a status without one is final.
-LEGAL = [("signup", "view"), ("view", "click"), ("click", "view"), ("view", "purchase"), ("click", "purchase"), ("view", "error"), ("click", "error")]
+#: What counts as an e-mail address, a phone number and a long run of digits.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE = r"(?<!\d)(?:\+\d{1,3}[ .\-]?|\d{1,3}[ .\-])?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)"
+DIGITS = r"(?<!\d)\d{9,}(?!\d)"
 
 
 def normalized_symbols(names: DataFrame, column: str = "name") -> DataFrame:
@@ -77,37 +81,38 @@ def config_violations(parsed: DataFrame) -> DataFrame:
     return out
 
 
-def tree_violations(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 12) -> DataFrame:
+def tree_violations(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     """(node_id, rule): duplicate ids, unknown children, two parents, the root as child, missing proxies, nodes out of reach.
 
-    A cycle is out of reach of the root, so the walk, one join a level, always ends.
+    The walk takes only nodes that it has not met, so it ends on trees of any depth and on cycles,
+    which are out of reach of the root.
     """
     say = lambda rows, rule: rows.select("node_id", F.lit(rule).alias("rule")).distinct()
     child = edges.select(F.col("child_id").alias("node_id"), "parent_id")
-    seen = level = nodes.where(F.col("node_id") == root).select("node_id").distinct()
-    for _ in range(depth):
-        level = level.join(edges, level["node_id"] == edges["parent_id"]).select(F.col("child_id").alias("node_id")).distinct()
-        seen = seen.unionByName(level)
+    inside = edges.join(nodes.select(F.col("node_id").alias("child_id")).distinct(), "child_id", "left_semi").where(F.col("child_id") != root)
+    seen = grow(nodes.where(F.col("node_id") == root).select("node_id", F.array("node_id").alias("met")).distinct(), lambda level: (
+        level.join(inside, level["node_id"] == inside["parent_id"]).where(~F.array_contains("met", F.col("child_id")))
+        .groupBy(F.col("child_id").alias("node_id")).agg(F.array_append(F.min("met"), F.col("child_id")).alias("met"))
+    ))
     out = say(nodes.groupBy("node_id").count().where("count > 1"), "duplicate id")
     for rows, rule in (
         (child.join(nodes, "node_id", "left_anti"), "unknown child"),
         (child.groupBy("node_id").agg(F.count_distinct("parent_id").alias("n")).where("n > 1"), "two parents"),
         (child.where(F.col("node_id") == root), "root as child"),
         (nodes.where((F.col("node_id") != root) & F.col("proxy").isNull()), "missing proxy"),
-        (nodes.join(seen.distinct(), "node_id", "left_anti"), "unreachable"),
+        (nodes.join(seen.select("node_id").distinct(), "node_id", "left_anti"), "unreachable"),
     ):
         out = out.unionByName(say(rows, rule))
     return out
 
 
 def canonical_json(entries: Column) -> Column:
-    """A map of strings as JSON text with sorted keys."""
-    pairs = F.array_sort(F.map_entries(entries))
-    return F.concat(F.lit("{"), F.concat_ws(",", F.transform(pairs, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"')))), F.lit("}"))
+    """A map of strings as JSON text: keys in order, no spaces, strings escaped, a null value as null."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))), {"ignoreNullFields": "false"})
 
 
 def content_hash(entries: Column) -> Column:
-    return F.sha2(canonical_json(entries), 256)
+    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(entries), 256))
 
 
 def redact_keys(entries: Column) -> Column:
@@ -116,18 +121,21 @@ def redact_keys(entries: Column) -> Column:
 
 
 def redact_pii(text: Column) -> Column:
-    """E-mail addresses, then phone numbers, then runs of nine digits and more are masked."""
-    text = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    text = F.regexp_replace(text, r"(?<!\d)(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)", "[phone]")
-    return F.regexp_replace(text, r"\d{9,}", "[number]")
+    """E-mail addresses, then phone numbers, then runs of nine digits and more are masked.
+
+    A phone number has ten digits, whose parts may be set apart, and may follow a country code that
+    begins with a plus or is set apart from it.
+    """
+    text = F.regexp_replace(text, EMAIL, "[redacted-email]")
+    text = F.regexp_replace(text, PHONE, "[redacted-phone]")
+    return F.regexp_replace(text, DIGITS, "[redacted-number]")
 
 
-def illegal_transitions(history: DataFrame) -> DataFrame:
-    """Steps of a history (entity, seq, status) that are not among the legal ones."""
-    legal = history.sparkSession.createDataFrame(LEGAL, "before string, status string")
+def illegal_transitions(history: DataFrame, legal: DataFrame) -> DataFrame:
+    """Steps of a history (entity, seq, status) that are not among the ``legal`` ones (before, status), a table of few rows."""
     before = F.lag("status").over(Window.partitionBy("entity").orderBy("seq"))
     steps = history.withColumn("before", before).where("before IS NOT NULL")
-    return steps.join(F.broadcast(legal), ["before", "status"], "left_anti").select("entity", "seq", "before", "status")
+    return steps.join(legal, ["before", "status"], "left_anti").select("entity", "seq", "before", "status")
 
 
 def heads(revisions: DataFrame) -> DataFrame:
@@ -135,15 +143,19 @@ def heads(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("tree_id").agg(F.max_by("revision_id", F.struct("created", "revision_id")).alias("revision_id"))
 
 
-def revision_chain(revisions: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(tree_id, revision_id, step) from each head back over parents, one join a step."""
-    level = start.select("tree_id", "revision_id", F.lit(0).alias("step"))
-    found = level
-    up = revisions.select(F.col("revision_id").alias("at"), F.col("parent_id").alias("up"))
-    for k in range(1, depth + 1):
-        level = level.join(up, level["revision_id"] == up["at"]).where("up IS NOT NULL").select("tree_id", F.col("up").alias("revision_id"), F.lit(k).alias("step"))
-        found = found.unionByName(level)
-    return found
+def revision_chain(revisions: DataFrame, start: DataFrame) -> DataFrame:
+    """(tree_id, revision_id, step) from each head back over its parents to the first, one join a step.
+
+    A revision that is its own ancestor is not followed again.
+    """
+    first = start.select("tree_id", "revision_id", F.lit(0).alias("step"), F.array("revision_id").alias("met"))
+    up = revisions.where("parent_id IS NOT NULL").select(F.col("revision_id").alias("at"), F.col("parent_id").alias("up"))
+
+    def step(level: DataFrame) -> DataFrame:
+        older = level.join(up, level["revision_id"] == up["at"]).where(~F.array_contains("met", F.col("up")))
+        return older.select("tree_id", F.col("up").alias("revision_id"), (F.col("step") + 1).alias("step"), F.array_append("met", F.col("up")).alias("met"))
+
+    return grow(first, step).drop("met")
 
 
 def latest(runs: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -1,63 +1,147 @@
-"""Allocation trees: walks, composed weights, node series and exposures.
+"""Allocation trees: walks, passes of allocation, composed weights, node series and exposures.
 
-Trees are edges (parent_id, child_id). Walks loop over depth, one join a level, never over nodes.
+Trees are edges (parent_id, child_id) of any depth. Walks loop over levels, one join a level and
+never over nodes; each level is written, and the loop ends with the first empty one.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH, DROPPED = 10, 1e-12
+from arborfolio.operators import allocation as al
+from arborfolio.sources.written import grow, shared_dir
+
+DROPPED = 1e-12
+
 
+def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node_id, depth, path, root_id) for every node below the roots (column node_id); paths join ids with /.
 
-def walk(edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(node_id, depth, path, root_id) for every node below the roots (column node_id); paths join ids with /."""
+    An edge back to a node of its own path, a cycle, is not followed.
+    """
     text = lambda c: F.col(c).cast("string")
-    level = roots.select("node_id", F.lit(0).alias("depth"), text("node_id").alias("path"), F.col("node_id").alias("root_id"))
-    found = level
-    for d in range(1, depth + 1):
-        below = level.join(edges, level["node_id"] == edges["parent_id"])
-        level = below.select(F.col("child_id").alias("node_id"), F.lit(d).alias("depth"), F.concat_ws("/", "path", text("child_id")).alias("path"), "root_id")
-        found = found.unionByName(level)
-    return found
+    first = roots.select("node_id", F.lit(0).alias("depth"), text("node_id").alias("path"), F.col("node_id").alias("root_id"), F.array("node_id").alias("met"))
+
+    def step(level: DataFrame) -> DataFrame:
+        below = level.join(edges, level["node_id"] == edges["parent_id"]).where(~F.array_contains("met", F.col("child_id")))
+        return below.select(
+            F.col("child_id").alias("node_id"), (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", text("child_id")).alias("path"), "root_id",
+            F.array_append("met", F.col("child_id")).alias("met"),
+        )
 
+    return grow(first, step).drop("met")
 
-def subtree_terminals(edges: DataFrame, node_instruments: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+
+def subtree_terminals(edges: DataFrame, node_instruments: DataFrame) -> DataFrame:
     """(node_id, instrument) for the instruments of a node and of all below it."""
     everyone = edges.select(F.col("parent_id").alias("node_id")).union(edges.select("child_id")).distinct()
-    below = walk(edges, everyone, depth).select(F.col("root_id").alias("top"), "node_id")
+    below = walk(edges, everyone).select(F.col("root_id").alias("top"), "node_id")
     return below.join(node_instruments, "node_id").select(F.col("top").alias("node_id"), "instrument").distinct()
 
 
-def compose(root: DataFrame, child_weights: DataFrame, own_weights: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def compose(root: DataFrame, child_weights: DataFrame, own_weights: DataFrame) -> DataFrame:
     """(key.., instrument, weight): products of weights along the paths from the root, summed.
 
     ``root`` (key.., node_id), ``child_weights`` (key.., parent_id, child_id, weight) and ``own_weights``
-    (key.., node_id, instrument, weight) share the key columns. Weights within 1e-12 of zero go.
+    (key.., node_id, instrument, weight) share those key columns that they have. Weights within 1e-12 of
+    zero go.
     """
     key = [c for c in root.columns if c != "node_id"]
-    reach = node_weights(root, child_weights, depth)
-    held = reach.withColumnRenamed("weight", "global").join(own_weights, [*key, "node_id"])
+    reach = node_weights(root, child_weights)
+    held = reach.withColumnRenamed("weight", "global").join(own_weights, [*(c for c in key if c in own_weights.columns), "node_id"])
     total = held.groupBy(*key, "instrument").agg(F.sum(F.col("global") * F.col("weight")).alias("weight"))
     return total.where(F.abs("weight") > DROPPED)
 
 
-def node_weights(root: DataFrame, child_weights: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(key.., node_id, weight): each node's share of the whole."""
+def node_weights(root: DataFrame, child_weights: DataFrame) -> DataFrame:
+    """(key.., node_id, weight): each node's share of the whole, one row a path. A cycle is not followed."""
     key = [c for c in root.columns if c != "node_id"]
-    level = root.withColumn("weight", F.lit(1.0))
-    found = level
-    for _ in range(depth):
+    on = [c for c in key if c in child_weights.columns]
+
+    def step(level: DataFrame) -> DataFrame:
         up = level.withColumnsRenamed({"node_id": "parent_id", "weight": "above"})
-        level = up.join(child_weights, [*key, "parent_id"]).select(*key, F.col("child_id").alias("node_id"), (F.col("above") * F.col("weight")).alias("weight"))
-        found = found.unionByName(level)
-    return found
+        below = up.join(child_weights, [*on, "parent_id"]).where(~F.array_contains("met", F.col("child_id")))
+        met = F.array_append("met", F.col("child_id")).alias("met")
+        return below.select(*key, F.col("child_id").alias("node_id"), (F.col("above") * F.col("weight")).alias("weight"), met)
+
+    return grow(root.select(*key, "node_id", F.lit(1.0).alias("weight"), F.array("node_id").alias("met")), step).drop("met")
+
+
+#: Weights (fold_id, node_id, instrument, weight) from series (fold_id, node_id, instrument, date, ret) and bounds (node_id, instrument, lo, hi).
+Allocator = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def by_mean_return(series: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The highest mean return within the bounds, for every fold and node at once."""
+    means = series.groupBy("fold_id", "node_id", "instrument").agg(F.avg("ret").alias("mu"))
+    rows = means.join(bounds, ["node_id", "instrument"])
+    return al.max_return(rows.drop("lo", "hi"), rows.drop("mu"), ["fold_id", "node_id"])
+
+
+def forward_pass(slots: DataFrame, returns: DataFrame, allocate: Allocator = by_mean_return) -> DataFrame:
+    """(fold_id, node_id, instrument, child_id, weight): every node allocated on the raw series of its instruments and of its children's proxies.
+
+    ``slots`` (node_id, instrument, child_id, lo, hi): what a node may hold; child_id is null for an
+    instrument, and the instrument of a child is its proxy. ``returns`` (fold_id, instrument, date, ret).
+    Nodes don't depend on each other, so one job takes them all.
+    """
+    found = allocate(slots.select("node_id", "instrument").join(returns, "instrument"), slots.select("node_id", "instrument", "lo", "hi"))
+    return found.join(slots.select("node_id", "instrument", "child_id"), ["node_id", "instrument"]).select("fold_id", "node_id", "instrument", "child_id", "weight")
+
+
+def backward_pass(slots: DataFrame, depths: DataFrame, returns: DataFrame, allocate: Allocator = by_mean_return, forward: DataFrame | None = None) -> DataFrame:
+    """(fold_id, node_id, instrument, child_id, weight): nodes allocated from the deepest level up, each on its children's own series.
+
+    A child stands in its parent's slots by the return of what it holds itself, named proxy_SYNTH.
+    Nodes without children take their weights of ``forward``; without it they are allocated here
+    (the direct bottom-up pass). ``depths`` has (node_id, depth). The loop is over depths; each level's
+    weights and series are written before the next.
+    """
+    spark, root = slots.sparkSession, f"{shared_dir(slots.sparkSession)}/backward-{uuid.uuid4().hex}"
+    parents = slots.where("child_id IS NOT NULL").select("node_id").distinct()
+    named = slots.withColumn("instrument", F.when(F.col("child_id").isNull(), F.col("instrument")).otherwise(F.concat("instrument", F.lit("_SYNTH"))))
+    deepest, weights, series = depths.agg(F.max("depth")).first()[0], [], None
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        here = named.join(depths.where(F.col("depth") == depth).select("node_id"), "node_id", "left_semi")
+        raw = here.where("child_id IS NULL").select("node_id", "instrument").join(returns, "instrument")
+        rows = raw.select("fold_id", "node_id", "instrument", "date", "ret")
+        if series is not None:
+            below = series.select("fold_id", F.col("node_id").alias("child_id"), "date", "ret")
+            rows = rows.unionByName(here.join(below, "child_id").select("fold_id", "node_id", "instrument", "date", "ret"))
+        solve, kept = here, None
+        if forward is not None:
+            solve = here.join(parents, "node_id", "left_semi")
+            leaves = here.join(parents, "node_id", "left_anti").select("node_id").distinct()
+            kept = forward.join(leaves, "node_id", "left_semi")
+        found = allocate(rows.join(solve.select("node_id").distinct(), "node_id", "left_semi"), solve.select("node_id", "instrument", "lo", "hi"))
+        level = found.join(here.select("node_id", "instrument", "child_id"), ["node_id", "instrument"]).select("fold_id", "node_id", "instrument", "child_id", "weight")
+        level = level if kept is None else level.unionByName(kept.select(level.columns))
+        level.write.parquet(f"{root}/weights{depth}")
+        level = spark.read.schema(level.schema).parquet(f"{root}/weights{depth}")
+        weights.append(f"{root}/weights{depth}")
+        own = node_series(level.select("fold_id", "node_id", "instrument", "weight"), rows.select("fold_id", "node_id", "instrument", "date", "ret"), ["fold_id", "node_id"])
+        own.write.parquet(f"{root}/series{depth}")
+        own = spark.read.schema(own.schema).parquet(f"{root}/series{depth}")
+        series = own if series is None else series.unionByName(own)
+    if not weights:
+        raise ValueError("a tree without nodes has no allocation")
+    return spark.read.schema(level.schema).parquet(*weights)
+
+
+def terminal_weights(weights: DataFrame, tops: DataFrame) -> DataFrame:
+    """(fold_id, top, instrument, weight): what each of the nodes ``tops`` (column node_id) holds in the end, by the weights of a pass."""
+    start = weights.select("fold_id").distinct().crossJoin(F.broadcast(tops.select(F.col("node_id").alias("top"), "node_id").distinct()))
+    inner = weights.where("child_id IS NOT NULL").select("fold_id", F.col("node_id").alias("parent_id"), "child_id", "weight")
+    return compose(start, inner, weights.where("child_id IS NULL").select("fold_id", "node_id", "instrument", "weight"))
 
 
 def node_series(weights: DataFrame, returns: DataFrame, key: list[str]) -> DataFrame:
     """(key.., node_id, date, ret): the return of each node's own portfolio."""
-    return weights.join(returns, [c for c in returns.columns if c in (*key, "instrument")]).groupBy(*key, "node_id", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
+    return weights.join(returns, [c for c in returns.columns if c in (*key, "instrument")]).groupBy(*dict.fromkeys([*key, "node_id"]), "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
 
 
 def node_candidates(node_instruments: DataFrame, edges: DataFrame, proxies: DataFrame, backward: bool) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborfolio.sources.written import grow
+
 MIN_SHARPE_GAIN, MAX_RATIO = 0.03, 1.10
 
 
@@ -33,20 +35,22 @@ def decisions(observed: DataFrame) -> DataFrame:
     return grouped.select("node_id", F.when(F.col("ok"), "retain").otherwise("prune").alias("decision"), F.when(F.col("ok"), "passes every protocol").otherwise(F.col("reason")).alias("reason"))
 
 
-def contraction(tree: DataFrame, decided: DataFrame, depth: int) -> DataFrame:
-    """(node_id, action, new_parent) for each non-root node of ``tree`` (node_id, parent_id, depth; the root's parent is null).
+def contraction(tree: DataFrame, decided: DataFrame) -> DataFrame:
+    """(node_id, action, new_parent) for each non-root node of ``tree`` (node_id, parent_id; the root's parent is null).
 
     Top down, one join for each level: a pruned node under a kept parent is contracted into it; a
     retained node under one pruned level is lifted to the grandparent; under two pruned levels the
     branch is cut; anything below a cut goes with it; a pruned node under a pruned one is removed.
     """
-    spark = tree.sparkSession
-    marked = tree.join(decided.select("node_id", "decision"), "node_id", "left").select("node_id", "parent_id", "depth", (F.col("decision") == "prune").alias("pruned"))
-    root = marked.where("parent_id IS NULL").select("node_id", F.lit(False).alias("pruned"), F.lit(False).alias("parent_pruned"), F.lit(None).cast(tree.schema["node_id"].dataType).alias("parent"), F.lit(False).alias("cut"))
-    level, done = root, None
-    for d in range(1, depth + 1):
-        above = level.withColumnsRenamed({"node_id": "parent_id", "pruned": "up", "parent_pruned": "up_parent_pruned", "parent": "grandparent", "cut": "up_cut"})
-        now = marked.where(F.col("depth") == d).select("node_id", "parent_id", F.coalesce("pruned", F.lit(False)).alias("pruned")).join(above, "parent_id")
+    kind, no = tree.schema["node_id"].dataType, F.lit(False)
+    pruned = F.coalesce(F.col("decision") == "prune", no).alias("pruned")
+    marked = tree.join(decided.select("node_id", "decision"), "node_id", "left").select("node_id", "parent_id", pruned)
+    nothing = F.lit(None).cast(kind)
+    root = marked.where("parent_id IS NULL").select("node_id", no.alias("pruned"), no.alias("parent_pruned"), nothing.alias("parent"), no.alias("cut"), F.lit(None).cast("string").alias("action"), nothing.alias("new_parent"))
+
+    def step(level: DataFrame) -> DataFrame:
+        above = level.select(F.col("node_id").alias("parent_id"), F.col("pruned").alias("up"), F.col("parent_pruned").alias("up_parent_pruned"), F.col("parent").alias("grandparent"), F.col("cut").alias("up_cut"))
+        now = marked.join(above, "parent_id")
         two = F.col("up") & F.col("up_parent_pruned")
         action = (
             F.when(F.col("up_cut"), "removed_with_ancestor")
@@ -56,13 +60,12 @@ def contraction(tree: DataFrame, decided: DataFrame, depth: int) -> DataFrame:
         )
         now = now.withColumn("action", action)
         lifted = F.col("action") == "lifted"
-        parent = F.when(lifted, F.col("grandparent")).when(F.col("action") == "kept", F.col("parent_id"))
-        part = now.select("node_id", "action", parent.alias("new_parent"))
-        done = part if done is None else done.unionByName(part)
-        current = F.when(lifted, F.col("grandparent")).otherwise(F.col("parent_id"))
+        new_parent = F.when(lifted, F.col("grandparent")).when(F.col("action") == "kept", F.col("parent_id"))
         # A lifted node's parent is the (kept) grandparent from here on.
-        level = now.select("node_id", "pruned", F.when(lifted, False).otherwise(F.col("up")).alias("parent_pruned"), current.alias("parent"), (F.col("up_cut") | (~F.col("up_cut") & two)).alias("cut"))
-    return done
+        current = F.when(lifted, F.col("grandparent")).otherwise(F.col("parent_id"))
+        return now.select("node_id", "pruned", F.when(lifted, False).otherwise(F.col("up")).alias("parent_pruned"), current.alias("parent"), (F.col("up_cut") | two).alias("cut"), "action", new_parent.alias("new_parent"))
+
+    return grow(root, step).where("action IS NOT NULL").select("node_id", "action", "new_parent")
 
 
 def pruned_edges(actions: DataFrame) -> DataFrame:

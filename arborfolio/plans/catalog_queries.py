@@ -95,7 +95,7 @@ def config_violations(spark, sf):
 
 view("flawed_nodes", "SELECT 'ROOT' AS node_id, CAST(NULL AS VARCHAR) AS proxy UNION ALL SELECT 'N' || n_nationkey, 'x' FROM nation UNION ALL SELECT 'S' || s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 'x' END FROM supplier UNION ALL SELECT 'S' || s_suppkey, 'x' FROM supplier WHERE s_suppkey % 40 = 1 UNION ALL SELECT 'LOST' || s_suppkey, 'x' FROM supplier WHERE s_suppkey % 33 = 2")
 view("flawed_edges", "SELECT 'ROOT' AS parent_id, 'N' || n_nationkey AS child_id FROM nation UNION ALL SELECT 'N' || s_nationkey, CASE WHEN s_suppkey % 30 = 3 THEN 'X' || s_suppkey ELSE 'S' || s_suppkey END FROM supplier UNION ALL SELECT 'N' || ((s_nationkey + 1) % 25), 'S' || s_suppkey FROM supplier WHERE s_suppkey % 25 = 4 UNION ALL SELECT 'N' || s_nationkey, 'ROOT' FROM supplier WHERE s_suppkey = 5")
-view("flawed_reach", "SELECT 'ROOT' AS node_id, 0 AS d UNION ALL SELECT e.child_id, r.d + 1 FROM flawed_reach r JOIN flawed_edges e ON e.parent_id = r.node_id WHERE r.d < 2")
+view("flawed_reach", "SELECT 'ROOT' AS node_id, 0 AS d UNION ALL SELECT e.child_id, r.d + 1 FROM flawed_reach r JOIN flawed_edges e ON e.parent_id = r.node_id WHERE e.child_id <> 'ROOT'")
 
 
 @query("tree_violations", """SELECT node_id, 'duplicate id' AS rule FROM flawed_nodes GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT child_id, 'unknown child' FROM flawed_edges WHERE child_id NOT IN (SELECT node_id FROM flawed_nodes)
@@ -112,10 +112,10 @@ def tree_violations(spark, sf):
     edges = n.select(F.lit("ROOT").alias("parent_id"), name("N", "n_nationkey").alias("child_id")).union(s.select(name("N", "s_nationkey"), child))
     second = F.concat(F.lit("N"), ((F.col("s_nationkey") + 1) % 25).cast("string"))
     edges = edges.union(s.where(k % 25 == 4).select(second, name("S", "s_suppkey"))).union(s.where(k == 5).select(name("N", "s_nationkey"), F.lit("ROOT")))
-    return ca.tree_violations(nodes, edges, "ROOT", 2)
+    return ca.tree_violations(nodes, edges, "ROOT")
 
 
-@query("content_hash", """SELECT p_partkey AS id, sha256('{"brand":"' || p_brand || '","name":"' || p_name || '","size":"' || p_size || '","type":"' || p_type || '"}') AS hash FROM part""")
+@query("content_hash", """SELECT p_partkey AS id, 'sha256:' || sha256('{"brand":"' || p_brand || '","name":"' || p_name || '","size":"' || p_size || '","type":"' || p_type || '"}') AS hash FROM part""")
 def content_hash(spark, sf):
     entries = F.create_map(F.lit("type"), "p_type", F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), "p_brand", F.lit("name"), "p_name")
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), ca.content_hash(entries).alias("hash"))
@@ -133,17 +133,20 @@ def redact_pii(spark, sf):
 
 
 view("history", "SELECT user_id AS entity, event_id AS seq, event_type AS status FROM events")
-view("legal", "SELECT * FROM (VALUES " + ", ".join(map(str, ca.LEGAL)) + ") l(before, status)")
+#: The steps that an event history may take.
+LEGAL = [("signup", "view"), ("view", "click"), ("click", "view"), ("view", "purchase"), ("click", "purchase"), ("view", "error"), ("click", "error")]
+view("legal", "SELECT * FROM (VALUES " + ", ".join(map(str, LEGAL)) + ") l(before, status)")
 
 
 @query("illegal_transitions", "SELECT entity, seq, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY entity ORDER BY seq) AS before FROM history) WHERE before IS NOT NULL AND (before, status) NOT IN (SELECT (before, status) FROM legal)")
 def illegal_transitions(spark, sf):
-    return ca.illegal_transitions(table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.col("event_type").alias("status")))
+    legal = spark.createDataFrame(LEGAL, "before string, status string")
+    return ca.illegal_transitions(table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.col("event_type").alias("status")), legal)
 
 
 view("revisions", "SELECT o_custkey AS tree_id, o_orderkey AS revision_id, o_orderdate AS created, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent_id FROM orders")
 view("head_v", "SELECT tree_id, arg_max(revision_id, (created, revision_id)) AS revision_id FROM revisions GROUP BY 1")
-view("chain_v", "SELECT tree_id, revision_id, 0 AS step FROM head_v UNION ALL SELECT c.tree_id, r.parent_id, c.step + 1 FROM chain_v c JOIN revisions r ON r.revision_id = c.revision_id WHERE r.parent_id IS NOT NULL AND c.step < 5")
+view("chain_v", "SELECT tree_id, revision_id, 0 AS step FROM head_v UNION ALL SELECT c.tree_id, r.parent_id, c.step + 1 FROM chain_v c JOIN revisions r ON r.revision_id = c.revision_id WHERE r.parent_id IS NOT NULL")
 
 
 def revisions(spark, sf):
@@ -159,7 +162,7 @@ def tree_heads(spark, sf):
 @query("revision_chain", "SELECT * FROM chain_v")
 def revision_chain(spark, sf):
     rows = revisions(spark, sf)
-    return ca.revision_chain(rows, ca.heads(rows), 5)
+    return ca.revision_chain(rows, ca.heads(rows))
 
 
 @query("unmigrated", "SELECT c_custkey AS tree_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

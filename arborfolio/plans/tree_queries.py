@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from arborfolio.functions.periods import rounded
 from arborfolio.operators import allocation as al
 from arborfolio.operators import hierarchy as hi
+from arborfolio.operators import ledger as le
 from arborfolio.operators import pruning as pru
-from arborfolio.plans.allocation_queries import best_return
-from arborfolio.plans.panel_queries import train
+from arborfolio.plans.allocation_queries import best_return, fill_sql
+from arborfolio.plans.panel_queries import hold, train
 from arborfolio.plans.registry import query, view
 from arborfolio.plans.risk_queries import benchmark, covariances, means
 from arborfolio.sources.prices import table
@@ -18,7 +19,7 @@ from arborfolio.sources.written import shared
 # The wide tree: root -> regions -> nations -> suppliers, each supplier an instrument
 
 view("edges", "SELECT 'ROOT' AS parent_id, 'R' || r_regionkey AS child_id FROM region UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier")
-view("walked", "SELECT 'ROOT' AS node_id, 0 AS depth, 'ROOT' AS path UNION ALL SELECT e.child_id, w.depth + 1, w.path || '/' || e.child_id FROM walked w JOIN edges e ON e.parent_id = w.node_id WHERE w.depth < 10")
+view("walked", "SELECT 'ROOT' AS node_id, 0 AS depth, 'ROOT' AS path UNION ALL SELECT e.child_id, w.depth + 1, w.path || '/' || e.child_id FROM walked w JOIN edges e ON e.parent_id = w.node_id")
 
 
 def edges(spark, sf):
@@ -35,19 +36,19 @@ def roots(spark):
 
 @query("tree_depths", "SELECT node_id, depth, path FROM walked")
 def tree_depths(spark, sf):
-    return hi.walk(edges(spark, sf), roots(spark), 4).select("node_id", "depth", "path")
+    return hi.walk(edges(spark, sf), roots(spark)).select("node_id", "depth", "path")
 
 
 @query("subtree_terminals", """SELECT DISTINCT a.node_id, 'ticker:' || b.node_id AS instrument FROM walked a JOIN walked b ON starts_with(b.path || '/', a.path || '/') WHERE starts_with(b.node_id, 'S')""")
 def subtree_terminals(spark, sf):
     held = edges(spark, sf).where("child_id LIKE 'S%'").select(F.col("child_id").alias("node_id"), F.concat(F.lit("ticker:"), "child_id").alias("instrument"))
-    return hi.subtree_terminals(edges(spark, sf), held, 4)
+    return hi.subtree_terminals(edges(spark, sf), held)
 
 
 view("split", """SELECT 'ROOT' AS parent_id, 'R' || n_regionkey AS child_id, sum(s_acctbal + 1000) / sum(sum(s_acctbal + 1000)) OVER () AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey
   UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey, sum(s_acctbal + 1000) / sum(sum(s_acctbal + 1000)) OVER (PARTITION BY n_regionkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey""")
 view("held_in", "SELECT 'N' || s_nationkey AS node_id, CASE WHEN s_suppkey % 17 = 0 THEN 'cash:RF' ELSE 'ticker:S' || s_suppkey END AS instrument, (s_acctbal + 1000) / sum(s_acctbal + 1000) OVER (PARTITION BY s_nationkey) AS weight FROM supplier")
-view("shares", "SELECT 'ROOT' AS node_id, CAST(1.0 AS DOUBLE) AS weight, 0 AS d UNION ALL SELECT s.child_id, w.weight * s.weight, w.d + 1 FROM shares w JOIN split s ON s.parent_id = w.node_id WHERE w.d < 4")
+view("shares", "SELECT 'ROOT' AS node_id, CAST(1.0 AS DOUBLE) AS weight, 0 AS d UNION ALL SELECT s.child_id, w.weight * s.weight, w.d + 1 FROM shares w JOIN split s ON s.parent_id = w.node_id")
 
 
 def split(spark, sf):
@@ -71,13 +72,13 @@ def held_in(spark, sf):
 
 @query("terminal_weights", "SELECT instrument, round(sum(s.weight * h.weight), 8) + 0.0 AS weight FROM shares s JOIN held_in h USING (node_id) GROUP BY 1 HAVING abs(sum(s.weight * h.weight)) > 1e-12")
 def terminal_weights(spark, sf):
-    return hi.compose(roots(spark), split(spark, sf), held_in(spark, sf), 3).withColumn("weight", rounded(F.col("weight"), 8))
+    return hi.compose(roots(spark), split(spark, sf), held_in(spark, sf)).withColumn("weight", rounded(F.col("weight"), 8))
 
 
 @query("global_exposure", """SELECT node_id, round(sum(CASE WHEN starts_with(instrument, 'cash:') THEN 0 ELSE s.weight * h.weight END), 8) + 0.0 AS risky, round(sum(CASE WHEN starts_with(instrument, 'cash:') THEN s.weight * h.weight ELSE 0 END), 8) + 0.0 AS cash,
   round(sum(s.weight * h.weight), 8) + 0.0 AS net FROM shares s JOIN held_in h USING (node_id) GROUP BY 1""")
 def global_exposure(spark, sf):
-    share = hi.node_weights(roots(spark), split(spark, sf), 3).withColumnRenamed("weight", "share")
+    share = hi.node_weights(roots(spark), split(spark, sf)).withColumnRenamed("weight", "share")
     rows = share.join(held_in(spark, sf), "node_id").select("node_id", "instrument", (F.col("share") * F.col("weight")).alias("weight"))
     return hi.exposures(rows, ["node_id"]).withColumns({c: rounded(F.col(c), 8) for c in ("risky", "cash", "net")})
 
@@ -135,38 +136,142 @@ def synthetic_series(spark, sf):
     return synthetic(spark, sf).withColumn("ret", rounded(F.col("ret"), 8))
 
 
-def root_split(series):
-    """Root weights by the mean of each child's series: 70 % to the higher, 30 % to the other."""
-    mu = series.groupBy("fold_id", F.col("node_id").alias("instrument")).agg(F.avg("ret").alias("mu"))
-    return _top(mu, ["fold_id"]).select("fold_id", F.lit("ROOT").alias("parent_id"), F.col("instrument").alias("child_id"), "weight")
+# The allocation tree of three levels: what each node may hold, an instrument or a child by its proxy
 
+#: Node, instrument (a child's is its proxy), child, depth of the node.
+SLOTS = [
+    ("ROOT", "ticker:STANDARD", None, 0), ("ROOT", "ticker:MEDIUM", "CORE", 0), ("ROOT", "ticker:SMALL", "GROWTH", 0),
+    ("CORE", "ticker:ECONOMY", None, 1), ("CORE", "ticker:LARGE", "SIZES", 1),
+    ("GROWTH", "ticker:PROMO", None, 1), ("GROWTH", "ticker:SMALL", None, 1),
+    ("SIZES", "ticker:LARGE", None, 2), ("SIZES", "ticker:MEDIUM", None, 2),
+]
+LO, HI = 0.1, 0.7
 
-def composed(spark, sf, series):
-    split_ = root_split(series)
-    start = split_.select("fold_id").distinct().select("fold_id", F.lit("ROOT").alias("node_id"))
-    return hi.compose(start, split_, leaf_weights(spark, sf), 1).withColumn("weight", rounded(F.col("weight")))
+view("slots", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{i}', {'NULL' if c is None else repr(c)}, {d})" for n, i, c, d in SLOTS) + ") s(node_id, instrument, child_id, depth)")
+view("fwd_w", fill_sql(f"(SELECT fold_id, node_id, instrument, child_id, mu, {LO} AS lo, {HI} AS hi FROM slots JOIN mu_e USING (instrument))", "fold_id, node_id", "mu DESC, instrument"))
+FROM_BELOW = "SELECT fold_id, node_id, instrument, child_id, weight FROM ("
+view("back2", "SELECT fold_id, node_id, instrument, child_id, weight FROM fwd_w WHERE node_id IN ('SIZES', 'GROWTH')")
+view("back2_s", "SELECT fold_id, node_id, date, sum(weight * ret) AS ret FROM back2 JOIN train USING (fold_id, instrument) GROUP BY ALL")
+view("core_rows", "SELECT fold_id, instrument, CAST(NULL AS VARCHAR) AS child_id, date, ret FROM train WHERE instrument = 'ticker:ECONOMY' UNION ALL SELECT fold_id, 'ticker:LARGE_SYNTH', 'SIZES', date, ret FROM back2_s WHERE node_id = 'SIZES'")
+view("back1", FROM_BELOW + fill_sql(f"(SELECT fold_id, 'CORE' AS node_id, instrument, child_id, avg(ret) AS mu, {LO} AS lo, {HI} AS hi FROM core_rows GROUP BY ALL)", "fold_id, node_id", "mu DESC, instrument") + ")")
+view("back1_s", "SELECT fold_id, date, sum(weight * ret) AS ret FROM back1 JOIN core_rows USING (fold_id, instrument) GROUP BY ALL")
+view("root_rows", "SELECT fold_id, instrument, CAST(NULL AS VARCHAR) AS child_id, date, ret FROM train WHERE instrument = 'ticker:STANDARD' UNION ALL SELECT fold_id, 'ticker:MEDIUM_SYNTH', 'CORE', date, ret FROM back1_s UNION ALL SELECT fold_id, 'ticker:SMALL_SYNTH', 'GROWTH', date, ret FROM back2_s WHERE node_id = 'GROWTH'")
+view("back0", FROM_BELOW + fill_sql(f"(SELECT fold_id, 'ROOT' AS node_id, instrument, child_id, avg(ret) AS mu, {LO} AS lo, {HI} AS hi FROM root_rows GROUP BY ALL)", "fold_id, node_id", "mu DESC, instrument") + ")")
+view("back_w", "SELECT * FROM back2 UNION ALL SELECT * FROM back1 UNION ALL SELECT * FROM back0")
+for way in ("fwd", "back"):
+    view(f"{way}_share", f"SELECT DISTINCT fold_id, node_id AS top, node_id, CAST(1.0 AS DOUBLE) AS weight FROM {way}_w UNION ALL SELECT s.fold_id, s.top, w.child_id, s.weight * w.weight FROM {way}_share s JOIN {way}_w w ON w.fold_id = s.fold_id AND w.node_id = s.node_id AND w.child_id IS NOT NULL")
+    view(f"{way}_held", f"SELECT s.fold_id, top, instrument, sum(s.weight * w.weight) AS weight FROM {way}_share s JOIN {way}_w w ON w.fold_id = s.fold_id AND w.node_id = s.node_id AND w.child_id IS NULL GROUP BY ALL HAVING abs(sum(s.weight * w.weight)) > 1e-12")
 
 
-def composed_sql(series):
-    return f"""SELECT t.fold_id, t.instrument, round(t.weight * r.weight, 6) + 0.0 AS weight FROM top_in_sleeve t JOIN (SELECT fold_id, node_id, CASE WHEN row_number() OVER (PARTITION BY fold_id ORDER BY m DESC, node_id) = 1 THEN 0.7 ELSE 0.3 END AS weight FROM (SELECT fold_id, node_id, avg(ret) AS m FROM {series} GROUP BY ALL)) r USING (fold_id, node_id)"""
+def slots(spark):
+    rows = spark.createDataFrame(SLOTS, "node_id string, instrument string, child_id string, depth int")
+    return rows.drop("depth").withColumns({"lo": F.lit(LO), "hi": F.lit(HI)}), rows.select("node_id", "depth").distinct()
 
 
-@query("forward_allocation", composed_sql("proxy_rows"))
+@shared
+def forward_weights(spark, sf):
+    return hi.forward_pass(slots(spark)[0], train(spark, sf).select("fold_id", "instrument", "date", "ret"))
+
+
+@shared
+def backward_weights(spark, sf):
+    return hi.backward_pass(*slots(spark), train(spark, sf).select("fold_id", "instrument", "date", "ret"), forward=forward_weights(spark, sf))
+
+
+@shared
+def held_by_nodes(spark, sf, way):
+    return hi.terminal_weights((forward_weights if way == "fwd" else backward_weights)(spark, sf), slots(spark)[1].select("node_id"))
+
+
+def at_root(rows):
+    return rows.where("top = 'ROOT'").select("fold_id", "instrument", rounded(F.col("weight")).alias("weight"))
+
+
+def held_sql(way):
+    return f"SELECT fold_id, instrument, round(weight, 6) + 0.0 AS weight FROM {way}_held WHERE top = 'ROOT'"
+
+
+@query("node_weights_forward", "SELECT fold_id, node_id, instrument, child_id, round(weight, 6) + 0.0 AS weight FROM fwd_w")
+def node_weights_forward(spark, sf):
+    return forward_weights(spark, sf).withColumn("weight", rounded(F.col("weight")))
+
+
+@query("node_weights_backward", "SELECT fold_id, node_id, instrument, child_id, round(weight, 6) + 0.0 AS weight FROM back_w")
+def node_weights_backward(spark, sf):
+    return backward_weights(spark, sf).withColumn("weight", rounded(F.col("weight")))
+
+
+@query("forward_allocation", held_sql("fwd"))
 def forward_allocation(spark, sf):
-    series = train(spark, sf).join(sleeves(spark, sf), "instrument").groupBy("fold_id", "node_id", "date").agg(F.avg("ret").alias("ret"))
-    return composed(spark, sf, series)
+    return at_root(held_by_nodes(spark, sf, "fwd"))
 
 
-@query("backward_allocation", composed_sql("synthetic"))
+@query("backward_allocation", held_sql("back"))
 def backward_allocation(spark, sf):
-    return composed(spark, sf, synthetic(spark, sf))
+    return at_root(held_by_nodes(spark, sf, "back"))
 
 
-@query("bottom_up_allocation", composed_sql("synthetic"))
+@query("bottom_up_allocation", held_sql("back"))
 def bottom_up_allocation(spark, sf):
-    """Leaves first, then the root on what they hold, without a forward pass; equal to the backward result."""
-    leaves = _top(means(spark, sf).join(sleeves(spark, sf), "instrument"), ["fold_id", "node_id"])
-    return composed(spark, sf, hi.node_series(leaves, train(spark, sf), ["fold_id"]))
+    """Leaves first and then level by level, without a forward pass; equal to the backward result, as no node looks at a forward root."""
+    weights = hi.backward_pass(*slots(spark), train(spark, sf).select("fold_id", "instrument", "date", "ret"))
+    return at_root(hi.terminal_weights(weights, slots(spark)[1].select("node_id")))
+
+
+# The arms of a fold: benchmark, final weights, implemented benchmark, each node in both passes, each child's proxy alone
+
+view("father", "SELECT child_id AS node_id, instrument AS proxy FROM slots WHERE child_id IS NOT NULL")
+view("tree_arms", """SELECT fold_id, 'B0' AS arm, instrument, weight FROM (SELECT DISTINCT fold_id FROM back_w) CROSS JOIN bench UNION ALL SELECT fold_id, 'FINAL', instrument, weight FROM back_held WHERE top = 'ROOT'
+  UNION ALL SELECT fold_id, 'NODE:' || top, instrument, weight FROM back_held UNION ALL SELECT fold_id, 'FORWARD_FINAL', instrument, weight FROM fwd_held WHERE top = 'ROOT' UNION ALL SELECT fold_id, 'FORWARD_NODE:' || top, instrument, weight FROM fwd_held
+  UNION ALL SELECT fold_id, 'FATHER:' || node_id, proxy, 1.0 FROM (SELECT DISTINCT fold_id FROM back_w) CROSS JOIN father
+  UNION ALL SELECT fold_id, 'B0_SYNTH', instrument, sum(weight) FROM (
+    SELECT g.fold_id, coalesce(h.instrument, b.instrument) AS instrument, b.weight * coalesce(h.weight, 1) AS weight FROM (SELECT DISTINCT fold_id FROM back_w) g CROSS JOIN bench b LEFT JOIN father f ON f.proxy = b.instrument LEFT JOIN back_held h ON h.fold_id = g.fold_id AND h.top = f.node_id) GROUP BY ALL""")
+
+
+@shared
+def tree_arms(spark, sf):
+    back, forward, bench = held_by_nodes(spark, sf, "back"), held_by_nodes(spark, sf, "fwd"), benchmark(spark, sf)
+    folds = back.select("fold_id").distinct()
+    father = slots(spark)[0].where("child_id IS NOT NULL").select(F.col("child_id").alias("node_id"), F.col("instrument").alias("proxy"))
+    arm = lambda rows, name: rows.select("fold_id", name.alias("arm"), "instrument", "weight")
+    out = arm(folds.crossJoin(F.broadcast(bench)), F.lit("B0"))  # one row an instrument
+    for rows, prefix in ((back, ""), (forward, "FORWARD_")):
+        out = out.unionByName(arm(rows.where("top = 'ROOT'"), F.lit(prefix + "FINAL"))).unionByName(arm(rows, F.concat(F.lit(prefix + "NODE:"), "top")))
+    alone = folds.crossJoin(F.broadcast(father)).select("fold_id", F.concat(F.lit("FATHER:"), "node_id").alias("arm"), F.col("proxy").alias("instrument"), F.lit(1.0).alias("weight"))
+    inner = father.join(back.withColumnRenamed("top", "node_id"), "node_id").select("fold_id", F.col("proxy").alias("held"), F.col("instrument").alias("inner"), F.col("weight").alias("share"))
+    spread = folds.crossJoin(F.broadcast(bench)).withColumnRenamed("instrument", "held").join(inner, ["fold_id", "held"], "left")
+    built = spread.groupBy("fold_id", F.coalesce("inner", "held").alias("instrument")).agg(F.sum(F.col("weight") * F.coalesce("share", F.lit(1.0))).alias("weight"))
+    return out.unionByName(alone).unionByName(arm(built, F.lit("B0_SYNTH")))
+
+
+@query("tree_arm_targets", "SELECT fold_id, arm, instrument, round(weight, 6) + 0.0 AS weight FROM tree_arms")
+def tree_arm_targets(spark, sf):
+    return tree_arms(spark, sf).withColumn("weight", rounded(F.col("weight")))
+
+
+# Their curves, and each node against its proxy
+
+view("tree_grown", """SELECT fold_id, arm, h.date, instrument, weight, product(1 + h.ret) OVER (PARTITION BY fold_id, arm, instrument ORDER BY h.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM tree_arms JOIN hold h USING (fold_id, instrument)""")
+view("tree_curves", """SELECT arm, fold_id, date, v / coalesce(lag(v) OVER (PARTITION BY arm, fold_id ORDER BY date), 1) - 1 AS ret FROM (SELECT arm, fold_id, date, 1 + sum(weight * (g - 1)) AS v FROM tree_grown GROUP BY ALL)""")
+
+
+@shared
+def tree_curves(spark, sf):
+    return le.ledger_returns(le.growth(tree_arms(spark, sf), hold(spark, sf)))
+
+
+@query("tree_arm_returns", "SELECT arm, fold_id, date, round(ret, 8) + 0.0 AS ret FROM tree_curves")
+def tree_arm_returns(spark, sf):
+    return tree_curves(spark, sf).withColumn("ret", rounded(F.col("ret"), 8))
+
+
+@query("tree_node_value", """WITH s AS (SELECT arm, count(*) AS days, avg(ret) / stddev_samp(ret) * sqrt(252.0) AS sharpe FROM tree_curves GROUP BY 1)
+SELECT substr(n.arm, 6) AS node_id, n.days, round(n.sharpe, 6) + 0.0 AS node_sharpe, round(f.sharpe, 6) + 0.0 AS father_sharpe, round(n.sharpe - f.sharpe, 6) + 0.0 AS delta FROM s n JOIN s f ON f.arm = 'FATHER:' || substr(n.arm, 6) WHERE starts_with(n.arm, 'NODE:')""")
+def tree_node_value(spark, sf):
+    done = tree_curves(spark, sf).groupBy("arm").agg(F.count("*").alias("days"), (F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * F.sqrt(F.lit(252.0))).alias("sharpe"))
+    side = lambda prefix: done.where(F.col("arm").startswith(prefix)).withColumn("node_id", F.substring("arm", len(prefix) + 1, 100))
+    both = side("NODE:").join(side("FATHER:").select("node_id", F.col("sharpe").alias("father")), "node_id")
+    return both.select("node_id", "days", rounded(F.col("sharpe")).alias("node_sharpe"), rounded(F.col("father")).alias("father_sharpe"), rounded(F.col("sharpe") - F.col("father")).alias("delta"))
 
 
 @query("flat_allocation", "SELECT fold_id, instrument, round(weight, 6) + 0.0 AS weight FROM max_return_w WHERE abs(weight) > 1e-12")
@@ -188,7 +293,7 @@ def alloc_tree_inverse_variance(spark, sf):
     var = cov.join(a, ["fold_id", "i"]).join(b, ["fold_id", "j"]).where("ni = nj").groupBy("fold_id", F.col("ni").alias("child_id")).agg(F.sum(F.col("wi") * F.col("wj") * F.col("cov")).alias("var"))
     top = hi.inverse_variance_split(sleeve_edges(spark, sf), var, ["fold_id"])
     start = top.select("fold_id").distinct().select("fold_id", F.lit("ROOT").alias("node_id"))
-    return hi.compose(start, top, leaf, 1).withColumn("weight", rounded(F.col("weight")))
+    return hi.compose(start, top, leaf).withColumn("weight", rounded(F.col("weight")))
 
 
 @query("synthetic_benchmark", """WITH b AS (SELECT 'ticker:CORE' AS instrument, sum(CASE WHEN p_size < 25 THEN 1.0 ELSE 0 END) / count(*) AS weight FROM part UNION ALL SELECT 'ticker:OTHER', 1 - sum(CASE WHEN p_size < 25 THEN 1.0 ELSE 0 END) / count(*) FROM part),
@@ -225,9 +330,9 @@ view("acted", """SELECT 'ROOT' AS node_id, 0 AS depth, false AS pruned, false AS
 
 def acted(spark, sf):
     e = edges(spark, sf)
-    tree = hi.walk(e, roots(spark), 3).select("node_id", "depth").join(e.withColumnRenamed("child_id", "node_id"), "node_id", "left")
+    tree = hi.walk(e, roots(spark)).select("node_id").join(e.withColumnRenamed("child_id", "node_id"), "node_id", "left")
     decided = e.select(F.col("child_id").alias("node_id"), F.when(F.substring("child_id", 2, 20).cast("long") * 7 % 10 < 4, "prune").otherwise("retain").alias("decision"))
-    return pru.contraction(tree, decided, 3)
+    return pru.contraction(tree, decided)
 
 
 @query("prune_actions", "SELECT node_id, action, new_parent FROM acted WHERE node_id <> 'ROOT'")

@@ -1,3 +1,6 @@
+import hashlib
+import json
+import random
 from datetime import date, timedelta
 
 import numpy as np
@@ -144,7 +147,7 @@ def test_pruning_decisions(spark):
 def test_contraction_lifts_once_and_cuts_twice(spark):
     tree = spark.createDataFrame([("R", None, 0), ("p", "R", 1), ("k", "R", 1), ("up", "p", 2), ("pp", "p", 2), ("cut", "pp", 3), ("leaf", "cut", 4), ("ok", "k", 2)], "node_id string, parent_id string, depth int")
     decided = spark.createDataFrame([("p", "prune"), ("k", "retain"), ("up", "retain"), ("pp", "prune"), ("cut", "retain"), ("leaf", "retain"), ("ok", "retain")], "node_id string, decision string")
-    got = {x.node_id: (x.action, x.new_parent) for x in pru.contraction(tree, decided, 4).collect()}
+    got = {x.node_id: (x.action, x.new_parent) for x in pru.contraction(tree, decided).collect()}
     assert got["p"][0] == "contracted" and got["up"] == ("lifted", "R") and got["pp"][0] == "removed_with_ancestor"
     assert got["cut"][0] == got["leaf"][0] == "removed_with_ancestor" and got["ok"] == ("kept", "k") and got["k"] == ("kept", "R")
 
@@ -153,7 +156,7 @@ def test_compose_weights(spark):
     root = spark.createDataFrame([("R",)], "node_id string")
     children = spark.createDataFrame([("R", "x", 0.6), ("R", "y", 0.3), ("x", "z", 0.5)], "parent_id string, child_id string, weight double")
     own = spark.createDataFrame([("R", "A", 0.1), ("x", "A", 0.5), ("y", "B", 1.0), ("z", "C", 1.0), ("z", "D", 0.0)], "node_id string, instrument string, weight double")
-    got = {x.instrument: round(x.weight, 9) for x in hi.compose(root, children, own, 3).collect()}
+    got = {x.instrument: round(x.weight, 9) for x in hi.compose(root, children, own).collect()}
     assert got == {"A": 0.4, "B": 0.3, "C": 0.3}
 
 
@@ -166,7 +169,78 @@ def test_regimes(spark):
 
 
 def test_text_rules(spark):
-    texts = spark.createDataFrame([("mail a.b@c.org or 415-555-1234 or +1 (415) 555-1234, id 1234567890",)], "t string")
-    assert texts.select(ca.redact_pii(F.col("t"))).first()[0] == "mail [email] or [phone] or [phone], id [number]"
+    texts = {
+        "mail a.b@c.org or 415-555-1234 or +1 (415) 555-1234, id 123456789": "mail [redacted-email] or [redacted-phone] or [redacted-phone], id [redacted-number]",
+        "4155551234 1-415-555-1234 +494155551234": "[redacted-phone] [redacted-phone] [redacted-phone]",
+        "card 123456789012 and 12345678": "card [redacted-number] and 12345678",
+        "x1234567890.y@z.com": "[redacted-email]",
+    }
+    frame = spark.createDataFrame(list(texts.items()), "t string, want string")
+    assert all(r[0] == r[1] for r in frame.select(ca.redact_pii(F.col("t")), "want").collect())
     entries = spark.createDataFrame([({"b": "1", "my_Token": "x", "a": "2"},)], "m map<string,string>")
     assert entries.select(ca.canonical_json(ca.redact_keys(F.col("m")))).first()[0] == '{"a":"2","b":"1","my_Token":"***"}'
+
+
+def test_canonical_json_escapes(spark):
+    maps = [{"a": 'x","b":"y'}, {"b": "y", "a": "x"}, {'q"\\': "l\n\té€"}, {"k": None}, {}]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "i int, m map<string,string>").select("i", ca.canonical_json(F.col("m")), ca.content_hash(F.col("m"))).orderBy("i").collect()
+    for m, (_, text, digest) in zip(maps, rows):
+        assert text == json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert digest == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_long_revision_chain_and_deep_trees(spark):
+    revisions = spark.createDataFrame([(1, i, i, i - 1 if i else None) for i in range(31)] + [(2, 100, 1, 101), (2, 101, 0, 100)], "tree_id int, revision_id int, created int, parent_id int")
+    got = [(r.tree_id, r.revision_id, r.step) for r in ca.revision_chain(revisions, ca.heads(revisions)).collect()]
+    assert sorted(got) == sorted([(1, 30 - k, k) for k in range(31)] + [(2, 100, 0), (2, 101, 1)])
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(15)] + [("n9", "n3")], "parent_id string, child_id string")
+    root = spark.createDataFrame([("n0",)], "node_id string")
+    assert sorted(r.depth for r in hi.walk(edges, root).collect()) == list(range(16))
+    shares = edges.withColumn("weight", F.lit(0.5))
+    assert {r.node_id: r.weight for r in hi.node_weights(root, shares).collect()} == {f"n{i}": 0.5**i for i in range(16)}
+    nodes = spark.createDataFrame([(f"n{i}", "x") for i in range(16)] + [("a", "x"), ("b", "x")], "node_id string, proxy string")
+    broken = edges.union(spark.createDataFrame([("a", "b"), ("b", "a")], edges.schema))
+    found = {(r.node_id, r.rule) for r in ca.tree_violations(nodes, broken, "n0").collect()}
+    assert found == {("a", "unreachable"), ("b", "unreachable"), ("n3", "two parents")}
+
+
+def brute_pass(slots, returns, backward):
+    """Weights by node of one fold: every node takes the best means up to its bounds."""
+    def solve(node):
+        own = [s for s in slots if s[0] == node]
+        series, weights = {}, {}
+        for _, name, child, lo, hi_ in own:
+            if child and backward:
+                inner = solve(child)
+                series[name + "_SYNTH"] = ([sum(x) for x in zip(*([w * v for v in inner[1][n]] for n, w in inner[0].items()))], lo, hi_)
+            else:
+                series[name] = (returns[name], lo, hi_)
+        spare = 1 - sum(lo for _, lo, _ in series.values())
+        for name in sorted(series, key=lambda n: (-sum(series[n][0]), n)):
+            _, lo, hi_ = series[name]
+            weights[name] = lo + min(spare, hi_ - lo)
+            spare -= weights[name] - lo
+        return weights, {n: v[0] for n, v in series.items()}
+
+    return {node: solve(node)[0] for node in {s[0] for s in slots}}
+
+
+def test_passes_over_a_tree_of_three_levels(spark):
+    slots = [("R", "A", None, 0.1, 0.6), ("R", "P", "x", 0.1, 0.7), ("x", "B", None, 0.0, 0.8), ("x", "Q", "y", 0.2, 0.9), ("y", "C", None, 0.1, 0.9), ("y", "D", None, 0.1, 0.9)]
+    rng = random.Random(4)
+    returns = {(f, n): [rng.uniform(-0.1, 0.1) for _ in range(6)] for f in range(4) for n in "ABCDPQ"}
+    rows = [(f, n, date(2024, 1, 1 + d), r) for (f, n), rs in returns.items() for d, r in enumerate(rs)]
+    series = spark.createDataFrame(rows, "fold_id int, instrument string, date date, ret double")
+    frame = spark.createDataFrame(slots, "node_id string, instrument string, child_id string, lo double, hi double")
+    depths = spark.createDataFrame([("R", 0), ("x", 1), ("y", 2)], "node_id string, depth int")
+    forward = hi.forward_pass(frame, series)
+    passes = {"forward": forward, "backward": hi.backward_pass(frame, depths, series, forward=forward), "direct": hi.backward_pass(frame, depths, series)}
+    found = {}
+    for name, weights in passes.items():
+        found[name] = {(r.fold_id, r.node_id, r.instrument): round(r.weight, 9) for r in weights.collect()}
+        for f in range(4):
+            for node, want in brute_pass(slots, {n: returns[f, n] for n in "ABCDPQ"}, name != "forward").items():
+                assert {i: w for (g, m, i), w in found[name].items() if (g, m) == (f, node)} == {i: round(w, 9) for i, w in want.items()}
+    assert found["backward"] == found["direct"] != found["forward"]
+    held = hi.terminal_weights(passes["backward"], depths.select("node_id")).groupBy("fold_id", "top").agg(F.sum("weight").alias("w"), F.collect_set("instrument").alias("i")).collect()
+    assert len(held) == 12 and all(abs(r.w - 1) < 1e-9 and not {"P", "Q"} & set(r.i) for r in held)
