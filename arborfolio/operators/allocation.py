@@ -124,6 +124,58 @@ def minimum_variance(cov: DataFrame, steps: int = 4000) -> DataFrame:
     return cov.groupBy("fold_id").applyInPandas(run, "fold_id int, instrument string, weight double")
 
 
+def ward_order(far: np.ndarray) -> list[int]:
+    """The leaves of the Ward linkage of a small distance matrix, left to right."""
+    members = {i: [i] for i in range(len(far))}
+    gap = {(i, j): float(far[i, j]) ** 2 for i in members for j in members if i < j}
+    fresh = len(far)
+    while len(members) > 1:
+        (a, b), near = min(gap.items(), key=lambda x: (round(x[1], 14), x[0]))
+        na, nb = len(members[a]), len(members[b])
+        for c in members:
+            if c not in (a, b):
+                nc, ac, bc = len(members[c]), gap.pop((min(a, c), max(a, c))), gap.pop((min(b, c), max(b, c)))
+                gap[c, fresh] = ((na + nc) * ac + (nb + nc) * bc - nc * near) / (na + nb + nc)
+        del gap[a, b]
+        members[fresh] = members.pop(a) + members.pop(b)
+        fresh += 1
+    return next(iter(members.values()))
+
+
+def hierarchical_risk_parity(cov: DataFrame) -> DataFrame:
+    """Weights by fold: leaves in the order of a Ward linkage of correlation distances, halved again and again.
+
+    Each half gets a share opposite to the variance of its inverse-variance portfolio. A fold's matrix
+    is bounded by its universe.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        c = rows.pivot(index="i", columns="j", values="cov").sort_index().sort_index(axis=1)
+        s = c.to_numpy()
+        risk = np.sqrt(np.maximum(np.diag(s), 1e-300))
+        far = np.sqrt(np.maximum((1 - np.clip(s / np.outer(risk, risk), -1, 1)) / 2, 0))
+        profile = np.sqrt(np.maximum(((far[:, None, :] - far[None, :, :]) ** 2).sum(axis=2), 0))
+        weights, open_ = np.ones(len(s)), [ward_order(profile)]
+
+        def variance(part: list[int]) -> float:
+            inner = 1 / np.maximum(np.diag(s)[part], 1e-300)
+            inner /= inner.sum()
+            return float(inner @ s[np.ix_(part, part)] @ inner)
+
+        while open_:
+            part = open_.pop()
+            if len(part) > 1:
+                left, right = part[: len(part) // 2], part[len(part) // 2 :]
+                vl, vr = variance(left), variance(right)
+                share = 1 - vl / (vl + vr) if vl + vr > 0 else 0.5
+                weights[left] *= share
+                weights[right] *= 1 - share
+                open_ += [left, right]
+        return pd.DataFrame({"fold_id": rows["fold_id"].iloc[0], "instrument": c.index, "weight": weights})
+
+    return cov.groupBy("fold_id").applyInPandas(run, "fold_id int, instrument string, weight double")
+
+
 def canonical(weights: DataFrame, key: list[str]) -> DataFrame:
     """Tiny weights become zero and the rest is rescaled to one."""
     kept = F.when(F.abs("weight") < ZERO, 0.0).otherwise(F.col("weight"))

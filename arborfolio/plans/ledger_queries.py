@@ -370,7 +370,7 @@ def paired_difference_resampled(spark, sf):
     return paired(spark, sf, monthly).groupBy("arm").agg(F.count("*").alias("n"), rounded(F.avg("diff") * 12).alias("mean_diff"))
 
 
-SAMPLES = 200
+SAMPLES = inf.SAMPLES
 BOOT = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY date) - 1 AS k, count(*) OVER (PARTITION BY arm) AS n FROM paired),
 sized AS (SELECT DISTINCT arm, n, CAST(ceil(n / {inf.BLOCK}) AS BIGINT) AS blocks FROM r WHERE n > {inf.BLOCK}),
 starts AS (SELECT arm, n, sample, block, ('0x' || substr(md5('{inf.SEED}|' || sample || '|' || block), 1, 8))::BIGINT % n AS start FROM sized, range({SAMPLES}) s(sample), LATERAL (SELECT unnest(range(blocks)) AS block)),

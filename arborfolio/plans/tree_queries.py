@@ -8,8 +8,10 @@ from arborfolio.functions.periods import rounded
 from arborfolio.operators import allocation as al
 from arborfolio.operators import hierarchy as hi
 from arborfolio.operators import ledger as le
+from arborfolio.operators import moments as mo
 from arborfolio.operators import pruning as pru
 from arborfolio.plans.allocation_queries import best_return, fill_sql
+from arborfolio.plans.ledger_queries import BPS
 from arborfolio.plans.panel_queries import hold, train
 from arborfolio.plans.registry import query, view
 from arborfolio.plans.risk_queries import benchmark, covariances, means
@@ -279,6 +281,48 @@ def flat_allocation(spark, sf):
     return best_return(spark, sf).where("abs(weight) > 1e-12").withColumn("weight", rounded(F.col("weight")))
 
 
+# Baselines on the same folds: equal, declared, three minimum variances, hierarchical risk parity
+
+
+@shared
+def baseline_arms(spark, sf):
+    rows, t = means(spark, sf), train(spark, sf)
+    folds = rows.select("fold_id").distinct()
+    equal = rows.join(rows.groupBy("fold_id").agg((1.0 / F.count("*")).alias("weight")), "fold_id").select("fold_id", "instrument", "weight")
+    shrunk = mo.shrunk_covariance(t)
+    parts = {
+        "EQUAL_WEIGHT": equal,
+        "DECLARED_BENCHMARK": folds.crossJoin(F.broadcast(benchmark(spark, sf))).select("fold_id", "instrument", "weight"),  # one row an instrument
+        "SAMPLE_MIN_VARIANCE": al.minimum_variance(covariances(spark, sf)),
+        "SHRUNK_FIXED_MIN_VARIANCE": al.minimum_variance(shrunk),
+        "LEDOIT_WOLF_MIN_VARIANCE": al.minimum_variance(mo.ledoit_wolf(t)),
+        "HRP_WARD_PEARSON": al.hierarchical_risk_parity(shrunk),
+    }
+    out = None
+    for name, part in parts.items():
+        part = part.select("fold_id", F.lit(name).alias("arm"), "instrument", "weight")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@shared
+def baseline_net(spark, sf):
+    arms = baseline_arms(spark, sf)
+    grown = le.growth(arms, hold(spark, sf))
+    return le.net_returns(le.ledger_returns(grown), le.turnover_costs(arms, le.drifted_weights(grown), BPS))
+
+
+@query("baseline_curves")
+def baseline_curves(spark, sf):
+    """Net daily returns of all six arms; those that SQL can follow are compared in declared_baseline_curves, the rest by their conditions in the tests."""
+    return baseline_net(spark, sf)
+
+
+@query("declared_baseline_curves", "SELECT CASE arm WHEN 'EQUAL' THEN 'EQUAL_WEIGHT' ELSE 'DECLARED_BENCHMARK' END AS arm, fold_id, date, round(ret, 8) + 0.0 AS ret FROM net WHERE arm IN ('EQUAL', 'BENCH')")
+def declared_baseline_curves(spark, sf):
+    return baseline_net(spark, sf).where("arm IN ('EQUAL_WEIGHT', 'DECLARED_BENCHMARK')").withColumn("ret", rounded(F.col("ret"), 8))
+
+
 view("variances", "SELECT fold_id, node_id, i AS instrument, cov AS var FROM cov_s JOIN sleeves ON i = instrument WHERE i = j")
 
 

@@ -152,6 +152,35 @@ def test_contraction_lifts_once_and_cuts_twice(spark):
     assert got["cut"][0] == got["leaf"][0] == "removed_with_ancestor" and got["ok"] == ("kept", "k") and got["k"] == ("kept", "R")
 
 
+def test_hierarchical_risk_parity(spark):
+    assert al.ward_order(np.array([[0, 9, 1, 9], [9, 0, 9, 2], [1, 9, 0, 9], [9, 2, 9, 0.0]])) == [0, 2, 1, 3]
+    s = np.diag([1.0, 4.0, 1.0, 4.0])
+    s[0, 2] = s[2, 0] = 0.5
+    rows = [(f, f"n{i}", f"n{j}", float(s[i, j]) * (f + 1)) for f in range(2) for i in range(4) for j in range(4)]
+    got = al.hierarchical_risk_parity(spark.createDataFrame(rows, "fold_id int, i string, j string, cov double")).collect()
+    for f in range(2):
+        w = np.array([r.weight for r in sorted(got, key=lambda r: r.instrument) if r.fold_id == f])
+        # halves {0, 2} and {1, 3}: variances 0.75 and 2, so 8/11 and 3/11, each split evenly
+        assert np.allclose(w, [4 / 11, 1.5 / 11, 4 / 11, 1.5 / 11])
+
+
+def test_baseline_arms_are_invested_and_of_least_variance(spark):
+    from arborfolio.plans import tree_queries as tq
+    from arborfolio.plans.risk_queries import covariances
+
+    sf = "/root/testdata/sf0.001"
+    arms = tq.baseline_arms(spark, sf).toPandas()
+    assert set(arms.arm) == {"EQUAL_WEIGHT", "DECLARED_BENCHMARK", "SAMPLE_MIN_VARIANCE", "SHRUNK_FIXED_MIN_VARIANCE", "LEDOIT_WOLF_MIN_VARIANCE", "HRP_WARD_PEARSON"}
+    assert np.allclose(arms.groupby(["arm", "fold_id"]).weight.sum(), 1) and (arms.weight >= -1e-12).all()
+    cov = covariances(spark, sf).toPandas()
+    for fold, rows in arms[arms.arm == "SAMPLE_MIN_VARIANCE"].groupby("fold_id"):
+        s = cov[cov.fold_id == fold].pivot(index="i", columns="j", values="cov")
+        w = rows.set_index("instrument").weight.reindex(s.index).to_numpy()
+        slope = s.to_numpy() @ w
+        assert (slope >= w @ slope - 1e-6 * abs(w @ slope)).all()
+    assert tq.baseline_curves(spark, sf).select("arm").distinct().count() == 6
+
+
 def test_compose_weights(spark):
     root = spark.createDataFrame([("R",)], "node_id string")
     children = spark.createDataFrame([("R", "x", 0.6), ("R", "y", 0.3), ("x", "z", 0.5)], "parent_id string, child_id string, weight double")
