@@ -32,6 +32,7 @@ PER_LANGUAGE, LANGUAGE_BYTES, LONGEST = 1000, 32 << 20, 4
 PENALTY = 1.0
 TEMPERATURES = [2.0**k for k in range(9)]
 CACHE_BYTES = 16 << 20
+BROADCAST_LANGUAGES = 10_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -74,20 +75,21 @@ TERM = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("term", pa.string()
 def sample_of(labelled: DataFrame, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES) -> DataFrame:
     """(doc_id, lang, text, tries): the training sample; tries marks the fifth that the temperature is chosen on.
 
-    A language's share of hashes that could belong to its sample is known from its count, so all
-    others are left where they are and no language is ranked whole. Of several texts under one id
+    The share of a language's hashes that could belong to its sample follows from its count, so all
+    other texts are left where they are and no language is ranked whole. Of several texts under one id
     and language the first in order counts.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("__all"))
-    near = labelled.select("doc_id", "lang", place.alias("__place")).join(counts, "lang").where(F.col("__place") * F.col("__all") <= 3 * per_language + 100)
+    counts = Workspace(labelled.sparkSession, "languages").write(labelled.groupBy("lang").agg(F.count("*").alias("__all")), "counts")
+    if counts.count() <= BROADCAST_LANGUAGES:  # rows of a name and a number; otherwise rows are dealt by language
+        counts = F.broadcast(counts)
+    rows = labelled.select("doc_id", "lang", "text", place.alias("__place")).join(counts, "lang")
+    near = rows.where(F.col("__place") * F.col("__all") <= 3 * per_language + 100).groupBy("lang", "doc_id", "__place").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("__place", "doc_id")
-    ids = near.groupBy("lang", "doc_id", "__place").count().withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= per_language)
-    texts = labelled.select("doc_id", "lang", "text").join(ids.select("doc_id", "lang", "__place"), ["doc_id", "lang"])
-    texts = texts.groupBy("doc_id", "lang", "__place").agg(F.min("text").alias("text"))
+    first = near.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= per_language)
     so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     tries = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
-    return texts.withColumn("__bytes", so_far).where(F.col("__bytes") <= language_bytes).select("doc_id", "lang", "text", tries.alias("tries"))
+    return first.withColumn("__bytes", so_far).where(F.col("__bytes") <= language_bytes).select("doc_id", "lang", "text", tries.alias("tries"))
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
