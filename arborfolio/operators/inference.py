@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES, BLOCK, SEED = 2000, 20, 7
+#: Paired observations, of some 40 bytes, that may be sent to every executor.
+BROADCAST_ROWS = 200_000
 
 
 def block_starts(keys: DataFrame, samples: int, seed: int = SEED) -> DataFrame:
@@ -36,7 +38,9 @@ def bootstrap(paired: DataFrame, key: list[str], samples: int = SAMPLES, block:
     sharpe = (F.try_divide(F.avg("c"), F.stddev_samp("c")) - F.try_divide(F.avg("b"), F.stddev_samp("b"))) * F.sqrt(F.lit(float(periods)))
     point = rows.groupBy(key).agg(F.count("*").alias("n"), (F.avg("diff") * periods).alias("mean_diff"), sharpe.alias("sharpe_diff"))
     sized = point.where(F.col("n") > block).select(*key, "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    picked = resampled_indices(sized, samples, block).join(rows, [*key, "k"])
+    # The drawn indices are many times the rows, which the optimizer can't tell from the plan.
+    rows_side = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("shuffle_hash")
+    picked = resampled_indices(sized, samples, block).join(rows_side, [*key, "k"])
     draws = picked.groupBy(*key, "sample").agg((F.avg("diff") * periods).alias("m"), sharpe.alias("s"))
     both = draws.join(point.select(*key, "mean_diff"), key)
     extreme = F.count_if(F.abs(F.col("m") - F.col("mean_diff")) >= F.abs(F.col("mean_diff")))
