@@ -70,34 +70,38 @@ def financing_returns(days: DataFrame, nodes: DataFrame) -> DataFrame:
     return days.select("date").distinct().crossJoin(F.broadcast(legs))
 
 
-def metrics(curves: DataFrame, key: list[str], rate: Column | float = 0.0) -> DataFrame:
-    """Per key: cagr, annualized volatility, excess, Sharpe, Sortino, n_obs; ``rate`` is a year's risk-free rate."""
-    r, excess = F.col("ret"), F.col("ret") - rate / DAYS
-    base = curves.groupBy(key).agg(
-        F.count("ret").alias("n_obs"),
-        F.product(1 + r).alias("wealth"),
-        F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("sd"),
-        F.avg(excess).alias("mean"),
-        F.sqrt(F.avg(F.least(excess, F.lit(0.0)) * F.least(excess, F.lit(0.0)))).alias("down"),
-    )
-    year = F.lit(float(DAYS))
+def _sums(excess: Column) -> dict[str, Column]:
+    """What the metrics need, as aggregates that also run over a window."""
+    short = F.least(excess, F.lit(0.0))
+    return {"n_obs": F.count("ret"), "wealth": F.product(1 + F.col("ret")), "sd": F.stddev_samp("ret"), "mean": F.avg(excess), "short": F.avg(short * short)}
+
+
+def _ratios(base: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """The metrics of each key from its ``_sums``."""
+    year, sd, down = F.lit(float(DAYS)), F.coalesce("sd", F.lit(0.0)), F.sqrt("short")
     return base.select(
         *key,
         (F.pow("wealth", F.try_divide(year, F.col("n_obs"))) - 1).alias("cagr"),
-        (F.col("sd") * F.sqrt(year)).alias("annualized_volatility"),
+        (sd * F.sqrt(year)).alias("annualized_volatility"),
         (F.col("mean") * year).alias("annualized_excess_return"),
-        F.when(F.col("sd") > 0, F.col("mean") / F.col("sd") * F.sqrt(year)).otherwise(0.0).alias("annualized_sharpe"),
-        F.when(F.col("down") > 0, F.col("mean") * year / (F.col("down") * F.sqrt(year))).otherwise(0.0).alias("annualized_sortino"),
+        F.when(sd > 0, F.col("mean") / sd * F.sqrt(year)).otherwise(0.0).alias("annualized_sharpe"),
+        F.when(down > 0, F.col("mean") * year / (down * F.sqrt(year))).otherwise(0.0).alias("annualized_sortino"),
         "n_obs",
+        *more,
     )
 
 
-def drawdowns(curves: DataFrame, key: list[str]) -> DataFrame:
-    """Per key and date: wealth, its peak so far (from the first wealth value, not one) and the drawdown."""
+def metrics(curves: DataFrame, key: list[str], rate: Column | float = 0.0) -> DataFrame:
+    """Per key: cagr, annualized volatility, excess, Sharpe, Sortino, n_obs; ``rate`` is a year's risk-free rate."""
+    return _ratios(curves.groupBy(key).agg(*(c.alias(n) for n, c in _sums(F.col("ret") - rate / DAYS).items())), key)
+
+
+def drawdowns(curves: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """Per key and date: wealth, its peak so far (from the first wealth value, not one), the drawdown and the columns ``more``."""
     so_far = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     wealth = curves.withColumn("wealth", F.product(1 + F.col("ret")).over(so_far))
     peaked = wealth.withColumn("peak", F.max("wealth").over(so_far))
-    return peaked.select(*key, "date", "wealth", "peak", (F.try_divide("wealth", "peak") - 1).alias("drawdown"))
+    return peaked.select(*key, "date", "wealth", "peak", (F.try_divide("wealth", "peak") - 1).alias("drawdown"), *more)
 
 
 def max_drawdown(curves: DataFrame, key: list[str]) -> DataFrame:
@@ -105,10 +109,21 @@ def max_drawdown(curves: DataFrame, key: list[str]) -> DataFrame:
 
 
 def metrics_before(curves: DataFrame, signals: DataFrame, inclusive: bool = False) -> DataFrame:
-    """Metrics (rate 0) per arm and signal on the dates strictly before it (or up to it), with max_drawdown."""
-    reach = F.col("date") <= F.col("signal") if inclusive else F.col("date") < F.col("signal")
-    seen = curves.join(F.broadcast(signals.select("signal")), reach)  # one signal a rebalance period
-    return metrics(seen, ["arm", "signal"]).join(max_drawdown(seen, ["arm", "signal"]), ["arm", "signal"])
+    """Metrics (rate 0) per arm and signal on the dates strictly before it (or up to it), with max_drawdown.
+
+    Each day gets the sums of its arm so far, in one window; a signal takes those of the last day
+    within its reach. An arm without such a day has no row.
+    """
+    so_far = Window.partitionBy("arm").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    running = drawdowns(curves.select("arm", "date", "ret"), ["arm"], "ret").select(
+        "arm", "date", F.struct(*(c.over(so_far).alias(n) for n, c in _sums(F.col("ret")).items()), F.min("drawdown").over(so_far).alias("max_drawdown")).alias("sums")
+    )
+    asked = curves.groupBy("arm").agg(F.min("date").alias("first")).join(signals.select("signal").distinct(), F.col("first") <= F.col("signal"))  # the rows of the result
+    marks = asked.select("arm", F.col("signal").alias("date"), F.lit(None).cast(running.schema["sums"].dataType).alias("sums"), "signal")
+    turn = F.when(F.col("signal").isNotNull(), F.lit(1 if inclusive else -1)).otherwise(0)
+    up_to = Window.partitionBy("arm").orderBy("date", turn).rowsBetween(Window.unboundedPreceding, 0)
+    last = running.withColumn("signal", F.lit(None).cast("date")).unionByName(marks).withColumn("sums", F.last("sums", True).over(up_to))
+    return _ratios(last.where("signal IS NOT NULL AND sums IS NOT NULL").select("arm", "signal", "sums.*"), ["arm", "signal"], "max_drawdown")
 
 
 def grid_gaps(curves: DataFrame) -> DataFrame:

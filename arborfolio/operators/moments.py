@@ -72,18 +72,19 @@ def ledoit_wolf(returns: DataFrame) -> DataFrame:
     b2 = min(d2, (sum over days of |x x' - S|^2) / (n^2 p)), the weight of mI is b2 / d2.
     """
     centre = returns.join(mean(returns), ["fold_id", "instrument"]).select("fold_id", "date", "instrument", (F.col("ret") - F.col("mu")).alias("ret"))
-    pairs = pair_rows(centre)
+    pairs = pair_rows(centre).where("i <= j")
     s = pairs.groupBy("fold_id", "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("cov"), F.avg(F.col("x") * F.col("x") * F.col("y") * F.col("y")).alias("fourth"), F.count("*").alias("n"))
     level = s.where("i = j").groupBy("fold_id").agg(F.avg("cov").alias("level"), F.count("*").alias("p"))
     joined = s.join(level, "fold_id")
     target = F.when(F.col("i") == F.col("j"), F.col("level")).otherwise(F.lit(0.0))
+    times = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)  # a pair stands for both of its orders
     sizes = joined.groupBy("fold_id").agg(
-        F.sum((F.col("cov") - target) * (F.col("cov") - target)).alias("d2"),
-        F.sum((F.col("fourth") - F.col("cov") * F.col("cov")) / F.col("n")).alias("b2"),
+        F.sum(times * (F.col("cov") - target) * (F.col("cov") - target)).alias("d2"),
+        F.sum(times * (F.col("fourth") - F.col("cov") * F.col("cov")) / F.col("n")).alias("b2"),
     )
     weight = F.when(F.col("d2") > 0, F.least("b2", "d2") / F.col("d2")).otherwise(F.lit(0.0))
     done = joined.join(sizes.select("fold_id", weight.alias("delta")), "fold_id")
-    return done.select("fold_id", "i", "j", ((1 - F.col("delta")) * F.col("cov") + F.col("delta") * target).alias("cov"))
+    return _symmetric(done.select("fold_id", "i", "j", ((1 - F.col("delta")) * F.col("cov") + F.col("delta") * target).alias("cov")), "cov")
 
 
 def correlation_distance(returns: DataFrame) -> DataFrame:

@@ -273,3 +273,20 @@ def test_passes_over_a_tree_of_three_levels(spark):
     assert found["backward"] == found["direct"] != found["forward"]
     held = hi.terminal_weights(passes["backward"], depths.select("node_id")).groupBy("fold_id", "top").agg(F.sum("weight").alias("w"), F.collect_set("instrument").alias("i")).collect()
     assert len(held) == 12 and all(abs(r.w - 1) < 1e-9 and not {"P", "Q"} & set(r.i) for r in held)
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_metrics_before_equal_those_of_the_days_in_reach(spark, inclusive):
+    start = date(2024, 1, 1)
+    rows = [(a, start + timedelta(k), ((k * 13 + len(a)) % 7 - 3) / 100 if k != 4 else None) for a, n in (("A", 30), ("BB", 12)) for k in range(20 if a == "BB" else 0, 20 + n)]
+    curves = spark.createDataFrame(rows, "arm string, date date, ret double")
+    signals = [start, start + timedelta(9), start + timedelta(20), start + timedelta(25), start + timedelta(90)]
+    got = {(r.arm, r.signal): r.asDict() for r in le.metrics_before(curves, spark.createDataFrame([(s,) for s in [*signals, signals[1]]], "signal date"), inclusive).collect()}
+    want = {}
+    for s in signals:
+        seen = curves.where(F.col("date") <= s if inclusive else F.col("date") < s)
+        deepest = {r.arm: r.max_drawdown for r in le.max_drawdown(seen, ["arm"]).collect()}
+        want |= {(r.arm, s): {**r.asDict(), "signal": s, "max_drawdown": deepest[r.arm]} for r in le.metrics(seen, ["arm"]).collect()}
+    assert got.keys() == want.keys() and len(got) >= 6
+    for key, row in want.items():
+        assert got[key] == pytest.approx(row)

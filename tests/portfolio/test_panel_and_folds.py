@@ -36,13 +36,13 @@ def test_live_edge_and_long_gap(spark):
 
 
 def test_currency_conversion(spark):
-    levels = frame(spark, {"A": [50.0, 51.0, 52.0], "B": [100.0, 101.0, 102.0]})
-    native = spark.createDataFrame([("A", "EUR"), ("B", "USD")], "instrument string, currency string")
-    rates = spark.createDataFrame([(d, c, r) for d, e in zip(days(3), (1.10, 1.11, 1.09)) for c, r in (("EUR", e), ("USD", 1.0))], "date date, currency string, usd_per_unit double")
-    usd = pa.convert_levels(levels, native, rates, "USD").orderBy("instrument", "date").collect()
-    assert [round(r.level, 6) for r in usd] == [55.0, 56.61, 56.68, 100.0, 101.0, 102.0]
-    eur = pa.convert_levels(levels, native, rates, "EUR").where("instrument = 'B'").orderBy("date").collect()
-    assert [round(r.level, 6) for r in eur] == [90.909091, 90.990991, 93.577982]
+    levels = frame(spark, {"X": [20.0, 21.0, 19.5], "Y": [80.0, 84.0, 82.0]})
+    native = spark.createDataFrame([("X", "GBP"), ("Y", "USD")], "instrument string, currency string")
+    pound = [1.25, 1.28, 1.2]
+    rates = spark.createDataFrame([(d, c, r) for d, p in zip(days(3), pound) for c, r in (("GBP", p), ("USD", 1.0))], "date date, currency string, usd_per_unit double")
+    for target, want in (("USD", [25.0, 26.88, 23.4, 80.0, 84.0, 82.0]), ("GBP", [20.0, 21.0, 19.5, 64.0, 65.625, 82.0 / 1.2])):
+        got = pa.convert_levels(levels, native, rates, target).orderBy("instrument", "date").collect()
+        assert [r.level for r in got] == pytest.approx(want)
 
 
 def test_yen_is_turned_over(spark):
