@@ -7,8 +7,25 @@ from pyspark.sql import functions as F
 
 from arborfolio.sources.written import grow
 
-CONFIG = "STRUCT<node_id: STRING, objective: STRING, leverage: DOUBLE, spread: DOUBLE, confidence: DOUBLE, min_weights: MAP<STRING, DOUBLE>, max_weights: MAP<STRING, DOUBLE>>"
-OBJECTIVES = ("min_risk", "max_return", "max_ratio", "max_utility")
+#: A node's config as JSON; fields of CHOICES and LIMITS are read beside these.
+CONFIG = """node_id STRING, objective STRING, leverage DOUBLE, spread DOUBLE, confidence DOUBLE, min_weights MAP<STRING, DOUBLE>, max_weights MAP<STRING, DOUBLE>,
+  mean_reference_weights MAP<STRING, DOUBLE>, maximum_turnover DOUBLE, max_turnover DOUBLE, cash_enabled BOOLEAN, allow_cash BOOLEAN, risk_aversion DOUBLE, view_tau DOUBLE,
+  volatility_reference STRING, max_volatility_reference STRING, tracking_error_reference STRING, views ARRAY<STRUCT<confidence: DOUBLE, coefficients: MAP<STRING, DOUBLE>>>"""
+OBJECTIVES = ("min_risk", "max_return", "max_ratio", "max_utility", "hrp")
+#: What each of these fields may hold; the first is the default.
+CHOICES = {
+    "covariance_estimator": ("shrunk_fixed", "ledoit_wolf"),
+    "view_covariance_policy": ("prior_risk", "posterior_all"),
+    "volatility_target_mode": ("exact", "cap", "at_most"),
+    "mean_reference_kind": ("none", "benchmark", "local_weights"),
+    "tracking_error_policy": ("hard_fail", "nearest_feasible"),
+    "volatility_target_policy": ("hard_fail", "nearest_feasible"),
+    "volatility_cap_policy": ("hard_fail",),
+    "currency": ("USD", "EUR", "GBP", "JPY"),
+}
+#: References kept for a mode that does not exist yet.
+RESERVED = ("current_parent_synthetic", "current_root_synthetic")
+LIMITS = ("per_asset_cap", "vol_target", "max_volatility", "max_tracking_error")
 #: Parts of key names whose values are secrets.
 SECRET_WORDS = ("token", "secret", "password", "api_key", "apikey")
 #: What counts as an e-mail address, a phone number and a long run of digits.
@@ -42,17 +59,9 @@ def fingerprint(coverage: DataFrame) -> DataFrame:
 
 def parse_configs(configs: DataFrame) -> DataFrame:
     """Config texts (tree_id, body) as rows with defaults; a text that does not parse has a null node_id."""
-    c = configs.select("tree_id", F.from_json("body", CONFIG).alias("c"))
-    return c.select(
-        "tree_id",
-        "c.node_id",
-        F.coalesce("c.objective", F.lit("min_risk")).alias("objective"),
-        F.coalesce("c.leverage", F.lit(1.0)).alias("leverage"),
-        F.coalesce("c.spread", F.lit(0.0)).alias("spread"),
-        "c.confidence",
-        F.col("c.min_weights").alias("min_weights"),
-        F.col("c.max_weights").alias("max_weights"),
-    )
+    fields = ", ".join([CONFIG, *(f"{c} STRING" for c in CHOICES), *(f"{c} DOUBLE" for c in LIMITS)])
+    defaults = {"objective": OBJECTIVES[0], "leverage": 1.0, "spread": 0.0, **{c: may[0] for c, may in CHOICES.items()}}
+    return configs.select("tree_id", F.from_json("body", fields).alias("c")).select("tree_id", "c.*").fillna(defaults)
 
 
 def config_bounds(parsed: DataFrame) -> DataFrame:
@@ -63,29 +72,49 @@ def config_bounds(parsed: DataFrame) -> DataFrame:
 
 
 def config_violations(parsed: DataFrame) -> DataFrame:
-    """(tree_id, rule) for every rule a config breaks."""
-    bounds = config_bounds(parsed)
-    rules = [
-        (parsed, ~F.col("objective").isin(*OBJECTIVES), "objective"),
-        (parsed, F.col("leverage") < 1, "leverage"),
-        (parsed, F.col("spread") < 0, "spread"),
-        (parsed, (F.col("spread") > 0) & (F.col("leverage") <= 1), "spread without financing"),
-        (parsed, (F.col("confidence") <= 0) | (F.col("confidence") > 1), "confidence"),
-        (bounds, ~F.col("lo").between(0, 1) | ~F.col("hi").between(0, 1), "bound range"),
-        (bounds, F.col("lo") > F.col("hi"), "crossed bounds"),
-    ]
-    parts = [rows.where(test).select("tree_id", F.lit(name).alias("rule")).distinct() for rows, test, name in rules]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def tree_violations(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
-    """(node_id, rule): duplicate ids, unknown children, two parents, the root as child, missing proxies, nodes out of reach.
-
-    The walk takes only nodes that it has not met, so it ends on trees of any depth and on cycles,
-    which are out of reach of the root.
+    """(tree_id, rule) for every rule a config breaks, found in one pass over the configs."""
+    c = F.col
+    outside = lambda weights: F.exists(F.map_values(weights), lambda w: ~w.between(0, 1))
+    some = lambda m: F.coalesce(F.size(m), F.lit(0)) > 0
+    local, cash = c("mean_reference_kind") == "local_weights", F.coalesce("cash_enabled", "allow_cash", F.lit(False))
+    total = F.aggregate(F.map_values("mean_reference_weights"), F.lit(0.0), lambda s, w: s + w)
+    label = lambda name: F.lower(F.trim(name))
+    references = F.array("volatility_reference", "max_volatility_reference", "tracking_error_reference", "mean_reference_kind")
+    rules = {
+        **{field: ~c(field).isin(*may) for field, may in {"objective": OBJECTIVES, **CHOICES}.items()},
+        "leverage": c("leverage") < 1,
+        "spread": c("spread") < 0,
+        "spread without financing": (c("spread") > 0) & (c("leverage") <= 1) & ~cash,
+        "confidence": (c("confidence") <= 0) | (c("confidence") > 1),
+        "bound range": F.coalesce(outside("min_weights"), F.lit(False)) | F.coalesce(outside("max_weights"), F.lit(False)),
+        "crossed bounds": F.exists(F.map_entries("min_weights"), lambda e: e["value"] > F.try_element_at("max_weights", e["key"])),
+        "reserved reference": F.exists(references, lambda r: r.isin(*RESERVED)),
+        "reference weights missing": local & ~some("mean_reference_weights"),
+        "reference weights sum": local & some("mean_reference_weights") & (F.abs(total - 1) > 1e-6),
+        "reference weights unused": ~local & some("mean_reference_weights"),
+        "turnover": c("maximum_turnover").isNotNull() | c("max_turnover").isNotNull(),
+        "risk aversion": c("risk_aversion") <= 0,
+        "view tau": c("view_tau") <= 0,
+        "negative limit": F.exists(F.array(*LIMITS), lambda x: x < 0),
+        "asset cap": c("per_asset_cap") > 1,
+        "two caps": c("volatility_target_mode").isin("cap", "at_most") & c("vol_target").isNotNull() & c("max_volatility").isNotNull(),
+        "cash contradiction": c("cash_enabled") != c("allow_cash"),
+        "view confidence": F.exists("views", lambda v: (v["confidence"] <= 0) | (v["confidence"] > 1)),
+        "view without coefficients": F.exists("views", lambda v: F.coalesce(F.size(v["coefficients"]), F.lit(0)) <= 0),
+        "view on financing": F.exists("views", lambda v: F.exists(F.map_keys(v["coefficients"]), lambda k: label(k).startswith("cash:rf") | label(k).startswith("cash:borrow"))),
+    }
+    broken = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())))
+    return parsed.select("tree_id", F.explode(broken).alias("rule")).distinct()
+
+
+def tree_violations(nodes: DataFrame, edges: DataFrame, root: str, instruments: DataFrame | None = None) -> DataFrame:
+    """(node_id, rule): duplicate ids and names, unknown children, two parents, the root as child, missing,
+    shared and colliding proxies, instruments listed twice, nodes out of reach.
+
+    ``nodes`` (node_id, proxy) may have a name, else the id is one; ``instruments`` (node_id, instrument)
+    are those a node holds itself. Siblings must have different proxies, none of them an instrument of
+    their parent. The walk takes only nodes that it has not met, so it ends on trees of any depth and on
+    cycles; a cycle is out of reach of the root, or a node of it has two parents, or the root is a child.
     """
     say = lambda rows, rule: rows.select("node_id", F.lit(rule).alias("rule")).distinct()
     child = edges.select(F.col("child_id").alias("node_id"), "parent_id")
@@ -95,7 +124,17 @@ def tree_violations(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
         .groupBy(F.col("child_id").alias("node_id")).agg(F.array_append(F.min("met"), F.col("child_id")).alias("met"))
     ))
     out = say(nodes.groupBy("node_id").count().where("count > 1"), "duplicate id")
+    if "name" in nodes.columns:
+        named = nodes.select("node_id", F.coalesce("name", "node_id").alias("name"))
+        out = out.unionByName(say(named.join(named.groupBy("name").agg(F.count_distinct("node_id").alias("n")).where("n > 1"), "name"), "duplicate name"))
+    proxies = child.join(nodes.where("proxy IS NOT NULL").select("node_id", "proxy").distinct(), "node_id")
+    if instruments is not None:
+        out = out.unionByName(say(instruments.groupBy("node_id", "instrument").count().where("count > 1"), "duplicate instrument"))
+        held = instruments.select(F.col("node_id").alias("parent_id"), F.col("instrument").alias("proxy"))
+        out = out.unionByName(say(proxies.join(held, ["parent_id", "proxy"], "left_semi"), "colliding proxy"))
+    shared = proxies.groupBy("parent_id", "proxy").agg(F.count_distinct("node_id").alias("n")).where("n > 1")
     for rows, rule in (
+        (proxies.join(shared, ["parent_id", "proxy"]), "shared proxy"),
         (child.join(nodes, "node_id", "left_anti"), "unknown child"),
         (child.groupBy("node_id").agg(F.count_distinct("parent_id").alias("n")).where("n > 1"), "two parents"),
         (child.where(F.col("node_id") == root), "root as child"),

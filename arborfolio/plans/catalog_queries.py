@@ -59,19 +59,35 @@ def data_fingerprint(spark, sf):
 
 # Configs: one JSON text for each customer
 
-view("config_in", """SELECT c_custkey AS tree_id, CASE c_custkey % 9 WHEN 0 THEN 'best' WHEN 1 THEN NULL WHEN 2 THEN 'max_return' ELSE 'min_risk' END AS objective, CASE c_nationkey % 5 WHEN 0 THEN 0.5 WHEN 1 THEN NULL ELSE 1.5 END AS leverage,
-  CASE c_custkey % 7 WHEN 0 THEN -1.0 WHEN 1 THEN NULL ELSE 25.0 END AS spread, (c_custkey % 13) / 10.0 AS confidence, (c_custkey % 12) / 10.0 AS lo, (c_custkey % 8) / 10.0 AS hi FROM customer""")
-view("config_v", "SELECT tree_id, coalesce(objective, 'min_risk') AS objective, coalesce(leverage, 1.0) AS leverage, coalesce(spread, 0.0) AS spread, confidence, lo, hi FROM config_in")
+#: Which customers (number modulo 40) get which other field, as SQL that both engines read.
+FLAWS = {
+    "covariance_estimator": {1: "'oas'", 2: "'ledoit_wolf'"}, "view_covariance_policy": {3: "'mixed'"}, "volatility_target_mode": {4: "'below'", 5: "'cap'", 6: "'at_most'"},
+    "volatility_reference": {7: "'current_root_synthetic'", 8: "'benchmark'"}, "mean_reference_kind": {9: "'father_proxy'", 10: "'local_weights'", 11: "'local_weights'", 12: "'local_weights'"},
+    "tracking_error_policy": {14: "'relax'"}, "volatility_target_policy": {15: "'nearest_feasible'"}, "volatility_cap_policy": {16: "'nearest_feasible'"}, "currency": {17: "'CHF'", 18: "'EUR'"},
+    "risk_aversion": {19: "0.0", 20: "2.5"}, "view_tau": {21: "-0.5"}, "per_asset_cap": {22: "1.5", 23: "-0.25"}, "vol_target": {5: "0.125", 24: "-0.125", 25: "0.25"}, "max_volatility": {5: "0.25", 6: "0.25"},
+    "max_tracking_error": {26: "-1.0"}, "maximum_turnover": {27: "0.5"}, "max_turnover": {28: "0.0"}, "cash_enabled": {29: "true", 30: "true"}, "allow_cash": {29: "false", 31: "true"},
+    "weight_a": {11: "0.75", 12: "0.5", 13: "1.0"}, "weight_b": {11: "0.25", 12: "0.25", 13: "0.0"}, "view_confidence": {32: "0.0", 33: "1.5", 34: "0.5", 35: "0.5"}, "view_on": {32: "'ticker:A'", 34: "' CASH:RF@N1'", 35: "'ticker:B'"},
+}
+FLAW_COLUMNS = [f"CASE c_custkey % 40 {' '.join(f'WHEN {k} THEN {v}' for k, v in cases.items())} END AS {name}" for name, cases in FLAWS.items()]
+
+view("config_in", f"""SELECT c_custkey AS tree_id, CASE c_custkey % 9 WHEN 0 THEN 'best' WHEN 1 THEN NULL WHEN 2 THEN 'max_return' WHEN 3 THEN 'hrp' ELSE 'min_risk' END AS objective, CASE c_nationkey % 5 WHEN 0 THEN 0.5 WHEN 1 THEN NULL ELSE 1.5 END AS leverage,
+  CASE c_custkey % 7 WHEN 0 THEN -1.0 WHEN 1 THEN NULL ELSE 25.0 END AS spread, (c_custkey % 13) / 10.0 AS confidence, (c_custkey % 12) / 10.0 AS lo, (c_custkey % 8) / 10.0 AS hi, {", ".join(FLAW_COLUMNS)} FROM customer""")
+view("config_v", "SELECT * REPLACE (coalesce(objective, 'min_risk') AS objective, coalesce(leverage, 1.0) AS leverage, coalesce(spread, 0.0) AS spread) FROM config_in")
 
 
 def configs(spark, sf):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    objective = F.when(k % 9 == 0, "best").when(k % 9 == 2, "max_return").when(k % 9 != 1, "min_risk")
+    objective = F.when(k % 9 == 0, "best").when(k % 9 == 2, "max_return").when(k % 9 == 3, "hrp").when(k % 9 != 1, "min_risk")
     leverage = F.when(n % 5 == 0, 0.5).when(n % 5 != 1, 1.5)
     spread = F.when(k % 7 == 0, -1.0).when(k % 7 != 1, 25.0)
     maps = lambda v: F.create_map(F.lit("ticker:A"), v)
-    body = F.to_json(F.struct(F.concat(F.lit("N"), k.cast("string")).alias("node_id"), objective.alias("objective"), leverage.alias("leverage"), spread.alias("spread"), ((k % 13) / 10).alias("confidence"), maps((k % 12) / 10).alias("min_weights"), maps((k % 8) / 10).alias("max_weights")))
-    return table(spark, sf, "customer").select(k.alias("tree_id"), body.alias("body"))
+    flawed = table(spark, sf, "customer").selectExpr("c_custkey", "c_nationkey", *FLAW_COLUMNS)
+    extra = [F.col(name) for name in FLAWS if name not in ("weight_a", "weight_b", "view_confidence", "view_on")]
+    weights = F.when(F.col("weight_a").isNotNull(), F.create_map(F.lit("ticker:A"), "weight_a", F.lit("ticker:B"), "weight_b")).alias("mean_reference_weights")
+    picks = F.when(F.col("view_on").isNotNull(), F.create_map(F.coalesce("view_on", F.lit("")), F.lit(1.0)))
+    views = F.when(F.col("view_confidence").isNotNull(), F.array(F.struct(F.col("view_confidence").alias("confidence"), picks.alias("coefficients")))).alias("views")
+    known = [F.concat(F.lit("N"), k.cast("string")).alias("node_id"), objective.alias("objective"), leverage.alias("leverage"), spread.alias("spread"), ((k % 13) / 10).alias("confidence"), maps((k % 12) / 10).alias("min_weights"), maps((k % 8) / 10).alias("max_weights")]
+    return flawed.select(k.alias("tree_id"), F.to_json(F.struct(*known, *extra, weights, views)).alias("body"))
 
 
 @query("config_nodes", "SELECT tree_id, 'N' || tree_id AS node_id, objective, round(leverage, 6) AS leverage, round(spread, 6) AS spread, round(confidence, 6) AS confidence FROM config_v")
@@ -84,35 +100,57 @@ def config_bounds(spark, sf):
     return ca.config_bounds(ca.parse_configs(configs(spark, sf))).select("tree_id", "instrument", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query("config_violations", """SELECT tree_id, 'objective' AS rule FROM config_v WHERE objective NOT IN ('min_risk', 'max_return', 'max_ratio', 'max_utility') UNION ALL SELECT tree_id, 'leverage' FROM config_v WHERE leverage < 1
-  UNION ALL SELECT tree_id, 'spread' FROM config_v WHERE spread < 0 UNION ALL SELECT tree_id, 'spread without financing' FROM config_v WHERE spread > 0 AND leverage <= 1 UNION ALL SELECT tree_id, 'confidence' FROM config_v WHERE confidence <= 0 OR confidence > 1
-  UNION ALL SELECT tree_id, 'bound range' FROM config_v WHERE lo NOT BETWEEN 0 AND 1 OR hi NOT BETWEEN 0 AND 1 UNION ALL SELECT tree_id, 'crossed bounds' FROM config_v WHERE lo > hi""")
+RULES_SQL = {
+    "objective": "objective NOT IN ('min_risk', 'max_return', 'max_ratio', 'max_utility', 'hrp')", "leverage": "leverage < 1", "spread": "spread < 0", "spread without financing": "spread > 0 AND leverage <= 1 AND NOT coalesce(cash_enabled, allow_cash, false)",
+    "confidence": "confidence <= 0 OR confidence > 1", "bound range": "lo NOT BETWEEN 0 AND 1 OR hi NOT BETWEEN 0 AND 1", "crossed bounds": "lo > hi",
+    "covariance_estimator": "covariance_estimator NOT IN ('shrunk_fixed', 'ledoit_wolf')", "view_covariance_policy": "view_covariance_policy NOT IN ('prior_risk', 'posterior_all')", "volatility_target_mode": "volatility_target_mode NOT IN ('exact', 'cap', 'at_most')",
+    "mean_reference_kind": "mean_reference_kind NOT IN ('none', 'benchmark', 'local_weights')", "tracking_error_policy": "tracking_error_policy NOT IN ('hard_fail', 'nearest_feasible')", "volatility_target_policy": "volatility_target_policy NOT IN ('hard_fail', 'nearest_feasible')",
+    "volatility_cap_policy": "volatility_cap_policy <> 'hard_fail'", "currency": "currency NOT IN ('USD', 'EUR', 'GBP', 'JPY')", "reserved reference": "volatility_reference IN ('current_parent_synthetic', 'current_root_synthetic')",
+    "reference weights missing": "mean_reference_kind = 'local_weights' AND weight_a IS NULL", "reference weights sum": "mean_reference_kind = 'local_weights' AND abs(weight_a + weight_b - 1) > 1e-6", "reference weights unused": "coalesce(mean_reference_kind, 'none') <> 'local_weights' AND weight_a IS NOT NULL",
+    "turnover": "maximum_turnover IS NOT NULL OR max_turnover IS NOT NULL", "risk aversion": "risk_aversion <= 0", "view tau": "view_tau <= 0", "negative limit": "least(per_asset_cap, vol_target, max_volatility, max_tracking_error) < 0", "asset cap": "per_asset_cap > 1",
+    "two caps": "volatility_target_mode IN ('cap', 'at_most') AND vol_target IS NOT NULL AND max_volatility IS NOT NULL", "cash contradiction": "cash_enabled <> allow_cash",
+    "view confidence": "view_confidence <= 0 OR view_confidence > 1", "view without coefficients": "view_confidence IS NOT NULL AND view_on IS NULL", "view on financing": "lower(trim(view_on)) LIKE 'cash:rf%' OR lower(trim(view_on)) LIKE 'cash:borrow%'",
+}
+
+
+@query("config_violations", " UNION ALL ".join(f"SELECT tree_id, '{rule}' AS rule FROM config_v WHERE {test}" for rule, test in RULES_SQL.items()))
 def config_violations(spark, sf):
     return ca.config_violations(ca.parse_configs(configs(spark, sf)))
 
 
-# A flawed tree: suppliers under nations; every 40th id is listed twice, every 25th hangs under two parents, every 30th edge leads nowhere
+# A flawed tree: suppliers under nations; every 40th id is listed twice, every 25th hangs under two parents, every 30th edge leads
+# nowhere, every tenth proxy and every 35th name is the same, and some nations hold a child's proxy or an instrument twice
 
-view("flawed_nodes", "SELECT 'ROOT' AS node_id, CAST(NULL AS VARCHAR) AS proxy UNION ALL SELECT 'N' || n_nationkey, 'x' FROM nation UNION ALL SELECT 'S' || s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 'x' END FROM supplier UNION ALL SELECT 'S' || s_suppkey, 'x' FROM supplier WHERE s_suppkey % 40 = 1 UNION ALL SELECT 'LOST' || s_suppkey, 'x' FROM supplier WHERE s_suppkey % 33 = 2")
+view("flawed_nodes", """SELECT 'ROOT' AS node_id, CAST(NULL AS VARCHAR) AS proxy, CAST(NULL AS VARCHAR) AS name UNION ALL SELECT 'N' || n_nationkey, 'x' || n_nationkey, n_name FROM nation
+  UNION ALL SELECT 'S' || s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN NULL WHEN s_suppkey % 10 = 3 THEN 'same' ELSE 'p' || s_suppkey END, CASE WHEN s_suppkey % 35 = 5 THEN 'same' END FROM supplier
+  UNION ALL SELECT 'S' || s_suppkey, 'x', NULL FROM supplier WHERE s_suppkey % 40 = 1 UNION ALL SELECT 'LOST' || s_suppkey, 'x', NULL FROM supplier WHERE s_suppkey % 33 = 2""")
+view("flawed_held", "SELECT 'N' || s_nationkey AS node_id, 'p' || s_suppkey AS instrument FROM supplier WHERE s_suppkey % 20 = 7 UNION ALL SELECT 'N' || s_nationkey, 'own' || (s_suppkey % 4) FROM supplier")
+view("flawed_proxies", "SELECT DISTINCT e.parent_id, n.node_id, n.proxy FROM flawed_edges e JOIN flawed_nodes n ON n.node_id = e.child_id WHERE n.proxy IS NOT NULL")
 view("flawed_edges", "SELECT 'ROOT' AS parent_id, 'N' || n_nationkey AS child_id FROM nation UNION ALL SELECT 'N' || s_nationkey, CASE WHEN s_suppkey % 30 = 3 THEN 'X' || s_suppkey ELSE 'S' || s_suppkey END FROM supplier UNION ALL SELECT 'N' || ((s_nationkey + 1) % 25), 'S' || s_suppkey FROM supplier WHERE s_suppkey % 25 = 4 UNION ALL SELECT 'N' || s_nationkey, 'ROOT' FROM supplier WHERE s_suppkey = 5")
 view("flawed_reach", "SELECT 'ROOT' AS node_id, 0 AS d UNION ALL SELECT e.child_id, r.d + 1 FROM flawed_reach r JOIN flawed_edges e ON e.parent_id = r.node_id WHERE e.child_id <> 'ROOT'")
 
 
 @query("tree_violations", """SELECT node_id, 'duplicate id' AS rule FROM flawed_nodes GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT child_id, 'unknown child' FROM flawed_edges WHERE child_id NOT IN (SELECT node_id FROM flawed_nodes)
   UNION ALL SELECT child_id, 'two parents' FROM flawed_edges GROUP BY 1 HAVING count(DISTINCT parent_id) > 1 UNION ALL SELECT DISTINCT child_id, 'root as child' FROM flawed_edges WHERE child_id = 'ROOT'
-  UNION ALL SELECT DISTINCT node_id, 'missing proxy' FROM flawed_nodes WHERE node_id <> 'ROOT' AND proxy IS NULL UNION ALL SELECT DISTINCT node_id, 'unreachable' FROM flawed_nodes WHERE node_id NOT IN (SELECT node_id FROM flawed_reach)""")
+  UNION ALL SELECT DISTINCT node_id, 'missing proxy' FROM flawed_nodes WHERE node_id <> 'ROOT' AND proxy IS NULL UNION ALL SELECT DISTINCT node_id, 'unreachable' FROM flawed_nodes WHERE node_id NOT IN (SELECT node_id FROM flawed_reach)
+  UNION ALL SELECT DISTINCT node_id, 'duplicate name' FROM flawed_nodes WHERE coalesce(name, node_id) IN (SELECT coalesce(name, node_id) FROM flawed_nodes GROUP BY 1 HAVING count(DISTINCT node_id) > 1)
+  UNION ALL SELECT DISTINCT p.node_id, 'shared proxy' FROM flawed_proxies p JOIN flawed_proxies q ON p.parent_id = q.parent_id AND p.proxy = q.proxy AND p.node_id <> q.node_id
+  UNION ALL SELECT DISTINCT p.node_id, 'colliding proxy' FROM flawed_proxies p JOIN flawed_held h ON h.node_id = p.parent_id AND h.instrument = p.proxy
+  UNION ALL SELECT DISTINCT node_id, 'duplicate instrument' FROM (SELECT node_id, instrument FROM flawed_held GROUP BY 1, 2 HAVING count(*) > 1)""")
 def tree_violations(spark, sf):
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     k = F.col("s_suppkey")
-    nodes = spark.range(1).select(F.lit("ROOT").alias("node_id"), F.lit(None).cast("string").alias("proxy"))
-    nodes = nodes.union(n.select(name("N", "n_nationkey"), F.lit("x"))).union(s.select(name("S", "s_suppkey"), F.when(k % 6 != 0, "x")))
-    nodes = nodes.union(s.where(k % 40 == 1).select(name("S", "s_suppkey"), F.lit("x"))).union(s.where(k % 33 == 2).select(name("LOST", "s_suppkey"), F.lit("x")))
+    none = F.lit(None).cast("string")
+    nodes = spark.range(1).select(F.lit("ROOT").alias("node_id"), none.alias("proxy"), none.alias("name")).union(n.select(name("N", "n_nationkey"), name("x", "n_nationkey"), "n_name"))
+    nodes = nodes.union(s.select(name("S", "s_suppkey"), F.when(k % 6 != 0, F.when(k % 10 == 3, "same").otherwise(name("p", "s_suppkey"))), F.when(k % 35 == 5, "same")))
+    nodes = nodes.union(s.where(k % 40 == 1).select(name("S", "s_suppkey"), F.lit("x"), none)).union(s.where(k % 33 == 2).select(name("LOST", "s_suppkey"), F.lit("x"), none))
+    held = s.where(k % 20 == 7).select(name("N", "s_nationkey").alias("node_id"), name("p", "s_suppkey").alias("instrument")).union(s.select(name("N", "s_nationkey"), F.concat(F.lit("own"), (k % 4).cast("string"))))
     child = F.when(k % 30 == 3, name("X", "s_suppkey")).otherwise(name("S", "s_suppkey"))
     edges = n.select(F.lit("ROOT").alias("parent_id"), name("N", "n_nationkey").alias("child_id")).union(s.select(name("N", "s_nationkey"), child))
     second = F.concat(F.lit("N"), ((F.col("s_nationkey") + 1) % 25).cast("string"))
     edges = edges.union(s.where(k % 25 == 4).select(second, name("S", "s_suppkey"))).union(s.where(k == 5).select(name("N", "s_nationkey"), F.lit("ROOT")))
-    return ca.tree_violations(nodes, edges, "ROOT")
+    return ca.tree_violations(nodes, edges, "ROOT", held)
 
 
 @query("content_hash", """SELECT p_partkey AS id, 'sha256:' || sha256('{"brand":"' || p_brand || '","name":"' || p_name || '","size":"' || p_size || '","type":"' || p_type || '"}') AS hash FROM part""")

@@ -230,7 +230,15 @@ def test_long_revision_chain_and_deep_trees(spark):
     nodes = spark.createDataFrame([(f"n{i}", "x") for i in range(16)] + [("a", "x"), ("b", "x")], "node_id string, proxy string")
     broken = edges.union(spark.createDataFrame([("a", "b"), ("b", "a")], edges.schema))
     found = {(r.node_id, r.rule) for r in ca.tree_violations(nodes, broken, "n0").collect()}
-    assert found == {("a", "unreachable"), ("b", "unreachable"), ("n3", "two parents")}
+    assert found == {("a", "unreachable"), ("b", "unreachable"), ("n3", "two parents"), ("n3", "shared proxy"), ("n10", "shared proxy")}
+
+
+def test_proxies_names_and_instruments_of_a_tree(spark):
+    nodes = spark.createDataFrame([("R", None, None), ("A", "p", "one"), ("B", "p", "two"), ("C", "q", "two"), ("D", "p", None)], "node_id string, proxy string, name string")
+    edges = spark.createDataFrame([("R", "A"), ("R", "B"), ("R", "C"), ("C", "D")], "parent_id string, child_id string")
+    held = spark.createDataFrame([("R", "q"), ("A", "x"), ("A", "x"), ("D", "p")], "node_id string, instrument string")
+    found = {(r.node_id, r.rule) for r in ca.tree_violations(nodes, edges, "R", held).collect()}
+    assert found == {("A", "shared proxy"), ("B", "shared proxy"), ("B", "duplicate name"), ("C", "duplicate name"), ("C", "colliding proxy"), ("A", "duplicate instrument")}
 
 
 def brute_pass(slots, returns, backward):
