@@ -63,7 +63,7 @@ def data_fingerprint(spark, sf):
 FLAWS = {
     "covariance_estimator": {1: "'oas'", 2: "'ledoit_wolf'"}, "view_covariance_policy": {3: "'mixed'"}, "volatility_target_mode": {4: "'below'", 5: "'cap'", 6: "'at_most'"},
     "volatility_reference": {7: "'current_root_synthetic'", 8: "'benchmark'"}, "mean_reference_kind": {9: "'father_proxy'", 10: "'local_weights'", 11: "'local_weights'", 12: "'local_weights'"},
-    "tracking_error_policy": {14: "'relax'"}, "volatility_target_policy": {15: "'nearest_feasible'"}, "volatility_cap_policy": {16: "'nearest_feasible'"}, "currency": {17: "'CHF'", 18: "'EUR'"},
+    "tracking_error_policy": {14: "'relax'"}, "volatility_target_policy": {15: "'nearest_feasible'", 36: "'relax'"}, "volatility_cap_policy": {16: "'nearest_feasible'"}, "currency": {17: "'CHF'", 18: "'EUR'"},
     "risk_aversion": {19: "0.0", 20: "2.5"}, "view_tau": {21: "-0.5"}, "per_asset_cap": {22: "1.5", 23: "-0.25"}, "vol_target": {5: "0.125", 24: "-0.125", 25: "0.25"}, "max_volatility": {5: "0.25", 6: "0.25"},
     "max_tracking_error": {26: "-1.0"}, "maximum_turnover": {27: "0.5"}, "max_turnover": {28: "0.0"}, "cash_enabled": {29: "true", 30: "true"}, "allow_cash": {29: "false", 31: "true"},
     "weight_a": {11: "0.75", 12: "0.5", 13: "1.0"}, "weight_b": {11: "0.25", 12: "0.25", 13: "0.0"}, "view_confidence": {32: "0.0", 33: "1.5", 34: "0.5", 35: "0.5"}, "view_on": {32: "'ticker:A'", 34: "' CASH:RF@N1'", 35: "'ticker:B'"},
