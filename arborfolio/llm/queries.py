@@ -16,6 +16,7 @@ from .neighbours import op2_nearest_neighbours
 from .packing import op6_packing
 from .sharding import op7_sharding
 from .simhash import op10_simhash
+from .suffix_dedup import op12_suffix_dedup
 from .toxicity import op5_toxicity
 from .url_filter import OP8_SQL, op8_url_filter
 from .vector_codes import OP11_SQL, op11_vector_codes
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": op9_byte_bpe,
         "op10_simhash": op10_simhash,
         "op11_vector_codes": op11_vector_codes,
+        "op12_suffix_dedup": op12_suffix_dedup,
         "op13_fill_in_middle": op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
