@@ -10,8 +10,8 @@ opened, are sorted again in the same partitions by section, without another exch
 into a second digest. No task holds more of a document than a piece.
 
 Odd rows: a null text counts as empty and has form ``plain``; a null id is hashed as the seed and
-colon alone; repeated rows are each transformed; an empty table gives an empty result; columns of
-any name may be kept along.
+colon alone; repeated rows are each transformed; an empty table gives an empty result; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ def sections(form: str, length: int, low: int, high: int) -> list[tuple[str, int
 
 
 #: What is known of a document once its text has been read; it travels at position -1.
-HEAD = {"n": pa.int64(), "form": pa.string(), "prefix_chars": pa.int64(), "middle_chars": pa.int64()}
+HEAD = {"doc_id": pa.int64(), "n": pa.int64(), "form": pa.string(), "prefix_chars": pa.int64(), "middle_chars": pa.int64()}
+NOTHING = (None,) * len(HEAD)
 #: Sections in the order of the restored text; what is known of a document comes after them.
 ORDER = {PREFIX: 0, MIDDLE: 1, SUFFIX: 2}
 LAST = 3
@@ -106,14 +107,14 @@ def pieces(numbered: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = S
     def of(row: int, doc_id: int | None, text: str) -> Iterator[tuple]:
         form, ends, low, high = plan(text, doc_id, seed, rate, spm)
         told = form != "plain"
-        yield row, -1, None, len(ends), form, low if told else None, high - low if told else None
+        yield row, -1, None, doc_id, len(ends), form, low if told else None, high - low if told else None
         place = 0
         for marker, start, stop in sections(form, len(text), low, high):
             if marker:
-                yield row, place, marker, None, None, None, None
+                yield row, place, marker, *NOTHING
                 place += 1
             for a, b in cut(ends, start, stop, chunk):
-                yield row, place, text[a:b], None, None, None, None
+                yield row, place, text[a:b], *NOTHING
                 place += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +159,10 @@ def _stream_output(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             row, head, digest, section, turn = here, about, hashlib.sha256(), 0, 0
             continue
         digest.update(body.encode())
-        if head[1] != "plain" and body in ORDER:
+        if head[2] != "plain" and body in ORDER:
             section = ORDER[body]
             continue
-        made.append((row, section, turn, body, None, None, None, None, None))
+        made.append((row, section, turn, body, *NOTHING, None))
         turn, size = turn + 1, size + 64 + len(body)
         if size > BATCH:
             yield _table(made, schema)
@@ -187,13 +188,13 @@ def _stream_restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """(row, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of the documents of ``pieces``."""
+    """(row, doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of the documents of ``pieces``."""
     streamed = in_order(found).mapInArrow(_stream_output, _schema(STREAMED)[1])
     return streamed.sortWithinPartitions("row", "section", "turn").mapInArrow(_stream_restored, _schema(DIGESTED)[1])
 
 
 def outputs(found: DataFrame) -> DataFrame:
-    """(row, n, form, prefix_chars, middle_chars, output): the transformed text of every document, which a task holds whole."""
+    """(row, doc_id, n, form, prefix_chars, middle_chars, output): the transformed text of every document, which a task holds whole."""
     schema, ddl_of = _schema({"row": pa.int64(), **HEAD, "output": pa.string()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +228,11 @@ def number(docs: DataFrame) -> DataFrame:
 
 def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SPM, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output) of every row of ``docs``."""
-    numbered = number(docs.select("doc_id", "text"))
-    return numbered.select("row", "doc_id").join(outputs(pieces(numbered, seed, rate, spm, chunk)), "row").drop("row")
+    return outputs(pieces(number(docs.select("doc_id", "text")), seed, rate, spm, chunk)).drop("row")
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = number(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return numbered.select("row", "doc_id").join(digests(pieces(numbered)), "row").drop("row")
+    return digests(pieces(number(table(spark, sf_dir, "documents").select("doc_id", "text")))).drop("row")
 
 
 OP13_SQL = rf"""

@@ -182,9 +182,9 @@ class Suffixes:
 
     def intervals(self) -> Iterator[tuple[int, int, int]]:
         """(length, from, to) of the tree's intervals of at least the window's length, inner ones first; a suffix that occurs several times is one by itself."""
-        for i in np.flatnonzero(self.copies > 1).tolist():
-            yield int(self.rest[i]), i, i + 1
         common = np.append(self.common, 0)
+        for i in np.flatnonzero((self.copies > 1) & (self.rest > common[:-1]) & (self.rest > common[1:])).tolist():
+            yield int(self.rest[i]), i, i + 1
         stack: list[tuple[int, int]] = []
         deep = np.flatnonzero(common >= self.length)
         stops = np.unique(np.concatenate([deep, deep + 1]))  # elsewhere nothing is opened or closed

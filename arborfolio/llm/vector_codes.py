@@ -119,7 +119,7 @@ def _open(name: str, shapes: dict[int, list[tuple[int, int]]]) -> dict[int, list
 def _publish(space: Workspace, books: Books) -> tuple[str, dict]:
     shapes = {dims: [b.shape for b in parts] for dims, parts in books.items()}
     flat = np.concatenate([b.ravel() for parts in books.values() for b in parts] + [np.zeros(0, dtype=np.int64)])
-    return publish(space, {"entries": flat}), shapes
+    return publish(space, {"entries": flat}) if len(flat) else "", shapes
 
 
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -256,7 +256,7 @@ def with_label_error(encoded: DataFrame, label: str = "label") -> DataFrame:
     if totals.count() <= BROADCAST_LABELS:
         return marked.join(F.broadcast(totals), "__label").drop("__label")
     share = F.pmod(F.xxhash64("code", "error", *[c for c in encoded.columns if c == "vec_id"]), F.lit(SHARES))
-    dealt = totals.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).cast("long"))
+    dealt = totals.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
     return marked.withColumn("__share", share).join(dealt, ["__label", "__share"]).drop("__label", "__share")
 
 
