@@ -6,8 +6,8 @@ equals. Equal windows pick the same k-gram, so only windows with a common anchor
 Windows next to each other mostly share their anchor; the piece of text they cover is the unit that
 is hashed, counted and compared. Anchors that occur once are dropped by the counts alone.
 
-Of the pieces of each repeated anchor every distinct text is fetched once, with the number of its
-occurrences, and buckets of bounded size get an enhanced suffix array: the windows' suffixes up to the
+An anchor whose pieces are all equal needs no text: the piece is its one repeat. Of the pieces of any
+other repeated anchor every distinct text is fetched once, with the number of its occurrences, and buckets of bounded size get an enhanced suffix array: the windows' suffixes up to the
 piece's end in sorted order, with the lengths of common prefixes. A stack scan walks the tree of
 common-prefix intervals. An interval of at least ``length`` bytes whose suffixes differ in the byte to
 their left (or start their piece) is a maximal repeat: a group of all its occurrences, not just of
@@ -37,7 +37,7 @@ from .shared import SLICE, Workspace, add_columns, table, tasks
 
 LENGTH, GRAM = 200, 32
 #: Distinct pieces of an anchor beyond which its windows are split, bytes of text in a bucket, windows numbered at a time.
-CROWD, BUCKET_BYTES, BLOCK = 50_000, 4 << 20, 1 << 20
+CROWD, BUCKET_BYTES, BLOCK = 50_000, 1 << 20, 1 << 20
 #: Symbols (a byte or the end of a piece, nine bits) in the first rank.
 WORD = 7
 
@@ -129,9 +129,14 @@ WINDOW = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("n", pa.int
 
 
 class Suffixes:
-    """An enhanced suffix array of the windows of some pieces, each with a number of occurrences."""
+    """An enhanced suffix array of the windows of some pieces, each with a number of occurrences.
 
-    def __init__(self, pieces: list[bytes], copies: np.ndarray, length: int):
+    Pieces of different ``group`` hold no equal windows, so the groups' suffixes are sorted one after
+    another. Suffixes that agree so far are sorted on by the word behind their common prefix, whose
+    length comes from digests of doubling widths, so shared text costs no comparisons.
+    """
+
+    def __init__(self, pieces: list[bytes], copies: np.ndarray, length: int, group: np.ndarray | None = None):
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
         symbols = np.zeros(int((sizes + 1).sum()), dtype=np.uint64)
@@ -141,44 +146,79 @@ class Suffixes:
         windows = sizes - length + 1
         piece = np.repeat(np.arange(len(pieces)), windows)
         offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.word = self._words(symbols)
+        self.digests = [(WORD, self.word)]
+        while self.digests[-1][0] * 2 <= int(sizes.max(initial=0)) + 1:
+            width, half = self.digests[-1]
+            right = np.concatenate([half[width:], np.zeros(min(width, len(half)), dtype=np.uint64)])
+            mixed = (half ^ (half >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + right
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            self.digests.append((2 * width, mixed ^ (mixed >> np.uint64(32))))
         spot = starts[piece] + offset
-        padded = np.concatenate([symbols, np.zeros(WORD, dtype=np.uint64)])
-        word = np.zeros(len(symbols), dtype=np.uint64)
-        for k in range(WORD):
-            word = (word << np.uint64(9)) | padded[k : k + len(symbols)]
-        levels = [(WORD, np.unique(word, return_inverse=True)[1].astype(np.int64))]
-        while levels[-1][0] * 2 <= int(sizes.max(initial=0)) + 1:
-            width, rank = levels[-1]
-            right = np.concatenate([rank[width:], np.zeros(min(width, len(rank)), dtype=np.int64)])
-            levels.append((2 * width, np.unique(rank << 32 | right, return_inverse=True)[1].astype(np.int64)))
-        width, rank = levels[-1]
-        beyond = np.where(spot + width < len(rank), rank[np.minimum(spot + width, len(rank) - 1)], 0)
-        order = np.argsort(rank[spot] << 32 | beyond, kind="stable")
-        self.length, self.piece, self.offset, self.spot = length, piece[order], offset[order], spot[order]
-        self.rest = sizes[self.piece] - self.offset
+        rest = sizes[piece] - offset
+        kind = np.zeros(len(pieces), dtype=np.int64) if group is None else np.unique(group, return_inverse=True)[1]
+        order = self._sorted(spot, rest, kind[piece])
+        self.length, self.piece, self.offset, self.spot, self.rest = length, piece[order], offset[order], spot[order], rest[order]
         self.copies = copies[self.piece]
         self.left = np.where(self.offset > 0, symbols[self.spot - 1].astype(np.int64), -1)  # -1: the piece starts here
-        self.common = self._common(levels, symbols)
+        self.common = np.zeros(len(order), dtype=np.int64)  # the prefix shared with the suffix before, as far as it matters
+        width, digest = max((d for d in self.digests if d[0] <= length), key=lambda d: d[0], default=(0, None))
+        together = kind[self.piece[1:]] == kind[self.piece[:-1]]
+        if width:
+            together &= digest[self.spot[1:]] == digest[self.spot[:-1]]
+        pair = np.flatnonzero(together)
+        self.common[pair + 1] = self._shared(self.spot[pair], self.spot[pair + 1], np.minimum(self.rest[pair], self.rest[pair + 1]))
+
+    @staticmethod
+    def _words(symbols: np.ndarray) -> np.ndarray:
+        padded, word = np.concatenate([symbols, np.zeros(WORD, dtype=np.uint64)]), np.zeros(len(symbols), dtype=np.uint64)
+        for k in range(WORD):
+            word = (word << np.uint64(9)) | padded[k : k + len(symbols)]
+        return word
 
-    def _common(self, levels: list[tuple[int, np.ndarray]], symbols: np.ndarray) -> np.ndarray:
-        """The length of the prefix that each suffix shares with the one before it; 0 for the first."""
-        a, b, same = self.spot[:-1].copy(), self.spot[1:].copy(), np.zeros(max(0, len(self.spot) - 1), dtype=np.int64)
-        last = len(symbols) - 1
-        for width, rank in [*reversed(levels), *((w, None) for w in (4, 2, 1))]:
+    def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The length of the common prefix of the suffixes at a and b, ``most`` at the most."""
+        same, last = np.zeros(len(a), dtype=np.int64), len(self.word) - 1
+        at = lambda values, x: values[np.minimum(x + same, last)]
+        for width, digest in reversed(self.digests):
             while True:
-                if rank is not None:
-                    equal = rank[np.minimum(a + same, last)] == rank[np.minimum(b + same, last)]
-                else:
-                    equal = np.ones(len(a), dtype=bool)
-                    for k in range(width):
-                        equal &= symbols[np.minimum(a + same + k, last)] == symbols[np.minimum(b + same + k, last)]
-                equal &= (a + same + width <= last) & (b + same + width <= last) & (same < np.minimum(self.rest[:-1], self.rest[1:]))
-                if not equal.any():
-                    break
+                equal = (at(digest, a) == at(digest, b)) & (same < most)
                 same = same + width * equal
-                if rank is None or width != levels[-1][0]:
+                if width != self.digests[-1][0] or not equal.any():
                     break
-        return np.concatenate([np.zeros(min(1, len(self.spot)), dtype=np.int64), np.minimum(same, np.minimum(self.rest[:-1], self.rest[1:]))])
+        x, y = at(self.word, a), at(self.word, b)
+        for k in (4, 2, 1):
+            equal = (x >> np.uint64(9 * (WORD - k))) == (y >> np.uint64(9 * (WORD - k)))
+            same = same + k * equal
+            x, y = (np.where(equal, (w << np.uint64(9 * k)) & np.uint64((1 << 63) - 1), w) for w in (x, y))
+        return np.minimum(same, most)
+
+    def _sorted(self, spot: np.ndarray, rest: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The order of the suffixes by kind and text; suffixes of equal text in any order."""
+        bits = int(kind.max(initial=0)).bit_length()
+        key = (kind.astype(np.uint64) << np.uint64(63 - bits)) | (self.word[spot] >> np.uint64(bits))
+        order = np.argsort(key)
+        key = key[order]
+        same = np.append(False, key[1:] == key[:-1])  # as the one before it, as far as is known
+        active = np.flatnonzero(same | np.append(same[1:], False))
+        run = np.cumsum(~same)[active]
+        while len(active):
+            mine = order[active]
+            first = np.append(True, run[1:] != run[:-1])
+            share = np.full(len(active), np.iinfo(np.int64).max)
+            later = np.flatnonzero(~first)
+            share[later] = self._shared(spot[mine[later - 1]], spot[mine[later]], np.minimum(rest[mine[later - 1]], rest[mine[later]]))
+            heads = np.flatnonzero(first)
+            depth = np.repeat(np.minimum.reduceat(share, heads), np.diff(heads, append=len(active)))
+            ended = rest[mine] <= depth
+            word = np.where(ended, np.uint64(0), self.word[np.minimum(spot[mine] + depth, len(self.word) - 1)])
+            turn = np.lexsort((word, run))
+            order[active], word, ended = mine[turn], word[turn], ended[turn]
+            same = np.append(False, (run[1:] == run[:-1]) & (word[1:] == word[:-1]) & ~ended[1:])
+            left = same | np.append(same[1:], False)
+            run = np.cumsum(~same)[left]
+            active = active[left]
+        return order
 
     def intervals(self) -> Iterator[tuple[int, int, int]]:
         """(length, from, to) of the tree's intervals of at least the window's length, inner ones first; a suffix that occurs several times is one by itself."""
@@ -222,7 +262,7 @@ def runs(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 def _covered(group: pa.Table, length: int) -> pa.Table:
     """(anchor, digest, start, stop) of what repeats cover in the pieces of one bucket."""
     pieces, copies = group.column("piece").to_pylist(), group.column("n").to_numpy()
-    found = Suffixes(pieces, copies, length)
+    found = Suffixes(pieces, copies, length, group.column("anchor").to_numpy())
     reach = found.cover()
     some = np.flatnonzero(reach)
     some = some[np.argsort(found.piece[some], kind="stable")]
@@ -238,7 +278,7 @@ def _covered(group: pa.Table, length: int) -> pa.Table:
 
 def _groups(group: pa.Table, length: int) -> pa.Table:
     """The maximal repeats of one bucket, each with its occurrences as a range of the bucket's suffixes, and those suffixes."""
-    found = Suffixes(group.column("piece").to_pylist(), group.column("n").to_numpy(), length)
+    found = Suffixes(group.column("piece").to_pylist(), group.column("n").to_numpy(), length, group.column("anchor").to_numpy())
     held = np.concatenate([[0], np.cumsum(found.copies)])
     rows = [("repeat", None, None, None, width, int(held[stop] - held[start]), start, stop) for width, start, stop in found.maximal()]
     named = found.cover() > 0
@@ -259,14 +299,21 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES, text: str = "text"):
         self.spark, self.space = docs.sparkSession, Workspace(docs.sparkSession, "repeats")
-        self.length, self.gram, self.crowd, self.bucket_bytes = length, gram, crowd, bucket_bytes
+        self.written, self.length, self.gram, self.crowd, self.bucket_bytes = 0, length, gram, crowd, bucket_bytes
         self.ids = [c for c in docs.columns if c != text]
         named = docs.select(*(F.col(c).alias(f"id_{i}") for i, c in enumerate(self.ids)), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
         kept = [c for c in named.columns if c != "text"]
         new = {"n_bytes": pa.int64(), "sha256": pa.string(), "packed": pa.binary()}
-        self.texts = self.space.write(add_columns(named, kept, new, _pack), "texts")
-        self.anchors = self.space.write(self._found(), "anchors")
-        self.pieces = self.space.write(self._fetched(), "pieces")
+        self.texts = self._write(add_columns(named, kept, new, _pack), "texts")
+        self.anchors = self._write(self._found(), "anchors")
+        distinct = self.anchors.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("windows").alias("windows"))
+        self.distinct = self._write(distinct, "distinct")
+        often = self.distinct.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+        self.often = self._write(often.where("all > 1").select("anchor", "kinds"), "often")
+
+    def _write(self, frame: DataFrame, name: str) -> DataFrame:
+        self.written += 1
+        return self.space.write(frame, f"{name}-{self.written}")
 
     def _found(self) -> DataFrame:
         length, gram = self.length, self.gram
@@ -276,13 +323,10 @@ class Repeats:
 
         return self.texts.where(F.col("n_bytes") >= length).select("row", "packed").mapInArrow(run, "row long, anchor long, digest long, first long, windows int")
 
-    def _fetched(self) -> DataFrame:
-        """(anchor, digest, n, crowd, piece): the distinct pieces of each anchor that occurs twice or more."""
+    def _fetched(self, least: int) -> DataFrame:
+        """(anchor, digest, n, crowd, piece): the distinct pieces of each repeated anchor that has at least so many."""
         length, gram = self.length, self.gram
-        distinct = self.anchors.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min("row").alias("row"))
-        distinct = self.space.write(distinct, "distinct")
-        often = distinct.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-        asked = distinct.join(often.select("anchor", (F.col("kinds") > self.crowd).alias("crowd")), "anchor")
+        asked = self.distinct.join(self.often.where(F.col("kinds") >= least).select("anchor", (F.col("kinds") > self.crowd).alias("crowd")), "anchor")
         asked = asked.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "n", "crowd")).alias("asked"))  # at most a text's own pieces
 
         def run(batches):
@@ -298,7 +342,7 @@ class Repeats:
 
         return self.texts.select("row", "packed").join(asked, "row").select("row", "packed", "asked").mapInArrow(run, "anchor long, digest long, n long, crowd boolean, piece binary")
 
-    def _crowds(self) -> tuple[DataFrame, DataFrame]:
+    def _crowds(self, pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The windows of crowded anchors, and the distinct ones that occur twice or more as pieces of their own."""
         length = self.length
 
@@ -311,10 +355,10 @@ class Repeats:
 
             return _batches(rows(), WINDOW)
 
-        crowded = self.pieces.where("crowd").select("anchor", "digest", "n", "piece")
-        windows = self.space.write(crowded.mapInArrow(run, "anchor long, digest long, n long, at int, piece binary"), "windows")
+        crowded = pieces.where("crowd").select("anchor", "digest", "n", "piece")
+        windows = self._write(crowded.mapInArrow(run, "anchor long, digest long, n long, at int, piece binary"), "windows")
         own = windows.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
-        return windows, self.space.write(own.select(F.xxhash64("piece").alias("anchor"), F.xxhash64("piece", F.lit(1)).alias("digest"), "n", "piece"), "own")
+        return windows, self._write(own.select(F.xxhash64("piece").alias("anchor"), F.xxhash64("piece", F.lit(1)).alias("digest"), "n", "piece"), "own")
 
     def _bucketed(self, pieces: DataFrame) -> DataFrame:
         size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
@@ -324,11 +368,14 @@ class Repeats:
         """(anchor, digest, start, stop): what repeats cover in each distinct piece."""
         length, schema = self.length, "anchor long, digest long, start int, stop int"
         search = lambda pieces: self._bucketed(pieces).groupBy("bucket").applyInArrow(lambda t: _covered(t, length), schema)
-        plain = self.space.write(search(self.pieces.where("NOT crowd").select("anchor", "digest", "n", "piece")), "covered")
-        if self.pieces.where("crowd").isEmpty():
+        pieces = self._write(self._fetched(2), "pieces")
+        alone = self.distinct.join(self.often.where("kinds = 1").select("anchor"), "anchor")
+        alone = alone.select("anchor", "digest", F.lit(0).alias("start"), (F.col("windows") + (length - 1)).alias("stop"))
+        plain = self._write(search(pieces.where("NOT crowd").select("anchor", "digest", "n", "piece")), "covered").unionByName(alone)
+        if pieces.where("crowd").isEmpty():
             return plain
-        windows, own = self._crowds()
-        hit = self.space.write(search(own).where(F.col("stop") - F.col("start") >= length), "covered-windows")
+        windows, own = self._crowds(pieces)
+        hit = self._write(search(own).where(F.col("stop") - F.col("start") >= length), "covered-windows")
         named = windows.select("anchor", "digest", "at", F.xxhash64("piece").alias("key"), F.xxhash64("piece", F.lit(1)).alias("second"))
         back = named.join(hit.select(F.col("anchor").alias("key"), F.col("digest").alias("second")), ["key", "second"])
         return plain.unionByName(back.select("anchor", "digest", F.col("at").alias("start"), (F.col("at") + length).alias("stop")))
@@ -336,9 +383,9 @@ class Repeats:
     def spans(self) -> DataFrame:
         """(row, spans): for each document with repeats, the bytes they cover, as disjoint (start, stop) in order."""
         per_piece = self.covered().groupBy("anchor", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))  # at most a piece's windows
-        joined = self.anchors.join(self.space.write(per_piece, "per-piece"), ["anchor", "digest"])
+        joined = self.anchors.join(self._write(per_piece, "per-piece"), ["anchor", "digest"])
         shift = F.transform("parts", lambda p: F.struct((F.col("first") + p["start"]).alias("start"), (F.col("first") + p["stop"]).alias("stop")))
-        placed = self.space.write(joined.select("row", shift.alias("parts")), "placed")
+        placed = self._write(joined.select("row", shift.alias("parts")), "placed")
         ordered = F.array_sort(F.flatten(F.collect_list("parts")))
         parts = placed.groupBy("row").agg(ordered.alias("parts"))
 
@@ -360,11 +407,11 @@ class Repeats:
 
         The occurrences of a repeat are the suffixes of its bucket with low <= rank < high, each at
         every row and position where its piece stands, so their lists take room in proportion to the text.
-        Crowded anchors give the groups of single windows.
         """
         length, schema = self.length, "bucket long, kind string, anchor long, digest long, offset int, length int, occurrences long, low long, high long"
-        found = self._bucketed(self.pieces.select("anchor", "digest", "n", "piece")).groupBy("bucket").applyInArrow(lambda t: _groups(t, length), schema)
-        found = self.space.write(found, "groups")
+        pieces = self._write(self._fetched(1).select("anchor", "digest", "n", "piece"), "all-pieces")
+        found = self._bucketed(pieces).groupBy("bucket").applyInArrow(lambda t: _groups(t, length), schema)
+        found = self._write(found, "groups")
         repeats = found.where("kind = 'repeat'").select("bucket", "length", "occurrences", "low", "high")
         suffixes = found.where("kind = 'suffix'").select("bucket", F.col("low").alias("rank"), "anchor", "digest", "offset")
         placed = suffixes.join(self.anchors, ["anchor", "digest"])
@@ -375,7 +422,7 @@ class Repeats:
 
         body is the remaining text packed by zstd; null where nothing was removed.
         """
-        spans = self.space.write(self.spans(), "spans")
+        spans = self._write(self.spans(), "spans")
         names = [f"id_{i}" for i in range(len(self.ids))]
 
         def make():
