@@ -238,10 +238,12 @@ class Suffixes:
 
     def maximal(self) -> Iterator[tuple[int, int, int]]:
         """The intervals that no byte to the left extends."""
-        for width, start, stop in self.intervals():
-            left = self.left[start:stop]
-            if left.min() < 0 or left.min() != left.max():
-                yield width, start, stop
+        found = np.array(list(self.intervals()), dtype=np.int64).reshape(-1, 3)
+        start, last = found[:, 1], found[:, 2] - 1
+        changes = np.cumsum(np.append(False, self.left[1:] != self.left[:-1]))  # of the left byte, from suffix to suffix
+        begins = np.append(0, np.cumsum(self.left < 0))
+        diverse = (changes[last] > changes[start]) | (begins[last + 1] > begins[start])
+        yield from map(tuple, found[diverse].tolist())
 
     def cover(self) -> np.ndarray:
         """For each suffix, how far the longest maximal repeat that starts there reaches."""
