@@ -71,26 +71,33 @@ def node_weights(root: DataFrame, child_weights: DataFrame) -> DataFrame:
     return grow(root.select(*key, "node_id", F.lit(1.0).alias("weight"), F.array("node_id").alias("met")), step).drop("met")
 
 
-#: Weights (fold_id, node_id, instrument, weight) from series (fold_id, node_id, instrument, date, ret) and bounds (node_id, instrument, lo, hi).
+#: Weights (fold_id, node_id, instrument, weight) from series (fold_id, node_id, instrument, date, ret) and bounds ([fold_id,] node_id, instrument, lo, hi).
 Allocator = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def by_mean_return(series: DataFrame, bounds: DataFrame) -> DataFrame:
     """The highest mean return within the bounds, for every fold and node at once."""
     means = series.groupBy("fold_id", "node_id", "instrument").agg(F.avg("ret").alias("mu"))
-    rows = means.join(bounds, ["node_id", "instrument"])
+    rows = means.join(bounds, [c for c in bounds.columns if c in ("fold_id", "node_id", "instrument")])
     return al.max_return(rows.drop("lo", "hi"), rows.drop("mu"), ["fold_id", "node_id"])
 
 
+def _node_key(slots: DataFrame) -> list[str]:
+    """What tells nodes apart: their id, and the fold where every fold has a tree of its own."""
+    return [c for c in ("fold_id", "node_id") if c in slots.columns]
+
+
 def forward_pass(slots: DataFrame, returns: DataFrame, allocate: Allocator = by_mean_return) -> DataFrame:
     """(fold_id, node_id, instrument, child_id, weight): every node allocated on the raw series of its instruments and of its children's proxies.
 
-    ``slots`` (node_id, instrument, child_id, lo, hi): what a node may hold; child_id is null for an
-    instrument, and the instrument of a child is its proxy. ``returns`` (fold_id, instrument, date, ret).
-    Nodes don't depend on each other, so one job takes them all.
+    ``slots`` ([fold_id,] node_id, instrument, child_id, lo, hi): what a node may hold; child_id is null for an
+    instrument, and the instrument of a child is its proxy. With a fold_id every fold has its own tree.
+    ``returns`` (fold_id, instrument, date, ret). Nodes don't depend on each other, so one job takes them all.
     """
-    found = allocate(slots.select("node_id", "instrument").join(returns, "instrument"), slots.select("node_id", "instrument", "lo", "hi"))
-    return found.join(slots.select("node_id", "instrument", "child_id"), ["node_id", "instrument"]).select("fold_id", "node_id", "instrument", "child_id", "weight")
+    node = _node_key(slots)
+    series = slots.select(*node, "instrument").join(returns, [*node[:-1], "instrument"])
+    found = allocate(series.select("fold_id", "node_id", "instrument", "date", "ret"), slots.select(*node, "instrument", "lo", "hi"))
+    return found.join(slots.select(*node, "instrument", "child_id"), [*node, "instrument"]).select("fold_id", "node_id", "instrument", "child_id", "weight")
 
 
 def backward_pass(slots: DataFrame, depths: DataFrame, returns: DataFrame, allocate: Allocator = by_mean_return, forward: DataFrame | None = None) -> DataFrame:
@@ -98,27 +105,27 @@ def backward_pass(slots: DataFrame, depths: DataFrame, returns: DataFrame, alloc
 
     A child stands in its parent's slots by the return of what it holds itself, named proxy_SYNTH.
     Nodes without children take their weights of ``forward``; without it they are allocated here
-    (the direct bottom-up pass). ``depths`` has (node_id, depth). The loop is over depths; each level's
-    weights and series are written before the next.
+    (the direct bottom-up pass). ``depths`` has (node_id, depth); a child's is greater than its parent's. Slots with a
+    fold_id give every fold its own tree. The loop is over depths; each level's weights and series are written before the next.
     """
-    spark, root = slots.sparkSession, f"{shared_dir(slots.sparkSession)}/backward-{uuid.uuid4().hex}"
-    parents = slots.where("child_id IS NOT NULL").select("node_id").distinct()
+    spark, root, node = slots.sparkSession, f"{shared_dir(slots.sparkSession)}/backward-{uuid.uuid4().hex}", _node_key(slots)
+    parents = slots.where("child_id IS NOT NULL").select(node).distinct()
     named = slots.withColumn("instrument", F.when(F.col("child_id").isNull(), F.col("instrument")).otherwise(F.concat("instrument", F.lit("_SYNTH"))))
     deepest, weights, series = depths.agg(F.max("depth")).first()[0], [], None
     for depth in range(-1 if deepest is None else deepest, -1, -1):
         here = named.join(depths.where(F.col("depth") == depth).select("node_id"), "node_id", "left_semi")
-        raw = here.where("child_id IS NULL").select("node_id", "instrument").join(returns, "instrument")
+        raw = here.where("child_id IS NULL").select(*node, "instrument").join(returns, [*node[:-1], "instrument"])
         rows = raw.select("fold_id", "node_id", "instrument", "date", "ret")
         if series is not None:
             below = series.select("fold_id", F.col("node_id").alias("child_id"), "date", "ret")
-            rows = rows.unionByName(here.join(below, "child_id").select("fold_id", "node_id", "instrument", "date", "ret"))
+            rows = rows.unionByName(here.join(below, [*node[:-1], "child_id"]).select("fold_id", "node_id", "instrument", "date", "ret"))
         solve, kept = here, None
         if forward is not None:
-            solve = here.join(parents, "node_id", "left_semi")
-            leaves = here.join(parents, "node_id", "left_anti").select("node_id").distinct()
-            kept = forward.join(leaves, "node_id", "left_semi")
-        found = allocate(rows.join(solve.select("node_id").distinct(), "node_id", "left_semi"), solve.select("node_id", "instrument", "lo", "hi"))
-        level = found.join(here.select("node_id", "instrument", "child_id"), ["node_id", "instrument"]).select("fold_id", "node_id", "instrument", "child_id", "weight")
+            solve = here.join(parents, node, "left_semi")
+            leaves = here.join(parents, node, "left_anti").select(node).distinct()
+            kept = forward.join(leaves, node, "left_semi")
+        found = allocate(rows.join(solve.select(node).distinct(), node, "left_semi"), solve.select(*node, "instrument", "lo", "hi"))
+        level = found.join(here.select(*node, "instrument", "child_id"), [*node, "instrument"]).select("fold_id", "node_id", "instrument", "child_id", "weight")
         level = level if kept is None else level.unionByName(kept.select(level.columns))
         level.write.parquet(f"{root}/weights{depth}")
         level = spark.read.schema(level.schema).parquet(f"{root}/weights{depth}")

@@ -35,22 +35,24 @@ def decisions(observed: DataFrame) -> DataFrame:
     return grouped.select("node_id", F.when(F.col("ok"), "retain").otherwise("prune").alias("decision"), F.when(F.col("ok"), "passes every protocol").otherwise(F.col("reason")).alias("reason"))
 
 
-def contraction(tree: DataFrame, decided: DataFrame) -> DataFrame:
-    """(node_id, action, new_parent) for each non-root node of ``tree`` (node_id, parent_id; the root's parent is null).
+def contraction(tree: DataFrame, decided: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """([key..,] node_id, action, new_parent) for each non-root node of ``tree`` ([key..,] node_id, parent_id; the root's parent is null).
 
     Top down, one join for each level: a pruned node under a kept parent is contracted into it; a
     retained node under one pruned level is lifted to the grandparent; under two pruned levels the
     branch is cut; anything below a cut goes with it; a pruned node under a pruned one is removed.
+    With a ``key``, such as the fold, every key has decisions and a tree of its own, and one walk takes them all.
     """
+    key = key or []
     kind, no = tree.schema["node_id"].dataType, F.lit(False)
     pruned = F.coalesce(F.col("decision") == "prune", no).alias("pruned")
-    marked = tree.join(decided.select("node_id", "decision"), "node_id", "left").select("node_id", "parent_id", pruned)
+    marked = tree.join(decided.select(*key, "node_id", "decision"), [*key, "node_id"], "left").select(*key, "node_id", "parent_id", pruned)
     nothing = F.lit(None).cast(kind)
-    root = marked.where("parent_id IS NULL").select("node_id", no.alias("pruned"), no.alias("parent_pruned"), nothing.alias("parent"), no.alias("cut"), F.lit(None).cast("string").alias("action"), nothing.alias("new_parent"))
+    root = marked.where("parent_id IS NULL").select(*key, "node_id", no.alias("pruned"), no.alias("parent_pruned"), nothing.alias("parent"), no.alias("cut"), F.lit(None).cast("string").alias("action"), nothing.alias("new_parent"))
 
     def step(level: DataFrame) -> DataFrame:
-        above = level.select(F.col("node_id").alias("parent_id"), F.col("pruned").alias("up"), F.col("parent_pruned").alias("up_parent_pruned"), F.col("parent").alias("grandparent"), F.col("cut").alias("up_cut"))
-        now = marked.join(above, "parent_id")
+        above = level.select(*key, F.col("node_id").alias("parent_id"), F.col("pruned").alias("up"), F.col("parent_pruned").alias("up_parent_pruned"), F.col("parent").alias("grandparent"), F.col("cut").alias("up_cut"))
+        now = marked.join(above, [*key, "parent_id"])
         two = F.col("up") & F.col("up_parent_pruned")
         action = (
             F.when(F.col("up_cut"), "removed_with_ancestor")
@@ -63,9 +65,9 @@ def contraction(tree: DataFrame, decided: DataFrame) -> DataFrame:
         new_parent = F.when(lifted, F.col("grandparent")).when(F.col("action") == "kept", F.col("parent_id"))
         # A lifted node's parent is the (kept) grandparent from here on.
         current = F.when(lifted, F.col("grandparent")).otherwise(F.col("parent_id"))
-        return now.select("node_id", "pruned", F.when(lifted, False).otherwise(F.col("up")).alias("parent_pruned"), current.alias("parent"), (F.col("up_cut") | two).alias("cut"), "action", new_parent.alias("new_parent"))
+        return now.select(*key, "node_id", "pruned", F.when(lifted, False).otherwise(F.col("up")).alias("parent_pruned"), current.alias("parent"), (F.col("up_cut") | two).alias("cut"), "action", new_parent.alias("new_parent"))
 
-    return grow(root, step).where("action IS NOT NULL").select("node_id", "action", "new_parent")
+    return grow(root, step).where("action IS NOT NULL").select(*key, "node_id", "action", "new_parent")
 
 
 def pruned_edges(actions: DataFrame) -> DataFrame:
@@ -73,6 +75,28 @@ def pruned_edges(actions: DataFrame) -> DataFrame:
     return actions.where("action IN ('kept', 'lifted')").select(F.col("new_parent").alias("parent_id"), F.col("node_id").alias("child_id"))
 
 
+def contracted_slots(slots: DataFrame, actions: DataFrame, roots: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """([key..,] node_id, instrument, child_id, lo, hi): what the nodes of the contracted tree may hold, as the passes take it.
+
+    ``slots`` (node_id, instrument, child_id, lo, hi) is the tree before, ``actions`` what ``contraction`` gave,
+    ``roots`` ([key..,] node_id). A contracted child's slot becomes its proxy as an instrument of the
+    parent, promoted once; a lifted child's slot moves to its new parent with its bounds; slots of nodes
+    that are gone go with them. If a node would hold a name twice, a child's slot stays before an
+    instrument of its own, and that before a promoted proxy; of several of a kind that of the first child.
+    """
+    key = key or []
+    alive = actions.where("action IN ('kept', 'lifted')").select(*key, "node_id").unionByName(roots.select(*key, "node_id"))
+    columns = ["instrument", "child_id", "lo", "hi"]
+    own = slots.where("child_id IS NULL").join(alive, "node_id").select(*key, "node_id", *columns, F.lit("").alias("turn"), F.lit(1).alias("rank"))
+    child = slots.where("child_id IS NOT NULL").join(actions.withColumnRenamed("node_id", "child_id"), "child_id")
+    stays = child.where("action IN ('kept', 'lifted')").select(*key, F.col("new_parent").alias("node_id"), *columns, F.col("child_id").alias("turn"), F.lit(0).alias("rank"))
+    none = F.lit(None).cast(slots.schema["child_id"].dataType).alias("child_id")
+    promoted = child.where("action = 'contracted'").select(*key, "node_id", "instrument", none, "lo", "hi", F.col("child_id").alias("turn"), F.lit(2).alias("rank"))
+    once = Window.partitionBy(*key, "node_id", "instrument").orderBy("rank", "turn")
+    rows = own.unionByName(stays).unionByName(promoted).withColumn("k", F.row_number().over(once))
+    return rows.where("k = 1").select(*key, "node_id", *columns)
+
+
 def summary(decided: DataFrame) -> DataFrame:
     """One row per fold: how many nodes were retained and pruned."""
     return decided.groupBy("fold_id").agg(F.count_if(F.col("decision") == "retain").alias("retained"), F.count_if(F.col("decision") == "prune").alias("pruned"))
