@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from arborfolio.sources.written import grow
+from arborfolio.sources.written import grow, shared_dir
 
 #: A node's config as JSON; fields of CHOICES and LIMITS are read beside these.
 CONFIG = """node_id STRING, objective STRING, leverage DOUBLE, spread DOUBLE, confidence DOUBLE, min_weights MAP<STRING, DOUBLE>, max_weights MAP<STRING, DOUBLE>,
@@ -114,15 +116,12 @@ def tree_violations(nodes: DataFrame, edges: DataFrame, root: str, instruments:
     ``nodes`` (node_id, proxy) may have a name, else the id is one; ``instruments`` (node_id, instrument)
     are those a node holds itself. Siblings must have different proxies, none of them an instrument of
     their parent. The walk takes only nodes that it has not met, so it ends on trees of any depth and on
-    cycles; a cycle is out of reach of the root, or a node of it has two parents, or the root is a child.
+    cycles, whose nodes have a rule of their own.
     """
     say = lambda rows, rule: rows.select("node_id", F.lit(rule).alias("rule")).distinct()
     child = edges.select(F.col("child_id").alias("node_id"), "parent_id")
     inside = edges.join(nodes.select(F.col("node_id").alias("child_id")).distinct(), "child_id", "left_semi").where(F.col("child_id") != root)
-    seen = grow(nodes.where(F.col("node_id") == root).select("node_id", F.array("node_id").alias("met")).distinct(), lambda level: (
-        level.join(inside, level["node_id"] == inside["parent_id"]).where(~F.array_contains("met", F.col("child_id")))
-        .groupBy(F.col("child_id").alias("node_id")).agg(F.array_append(F.min("met"), F.col("child_id")).alias("met"))
-    ))
+    seen = reached(inside, nodes.where(F.col("node_id") == root))
     out = say(nodes.groupBy("node_id").count().where("count > 1"), "duplicate id")
     if "name" in nodes.columns:
         named = nodes.select("node_id", F.coalesce("name", "node_id").alias("name"))
@@ -139,7 +138,8 @@ def tree_violations(nodes: DataFrame, edges: DataFrame, root: str, instruments:
         (child.groupBy("node_id").agg(F.count_distinct("parent_id").alias("n")).where("n > 1"), "two parents"),
         (child.where(F.col("node_id") == root), "root as child"),
         (nodes.where((F.col("node_id") != root) & F.col("proxy").isNull()), "missing proxy"),
-        (nodes.join(seen.select("node_id").distinct(), "node_id", "left_anti"), "unreachable"),
+        (nodes.join(seen, "node_id", "left_anti"), "unreachable"),
+        (in_cycles(edges), "cycle"),
     ):
         out = out.unionByName(say(rows, rule))
     return out
@@ -183,10 +183,51 @@ def heads(revisions: DataFrame) -> DataFrame:
 
 
 def revision_chain(revisions: DataFrame, start: DataFrame) -> DataFrame:
-    """(tree_id, revision_id, step) from each head back over its parents to the first, one join a step.
+    """(tree_id, revision_id, step) from each head back over its parents to the first, by doubling.
 
-    A revision that is its own ancestor is not followed again.
+    Table k holds, for every revision that has so many ancestors, the one 2^k steps back, and is joined
+    with itself to the next; a chain of n steps takes log2(n) written tables. A head's length is read off
+    the tables from the longest steps down, and each of its steps follows the tables of the step's
+    binary digits, in one job. A head whose parents run into a cycle is walked step by step, and a
+    revision that is its own ancestor is not followed again.
     """
+    spark, root = revisions.sparkSession, f"{shared_dir(revisions.sparkSession)}/jumps-{uuid.uuid4().hex}"
+    jump, jumps, most = revisions.where("parent_id IS NOT NULL").select(F.col("revision_id").alias("at"), F.col("parent_id").alias("up")).distinct(), [], None
+    while True:
+        seen = Observation()
+        path = f"{root}/{len(jumps)}"
+        jump.observe(seen, F.count("*").alias("n")).write.parquet(path)
+        jump, left = spark.read.schema(jump.schema).parquet(path), seen.get["n"]
+        most = left if most is None else most
+        if not left or 1 << len(jumps) > most:
+            break  # what is left runs into a cycle, as no chain is longer than the number of parents
+        jumps.append(jump)
+        jump = jump.alias("a").join(jump.alias("b"), F.col("a.up") == F.col("b.at")).select("a.at", "b.up")
+    heads = start.select("tree_id", "revision_id")
+    cyclic = None
+    if left:
+        cyclic = heads.join(jump.select(F.col("at").alias("revision_id")), "revision_id", "left_semi")
+        heads = heads.join(jump.select(F.col("at").alias("revision_id")), "revision_id", "left_anti")
+
+    def follow(rows: DataFrame, k: int, wanted: Column) -> DataFrame:
+        step = jumps[k].select(F.col("at").alias("__at"), F.col("up").alias("__up"))
+        met = rows.join(step, wanted & (rows["now"] == step["__at"]), "left")
+        return met.withColumn("went", F.when(F.col("__up").isNotNull(), 1 << k).otherwise(0)).withColumn("now", F.coalesce("__up", "now")).drop("__at", "__up")
+
+    far = heads.select("tree_id", "revision_id", F.col("revision_id").alias("now"), F.lit(0).alias("length"))
+    for k in reversed(range(len(jumps))):
+        far = follow(far, k, F.lit(True)).withColumn("length", F.col("length") + F.col("went")).drop("went")
+    far.select("tree_id", "revision_id", "length").write.parquet(f"{root}/lengths")
+    rows = spark.read.schema(far.select("tree_id", "revision_id", "length").schema).parquet(f"{root}/lengths")
+    rows = rows.select("tree_id", F.col("revision_id").alias("now"), F.explode(F.sequence(F.lit(0), F.col("length"))).alias("step"))
+    for k in range(len(jumps)):
+        rows = follow(rows, k, rows["step"].bitwiseAND(1 << k) != 0).drop("went")
+    out = rows.select("tree_id", F.col("now").alias("revision_id"), "step")
+    return out if cyclic is None else out.unionByName(_walked_chain(revisions, cyclic))
+
+
+def _walked_chain(revisions: DataFrame, start: DataFrame) -> DataFrame:
+    """The chain one join a step, ending before a revision that was met."""
     first = start.select("tree_id", "revision_id", F.lit(0).alias("step"), F.array("revision_id").alias("met"))
     up = revisions.where("parent_id IS NOT NULL").select(F.col("revision_id").alias("at"), F.col("parent_id").alias("up"))
 
@@ -197,6 +238,35 @@ def revision_chain(revisions: DataFrame, start: DataFrame) -> DataFrame:
     return grow(first, step).drop("met")
 
 
+def reached(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """(node_id): all nodes that can be reached from those of ``root``, each met once whatever leads to it."""
+    spark, path = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/reached-{uuid.uuid4().hex}"
+    level, k = root.select("node_id").distinct(), 0
+    while True:
+        seen = Observation()
+        level.observe(seen, F.count("*").alias("n")).write.parquet(f"{path}/{k}")
+        met = spark.read.schema(root.select("node_id").schema).parquet(*(f"{path}/{i}" for i in range(k + 1)))
+        if not seen.get["n"]:
+            return met
+        last = spark.read.schema(met.schema).parquet(f"{path}/{k}")
+        below = last.join(edges, last["node_id"] == edges["parent_id"]).select(F.col("child_id").alias("node_id")).distinct()
+        level, k = below.join(met, "node_id", "left_anti"), k + 1
+
+
+def in_cycles(edges: DataFrame) -> DataFrame:
+    """(node_id): nodes on a cycle, or on a way from one cycle to another, left when nodes without an edge in or out are peeled off."""
+    spark, path, k, before = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/peeled-{uuid.uuid4().hex}", 0, None
+    left = edges.select("parent_id", "child_id").distinct()
+    while True:
+        seen = Observation()
+        left.observe(seen, F.count("*").alias("n")).write.parquet(f"{path}/{k}")
+        left, n = spark.read.schema(left.schema).parquet(f"{path}/{k}"), seen.get["n"]
+        if not n or n == before:
+            return left.select(F.col("parent_id").alias("node_id")).distinct()
+        into, out = left.select(F.col("child_id").alias("parent_id")).distinct(), left.select(F.col("parent_id").alias("child_id")).distinct()
+        left, before, k = left.join(into, "parent_id", "left_semi").join(out, "child_id", "left_semi").select("parent_id", "child_id"), n, k + 1
+
+
 def latest(runs: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The newest row of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*map(F.desc, order)))

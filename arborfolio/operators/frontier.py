@@ -162,12 +162,19 @@ def _moments(rows: pd.DataFrame, shrink: float) -> tuple:
     if shrink:
         pop = real * (len(values) - 1) / max(1, len(values))
         model = (1 - shrink) * pop + shrink * np.mean(np.diag(pop)) * np.eye(len(own))
-    return list(own.index), values.mean(axis=0) if len(values) else np.zeros(len(own)), model, real, own["lo"].to_numpy(float), own["hi"].to_numpy(float), own["base"].fillna(0.0).to_numpy(float)
+    means = values.mean(axis=0) if len(values) else np.zeros(len(own))
+    if "mu" in rows:
+        told = rows.groupby("instrument", sort=True)["mu"].first().reindex(own.index).to_numpy(float)
+        means = np.where(np.isnan(told), means, told)
+    return list(own.index), means, model, real, own["lo"].to_numpy(float), own["hi"].to_numpy(float), own["base"].fillna(0.0).to_numpy(float)
 
 
-def _rows_of(series: DataFrame, bounds: DataFrame, key: list[str], reference: DataFrame | None) -> DataFrame:
-    """One row for each return, with the bounds and reference weight of its instrument."""
+def _rows_of(series: DataFrame, bounds: DataFrame, key: list[str], reference: DataFrame | None, means: DataFrame | None = None) -> DataFrame:
+    """One row for each return, with the bounds, the reference weight and the stated mean of its instrument."""
     rows = series.join(bounds, [c for c in bounds.columns if c in (*key, "instrument")])
+    if means is not None:
+        stated = means.select(*key, "instrument", "mu")
+        return _rows_of(series, bounds, key, reference).join(stated, [*key, "instrument"], "left")
     if reference is None:
         return rows.select(*key, "instrument", "date", "ret", "lo", "hi", F.lit(0.0).alias("base"))
     base = reference.withColumnRenamed("weight", "base")
@@ -191,11 +198,11 @@ ARROW = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "double
 STEPS = "step int, beyond boolean, tolerance double, expected double, variance double, cross double, real double, real_cross double, tev double, tev_cross double, names array<string>, weights array<double>, problem string"
 
 
-def frontier(series: DataFrame, bounds: DataFrame, key: list[str], shrink: float = 0.0, reference: DataFrame | None = None) -> DataFrame:
+def frontier(series: DataFrame, bounds: DataFrame, key: list[str], shrink: float = 0.0, reference: DataFrame | None = None, means: DataFrame | None = None) -> DataFrame:
     """(key.., step, tolerance, forms, names, weights, problem): the breakpoints of each key's efficient frontier.
 
     ``series`` (key.., instrument, date, ret), ``bounds`` ([key..,] instrument, lo, hi), ``reference``
-    ([key..,] instrument, weight). variance is w'Cw of the objective's covariance, real that of the sample
+    ([key..,] instrument, weight), ``means`` (key.., instrument, mu) in place of the sample's. variance is w'Cw of the objective's covariance, real that of the sample
     covariance, tev the squared tracking error; the cross columns pair a step with the next. A last row
     ``beyond`` is the portfolio of most realized variance, which ends the stretch past the highest
     mean. A key whose bounds can't be met has one row with its problem.
@@ -218,7 +225,7 @@ def frontier(series: DataFrame, bounds: DataFrame, key: list[str], shrink: float
             })
         return out
 
-    return _grouped(_rows_of(series, bounds, key, reference), key, STEPS, solve)
+    return _grouped(_rows_of(series, bounds, key, reference, means), key, STEPS, solve)
 
 
 def _form(a: str, cross: str, b: str) -> Column:
@@ -398,3 +405,19 @@ def financing(series: DataFrame, bounds: DataFrame, rates: DataFrame, key: list[
     best = scored.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("score", 12)), F.desc("regime")))).where("k = 1")
     chosen = best.select(*key, F.when(F.abs("cash") < ZERO, "fully_invested").otherwise(F.col("regime")).alias("regime"), "score", "cash", (1 - F.col("cash")).alias("risky"))
     return solved, chosen
+
+
+def view_effects(series: DataFrame, bounds: DataFrame, viewed: DataFrame, key: list[str], objective: str, aversion: float = 2.5, least: float = 1e-6) -> DataFrame:
+    """(key.., view_id, most_moved, problem): how far each view moves a weight; problem says if it has no effect on weights.
+
+    ``viewed`` (key.., view_id, instrument, mu) has the means under each view alone. The portfolios without views
+    and under each view are one job, told apart by a scenario.
+    """
+    wide = [*key, "scenario"]
+    named = viewed.select(*key, F.col("view_id").cast("string").alias("scenario"), "instrument", "mu")
+    scenarios = named.select(wide).distinct().unionByName(series.select(*key, F.lit("without").alias("scenario")).distinct())
+    solved = pick(frontier(series.join(scenarios, key), bounds, wide, means=named), wide, objective, aversion)
+    weights = weights_of(solved, wide)
+    base = weights.where("scenario = 'without'").select(*key, "instrument", F.col("weight").alias("base"))
+    moved = weights.where("scenario <> 'without'").join(base, [*key, "instrument"]).groupBy(wide).agg(F.max(F.abs(F.col("weight") - F.col("base"))).alias("most_moved"))
+    return moved.select(*key, F.col("scenario").alias("view_id"), "most_moved", F.when(F.col("most_moved") <= least, "no effect on weights").alias("problem"))

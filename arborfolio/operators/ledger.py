@@ -33,6 +33,36 @@ def ledger_returns(grown: DataFrame) -> DataFrame:
     return value.select("arm", "fold_id", "date", F.when(before != 0, F.col("v") / before - 1).alias("ret"))
 
 
+def recurrence_returns(targets: DataFrame, holding: DataFrame) -> DataFrame:
+    """(arm, fold_id, date, ret) by the daily recurrence itself, as a second way to what ``ledger_returns`` has in closed form.
+
+    Each fold of an arm folds its days in order: a day's return is the weighted sum of its instruments'
+    returns, after which every weight grows by its own and is divided by the whole. The days of one fold
+    are held together.
+    """
+    held = targets.join(holding, ["fold_id", "instrument"])
+    days = held.groupBy("arm", "fold_id", "date").agg(F.sort_array(F.collect_list(F.struct("instrument", F.coalesce("ret", F.lit(0.0)).alias("ret"), "weight"))).alias("legs"))
+    folds = days.groupBy("arm", "fold_id").agg(F.sort_array(F.collect_list(F.struct("date", "legs"))).alias("days"))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
+    start = F.struct(F.transform(F.col("days")[0]["legs"], lambda x: x["weight"]).alias("w"), F.array().cast("array<struct<date:date,ret:double>>").alias("out"))
+
+    def step(state, day):
+        ret = add(F.zip_with(state["w"], day["legs"], lambda w, x: w * x["ret"]))
+        moved = F.zip_with(state["w"], day["legs"], lambda w, x: w * (1 + x["ret"]) / (1 + ret))
+        return F.struct(moved.alias("w"), F.array_append(state["out"], F.struct(day["date"].alias("date"), ret.alias("ret"))).alias("out"))
+
+    walked = folds.select("arm", "fold_id", F.aggregate("days", start, step, lambda s: s["out"]).alias("out"))
+    return walked.select("arm", "fold_id", F.inline("out"))
+
+
+def reconciled(curves: DataFrame, targets: DataFrame, holding: DataFrame, tolerance: float = 5e-5) -> DataFrame:
+    """(arm, fold_id, problem): folds whose curve has other dates than the recurrence, or is off by more than the tolerance on a day."""
+    again = recurrence_returns(targets, holding).withColumnRenamed("ret", "again")
+    both = curves.select("arm", "fold_id", "date", "ret").join(again, ["arm", "fold_id", "date"], "full")
+    problem = F.when(F.col("ret").isNull() | F.col("again").isNull(), "dates differ").when(F.abs(F.col("ret") - F.col("again")) > tolerance, "returns differ")
+    return both.withColumn("problem", problem).where("problem IS NOT NULL").select("arm", "fold_id", "problem").distinct()
+
+
 def drifted_weights(grown: DataFrame) -> DataFrame:
     """(arm, fold_id, date, instrument, weight) at the end of each day."""
     value = 1 + F.sum(F.col("weight") * (F.col("g") - 1)).over(Window.partitionBy("arm", "fold_id", "date"))

@@ -127,6 +127,7 @@ view("flawed_nodes", """SELECT 'ROOT' AS node_id, CAST(NULL AS VARCHAR) AS proxy
 view("flawed_held", "SELECT 'N' || s_nationkey AS node_id, 'p' || s_suppkey AS instrument FROM supplier WHERE s_suppkey % 20 = 7 UNION ALL SELECT 'N' || s_nationkey, 'own' || (s_suppkey % 4) FROM supplier")
 view("flawed_proxies", "SELECT DISTINCT e.parent_id, n.node_id, n.proxy FROM flawed_edges e JOIN flawed_nodes n ON n.node_id = e.child_id WHERE n.proxy IS NOT NULL")
 view("flawed_edges", "SELECT 'ROOT' AS parent_id, 'N' || n_nationkey AS child_id FROM nation UNION ALL SELECT 'N' || s_nationkey, CASE WHEN s_suppkey % 30 = 3 THEN 'X' || s_suppkey ELSE 'S' || s_suppkey END FROM supplier UNION ALL SELECT 'N' || ((s_nationkey + 1) % 25), 'S' || s_suppkey FROM supplier WHERE s_suppkey % 25 = 4 UNION ALL SELECT 'N' || s_nationkey, 'ROOT' FROM supplier WHERE s_suppkey = 5")
+view("flawed_ways", "SELECT a, b FROM (WITH RECURSIVE w AS (SELECT parent_id AS a, child_id AS b FROM flawed_edges UNION SELECT w.a, e.child_id FROM w JOIN flawed_edges e ON e.parent_id = w.b) SELECT * FROM w)")
 view("flawed_reach", "SELECT 'ROOT' AS node_id, 0 AS d UNION ALL SELECT e.child_id, r.d + 1 FROM flawed_reach r JOIN flawed_edges e ON e.parent_id = r.node_id WHERE e.child_id <> 'ROOT'")
 
 
@@ -136,6 +137,7 @@ view("flawed_reach", "SELECT 'ROOT' AS node_id, 0 AS d UNION ALL SELECT e.child_
   UNION ALL SELECT DISTINCT node_id, 'duplicate name' FROM flawed_nodes WHERE coalesce(name, node_id) IN (SELECT coalesce(name, node_id) FROM flawed_nodes GROUP BY 1 HAVING count(DISTINCT node_id) > 1)
   UNION ALL SELECT DISTINCT p.node_id, 'shared proxy' FROM flawed_proxies p JOIN flawed_proxies q ON p.parent_id = q.parent_id AND p.proxy = q.proxy AND p.node_id <> q.node_id
   UNION ALL SELECT DISTINCT p.node_id, 'colliding proxy' FROM flawed_proxies p JOIN flawed_held h ON h.node_id = p.parent_id AND h.instrument = p.proxy
+  UNION ALL SELECT DISTINCT a, 'cycle' FROM flawed_ways WHERE a = b
   UNION ALL SELECT DISTINCT node_id, 'duplicate instrument' FROM (SELECT node_id, instrument FROM flawed_held GROUP BY 1, 2 HAVING count(*) > 1)""")
 def tree_violations(spark, sf):
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")

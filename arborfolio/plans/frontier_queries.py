@@ -8,11 +8,13 @@ from arborfolio.functions.periods import rounded
 from arborfolio.operators import frontier as fr
 from arborfolio.operators import hierarchy as hi
 from arborfolio.operators import ledger as le
+from arborfolio.operators.moments import single_view_mean
 from arborfolio.plans.allocation_queries import bounds
 from arborfolio.plans.ledger_queries import financing_nodes
 from arborfolio.plans.panel_queries import rolling, train
 from arborfolio.plans.registry import query, view
 from arborfolio.plans.risk_queries import benchmark, covariances, means
+from arborfolio.plans.risk_queries import pick as coefficients
 from arborfolio.plans.tree_queries import slots
 from arborfolio.sources.written import shared
 
@@ -149,6 +151,27 @@ def _cap(spark, sf):
     return max(TE_CAP, nearest or 0.0)
 
 
+# Views with and without
+
+VIEWS = (("strong", 0.02 / 52, 0.6), ("as before", None, 0.6))
+
+
+@query("view_effects", "SELECT fold_id, view_id, CASE WHEN view_id = 'as before' THEN 'no effect on weights' END AS problem FROM (SELECT DISTINCT fold_id FROM mu_e) CROSS JOIN (VALUES ('as before')) v(view_id)")
+def view_effects(spark, sf):
+    """A view that states what the means say already leaves the weights alone; a warning row tells so."""
+    cov, mu, chosen = covariances(spark, sf), means(spark, sf), coefficients(spark, sf)
+    rows = [single_view_mean(cov, mu, chosen, q, c).select("fold_id", F.lit(n).alias("view_id"), "instrument", "mu") if q is not None else mu.select("fold_id", F.lit(n).alias("view_id"), "instrument", "mu") for n, q, c in VIEWS]
+    told = fr.view_effects(series(spark, sf), bounds(spark, sf), rows[0].unionByName(rows[1]), KEY, "max_utility", AVERSION)
+    return told.where("problem IS NOT NULL AND view_id = 'as before'").select("fold_id", "view_id", "problem")
+
+
+@query("view_weight_moves")
+def view_weight_moves(spark, sf):
+    """How far a stated view moves the weights of each fold."""
+    viewed = single_view_mean(covariances(spark, sf), means(spark, sf), coefficients(spark, sf), VIEWS[0][1], VIEWS[0][2]).select("fold_id", F.lit("strong").alias("view_id"), "instrument", "mu")
+    return fr.view_effects(series(spark, sf), bounds(spark, sf), viewed, KEY, "max_utility", AVERSION)
+
+
 # Financing regimes, solved
 
 LEVERAGE = 1.5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from arborfolio.functions.periods import rounded, years_after
@@ -12,8 +14,9 @@ from arborfolio.operators import pruning as pru
 from arborfolio.plans.panel_queries import hold, rolling, valuation
 from arborfolio.plans.registry import query, view
 from arborfolio.plans.risk_queries import benchmark, means
+from arborfolio.sources import exports as ex
 from arborfolio.sources.prices import table
-from arborfolio.sources.written import shared
+from arborfolio.sources.written import shared, shared_dir
 
 BPS = 10.0
 
@@ -243,6 +246,28 @@ def backtest_violations(spark, sf):
     return total.unionByName(cap).unionByName(costs(spark, sf).where("cost > 0.0015").select("arm", "fold_id", F.lit("cost above limit").alias("problem")))
 
 
+@query("written_export", "SELECT 'curves' AS name, count(*) AS n_rows, true AS verified FROM net UNION ALL SELECT 'weights', count(*), true FROM targets UNION ALL SELECT 'costs', count(*), true FROM costs")
+def written_export(spark, sf):
+    """Curves by arm and year, weights by arm and signal and costs, written under a manifest and read back."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    tables = {"curves": (export_curves_long(spark, sf), ["arm", "year"]), "weights": (export_weights_long(spark, sf), ["arm", "signal"]), "costs": (turnover_costs(spark, sf), [])}
+    ex.write_export(tables, path)
+    return ex.verify_export(spark, path).select("name", "n_rows", "verified")
+
+
+@query("recurrence_returns", "SELECT arm, fold_id, date, round(ret, 8) + 0.0 AS ret FROM gross")
+def recurrence_returns(spark, sf):
+    return le.recurrence_returns(targets(spark, sf), hold(spark, sf)).withColumn("ret", rounded(F.col("ret"), 8))
+
+
+@query("reconciliation_violations", "SELECT arm, fold_id, 'returns differ' AS problem FROM gross WHERE arm = 'TOP' AND fold_id % 7 = 3 GROUP BY 1, 2")
+def reconciliation_violations(spark, sf):
+    """Folds of which a curve differs from the recurrence; every seventh fold of one arm is shifted here to make cases."""
+    shifted = (F.col("arm") == "TOP") & (F.col("fold_id") % 7 == 3)
+    curves = le.ledger_returns(grown(spark, sf)).withColumn("ret", F.col("ret") + F.when(shifted, 1e-4).otherwise(0.0))
+    return le.reconciled(curves, targets(spark, sf), hold(spark, sf))
+
+
 # Pruning evidence: each year is a node, BENCH its own arm and EQUAL its father, under two protocols
 
 view("evidence", """SELECT protocol, node_id, CASE arm WHEN 'TOP2' THEN 'NODE' ELSE 'FATHER' END AS side, annualized_sharpe AS sharpe, max_drawdown, annualized_volatility AS volatility FROM (
