@@ -9,7 +9,22 @@ marked subtrees, with the short blocks that belong to them, are the main content
 
 Elements that cannot hold the article (scripts, menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments) are taken out by their tag, role, class or id before densities are computed,
-unless they hold most of the page's article: such wrappers are left to the densities.
+unless they hold most of the page's article: such wrappers are left to the densities. What readers'
+comments and the like hold doesn't count in that, however long it is.
+
+Rules beside the densities, each for pages on which density alone goes wrong:
+
+* A class or id whose first or last word names comments, adverts, sharing, related stories or subscriptions
+  takes its element out, inside an article too, since such parts may be as dense as the article. It stays
+  if it holds the page's first h1, or the first article or main element where none is elsewhere, or if
+  nothing else on the page holds text (for names other than comments: if it holds most of the text).
+* A header inside an article is the article's own, so its headline stays.
+* An h1 beside the way from the body to a marked subtree stays: it is the headline, too short to be dense.
+* If an article element holds text, the subtree of the largest sum is one that holds an article or lies in
+  one, since a long list of plain text beside it may have the larger sum.
+* Beside marked subtrees, parts stay whose text a tag is at least the body's and at most half in links: an
+  article cut into blocks of different density stays whole. Where marked parts lie apart, plain blocks
+  beside them and whatever lies between them stay as well.
 """
 
 from __future__ import annotations
@@ -44,7 +59,15 @@ PLACES = {
     "site", "page", "global", "main", "primary", "secondary", "top", "bottom", "left", "right", "upper", "lower", "bar", "box", "block", "area", "section", "container", "wrap", "wrapper", "inner", "outer",
     "list", "item", "items", "link", "links", "button", "buttons", "icons", "posts", "unit", "slot",
 }
-REPLIES = {"comment", "comments", "reply", "replies"}
+REPLIES = {"comment", "comments", "commentlist", "commenting", "disqus", "reply", "replies", "respond"}
+#: Words that as the first or last of a class or id name what is never the article.
+OTHERS = {
+    "ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertisements", "advertising", "sponsor", "sponsored", "share", "sharing", "social", "related", "recommended", "recommendations",
+    "newsletter", "subscribe", "subscription", "signup", "breadcrumb", "breadcrumbs", "trending",
+}
+#: Pairs of words with the same meaning, and words that make a class tell of what an element has or lacks.
+PAIRS = {("most", "read"), ("most", "popular"), ("most", "viewed"), ("also", "like")}
+TELLING = {"no", "not", "has", "have", "with", "without", "hide", "show", "is"}
 
 HOLDERS = {"article", "body", "main", "section", "div", "table"}
 P_HOLDERS = {"article", "body", "div", "section", "main", "td", "th", "li", "blockquote", "table", "button"}
@@ -156,8 +179,29 @@ def named_aside(token: str) -> bool:
     return names > 0 and all(w in NAMES or w in PLACES or w.isdigit() for w in words)
 
 
-def boilerplate(node: Node) -> bool:
-    if node.tag in ASIDE:
+def names_of(node: Node) -> list[list[str]]:
+    """The words of each class and id."""
+    return [[w.lower() for w in WORDS.findall(token)] for n, v in node.attrs if n in ("class", "id") and v for token in v.split()]
+
+
+def never_article(node: Node) -> str | None:
+    """``reply`` or ``other`` if a name of the element says that it is no part of an article."""
+    if node.tag in ("html", "body", "main"):
+        return None
+    found = None
+    for words in names_of(node):
+        if not words or TELLING & set(words):
+            continue
+        ends = {words[0], words[-1]}
+        if ends & REPLIES:
+            return "reply"
+        if node.tag != "article" and (ends & OTHERS or PAIRS & set(zip(words, words[1:]))):
+            found = "other"
+    return found
+
+
+def boilerplate(node: Node, in_article: bool = False) -> bool:
+    if node.tag in ASIDE and not (in_article and node.tag == "header"):
         return True
     if node.tag in ("html", "body", "article", "main"):
         return False
@@ -169,40 +213,91 @@ def boilerplate(node: Node) -> bool:
     return False
 
 
-def set_held(root: Node) -> None:
-    """Take out what is never text and set, for each subtree, characters outside links: all, in articles, in articles or mains.
+def set_apart(root: Node) -> set[Node]:
+    """The elements whose names keep them out of the article, without wrappers of the page's article."""
+    order, stack, ends = [], [root], {}
+    while stack:
+        node = stack.pop()
+        if isinstance(node, tuple):
+            ends[node[0]] = len(order)
+            continue
+        order.append(node)
+        stack.append((node,))
+        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+    named = [(i, ends[n], n, kind) for i, n in enumerate(order) if (kind := never_article(n))]
+    if not named:
+        return set()
+    heading = next((i for i, n in enumerate(order) if n.tag == "h1"), -1)
+    holders = [i for i, n in enumerate(order) if n.tag in ("article", "main") and never_article(n) != "reply"]
+    sums, reply, until, aside = [[0], [0], [0]], 0, 0, 0
+    for i, n in enumerate(order):  # characters so far: of all, outside replies, outside all that is no article
+        own = 0 if n.tag == "a" else sum(len(SPACE.sub("", c)) for c in n.children if isinstance(c, str))
+        kind = never_article(n)
+        reply = max(reply, ends[n]) if kind == "reply" else reply
+        until = max(until, ends[n]) if kind else until
+        aside = max(aside, ends[n]) if boilerplate(n) else aside
+        for total, counts in zip(sums, (True, i >= reply, i >= max(until, aside)), strict=True):
+            total.append(total[-1] + own * counts)
+    free, skip = [], 0
+    for i, end, _, _ in named:
+        free += [h for h in holders if skip <= h < i]
+        skip = max(skip, end)
+    free += [h for h in holders if h >= skip]
+    found, after = set(), 0
+    for i, end, node, kind in named:
+        if i < after:
+            continue  # inside one that is taken out
+        if i <= heading < end or not free and holders and i <= holders[0] < end:
+            continue
+        if heading < 0 and not free:
+            if kind == "other" and 2 * (sums[1][end] - sums[1][i]) > sums[1][-1] or kind == "reply" and not sums[2][-1]:
+                continue
+        found.add(node)
+        after = end
+    return found
+
 
-    Readers' comments that are marked up as articles don't count as such.
-    """
+def set_held(root: Node, apart: set[Node]) -> None:
+    """Set, for each subtree, characters outside links and outside what is set apart: all, in articles, in articles or mains."""
     order, stack = [], [(root, False, False, False)]
     while stack:
-        node, article, holder, link = stack.pop()
-        if node.tag == "article" and not any(n in ("class", "id") and v and REPLIES & {w.lower() for w in WORDS.findall(v)} for n, v in node.attrs):
-            article = True
-        holder, link = holder or article or node.tag == "main", link or node.tag == "a"
-        order.append((node, article, holder, link))
-        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in SKIPPED]
-        stack += [(c, article, holder, link) for c in node.children if not isinstance(c, str)]
-    for node, article, holder, link in reversed(order):
-        own = 0 if link else sum(len(SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        node, article, holder, out = stack.pop()
+        article = article or node.tag == "article"
+        holder, out = holder or article or node.tag == "main", out or node.tag == "a" or node in apart
+        order.append((node, article, holder, out))
+        stack += [(c, article, holder, out) for c in node.children if not isinstance(c, str)]
+    for node, article, holder, out in reversed(order):
+        own = 0 if out else sum(len(SPACE.sub("", c)) for c in node.children if isinstance(c, str))
         below = [c.held for c in node.children if not isinstance(c, str)]
         node.held = tuple(own * counts + sum(h[k] for h in below) for k, counts in enumerate((True, article, holder)))
 
 
+def drop_skipped(root: Node) -> None:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in SKIPPED]
+        stack += [c for c in node.children if not isinstance(c, str)]
+
+
 def measure(root: Node) -> list[Node]:
     """Take boilerplate out and set the counts of each subtree; nodes in page order.
 
-    A subtree that holds most of the text in articles stays, or, on a page without any, most of that in mains or of all.
+    A subtree that holds most of the text in articles stays, or, on a page without any, most of that in mains or of all;
+    what is set apart by its name neither counts nor stays.
     """
-    set_held(root)
+    drop_skipped(root)
+    apart = set_apart(root)
+    set_held(root, apart)
     kind = 1 if root.held[1] else 2 if root.held[2] else 0
     most = root.held[kind] / 2
-    order, stack = [], [root]
+    order, stack = [], [(root, False)]
     while stack:
-        node = stack.pop()
+        node, article = stack.pop()
+        article = article or node.tag == "article"
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or c.held[kind] > most or not boilerplate(c)]
-        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+        node.children = [c for c in node.children if isinstance(c, str) or c not in apart and (c.held[kind] > most or not boilerplate(c, article))]
+        stack += [(c, article) for c in reversed(node.children) if not isinstance(c, str)]
     for node in reversed(order):
         own = sum(len(SPACE.sub("", c)) for c in node.children if isinstance(c, str))
         kids = [c for c in node.children if not isinstance(c, str)]
@@ -235,7 +330,17 @@ def main_parts(order: list[Node]) -> list[Node | str]:
         node = stack.pop()
         inside.append(node)
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
-    peak = max(inside, key=lambda n: n.sum)
+    articles, around = [n for n in inside if n.tag == "article" and n.text], set()
+    for node in articles:
+        while node is not None and node not in around:
+            around.add(node)
+            node = node.parent
+    stack = list(articles)
+    while stack:
+        node = stack.pop()
+        around.add(node)
+        stack += [c for c in node.children if not isinstance(c, str)]
+    peak = max((n for n in inside if not articles or n in around), key=lambda n: n.sum)
     threshold, node = peak.density, peak
     while node is not body:
         node = node.parent
@@ -273,7 +378,7 @@ def kept_parts(body: Node, marked: set[Node]) -> list[Node | str]:
     def belongs(c: Node | str, beside: bool, between: bool) -> bool:
         if isinstance(c, str):
             return beside
-        if c in above:
+        if c in above or c.tag == "h1":
             return True
         plain = c.tag in BLOCKS or c.tag in INLINE
         return 2 * c.links <= c.text and (c.text >= least * max(1, c.tags) or beside and (plain or between))

@@ -73,6 +73,46 @@ def test_whole_page_form():
     assert [x.split(":")[0] for x in html_text.main_text(page).split("\n")] == ["a 0", "a 1", "a 2"]
 
 
+REPLY_NAMES = ['id="disqus_thread"', 'class="comment-thread"', 'class="fb-comments"', 'class="comments-section"', 'id="comments"', 'class="post-comments"', 'class="user-comment"', 'class="author-comments"', 'class="comment-text"']
+OTHER_NAMES = ["google-ads", "share-tools", "related-stories", "related-articles", "subscribe-cta", "breadcrumb-trail", "most-read"]
+
+
+@pytest.mark.parametrize("holder", ["article", 'div class="story"'])
+@pytest.mark.parametrize("name", REPLY_NAMES)
+def test_long_comments_are_never_the_article(holder, name):
+    story, comments = _section("story", 2), "".join(_section(f"reply{k}", 6) for k in range(5))
+    want = ["The headline", "story 0", "story 1"]
+    lines = lambda page: [x.split(":")[0] for x in html_text.main_text(page).split("\n")]
+    tag = holder.split()[0]
+    assert lines(f"<body><nav><a href=/>Home</a></nav><{holder}><h1>The headline</h1>{story}</{tag}><section {name}>{comments}</section></body>") == want
+    assert lines(f"<body><{holder}><h1>The headline</h1>{story}<div {name}>{comments}</div></{tag}><footer>end</footer></body>") == want
+    assert lines(f"<body><{holder}>{story}</{tag}><section {name}>{comments}</section></body>") == want[1:]
+
+
+@pytest.mark.parametrize("holder", ["article", 'div class="story"'])
+@pytest.mark.parametrize("name", OTHER_NAMES)
+def test_adverts_menus_and_related_parts_go(holder, name):
+    tag = holder.split()[0]
+    other = f'<div class="{name}"><p>Something else to look at, to read or to buy.</p><a href=x>Here</a></div>'
+    page = f"<body><{holder}><h1>The headline</h1>{_section('a', 2)}{other}{_section('b', 2)}</{tag}>{other}</body>"
+    assert [x.split(":")[0] for x in html_text.main_text(page).split("\n")] == ["The headline", "a 0", "a 1", "b 0", "b 1"]
+
+
+def test_own_header_of_an_article_and_named_wrappers_stay():
+    page = f"<body><header>Name of the site</header><article><header><h1>The headline</h1><p>By a writer</p></header>{_section('a', 3)}</article></body>"
+    assert [x.split(":")[0] for x in html_text.main_text(page).split("\n")] == ["The headline", "By a writer", "a 0", "a 1", "a 2"]
+    for name in ("comments-open", "has-comments", "ad-free", "social-post"):
+        for inner in (f"<article>{_section('a', 3)}</article>", f"<h1>a</h1>{_section('a', 3)}", f"<div>{_section('a', 3)}</div>"):
+            page = f'<body><div class="{name}">{inner}</div><div class="footer">All rights</div></body>'
+            assert [x.split(":")[0] for x in html_text.main_text(page).split("\n")][-3:] == ["a 0", "a 1", "a 2"], (name, inner)
+
+
+def test_an_article_goes_before_longer_text_beside_it():
+    page = f"<body><article><h1>The headline</h1>{_section('a', 1)}</article><div><ul>" + "<li>short entry in a list of words</li>" * 200 + "</ul></div></body>"
+    lines = html_text.main_text(page).split("\n")
+    assert [x.split(":")[0] for x in lines[:2]] == ["The headline", "a 0"]
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, None), (3, "u", "", "x"), (3, "u", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
