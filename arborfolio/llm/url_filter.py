@@ -95,15 +95,15 @@ def _probe(hosts: list[str], paths: list[str], index: dict, default: str) -> tup
             owners.append(row)
             texts.append(found)
     digests = np.array([xxhash.xxh64_intdigest(h + p, SEED) for h, p in texts], dtype=np.uint64)
-    best: dict[int, tuple[int, str, str]] = {}
+    best: dict[int, tuple[tuple[int, int], str, str]] = {}
     for keys, ends, text in (_shard(*s) for s in index["shards"] if s[1]):
         left, right = np.searchsorted(keys, digests, "left"), np.searchsorted(keys, digests, "right")
         for i in np.flatnonzero(left < right):
             row, (host, path) = owners[i], texts[i]
             for k in range(left[i], right[i]):
                 size, verdict, rule = bytes(text[ends[k] : ends[k + 1]]).decode().split("\t", 2)
-                if rule == host + path and int(size) == len(host) and len(rule) > best.get(row, (0,))[0]:
-                    best[row] = len(rule), rule, verdict
+                if rule == host + path and int(size) == len(host) and (len(rule), len(host)) > best.get(row, ((0, 0),))[0]:
+                    best[row] = (len(rule), len(host)), rule, verdict
     rows = range(len(hosts))
     return [best[i][1] if i in best else None for i in rows], [best[i][2] if i in best else default for i in rows]
 
@@ -111,7 +111,8 @@ def _probe(hosts: list[str], paths: list[str], index: dict, default: str) -> tup
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Verdict of every row's url: (all id columns), host, path, rule, verdict.
 
-    A rule fits its host and all subdomains when the path starts with the rule's; the longest wins.
+    A rule fits its host and all subdomains when the path starts with the rule's; the longest wins,
+    of equally long ones that of the longer host.
     A url that is null or has no ``://`` gets an empty host and path, no rule and ``default``; so
     does one that no rule fits, since an absent key in a block list means the URL passes. Repeated
     rows are judged each on their own; an empty table gives an empty result.
@@ -142,8 +143,8 @@ split AS (
     regexp_extract(u, '://([^/?#]*)([^?#]*)', 2) AS path
   FROM parts),
 fit AS (
-  SELECT s.n, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
-         max_by(r.verdict, length(r.host || r.path)) AS verdict
+  SELECT s.n, max_by(r.host || r.path, (length(r.host || r.path), length(r.host))) AS rule,
+         max_by(r.verdict, (length(r.host || r.path), length(r.host))) AS verdict
   FROM split s JOIN rules r
     ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
   GROUP BY s.n)

@@ -200,6 +200,18 @@ def test_url_rules(spark):
     assert len(sharded["shards"]) > 1
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 40])
+def test_of_equally_long_rules_that_of_the_longer_host_wins(spark, monkeypatch, shard_bytes):
+    pages = spark.createDataFrame([(1, "http://a.com/ab"), (2, "http://b.com/ab"), (3, "http://x.a.com/")], "page_id long, url string")
+    for verdicts in (("block", "allow"), ("allow", "block")):
+        rules = spark.createDataFrame([("com", "/ab", verdicts[0]), ("a.com", "/", verdicts[1]), ("om", "/abc", "block")], "host string, path string, verdict string")
+        build = url_filter.build_index
+        with monkeypatch.context() as patch:
+            patch.setattr(url_filter, "build_index", lambda s, r: build(s, r, shard_bytes=shard_bytes))
+            got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+        assert got == {1: ("a.com/", verdicts[1]), 2: ("com/ab", verdicts[0]), 3: ("a.com/", verdicts[1])}
+
+
 def test_url_rules_with_long_hosts(spark):
     host = "a." * 50_000 + "example.com"
     pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, f"http://{host}x/en/x"), (3, "http://." + "/" * 100_000), (4, "://com" + "/en" * 30_000)], "page_id long, url string")
