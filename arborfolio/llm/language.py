@@ -33,6 +33,7 @@ PENALTY = 1.0
 TEMPERATURES = [2.0**k for k in range(9)]
 CACHE_BYTES = 16 << 20
 BROADCAST_LANGUAGES = 10_000
+DISTINCT_ERROR = 0.02
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -75,12 +76,13 @@ TERM = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("term", pa.string()
 def sample_of(labelled: DataFrame, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES) -> DataFrame:
     """(doc_id, lang, text, tries): the training sample; tries marks the fifth that the temperature is chosen on.
 
-    The share of a language's hashes that could belong to its sample follows from its count, so all
-    other texts are left where they are and no language is ranked whole. Of several texts under one id
-    and language the first in order counts.
+    The share of a language's hashes that could belong to its sample follows from how many different
+    ids it has, so all other texts are left where they are and no language is ranked whole. That number
+    is estimated within a few percent, which the threefold room of the threshold covers, and repeated
+    rows do not count in it. Of several texts under one id and language the first in order counts.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
-    counts = Workspace(labelled.sparkSession, "languages").write(labelled.groupBy("lang").agg(F.count("*").alias("__all")), "counts")
+    counts = Workspace(labelled.sparkSession, "languages").write(labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id", DISTINCT_ERROR).alias("__all")), "counts")
     if counts.count() <= BROADCAST_LANGUAGES:  # rows of a name and a number; otherwise rows are dealt by language
         counts = F.broadcast(counts)
     rows = labelled.select("doc_id", "lang", "text", place.alias("__place")).join(counts, "lang")

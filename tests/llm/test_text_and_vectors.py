@@ -254,6 +254,13 @@ def test_language_sample_is_bounded_and_holds_hot_rows(spark):
     assert sum(len(r.text) for r in language.sample_of(docs, 50, 100).collect()) <= 200
 
 
+def test_language_sample_of_repeated_rows_is_full(spark):
+    repeated = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"))
+    repeated = repeated.crossJoin(spark.range(200).select()).unionByName(spark.range(100, 130).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit("de").alias("lang")))
+    got = Counter(r.lang for r in language.sample_of(repeated, 50).collect())
+    assert got == {"en": 50, "de": 30}
+
+
 def dense_votes(query, examples, k):
     scores = [(sum(w * e.get(t, 0.0) for t, w in query.items()), i) for i, e in enumerate(examples)]
     return sorted(((s, i) for s, i in scores if s > 0), key=lambda x: (-round(x[0], 12), x[1]))[:k]
