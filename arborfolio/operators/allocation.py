@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborfolio.operators.catalog import RESERVED
+
 TOLERANCE, ZERO = 2e-6, 1e-10
 
 
@@ -211,3 +213,38 @@ def volatility_targets(nodes: DataFrame, series: DataFrame, periods: int) -> Dat
     measured = series.groupBy("reference").agg((F.stddev_samp("ret") * F.sqrt(F.lit(float(periods)))).alias("measured"))
     joined = nodes.join(measured, "reference", "left")
     return joined.select("node_id", F.coalesce("manual", "measured").alias("target"), F.when(F.col("manual").isNotNull(), "manual").when(F.col("measured").isNotNull(), F.col("reference")).otherwise("none").alias("source"))
+
+
+def reference_targets(nodes: DataFrame, returns: DataFrame, benchmark: DataFrame, forward: DataFrame, periods: int) -> DataFrame:
+    """(fold_id, node_id, reference, target, problem): the volatility that each node of each fold is held to.
+
+    ``nodes`` (node_id, is_root, proxy, reference, manual), ``returns`` (fold_id, instrument, date, ret), ``benchmark`` (instrument,
+    weight), ``forward`` (fold_id, date, ret): what the root earns by a forward pass. The references benchmark, father_proxy and
+    forward_root_reference measure the annual deviation of that series on the fold's rows; none, manual and declared take the manual
+    value, which may be null. A reference that a node cannot have gives a problem instead of a target. Every deviation
+    is measured once a fold, whatever number of nodes asks for it.
+    """
+    deviation = (F.stddev_samp("ret") * F.sqrt(F.lit(float(periods)))).alias("measured")
+    whole = benchmark.agg(F.count("*").alias("parts"))
+    held = returns.join(benchmark, "instrument").groupBy("fold_id", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"), F.count("ret").alias("n"))
+    of_benchmark = held.crossJoin(whole).groupBy("fold_id").agg(deviation, F.min(F.col("n") == F.col("parts")).alias("complete")).where("complete").drop("complete")
+    proxies = nodes.where("reference = 'father_proxy' AND proxy IS NOT NULL").select(F.col("proxy").alias("instrument")).distinct()
+    of_proxies = returns.join(proxies, "instrument", "left_semi").groupBy("fold_id", F.col("instrument").alias("proxy")).agg(deviation)
+    none = F.lit(None).cast("string").alias("proxy")
+    measured = of_benchmark.select("fold_id", F.lit("benchmark").alias("reference"), none, "measured")
+    measured = measured.unionByName(forward.groupBy("fold_id").agg(deviation).select("fold_id", F.lit("forward_root_reference").alias("reference"), none, "measured"))
+    measured = measured.unionByName(of_proxies.select("fold_id", F.lit("father_proxy").alias("reference"), "proxy", "measured"))
+    asked = returns.select("fold_id").distinct().crossJoin(nodes)  # the rows of the result
+    on = (asked["fold_id"] == measured["fold_id"]) & (asked["reference"] == measured["reference"]) & (measured["proxy"].isNull() | (asked["proxy"] == measured["proxy"]))
+    joined = asked.join(measured, on, "left").select(asked["fold_id"], "node_id", "is_root", asked["proxy"], asked["reference"], "manual", "measured")
+    kind = F.coalesce("reference", F.lit("none"))
+    given, relative = kind.isin("none", "manual", "declared"), kind.isin("benchmark", "father_proxy", "forward_root_reference")
+    problem = (
+        F.when(kind.isin(*RESERVED), "reference is reserved")
+        .when(~given & ~relative, "unsupported reference")
+        .when((kind == "forward_root_reference") & F.col("is_root"), "forward reference on the root")
+        .when((kind == "father_proxy") & F.col("proxy").isNull(), "father reference requires a proxy")
+        .when(relative & F.col("measured").isNull(), "reference series missing")
+    )
+    target = F.when(problem.isNull(), F.when(given, F.col("manual")).otherwise(F.col("measured")))
+    return joined.select("fold_id", "node_id", "reference", target.alias("target"), problem.alias("problem"))

@@ -28,6 +28,8 @@ CHOICES = {
 #: References kept for a mode that does not exist yet.
 RESERVED = ("current_parent_synthetic", "current_root_synthetic")
 LIMITS = ("per_asset_cap", "vol_target", "max_volatility", "max_tracking_error")
+#: The fields that a search looks into.
+SEARCHED = ("symbol", "name", "asset_class", "area", "category", "sub_group", "sector", "theme")
 #: Parts of key names whose values are secrets.
 SECRET_WORDS = ("token", "secret", "password", "api_key", "apikey")
 #: What counts as an e-mail address, a phone number and a long run of digits.
@@ -42,12 +44,25 @@ def normalized_symbols(names: DataFrame, column: str = "name") -> DataFrame:
     return names.select(bare.alias("symbol")).where("symbol <> ''").distinct()
 
 
-def search(listings: DataFrame, instruments: DataFrame, coverage: DataFrame, text: str, least: int, limit: int = 100) -> DataFrame:
-    """Listings (symbol, name, kind) with instrument and price coverage; exact symbols first, then by name order."""
-    like = F.upper(F.concat_ws(" ", "symbol", "name", "kind", "group")).contains(text.upper())
-    joined = listings.join(instruments, "symbol").join(coverage, "symbol", "left")
-    found = joined.where(like & (F.coalesce("observations", F.lit(0)) >= least))
-    return found.orderBy((F.col("symbol") != text.upper()).cast("int"), "symbol").limit(min(limit, 100))
+def search(listings: DataFrame, instruments: DataFrame, classes: DataFrame, coverage: DataFrame, text: str, least: int = 0, start_before: str | None = None, limit: int = 100) -> DataFrame:
+    """At most ``limit`` (1 to 100) listings in trade with what is known of them; the exact symbol first, then by symbol and exchange.
+
+    ``listings`` (symbol, exchange, active_to), ``instruments`` (symbol, name, kind), ``classes`` (symbol in any case, and the
+    other SEARCHED fields), ``coverage`` (symbol, observations, first_date, last_date). Any of the SEARCHED fields may be
+    LIKE the text, in any case. ``least``: observations that a listing must have; ``start_before``: a day by which its prices
+    must have begun. A text of less than two characters finds nothing unless one of these is given.
+    """
+    classes = classes.withColumn("__upper", F.upper("symbol")).drop("symbol")
+    known = listings.where("active_to IS NULL").join(instruments, "symbol").join(coverage, "symbol", "left")
+    joined = known.join(classes, F.upper(known["symbol"]) == classes["__upper"], "left").drop("__upper").fillna(0, ["observations"])
+    text = text.strip().upper()
+    like = F.exists(F.array(*(F.upper(F.col(c).cast("string")) for c in SEARCHED)), lambda field: F.coalesce(field, F.lit("")).like(f"%{text}%"))
+    found = joined.where(like & (F.col("observations") >= least))
+    if start_before:
+        found = found.where(F.col("first_date") <= F.lit(start_before).cast("date"))
+    if len(text) < 2 and least <= 0 and not start_before:
+        found = found.where(F.lit(False))
+    return found.orderBy((F.upper("symbol") != text).cast("int"), "symbol", "exchange").limit(max(1, min(limit, 100)))
 
 
 def fingerprint(coverage: DataFrame) -> DataFrame:
@@ -59,6 +74,25 @@ def fingerprint(coverage: DataFrame) -> DataFrame:
     )
 
 
+def fingerprints(universes: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(tree_id, as_of, fingerprint): for each tree the latest covered day and a sha256 over its symbols' coverage.
+
+    ``universes`` (tree_id, instrument): a tree's instruments, null for a tree without any; ``coverage`` (symbol, last_date,
+    observations, run). What is hashed is a JSON list of [symbol, day, count, run] as texts, by symbol. A tree without
+    instruments has the fingerprint no-instruments, one of which no symbol is covered no-coverage; both have no day.
+    Only the lines of one tree are held together.
+    """
+    symbol = F.upper(F.trim(F.regexp_replace("instrument", "^[^:]*:", ""))).alias("symbol")
+    symbols = universes.select("tree_id", symbol).distinct()
+    texts = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("symbol", "last_date", "observations", "run")))
+    lines = coverage.select(F.upper("symbol").alias("symbol"), F.col("last_date").cast("string").alias("day"), F.struct("symbol", F.to_json(texts).alias("text")).alias("line"))
+    joined = symbols.join(lines, "symbol", "left").groupBy("tree_id")
+    grouped = joined.agg(F.count("symbol").alias("n"), F.max("day").alias("as_of"), F.sort_array(F.collect_list("line"))["text"].alias("texts"))
+    whole = F.concat(F.lit("["), F.concat_ws(",", "texts"), F.lit("]"))
+    told = F.when(F.col("n") == 0, "no-instruments").when(F.size("texts") == 0, "no-coverage").otherwise(F.sha2(whole, 256))
+    return grouped.select("tree_id", "as_of", told.alias("fingerprint"))
+
+
 def parse_configs(configs: DataFrame) -> DataFrame:
     """Config texts (tree_id, body) as rows with defaults; a text that does not parse has a null node_id."""
     fields = ", ".join([CONFIG, *(f"{c} STRING" for c in CHOICES), *(f"{c} DOUBLE" for c in LIMITS)])

@@ -163,6 +163,37 @@ def grid_gaps(curves: DataFrame) -> DataFrame:
     return by_day.where("arms < all_arms").select("date", "arms")
 
 
+def audit_series(returns: DataFrame, benchmark: DataFrame, children: DataFrame, forward: DataFrame, backward: DataFrame, implemented: DataFrame) -> DataFrame:
+    """(fold_id, date, series, ret): every series that the estimates of a fold rest on or give, by name.
+
+    RAW:x the training rows, REFERENCE:B0_RAW the benchmark, REFERENCE:FATHER:n a child's proxy, FORWARD_OUTPUT:n and
+    RESULT_OUTPUT:n what a node earns by its weights of either pass, BACKWARD_INPUT:proxy_SYNTH what stands for a child
+    in its parent, DIAGNOSTIC:B0_SYNTH the implemented benchmark. ``returns`` (fold_id, instrument, date, ret),
+    ``benchmark`` (instrument, weight), ``children`` (node_id, proxy), ``forward`` (fold_id, node_id, instrument, weight)
+    a node's own weights, ``backward`` the same down to instruments, ``implemented`` (fold_id, instrument, weight).
+    """
+    returns = returns.select("fold_id", "instrument", "date", "ret")
+
+    def portfolio(weights: DataFrame, name: Column) -> DataFrame:
+        on = [c for c in ("fold_id", "instrument") if c in weights.columns]
+        return returns.join(weights.withColumn("series", name), on).groupBy("fold_id", "date", "series").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
+
+    out = returns.select("fold_id", "date", F.concat(F.lit("RAW:"), "instrument").alias("series"), "ret")
+    father = children.select("node_id", F.col("proxy").alias("instrument"), F.lit(1.0).alias("weight"))
+    result = portfolio(backward, F.concat(F.lit("RESULT_OUTPUT:"), "node_id"))
+    below = children.select(F.concat(F.lit("RESULT_OUTPUT:"), "node_id").alias("series"), F.concat(F.lit("BACKWARD_INPUT:"), "proxy", F.lit("_SYNTH")).alias("input"))
+    for part in (
+        portfolio(benchmark, F.lit("REFERENCE:B0_RAW")),
+        portfolio(father, F.concat(F.lit("REFERENCE:FATHER:"), "node_id")),
+        portfolio(forward, F.concat(F.lit("FORWARD_OUTPUT:"), "node_id")),
+        result,
+        result.join(below, "series").select("fold_id", "date", F.col("input").alias("series"), "ret"),
+        portfolio(implemented, F.lit("DIAGNOSTIC:B0_SYNTH")),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
 def compress(curves: DataFrame, points: int = 600) -> DataFrame:
     """(arm, date, ret): blocks of ceil(n / points) days compounded, dated at their end."""
     order = Window.partitionBy("arm").orderBy("date")

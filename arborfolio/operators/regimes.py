@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborfolio.operators.hierarchy import Allocator
+
 
 def by_state(regimes: DataFrame) -> DataFrame:
     """(date, state, weight): each day's probability of either state."""
@@ -58,6 +60,24 @@ def blended_best(training: DataFrame, states: DataFrame, signals: DataFrame, lea
     return scaled.groupBy("fold_id", "instrument").agg(F.sum("weight").alias("weight"))
 
 
+def blended(training: DataFrame, states: DataFrame, signals: DataFrame, bounds: DataFrame, allocate: Allocator, least: int = 3) -> DataFrame:
+    """(fold_id, instrument, weight): each state's own allocation, by the state's probability at the signal.
+
+    A state stands as a node of the allocator, with the training rows of its own days; all states of all folds are one job.
+    ``states`` (date, state), ``signals`` (fold_id, p), ``bounds`` (instrument, lo, hi). A state of fewer than ``least`` days
+    leaves its share to the other; if that has no probability, it still takes the whole.
+    """
+    rows = training.where("ret IS NOT NULL").join(states.select("date", F.col("state").alias("node_id")), "date")
+    enough = rows.groupBy("fold_id", "node_id").agg(F.count_distinct("date").alias("days")).where(F.col("days") >= least).select("fold_id", "node_id")
+    series = rows.join(enough, ["fold_id", "node_id"], "left_semi").select("fold_id", "node_id", "instrument", "date", "ret")
+    both = bounds.select(F.explode(F.array(F.lit("stress"), F.lit("calm"))).alias("node_id"), "instrument", "lo", "hi")
+    p = F.when(F.col("node_id") == "stress", F.col("p")).otherwise(1 - F.col("p"))
+    share = enough.join(signals.select("fold_id", "p"), "fold_id").withColumn("share", p)
+    of = Window.partitionBy("fold_id")
+    share = share.select("fold_id", "node_id", F.when(F.sum("share").over(of) > 0, F.col("share") / F.sum("share").over(of)).otherwise(1 / F.count("*").over(of)).alias("share"))
+    return allocate(series, both).join(share, ["fold_id", "node_id"]).groupBy("fold_id", "instrument").agg(F.sum(F.col("share") * F.col("weight")).alias("weight"))
+
+
 def lagged_switch(returns: DataFrame, regimes: DataFrame, stress: str, calm: str) -> DataFrame:
     """(date, ret): yesterday's state picks one of two instruments; no state yet gives null."""
     wide = returns.where(F.col("instrument").isin(stress, calm)).groupBy("date").agg(

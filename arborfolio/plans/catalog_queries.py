@@ -9,6 +9,8 @@ from arborfolio.functions.periods import rounded
 from arborfolio.operators import catalog as ca
 from arborfolio.operators import ledger as le
 from arborfolio.operators import regimes as rg
+from arborfolio.operators.hierarchy import by_mean_return
+from arborfolio.plans.allocation_queries import fill_sql
 from arborfolio.plans.ledger_queries import BPS
 from arborfolio.plans.panel_queries import rolling, train, valuation
 from arborfolio.plans.registry import query, view
@@ -34,11 +36,36 @@ def kinds(spark, sf):
 @query("catalog_search", """SELECT l.symbol, l.name, k.kind, c.observations, c.first_date, c.last_date FROM listings l JOIN kinds k USING (symbol) LEFT JOIN coverage c USING (symbol)
   WHERE contains(upper(concat_ws(' ', l.symbol, l.name, k.kind, k."group")), 'BRAND#1') AND coalesce(c.observations, 0) >= 10 ORDER BY l.symbol <> 'BRAND#1', l.symbol LIMIT 20""")
 def catalog_search(spark, sf):
-    listings = table(spark, sf, "part").select(F.upper("p_brand").alias("symbol"), F.col("p_brand").alias("name")).distinct()
-    found = ca.search(listings, kinds(spark, sf), coverage(spark, sf), "Brand#1", 10, 20)
+    listings, *known = catalog(spark, sf)
+    found = ca.search(listings.select("symbol", F.lit("").alias("exchange"), F.lit(None).cast("date").alias("active_to")).distinct(), *known, "Brand#1", 10, limit=20)
     return found.select("symbol", "name", "kind", "observations", "first_date", "last_date")
 
 
+view("traded", "SELECT DISTINCT upper(p_brand) AS symbol, p_type AS exchange FROM part WHERE NOT ends_with(p_brand, '5')")
+view("classes", "SELECT upper(p_brand) AS symbol, min(p_type) AS asset_class, 'size ' || min(p_size) AS area, max(p_type) AS category, 'size ' || max(p_size) AS sub_group, min(p_name) AS sector, max(p_name) AS theme FROM part GROUP BY 1")
+
+
+def catalog(spark, sf):
+    """Listings (brands ending in 5 are no longer traded), instruments, their classes and coverage."""
+    part, symbol = table(spark, sf, "part"), F.upper("p_brand").alias("symbol")
+    left = F.when(F.col("p_brand").endswith("5"), F.lit("1998-01-01").cast("date"))
+    listings = part.select(symbol, F.col("p_type").alias("exchange"), left.alias("active_to")).distinct()
+    names = part.groupBy(symbol).agg(F.min("p_brand").alias("name"), F.min("p_type").alias("kind"))
+    size = lambda end: F.concat(F.lit("size "), end("p_size").cast("string"))
+    fields = {"asset_class": F.min("p_type"), "area": size(F.min), "category": F.max("p_type"), "sub_group": size(F.max), "sector": F.min("p_name"), "theme": F.max("p_name")}
+    classes = part.groupBy(F.col("p_brand").alias("symbol")).agg(*(c.alias(n) for n, c in fields.items()))
+    return listings, names, classes, coverage(spark, sf)
+
+
+@query("catalog_filtered", """SELECT symbol, exchange, l.name, k.kind, area, theme, coalesce(c.observations, 0) AS observations, c.first_date FROM traded t JOIN (SELECT symbol, min(name) AS name FROM listings GROUP BY 1) l USING (symbol) JOIN kinds k USING (symbol)
+  JOIN classes USING (symbol) LEFT JOIN coverage c USING (symbol) WHERE c.observations >= 20 AND c.first_date <= DATE '1996-06-01' AND (symbol LIKE '%1%' OR upper(l.name) LIKE '%1%' OR upper(asset_class) LIKE '%1%' OR upper(area) LIKE '%1%'
+  OR upper(category) LIKE '%1%' OR upper(sub_group) LIKE '%1%' OR upper(sector) LIKE '%1%' OR upper(theme) LIKE '%1%') ORDER BY symbol <> '1', symbol, exchange LIMIT 100""")
+def catalog_filtered(spark, sf):
+    """Traded listings with a 1 in any field, 20 observations and prices since June 1996."""
+    found = ca.search(*catalog(spark, sf), "1", 20, "1996-06-01")
+    return found.select("symbol", "exchange", "name", "kind", "area", "theme", "observations", "first_date")
+
+
 @query("instrument_labels", "SELECT symbol, name || ' (' || kind || ')' AS label FROM listings JOIN kinds USING (symbol)")
 def instrument_labels(spark, sf):
     listings = table(spark, sf, "part").select(F.upper("p_brand").alias("symbol"), F.col("p_brand").alias("name")).distinct()
@@ -57,6 +84,21 @@ def data_fingerprint(spark, sf):
     return ca.fingerprint(coverage(spark, sf))
 
 
+# Each order is a tree: its lines' brands, none where a line came back, unknown ones where it is open
+
+view("order_symbols", "SELECT DISTINCT l_orderkey AS tree_id, CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_linestatus = 'O' THEN 'OPEN ' || upper(p_brand) ELSE upper(p_brand) END AS symbol FROM lineitem JOIN part ON p_partkey = l_partkey")
+
+
+@query("model_fingerprints", """SELECT tree_id, CAST(max(last_date) AS VARCHAR) AS as_of, CASE WHEN count(o.symbol) = 0 THEN 'no-instruments' WHEN count(c.symbol) = 0 THEN 'no-coverage'
+  ELSE sha256('[' || string_agg('["' || c.symbol || '","' || last_date || '","' || observations || '","run-' || year(last_date) || '"]', ',' ORDER BY c.symbol) || ']') END AS fingerprint
+  FROM order_symbols o LEFT JOIN coverage c ON c.symbol = o.symbol GROUP BY 1""")
+def model_fingerprints(spark, sf):
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    name = F.when(F.col("l_returnflag") != "R", F.when(F.col("l_linestatus") == "O", F.concat(F.lit("ticker:open "), "p_brand")).otherwise(F.concat(F.lit("ticker: "), "p_brand")))
+    run = F.concat(F.lit("run-"), F.year("last_date").cast("string"))
+    return ca.fingerprints(lines.select(F.col("l_orderkey").alias("tree_id"), name.alias("instrument")), coverage(spark, sf).withColumn("run", run))
+
+
 # Configs: one JSON text for each customer
 
 #: Which customers (number modulo 40) get which other field, as SQL that both engines read.
@@ -302,6 +344,21 @@ def regime_blended_weights(spark, sf):
     return done.withColumn("weight", rounded(F.col("weight")))
 
 
+view("state_rows", "SELECT fold_id, state, date, instrument, ret FROM train JOIN state_asof USING (date) WHERE state IS NOT NULL")
+view("state_share", """SELECT fold_id, state, CASE WHEN sum(share) OVER (PARTITION BY fold_id) > 0 THEN share / sum(share) OVER (PARTITION BY fold_id) ELSE 1.0 / count(*) OVER (PARTITION BY fold_id) END AS share FROM (
+  SELECT fold_id, state, CASE WHEN state = 'stress' THEN p ELSE 1 - p END AS share FROM (SELECT fold_id, state FROM state_rows GROUP BY ALL HAVING count(DISTINCT date) >= 3) JOIN (SELECT f.fold_id, r.p FROM folds_r f ASOF JOIN regimes r ON f.signal >= r.date) USING (fold_id))""")
+view("state_w", fill_sql("(SELECT fold_id, state, instrument, avg(ret) AS mu, 0.05 AS lo, 0.5 AS hi FROM state_rows JOIN state_share USING (fold_id, state) GROUP BY ALL)", "fold_id, state", "mu DESC, instrument"))
+
+
+@query("regime_blended_allocation", "SELECT fold_id, instrument, round(sum(share * weight), 6) + 0.0 AS weight FROM state_w JOIN state_share USING (fold_id, state) GROUP BY ALL")
+def regime_blended_allocation(spark, sf):
+    """As regime_blended_weights, with a whole allocation within bounds for each state."""
+    f, t = rolling(spark, sf), train(spark, sf)
+    at = rg.as_of(f.select(F.col("signal").alias("date")), regimes(spark, sf)).join(f.select("fold_id", F.col("signal").alias("date")), "date")
+    limits = t.select("instrument").distinct().withColumns({"lo": F.lit(0.05), "hi": F.lit(0.5)})
+    return rg.blended(t, weekly_states(spark, sf), at, limits, by_mean_return).withColumn("weight", rounded(F.col("weight")))
+
+
 view("event_folds", "SELECT date AS signal, coalesce(lead(date) OVER (ORDER BY date), DATE '9999-12-31') AS until, row_number() OVER (ORDER BY date) AS fold_id FROM switches")
 view("event_hold", "SELECT fold_id, v.date, instrument, ret FROM type_valuation v JOIN event_folds f ON v.date > f.signal AND v.date <= f.until")
 

@@ -361,6 +361,47 @@ def fold_audit_series(spark, sf):
     return out.withColumn("ret", rounded(F.col("ret"), 8))
 
 
+view("forward_rows", "SELECT fold_id, node_id, date, sum(weight * ret) AS ret FROM fwd_w JOIN train USING (fold_id, instrument) GROUP BY ALL")
+view("result_rows", "SELECT fold_id, top AS node_id, date, sum(weight * ret) AS ret FROM back_held JOIN train USING (fold_id, instrument) GROUP BY ALL")
+
+
+def father_proxies(spark):
+    return slots(spark)[0].where("child_id IS NOT NULL").select(F.col("child_id").alias("node_id"), F.col("instrument").alias("proxy"))
+
+
+@query("tree_audit_series", """SELECT fold_id, date, series, round(ret, 8) + 0.0 AS ret FROM (SELECT fold_id, date, 'RAW:' || instrument AS series, ret FROM train
+  UNION ALL SELECT fold_id, date, 'REFERENCE:B0_RAW', sum(weight * ret) FROM train JOIN bench USING (instrument) GROUP BY ALL
+  UNION ALL SELECT fold_id, date, 'REFERENCE:FATHER:' || node_id, ret FROM train JOIN father ON proxy = instrument UNION ALL SELECT fold_id, date, 'FORWARD_OUTPUT:' || node_id, ret FROM forward_rows
+  UNION ALL SELECT fold_id, date, 'RESULT_OUTPUT:' || node_id, ret FROM result_rows UNION ALL SELECT fold_id, date, 'BACKWARD_INPUT:' || proxy || '_SYNTH', ret FROM result_rows JOIN father USING (node_id)
+  UNION ALL SELECT fold_id, date, 'DIAGNOSTIC:B0_SYNTH', sum(weight * ret) FROM train JOIN tree_arms USING (fold_id, instrument) WHERE arm = 'B0_SYNTH' GROUP BY ALL)""")
+def tree_audit_series(spark, sf):
+    back = held_by_nodes(spark, sf, "back").withColumnRenamed("top", "node_id")
+    built = tree_arms(spark, sf).where("arm = 'B0_SYNTH'").drop("arm")
+    done = le.audit_series(train(spark, sf), benchmark(spark, sf), father_proxies(spark), forward_weights(spark, sf).drop("child_id"), back, built)
+    return done.withColumn("ret", rounded(F.col("ret"), 8))
+
+
+#: What a node's volatility may refer to here; the last but one is reserved, the last is unknown.
+REFERENCES = ("manual", "benchmark", "father_proxy", "forward_root_reference", "current_root_synthetic", "mother")
+
+view("asked_targets", "SELECT node_id, node_id = 'ROOT' AS is_root, proxy, reference FROM (SELECT DISTINCT node_id FROM slots) LEFT JOIN father USING (node_id) CROSS JOIN (VALUES " + ", ".join(f"('{r}')" for r in REFERENCES) + ") r(reference)")
+view("measured_targets", """SELECT fold_id, 'benchmark' AS reference, NULL AS proxy, stddev_samp(ret) * sqrt(252.0) AS measured FROM (SELECT fold_id, date, sum(weight * ret) AS ret FROM train JOIN bench USING (instrument) GROUP BY ALL) GROUP BY 1
+  UNION ALL SELECT fold_id, 'forward_root_reference', NULL, stddev_samp(ret) * sqrt(252.0) FROM forward_rows WHERE node_id = 'ROOT' GROUP BY 1 UNION ALL SELECT fold_id, 'father_proxy', instrument, stddev_samp(ret) * sqrt(252.0) FROM train GROUP BY ALL""")
+
+
+@query("reference_targets", """SELECT f.fold_id, a.node_id, a.reference, CASE a.reference WHEN 'manual' THEN 0.12 ELSE round(CASE WHEN is_root AND a.reference = 'forward_root_reference' THEN NULL ELSE measured END, 6) END AS target,
+  CASE WHEN a.reference = 'current_root_synthetic' THEN 'reference is reserved' WHEN a.reference = 'mother' THEN 'unsupported reference' WHEN is_root AND a.reference = 'forward_root_reference' THEN 'forward reference on the root'
+    WHEN a.reference = 'father_proxy' AND a.proxy IS NULL THEN 'father reference requires a proxy' WHEN a.reference <> 'manual' AND measured IS NULL THEN 'reference series missing' END AS problem
+  FROM (SELECT DISTINCT fold_id FROM train) f CROSS JOIN asked_targets a LEFT JOIN measured_targets m ON m.fold_id = f.fold_id AND m.reference = a.reference AND (m.proxy IS NULL OR m.proxy = a.proxy)""")
+def reference_targets(spark, sf):
+    """Every node of the three-level tree under every reference, in every fold."""
+    kinds = spark.createDataFrame([(r,) for r in REFERENCES], "reference string")
+    nodes = slots(spark)[1].select("node_id").join(father_proxies(spark), "node_id", "left").crossJoin(kinds)
+    nodes = nodes.select("node_id", (F.col("node_id") == "ROOT").alias("is_root"), "proxy", "reference", F.lit(0.12).alias("manual"))
+    root = hi.node_series(forward_weights(spark, sf).where("node_id = 'ROOT'").select("fold_id", "node_id", "instrument", "weight"), train(spark, sf), ["fold_id"])
+    return al.reference_targets(nodes, train(spark, sf), benchmark(spark, sf), root, 252).withColumn("target", F.round("target", 6))
+
+
 # Contraction of the wide tree under decisions taken from its suppliers' balances
 
 view("tree_decisions", "SELECT child_id AS node_id, CASE WHEN CAST(substr(child_id, 2) AS BIGINT) * 7 % 10 < 4 THEN 'prune' ELSE 'retain' END AS decision FROM edges")
