@@ -78,7 +78,7 @@ def fingerprints(universes: DataFrame, coverage: DataFrame) -> DataFrame:
     """(tree_id, as_of, fingerprint): for each tree the latest covered day and a sha256 over its symbols' coverage.
 
     ``universes`` (tree_id, instrument): a tree's instruments, null for a tree without any; ``coverage`` (symbol, last_date,
-    observations, run). What is hashed is a JSON list of [symbol, day, count, run] as texts, by symbol. A tree without
+    observations, run). What is hashed is a JSON list of [symbol, day, count, run] as texts, by symbol as stored. A tree without
     instruments has the fingerprint no-instruments, one of which no symbol is covered no-coverage; both have no day.
     Only the lines of one tree are held together.
     """
