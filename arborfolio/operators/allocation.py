@@ -76,14 +76,37 @@ def vertex_candidates(bounds: DataFrame, key: list[str]) -> DataFrame:
 
 
 def screen(candidates: DataFrame, returns: DataFrame, means: DataFrame, cov: DataFrame, reference: DataFrame) -> DataFrame:
-    """(fold_id, candidate, expected, model_vol, realized_vol, tracking_error) of each candidate portfolio."""
-    held = candidates.join(returns, ["fold_id", "instrument"]).groupBy("fold_id", "candidate", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("r"))
-    base = reference.join(returns, "instrument").groupBy("fold_id", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("b"))
-    real = held.join(base, ["fold_id", "date"]).groupBy("fold_id", "candidate").agg(F.stddev_samp("r").alias("realized_vol"), F.stddev_samp(F.col("r") - F.col("b")).alias("tracking_error"))
-    mean = candidates.join(means, ["fold_id", "instrument"]).groupBy("fold_id", "candidate").agg(F.sum(F.col("weight") * F.col("mu")).alias("expected"))
-    wi, wj = (candidates.select("fold_id", "candidate", F.col("instrument").alias(c), F.col("weight").alias(f"w{c}")) for c in ("i", "j"))
-    model = cov.join(wi, ["fold_id", "i"]).join(wj, ["fold_id", "candidate", "j"]).groupBy("fold_id", "candidate").agg(F.sqrt(F.sum(F.col("wi") * F.col("wj") * F.col("cov"))).alias("model_vol"))
-    return mean.join(model, ["fold_id", "candidate"]).join(real, ["fold_id", "candidate"])
+    """(fold_id, candidate, expected, model_vol, realized_vol, tracking_error) of each candidate portfolio.
+
+    A fold is one call on four small matrices (candidates, window, means, covariances), bounded by its
+    universe and window, so no row is made for a candidate's day or pair of positions. An instrument
+    without a number counts as zero; a fold needs all four and a day of the reference.
+    """
+    base = reference.join(returns, "instrument").groupBy("fold_id", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("value"))
+    text, day = F.lit(None).cast("string"), F.lit(None).cast("date")
+    row = lambda frame, kind, a, b, date, value: frame.select("fold_id", F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), date.alias("date"), F.col(value).alias("value"))
+    c = F.col
+    tagged = row(candidates, "held", c("candidate"), c("instrument"), day, "weight")
+    for more in (row(returns, "ret", text, c("instrument"), c("date"), "ret"), row(means, "mean", text, c("instrument"), day, "mu"), row(cov, "cov", c("i"), c("j"), day, "cov"), row(base, "base", text, text, c("date"), "value")):
+        tagged = tagged.unionByName(more)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        part = dict(tuple(rows.groupby("kind")))
+        if len(part) < 5:
+            return pd.DataFrame(columns=["fold_id", "candidate", "expected", "model_vol", "realized_vol", "tracking_error"], dtype=object)
+        held = part["held"].pivot(index="a", columns="b", values="value").fillna(0.0)
+        names, w = held.columns, held.to_numpy()
+        mu = part["mean"].set_index("b")["value"].reindex(names, fill_value=0.0).to_numpy()
+        s = part["cov"].pivot(index="a", columns="b", values="value").reindex(index=names, columns=names).fillna(0.0).to_numpy()
+        base = part["base"].set_index("date")["value"]
+        x = part["ret"].pivot(index="date", columns="b", values="value").reindex(index=base.index, columns=names).fillna(0.0).to_numpy()
+        days = x @ w.T
+        spread = lambda v: v.std(axis=0, ddof=1) if len(v) > 1 else np.full(v.shape[1], np.nan)
+        risk = np.sqrt(np.maximum(((w @ s) * w).sum(axis=1), 0))
+        return pd.DataFrame({"fold_id": rows["fold_id"].iloc[0], "candidate": held.index, "expected": w @ mu, "model_vol": risk, "realized_vol": spread(days), "tracking_error": spread(days - base.to_numpy()[:, None])})
+
+    done = tagged.groupBy("fold_id").applyInPandas(run, "fold_id int, candidate string, expected double, model_vol double, realized_vol double, tracking_error double")
+    return done.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in ("realized_vol", "tracking_error")})
 
 
 def select_best(screened: DataFrame, objective: str, vol_cap: float, te_cap: float, aversion: float = 2.5) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHRINKAGE = 0.1
@@ -35,31 +35,70 @@ def covariance(returns: DataFrame, ddof: int = 1) -> DataFrame:
     return _symmetric(pair_rows(returns).where("i <= j").groupBy("fold_id", "i", "j").agg(agg.alias("cov")), "cov")
 
 
-def rolling_covariance(estimation: DataFrame, folds: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """The sample covariance of rolling folds from prefix sums: one pass over the panel, not one a fold.
+def fold_sums(estimation: DataFrame, folds: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """(fold_id, i, j, n, x, y, xy, xxy, xyy, xxyy), i <= j: sums of products over each fold's training periods.
 
-    Series are centred on their whole-sample mean first, which keeps the differences of sums exact
-    enough; the result equals ``covariance`` of the folds' training rows up to rounding.
+    A panel's rows are paired once, whatever the number of folds and however they overlap or expand: products
+    are summed between neighbouring fold edges (combined before the shuffle), then along the edges of a pair,
+    and a fold is the difference of two of those. Series are centred on their whole-sample mean first,
+    which keeps the differences exact enough. The panel must be complete (every instrument in every period).
     """
-    from pyspark.sql import Window
-
+    order = Window.orderBy("e")  # one row a period
+    edges = folds.select(F.explode(F.array(F.col("first_e") - 1, "last_e")).alias("e")).distinct().withColumn("seg", F.row_number().over(order))
+    ahead = order.rowsBetween(0, Window.unboundedFollowing)
+    periods = ordinals.join(edges, "e", "left").select("date", "e", F.first("seg", True).over(ahead).alias("seg")).where("seg IS NOT NULL")
     level = estimation.groupBy("instrument").agg(F.avg("ret").alias("m"))
-    centred = estimation.join(level, "instrument").select("date", "instrument", (F.col("ret") - F.col("m")).alias("ret")).join(ordinals, "date")
-    x = centred.select("e", F.col("instrument").alias("i"), F.col("ret").alias("x"))
-    y = centred.select("e", F.col("instrument").alias("j"), F.col("ret").alias("y"))
-    so_far = Window.partitionBy("i", "j").orderBy("e")
-    sums = x.join(y, "e").where("i <= j").select("e", "i", "j", *(F.sum(c).over(so_far).alias(n) for n, c in (("sx", F.col("x")), ("sy", F.col("y")), ("sxy", F.col("x") * F.col("y")))))
-    ends = folds.select("fold_id", F.col("last_e").alias("e"), (F.col("last_e") - F.col("first_e") + 1).alias("n"), (F.col("first_e") - 1).alias("e0"))
-    late = ends.join(sums, "e")
-    early = ends.select("fold_id", F.col("e0").alias("e")).join(sums, "e").select("fold_id", "i", "j", *(F.col(c).alias(f"{c}0") for c in ("sx", "sy", "sxy")))
+    centred = estimation.join(level, "instrument").select("date", "instrument", (F.col("ret") - F.col("m")).alias("ret")).join(periods, "date")
+    x = centred.select("e", "seg", F.col("instrument").alias("i"), F.col("ret").alias("a"))
+    y = centred.select("e", F.col("instrument").alias("j"), F.col("ret").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    products = {"x": a, "y": b, "xy": a * b, "xxy": a * a * b, "xyy": a * b * b, "xxyy": a * a * b * b}
+    parts = x.join(y, "e").where("i <= j").groupBy("i", "j", "seg").agg(*(F.sum(v).alias(n) for n, v in products.items()))
+    so_far = Window.partitionBy("i", "j").orderBy("seg")
+    sums = parts.select("i", "j", "seg", *(F.sum(n).over(so_far).alias(n) for n in products))
+    at = lambda edge, name: folds.select("fold_id", (F.col("last_e") - F.col("first_e") + 1).alias("n"), edge.alias("e")).join(edges, "e").select("fold_id", "n", F.col("seg").alias(name))
+    late = at(F.col("last_e"), "seg").join(sums, "seg").drop("seg")
+    early = at(F.col("first_e") - 1, "seg").drop("n").join(sums, "seg").select("fold_id", "i", "j", *(F.col(n).alias(f"{n}0") for n in products))
     both = late.join(early, ["fold_id", "i", "j"], "left")
-    s = {c: F.col(c) - F.coalesce(F.col(f"{c}0"), F.lit(0.0)) for c in ("sx", "sy", "sxy")}
-    return _symmetric(both.select("fold_id", "i", "j", ((s["sxy"] - s["sx"] * s["sy"] / F.col("n"))  / F.nullif(F.col("n") - 1, F.lit(0))).alias("cov")), "cov")
+    return both.select("fold_id", "i", "j", "n", *((F.col(n) - F.coalesce(F.col(f"{n}0"), F.lit(0.0))).alias(n) for n in products))
+
+
+def _central(sums: DataFrame) -> DataFrame:
+    """``sums`` with the mean product and the mean squared product of deviations from a fold's own means."""
+    u, v = F.col("x") / F.col("n"), F.col("y") / F.col("n")
+    own = sums.where("i = j").select("fold_id", F.col("i").alias("of"), F.col("xy").alias("square"))
+    sums = sums.join(own.withColumnsRenamed({"of": "i", "square": "xx"}), ["fold_id", "i"]).join(own.withColumnsRenamed({"of": "j", "square": "yy"}), ["fold_id", "j"])
+    fourth = F.col("xxyy") - 2 * v * F.col("xxy") - 2 * u * F.col("xyy") + v * v * F.col("xx") + u * u * F.col("yy") + 4 * u * v * F.col("xy") - 3 * F.col("n") * u * u * v * v
+    return sums.select("fold_id", "i", "j", "n", (F.col("xy") / F.col("n") - u * v).alias("cov"), (fourth / F.col("n")).alias("fourth"))
+
+
+def covariance_of_sums(sums: DataFrame, ddof: int = 1) -> DataFrame:
+    """(fold_id, i, j, cov) from ``fold_sums``; null for one period and ddof 1."""
+    cov = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.col("n") - ddof)
+    return _symmetric(sums.select("fold_id", "i", "j", cov.alias("cov")), "cov")
+
+
+def correlation_distance_of_sums(sums: DataFrame) -> DataFrame:
+    """(fold_id, i, j, rho, distance) for i < j from ``fold_sums``; null for a series that does not move."""
+    cov = sums.select("fold_id", "i", "j", (F.col("xy") - F.col("x") * F.col("y") / F.col("n")).alias("cov"))
+    own = cov.where("i = j")
+    joined = cov.where("i < j").join(own.select("fold_id", "i", F.col("cov").alias("vi")), ["fold_id", "i"]).join(own.select("fold_id", "j", F.col("cov").alias("vj")), ["fold_id", "j"])
+    rho = joined.select("fold_id", "i", "j", F.try_divide("cov", F.sqrt(F.greatest(F.col("vi") * F.col("vj"), F.lit(0.0)))).alias("rho"))
+    return rho.withColumn("distance", F.sqrt(F.greatest((1 - F.col("rho")) / 2, F.lit(0.0))))
+
+
+def rolling_covariance(estimation: DataFrame, folds: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """The sample covariance of folds from sums between fold edges; equals ``covariance`` of their training rows up to rounding."""
+    return covariance_of_sums(fold_sums(estimation, folds, ordinals))
 
 
 def shrunk_covariance(returns: DataFrame, delta: float = SHRINKAGE) -> DataFrame:
     """(1 - delta) S + delta (trace S / p) I with the population covariance S."""
-    s = covariance(returns, ddof=0)
+    return shrunk(covariance(returns, ddof=0), delta)
+
+
+def shrunk(s: DataFrame, delta: float = SHRINKAGE) -> DataFrame:
+    """The same from S itself."""
     level = s.where("i = j").groupBy("fold_id").agg(F.avg("cov").alias("level"))
     own = F.when(F.col("i") == F.col("j"), delta * F.col("level")).otherwise(F.lit(0.0))
     return s.join(level, "fold_id").select("fold_id", "i", "j", ((1 - delta) * F.col("cov") + own).alias("cov"))
@@ -73,7 +112,15 @@ def ledoit_wolf(returns: DataFrame) -> DataFrame:
     """
     centre = returns.join(mean(returns), ["fold_id", "instrument"]).select("fold_id", "date", "instrument", (F.col("ret") - F.col("mu")).alias("ret"))
     pairs = pair_rows(centre).where("i <= j")
-    s = pairs.groupBy("fold_id", "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("cov"), F.avg(F.col("x") * F.col("x") * F.col("y") * F.col("y")).alias("fourth"), F.count("*").alias("n"))
+    return _ledoit_wolf(pairs.groupBy("fold_id", "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("cov"), F.avg(F.col("x") * F.col("x") * F.col("y") * F.col("y")).alias("fourth"), F.count("*").alias("n")))
+
+
+def ledoit_wolf_of_sums(sums: DataFrame) -> DataFrame:
+    """The same from ``fold_sums``."""
+    return _ledoit_wolf(_central(sums))
+
+
+def _ledoit_wolf(s: DataFrame) -> DataFrame:
     level = s.where("i = j").groupBy("fold_id").agg(F.avg("cov").alias("level"), F.count("*").alias("p"))
     joined = s.join(level, "fold_id")
     target = F.when(F.col("i") == F.col("j"), F.col("level")).otherwise(F.lit(0.0))

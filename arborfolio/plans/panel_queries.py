@@ -73,6 +73,7 @@ def folds_view(expanding: bool) -> str:
 
 view("folds_r", folds_view(False))
 view("folds_x", folds_view(True))
+view("train_expanding", "SELECT f.fold_id, w.date, w.instrument, w.ret FROM folds_x f JOIN ordinals o ON o.e BETWEEN f.first_e AND f.last_e JOIN resampled_w w ON w.date = o.date")
 view("train", "SELECT f.fold_id, w.date, w.instrument, w.ret FROM folds_r f JOIN ordinals o ON o.e BETWEEN f.first_e AND f.last_e JOIN resampled_w w ON w.date = o.date")
 view("hold", "SELECT f.fold_id, v.date, v.instrument, v.ret FROM folds_r f JOIN type_valuation v ON v.date > f.signal AND v.date <= f.next_signal")
 view("pairs", """SELECT CAST(o_orderdate AS DATE) AS date, pair, currency, round(base * (1 + 0.05 * (avg(o_totalprice) / 250000 - 1)), 8) AS level

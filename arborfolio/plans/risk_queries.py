@@ -38,9 +38,15 @@ def means(spark, sf):
     return mo.mean(train(spark, sf))
 
 
+@shared
+def sums(spark, sf):
+    e = estimation(spark, sf)
+    return mo.fold_sums(e, rolling(spark, sf), fo.estimation_ordinals(e))
+
+
 @shared
 def covariances(spark, sf):
-    return mo.covariance(train(spark, sf))
+    return mo.covariance_of_sums(sums(spark, sf))
 
 
 @query("mean_empirical", f"SELECT fold_id, instrument, round(mu, {DIGITS}) + 0.0 AS mu FROM mu_e")
@@ -59,9 +65,16 @@ def cov_sample_prefix_sums(spark, sf):
     return out(mo.rolling_covariance(e, rolling(spark, sf), fo.estimation_ordinals(e)), "fold_id", "i", "j", cov="cov")
 
 
+@query("cov_expanding", f"SELECT fold_id, i, j, round(covar_samp(x, y), {DIGITS}) + 0.0 AS cov FROM (SELECT a.fold_id, a.instrument AS i, b.instrument AS j, a.ret AS x, b.ret AS y FROM train_expanding a JOIN train_expanding b USING (fold_id, date)) GROUP BY ALL")
+def cov_expanding(spark, sf):
+    """Sample covariances of folds that train on all periods so far."""
+    e = estimation(spark, sf)
+    return out(mo.rolling_covariance(e, rolling(spark, sf, True), fo.estimation_ordinals(e)), "fold_id", "i", "j", cov="cov")
+
+
 @query("cov_shrunk_fixed", f"SELECT fold_id, i, j, round(cov, {DIGITS}) + 0.0 AS cov FROM cov_f")
 def cov_shrunk_fixed(spark, sf):
-    return out(mo.shrunk_covariance(train(spark, sf)), "fold_id", "i", "j", cov="cov")
+    return out(mo.shrunk(mo.covariance_of_sums(sums(spark, sf), ddof=0)), "fold_id", "i", "j", cov="cov")
 
 
 @query("cov_ledoit_wolf", f"""WITH c AS (SELECT t.fold_id, t.date, t.instrument, t.ret - m.mu AS ret FROM train t JOIN mu_e m USING (fold_id, instrument)),
@@ -71,12 +84,12 @@ d AS (SELECT s.*, CASE WHEN i = j THEN level ELSE 0 END AS target FROM s JOIN l
 w AS (SELECT fold_id, least(sum((fourth - cov * cov) / n), sum((cov - target) ** 2)) / sum((cov - target) ** 2) AS delta FROM d GROUP BY 1)
 SELECT fold_id, i, j, round((1 - delta) * cov + delta * target, {DIGITS}) + 0.0 AS cov FROM d JOIN w USING (fold_id)""")
 def cov_ledoit_wolf(spark, sf):
-    return out(mo.ledoit_wolf(train(spark, sf)), "fold_id", "i", "j", cov="cov")
+    return out(mo.ledoit_wolf_of_sums(sums(spark, sf)), "fold_id", "i", "j", cov="cov")
 
 
 @query("corr_distance", "SELECT fold_id, i, j, round(corr(x, y), 8) + 0.0 AS rho, round(sqrt(greatest((1 - corr(x, y)) / 2, 0)), 8) + 0.0 AS distance FROM pair_rows WHERE i < j GROUP BY fold_id, i, j")
 def corr_distance(spark, sf):
-    return mo.correlation_distance(train(spark, sf)).select("fold_id", "i", "j", rounded(F.col("rho"), 8).alias("rho"), rounded(F.col("distance"), 8).alias("distance"))
+    return mo.correlation_distance_of_sums(sums(spark, sf)).select("fold_id", "i", "j", rounded(F.col("rho"), 8).alias("rho"), rounded(F.col("distance"), 8).alias("distance"))
 
 
 view("mu_q", "SELECT fold_id, i AS instrument, 2.5 * sum(cov * weight) + 0.0004 AS mu FROM cov_s JOIN bench ON j = instrument GROUP BY ALL")

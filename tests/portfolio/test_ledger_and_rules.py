@@ -13,6 +13,7 @@ from arborfolio.operators import catalog as ca
 from arborfolio.operators import hierarchy as hi
 from arborfolio.operators import inference as inf
 from arborfolio.operators import ledger as le
+from arborfolio.operators import folds as fo
 from arborfolio.operators import moments as mo
 from arborfolio.operators import pruning as pru
 from arborfolio.operators import regimes as rg
@@ -83,6 +84,37 @@ def test_moments_equal_numpy(spark):
     assert all(lw[a, b] == pytest.approx(done[i, j]) for i, a in enumerate("ABCD") for j, b in enumerate("ABCD"))
 
 
+def test_moments_from_sums_equal_those_of_training_rows(spark):
+    rng = np.random.default_rng(8)
+    r = rng.normal(0.001, 0.02, (30, 3)) + [0.0, 0.5, -0.2]  # levels far from zero, where sums cancel
+    panel_ = spark.createDataFrame([(d, n, float(v)) for d, row in zip(days(30), r) for n, v in zip("ABC", row)], "date date, instrument string, ret double")
+    windows = {1: (1, 10), 2: (1, 20), 3: (11, 20), 4: (15, 16), 5: (7, 7), 6: (3, 29)}  # from the start, expanding, apart, two periods, one, overlapping
+    folds = spark.createDataFrame([(f, a, b) for f, (a, b) in windows.items()], "fold_id int, first_e int, last_e int")
+    sums = mo.fold_sums(panel_, folds, fo.estimation_ordinals(panel_)).persist()
+    rows = fo.training_rows(folds, panel_).persist()
+    cell = lambda frame, name: {(x.fold_id, x.i, x.j): x[name] for x in frame.collect()}
+    for got, want, name in (
+        (mo.covariance_of_sums(sums), mo.covariance(rows), "cov"), (mo.shrunk(mo.covariance_of_sums(sums, ddof=0)), mo.shrunk_covariance(rows), "cov"),
+        (mo.ledoit_wolf_of_sums(sums.where("fold_id <> 5")), mo.ledoit_wolf(rows.where("fold_id <> 5")), "cov"), (mo.correlation_distance_of_sums(sums.where("fold_id <> 5")), mo.correlation_distance(rows.where("fold_id <> 5")), "rho"),
+    ):
+        a, b = cell(got, name), cell(want, name)
+        assert a.keys() == b.keys() and all((a[k] is None and b[k] is None) or a[k] == pytest.approx(b[k], rel=1e-7, abs=1e-13) for k in a)
+    assert mo.fold_sums(panel_.limit(0), folds.limit(0), fo.estimation_ordinals(panel_.limit(0))).count() == 0
+
+
+def test_screening_equals_plain_loops(spark):
+    r, rows = panel(spark)
+    held = {"P": (0.5, 0.5, 0.0, 0.0), "Q": (0.1, 0.2, 0.3, 0.4)}
+    candidates = spark.createDataFrame([(1, c, n, w) for c, ws in held.items() for n, w in zip("ABCD", ws) if w], "fold_id int, candidate string, instrument string, weight double")
+    reference = spark.createDataFrame([(n, 0.25) for n in "ABCD"], "instrument string, weight double")
+    got = {x.candidate: x for x in al.screen(candidates, rows, mo.mean(rows), mo.covariance(rows), reference).collect()}
+    for c, ws in held.items():
+        day, w = r @ ws, np.array(ws)
+        assert got[c].expected == pytest.approx(day.mean()) and got[c].realized_vol == pytest.approx(day.std(ddof=1))
+        assert got[c].model_vol == pytest.approx(np.sqrt(w @ np.cov(r.T) @ w)) and got[c].tracking_error == pytest.approx((day - r.mean(axis=1)).std(ddof=1))
+    assert al.screen(candidates.limit(0), rows, mo.mean(rows), mo.covariance(rows), reference).count() == 0
+
+
 def test_views_closed_form_equals_matrix_form(spark):
     _, rows = panel(spark)
     cov, mu = mo.covariance(rows).persist(), mo.mean(rows).persist()
