@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arborfolio.operators import documents as do
+from arborfolio.operators import node_rules as nr
 from arborfolio.plans.registry import query, view
 from arborfolio.sources.prices import table
 from arborfolio.sources.written import shared
@@ -61,3 +62,63 @@ def saved_tree_tables(spark, sf):
     for more in (row("edges", "edge", c("parent_id"), c("child_id")), row("views", "view", c("node_id"), c("instrument"), c("coef"), c("confidence")), row("benchmark", "benchmark", text, c("instrument"), c("weight")), row("nodes", "node", c("node_id"), c("proxy")), row("broken", "broken", text, text)):
         out = out.unionByName(more)
     return out
+
+
+# Trees of a root R and a node N, one for each customer, whose spread is the account's balance; a sixtieth of the customers has each fault
+
+#: Customer number modulo 60: the node, what its constraints hold, and the rule broken with its message.
+FAULTS = {
+    1: ("N", '"min_weights": {"A": 0.6}, "max_weights": {"A": 0.5}', "crossed bounds", "a least weight exceeds its highest"),
+    2: ("R", '"max_weights": {"A": 1.5}', "max_weights range", "max_weights must lie in [0, 1]"),
+    3: ("N", '"min_weights": [0.1]', "min_weights kind", "min_weights must be an object"),
+    4: ("N", '"vol_target": "much"', "vol_target not finite", "vol_target must be a finite number"),
+    5: ("R", '"risk_aversion": NaN', "risk_aversion not finite", "risk_aversion must be a finite number"),
+    6: ("N", '"view_tau": 0', "view_tau", "view_tau must be positive"),
+    7: ("N", '"max_tracking_error": -0.01', "max_tracking_error negative", "max_tracking_error must not be negative"),
+    8: ("R", '"per_asset_cap": "1.25"', "asset cap", "per_asset_cap must not exceed one"),
+    9: ("N", '"max_turnover": 0.2', "turnover", "no rule limits turnover"),
+    11: ("N", '"covariance_estimator": "oas"', "covariance_estimator", "covariance_estimator is none of the known ones: oas"),
+    12: ("N", '"volatility_reference": "current_root_synthetic"', "reserved reference", "a reference is kept for a mode that does not exist yet"),
+    13: ("R", '"mean_reference_kind": "local_weights"', "reference weights missing", "local_weights needs mean_reference_weights"),
+    14: ("R", '"mean_reference_kind": "local_weights", "mean_reference_weights": {"A": 0.5, "B": 0.25}', "reference weights sum", "mean_reference_weights must sum to one"),
+    16: ("N", '"mean_reference_weights": {"A": 1.0}', "reference weights unused", "mean_reference_weights needs local_weights"),
+    17: ("N", '"volatility_target_mode": "cap", "vol_target": 0.1, "max_volatility": 0.2', "two caps", "cap mode takes vol_target or max_volatility, not both"),
+    18: ("N", '"views": {"A": 1}', "views kind", "views must be a list"),
+    19: ("N", '"views": [7]', "view kind", "a view must be an object"),
+    21: ("R", '"views": [{"expected_return": 0.01, "confidence": 1.5, "instruments": {"A": 1}}]', "view confidence", "a view's confidence must lie in (0, 1]"),
+    22: ("R", '"views": [{"expected_return": 0.01, "confidence": 0.5, "instruments": {}}]', "view without coefficients", "a view needs coefficients"),
+    23: ("N", '"views": [{"expected_return": 0.01, "confidence": 0.5, "instruments": {" CASH:RF": 1}}]', "view on financing", "a view must not name a financing leg"),
+    24: ("N", '"views": [{"expected_return": 0.01, "confidence": 0.5, "instruments": {"A": "x"}}]', "view coefficient", "a view's coefficients must be finite numbers"),
+    26: ("N", '"views": [{"confidence": 0.5, "instruments": {"A": 1}}]', "view number", "a view needs a finite expected_return and confidence"),
+    27: ("N", '"cash_enabled": false, "allow_cash": "yes"', "cash contradiction", "cash_enabled and allow_cash differ"),
+    28: ("N", '"volatility_cap_policy": "nearest_feasible"', "volatility_cap_policy", "volatility_cap_policy is none of the known ones: nearest_feasible"),
+}
+SETTINGS = """c_custkey AS tree_id, c_custkey % 60 AS m, CAST(round(c_acctbal) AS INT) AS bps, c_custkey % 5 = 0 AS cash, CASE WHEN c_nationkey % 3 = 0 THEN 1.0 ELSE 1.5 END AS lever, CASE WHEN c_custkey % 4 = 1 THEN 30 END AS own"""
+view("settings_in", f"SELECT {SETTINGS} FROM customer")
+view("faults", "SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}', '{}')".format(m, node, rule, message.replace("'", "''")) for m, (node, _, rule, message) in FAULTS.items()) + ") f(m, node_id, rule, message)")
+
+
+def settings(spark, sf):
+    of = lambda node: F.expr("CASE m " + " ".join(f"WHEN {m} THEN ', {text}'" for m, (n, text, _, _) in FAULTS.items() if n == node) + " ELSE '' END")
+    rows = table(spark, sf, "customer").selectExpr(*SETTINGS.split(", CASE WHEN c_nationkey")[0].split(", "), "CASE WHEN c_nationkey % 3 = 0 THEN '1.0' ELSE '1.5' END AS lever", "CASE WHEN c_custkey % 4 = 1 THEN 30 END AS own")
+    root = F.concat(F.lit('{"id": "R", "constraints": {"risk_free_rate": 0.02'), F.when(F.col("cash"), ', "cash_enabled": true').otherwise(""), of("R"), F.lit("}}"))
+    node = F.concat(F.lit('{"id": "N", "goal": {"objective": "max_ratio"}, "constraints": {"max_leverage": '), "lever", F.when(F.col("own").isNotNull(), ', "borrow_spread_bps": "30"').otherwise(""), of("N"), F.lit("}}"))
+    body = F.concat(F.lit('{"root_id": "R", "currency": " eur", "data": {"risk_free_annual": 0.02, "borrow_spread_bps": '), F.col("bps").cast("string"), F.lit('}, "nodes": ['), root, F.lit(", "), node, F.lit("]}"))
+    return rows.select("tree_id", F.when(F.col("m") == 59, F.substring(body, 1, 50)).otherwise(body).alias("body"))
+
+
+@query("node_rule_violations", """SELECT tree_id, NULL AS node_id, 'malformed' AS rule, 'the text is no JSON object' AS message FROM settings_in WHERE m = 59
+  UNION ALL SELECT tree_id, NULL, 'data spread', 'data.borrow_spread_bps must not be negative' FROM settings_in WHERE m <> 59 AND bps < 0
+  UNION ALL SELECT tree_id, NULL, 'spread without any financing', 'a spread is stated, but no node lends or borrows' FROM settings_in WHERE m <> 59 AND bps > 0 AND NOT cash AND lever = 1
+  UNION ALL SELECT tree_id, 'R', 'spread', 'borrow_spread_bps must not be negative' FROM settings_in WHERE m <> 59 AND bps < 0 AND cash
+  UNION ALL SELECT tree_id, 'N', 'spread', 'borrow_spread_bps must not be negative' FROM settings_in WHERE m <> 59 AND bps < 0 AND lever > 1 AND own IS NULL
+  UNION ALL SELECT tree_id, 'N', 'spread without financing', 'borrow_spread_bps needs cash or leverage above one' FROM settings_in WHERE m <> 59 AND own > 0 AND lever = 1
+  UNION ALL SELECT tree_id, node_id, rule, message FROM settings_in JOIN faults USING (m)""")
+def node_rule_violations(spark, sf):
+    return nr.node_violations(settings(spark, sf))
+
+
+@query("node_financing", """SELECT tree_id, 'R' AS node_id, cash AS cash_enabled, 1.0::DOUBLE AS max_leverage, CASE WHEN cash THEN bps ELSE 0 END::DOUBLE AS spread, CASE WHEN cash THEN 'node' ELSE 'default' END AS cash_source, 'default' AS leverage_source, CASE WHEN cash THEN 'root' ELSE 'default' END AS spread_source FROM settings_in WHERE m <> 59
+  UNION ALL SELECT tree_id, 'N', lever > 1, lever, CASE WHEN own IS NOT NULL THEN own WHEN lever > 1 THEN bps ELSE 0 END, CASE WHEN lever > 1 OR m = 27 THEN 'node' ELSE 'default' END, 'node', CASE WHEN own IS NOT NULL THEN 'node' WHEN lever > 1 THEN 'root' ELSE 'default' END FROM settings_in WHERE m <> 59""")
+def node_financing(spark, sf):
+    return nr.node_financing(settings(spark, sf))
