@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,16 +54,16 @@ def period_returns(feed: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def transitions(feed: DataFrame) -> DataFrame:
-    """(key, ts, before, state) of a feed (key, ts, seq, state) where a key's state changes; its first state counts."""
+    """(key, ts, before, state) of a feed (key, ts, seq, state) where a key's state changes; its first state counts, as does one after a missing state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches).sort_values(["ts", "seq"])
-        before = state.get[0] if state.exists else None
-        previous = rows["state"].shift(1)
-        previous.iloc[0] = before
-        changed = rows[(rows["state"] != previous) | previous.isna()]
-        state.update((rows["state"].iloc[-1],))
-        yield pd.DataFrame({"key": key[0], "ts": changed["ts"], "before": previous[changed.index].where(previous[changed.index].notna(), None), "state": changed["state"]})
+        rows = pd.concat(batches, ignore_index=True).sort_values(["ts", "seq"])  # a key's rows may come in several batches, each numbered from 0
+        now = rows["state"].to_numpy(dtype=object)
+        before = np.append(np.array([state.get[0] if state.exists else None], dtype=object), now[:-1])
+        changed = pd.isna(before) | (~pd.isna(now) & (now != before))
+        state.update((now[-1],))
+        if changed.any():
+            yield pd.DataFrame({"key": key[0], "ts": rows["ts"].to_numpy()[changed], "before": before[changed], "state": now[changed]})
 
     out = feed.groupBy("key").applyInPandasWithState(step, "key long, ts timestamp, before string, state string", "state string", "update", GroupStateTimeout.NoTimeout)
     return run_to_end(out, "update").drop("batch")
