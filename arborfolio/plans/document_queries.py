@@ -100,7 +100,8 @@ view("faults", "SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}', '{}')".for
 
 def settings(spark, sf):
     of = lambda node: F.expr("CASE m " + " ".join(f"WHEN {m} THEN ', {text}'" for m, (n, text, _, _) in FAULTS.items() if n == node) + " ELSE '' END")
-    rows = table(spark, sf, "customer").selectExpr(*SETTINGS.split(", CASE WHEN c_nationkey")[0].split(", "), "CASE WHEN c_nationkey % 3 = 0 THEN '1.0' ELSE '1.5' END AS lever", "CASE WHEN c_custkey % 4 = 1 THEN 30 END AS own")
+    customers = table(spark, sf, "customer").repartition(2 * max(2, spark.sparkContext.defaultParallelism), "c_custkey")  # a small file is few splits, and its trees much work
+    rows = customers.selectExpr(*SETTINGS.split(", CASE WHEN c_nationkey")[0].split(", "), "CASE WHEN c_nationkey % 3 = 0 THEN '1.0' ELSE '1.5' END AS lever", "CASE WHEN c_custkey % 4 = 1 THEN 30 END AS own")
     root = F.concat(F.lit('{"id": "R", "constraints": {"risk_free_rate": 0.02'), F.when(F.col("cash"), ', "cash_enabled": true').otherwise(""), of("R"), F.lit("}}"))
     node = F.concat(F.lit('{"id": "N", "goal": {"objective": "max_ratio"}, "constraints": {"max_leverage": '), "lever", F.when(F.col("own").isNotNull(), ', "borrow_spread_bps": "30"').otherwise(""), of("N"), F.lit("}}"))
     body = F.concat(F.lit('{"root_id": "R", "currency": " eur", "data": {"risk_free_annual": 0.02, "borrow_spread_bps": '), F.col("bps").cast("string"), F.lit('}, "nodes": ['), root, F.lit(", "), node, F.lit("]}"))

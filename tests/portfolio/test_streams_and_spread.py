@@ -24,3 +24,9 @@ def test_transitions_of_keys_in_several_batches(spark, tmp_path, small_batches):
     got = {(r.key, r.ts, r.before, r.state) for r in jobs.transitions(jobs.arriving(spark, path)).collect()}
     want = {(1, at(0), None, "a"), (1, at(2), "a", "b"), (1, at(5), "b", "c"), (1, at(7), "c", "a"), (2, at(0), None, "d"), (None, at(0), None, "a"), (None, at(1), "a", "b")}
     assert got == want | {(3, at(0), None, None), (3, at(1), None, "a"), (3, at(3), None, "a")}
+
+
+def test_trees_of_a_small_file_are_spread_over_the_cores(spark):
+    from arborfolio.plans import document_queries as dq
+
+    assert dq.settings(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
