@@ -1,18 +1,20 @@
 """Nested JSON documents: saved trees as tables, and canonical text with its hash.
 
-A document of any depth is exploded level by level as VARIANT, one job a level for all documents
-together, and its canonical text is put together again from the deepest level up.
+A document's canonical text depends on that document alone, so its partitions are read in one pass.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
+import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborfolio.sources.written import grow, shared_dir
+#: Texts that a task turns into Python objects at a time.
+SLICE = 256
 
 #: A saved tree: its nodes with constraints and views, and the benchmark's weights.
 TREE = """root_id STRING, benchmark STRUCT<weights: MAP<STRING, DOUBLE>>, nodes ARRAY<STRUCT<id: STRING, name: STRING, instruments: ARRAY<STRING>, children: ARRAY<STRING>, proxy: STRING, goal: STRUCT<objective: STRING>,
@@ -58,74 +60,67 @@ def tree_tables(documents: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-#: A JSON text's strings and what lies between them; numbers there with a fraction or an exponent; the mark of such a number.
-PIECES = r'"(?:[^"\\]|\\.)*+"|[^"]++'
-FRACTION = r"(?<![^\s,\[:])-?(?:0|[1-9][0-9]*)(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)(?![^\s,\]}])"
-MARK = "\ue000"
+class _NotFinite(Exception):
+    """A JSON text holds a number that no double does."""
 
 
-def _marked(body):
-    """The text with each fractional number as a string that begins with MARK, since VARIANT takes 2.0 for 2; null if a string never ends."""
-    parts = F.regexp_extract_all(body, F.lit(PIECES), F.lit(0))
-    whole = F.length(F.array_join(parts, "")) == F.length(body)
-    return F.when(whole, F.array_join(F.transform(parts, lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, FRACTION, f'"{MARK}$0"'))), ""))
+def canonical_text(body: str) -> str:
+    """The canonical text of a JSON text; ValueError if it is malformed or repeats a key, _NotFinite, RecursionError if it nests too deeply."""
+    beyond = False
 
+    def number(kind: type):
+        def read(digits: str):
+            nonlocal beyond
+            value = float(digits) if kind is float or len(digits) > 308 else None
+            if value is not None and math.isinf(value):
+                beyond = True
+                return 0
+            return value if kind is float else int(digits)
 
-def _shortest(values: pd.Series) -> pd.Series:
-    """The shortest decimal text that reads back as the same double."""
-    return values.map(lambda v: None if v is None or v != v else repr(float(v)))
+        return read
+
+    def object_of(pairs: list[tuple]) -> dict:
+        found = dict(pairs)
+        if len(found) < len(pairs):
+            raise ValueError("a key is repeated")
+        return found
+
+    def refuse(name: str):
+        raise ValueError(f"{name} is no JSON")
+
+    value = json.loads(body, parse_float=number(float), parse_int=number(int), parse_constant=refuse, object_pairs_hook=object_of)
+    if beyond:
+        raise _NotFinite
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "replace").decode()
+
+
+def _told(body: str | None) -> tuple[str | None, str | None]:
+    try:
+        return (None, "malformed") if body is None else (canonical_text(body), None)
+    except _NotFinite:
+        return None, "not finite"
+    except RecursionError:
+        return None, "too deep"
+    except ValueError:
+        return None, "malformed"
 
 
 def canonical_documents(documents: DataFrame) -> DataFrame:
-    """(id, canonical, hash, problem) for JSON texts (id, body) of any depth.
+    """(id, canonical, hash, problem) for JSON texts (id, body).
 
     Keys come in order of their code points, without spaces, text outside ASCII as it is; whole numbers
-    keep their digits, others are the shortest text of their double, and stay fractions (1.0). Strings must not
-    begin with the private character that marks fractions on the way. A text that
+    keep their digits, others are the shortest text of their double, and stay fractions (1.0). A text that
     is null, malformed (NaN among it) or repeats a key of an object is ``malformed``, one with a number that no double holds
-    ``not finite``; both have no canonical text.
+    ``not finite``, one whose nesting exceeds what Python's reader takes (thousands of levels) ``too deep``; these have no
+    canonical text. A text stands alone, so this is one pass without a shuffle, with repeated ids each told.
     """
-    spark = documents.sparkSession
-    rows = documents.select("id", F.try_parse_json(_marked(F.col("body"))).alias("v"))
-    first = rows.where("v IS NOT NULL").select("id", F.lit("").alias("path"), F.lit(None).cast("string").alias("above"), F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("key"), "v", F.schema_of_variant("v").alias("kind"))
-
-    def step(level: DataFrame) -> DataFrame:
-        nested = level.where("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%'")
-        below = spark.sql("SELECT t.id, concat(t.path, '/', e.pos) AS path, t.path AS above, t.depth + 1 AS depth, e.pos, e.key, e.value AS v FROM {t} t, LATERAL variant_explode(t.v) e", t=nested)
-        return below.withColumn("kind", F.schema_of_variant("v"))
-
-    everything = grow(first, step)
-    kind = F.col("kind")
-    whole = kind.isin("BIGINT", "VOID", "BOOLEAN", "STRING") | kind.rlike(r"^DECIMAL\(\d+,0\)")
-    plain = F.try_variant_get("v", "$", "string")
-    fraction = (kind == "STRING") & plain.startswith(MARK)
-    number = F.when(fraction, F.expr("try_cast(substr(try_variant_get(v, '$', 'string'), 2) AS double)")).when(~whole, F.try_variant_get("v", "$", "double"))
-    nested = kind.rlike("^(OBJECT|ARRAY)")
-    text = F.when(nested, None).when(kind == "VOID", "null").when(whole & ~fraction, F.to_json("v")).otherwise(F.pandas_udf(_shortest, "string")(number))
-    marked = everything.select("id", "path", "above", "depth", "pos", "key", kind.startswith("OBJECT").alias("object"), nested.alias("nested"), text.alias("text"), (F.abs(number) == float("inf")).alias("bad"))
-    root = f"{shared_dir(spark)}/canonical-{uuid.uuid4().hex}"
-    marked.write.parquet(f"{root}/marked")
-    marked = spark.read.schema(marked.schema).parquet(f"{root}/marked")
-    deepest = marked.agg(F.max("depth")).first()[0]
-    built = None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        here = marked.where(F.col("depth") == depth)
-        if built is not None:
-            named = F.when(F.col("key").isNotNull(), F.concat(F.expr("substr(to_json(array(key)), 2, length(to_json(array(key))) - 2)"), F.lit(":"), "text")).otherwise(F.col("text"))
-            parts = built.groupBy("id", F.col("above").alias("path")).agg(F.sort_array(F.collect_list(F.struct("key", "pos", named.alias("part")))).alias("parts"))
-            here = here.join(parts, ["id", "path"], "left")
-            inner = F.array_join(F.transform(F.coalesce("parts", F.array().cast("array<struct<key:string,pos:int,part:string>>")), lambda p: p["part"]), ",")
-        else:
-            inner = F.lit("")
-        full = F.when(F.col("object"), F.concat(F.lit("{"), inner, F.lit("}"))).when(F.col("nested"), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(F.col("text"))
-        here.select("id", "above", "pos", "key", full.alias("text")).write.parquet(f"{root}/{depth}")
-        built = spark.read.schema(here.select("id", "above", "pos", "key", full.alias("text")).schema).parquet(f"{root}/{depth}")
-    bad = marked.where("bad").select("id").distinct().withColumn("problem", F.lit("not finite"))
-    done = documents.select("id")
-    text = F.lit(None).cast("string")
-    if built is not None:
-        done, text = done.join(built.select("id", F.col("text").alias("full")), "id", "left"), F.col("full")
-    told = done.join(bad, "id", "left").withColumn("problem", F.coalesce("problem", F.when(text.isNull(), "malformed")))
-    good = F.when(F.col("problem").isNull(), text)
-    return told.select("id", good.alias("canonical"), F.concat(F.lit("sha256:"), F.sha2(good, 256)).alias("hash"), "problem")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            told = [_told(t) for t in batch.column("body").to_pylist()]
+            made = [pa.array(c, pa.string()) for c in (zip(*told, strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *made], names=["id", "canonical", "problem"])
+
+    kind = documents.schema["id"].dataType.simpleString()
+    told = documents.select("id", "body").mapInArrow(run, f"id {kind}, canonical string, problem string")
+    return told.select("id", "canonical", F.concat(F.lit("sha256:"), F.sha2("canonical", 256)).alias("hash"), "problem")
