@@ -19,6 +19,7 @@ documents, those with the smallest hash of the id, and at most LABEL_BYTES of th
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -34,11 +35,19 @@ NEIGHBOURS, BLOCK, FIRST_BLOCKS, COMMON, BEGINNING = 15, 64, 4, 0.06, 5
 THRESHOLD, SMOOTHING = 0.3, 0.2
 CACHED_WORDS = 200_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS, RUNS = re.compile(r"[^\W\d_]+"), re.compile(r"\w+")
+ASCII = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    """The runs of letters, in lower case."""
+    text = (text or "").lower()
+    if text.isascii():
+        return text.translate(ASCII).split()
+    words = RUNS.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for run in words for w in ((run,) if run.isalpha() else LETTERS.findall(run))]
 
 
 def terms_of(word: str) -> list[str]:
@@ -84,39 +93,43 @@ def _example_terms(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "n_toxic", "m", "m_toxic"])
 
 
+class Rows(dict):
+    """Words met, with their rows in a table of the numbers of a word's terms, -1 for none; row 0 is that of words without any."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number, self.terms = number, array("i", (-1, -1))
+
+    def __missing__(self, word: str) -> int:
+        own, *longer = terms_of(word)
+        own, beginning, row = self.number.get(own, -1), self.number.get(longer[0], -1) if longer else -1, 0
+        if own >= 0 or beginning >= 0:
+            row = len(self.terms) // 2
+            self.terms.extend((own, beginning))
+        self[word] = row
+        return row
+
+
 class Vocabulary:
     """Term numbers and counts of texts; terms that no example has are left out."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.forget()
-
-    def forget(self) -> None:
-        """Start a new table of words met; its rows hold the numbers of a word's terms, -1 for none."""
-        self.rows: dict[str, int] = {}
-        self.terms = np.full((1 << 14, 2), -1, dtype=np.int32)
-
-    def learn(self, words: list[str]) -> None:
-        for word in words:
-            if word not in self.rows:
-                row = self.rows[word] = len(self.rows)
-                if row == len(self.terms):
-                    self.terms = np.concatenate([self.terms, np.full_like(self.terms, -1)])
-                for k, term in enumerate(terms_of(word)):
-                    self.terms[row, k] = self.number.get(term, -1)
+        self.rows = Rows(self.number)
+
+    def _found(self, words) -> np.ndarray:
+        if len(self.rows) > CACHED_WORDS:
+            self.rows = Rows(self.number)
+        rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        found = np.frombuffer(self.rows.terms, np.int32).reshape(-1, 2)[rows].ravel()
+        return found[found >= 0]
+
+    def distinct(self, text: str | None) -> np.ndarray:
+        """The term numbers of a text, each once."""
+        return np.unique(self._found(set(words_of(text))))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers in order, counts) of a text."""
-        words = words_of(text)
-        try:
-            rows = [*map(self.rows.__getitem__, words)]
-        except KeyError:
-            if len(self.rows) > CACHED_WORDS:
-                self.forget()
-            self.learn(words)
-            rows = [*map(self.rows.__getitem__, words)]
-        found = self.terms[np.array(rows, dtype=np.int32)].ravel()
-        numbers, counts = np.unique(found[found >= 0], return_counts=True)
+        numbers, counts = np.unique(self._found(words_of(text)), return_counts=True)
         return numbers, counts.astype(np.float64)
 
 
@@ -129,7 +142,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column("text").to_pylist():
-                found[vocabulary(text)[0]] += 1
+                found[vocabulary.distinct(text)] += 1
         some = np.flatnonzero(found)
         columns = [np.append(some, -1), np.append(found[some], rows)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "n"])
