@@ -19,35 +19,42 @@ documents, those with the smallest hash of the id, and at most LABEL_BYTES of th
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .language import held_out
-from .shared import Workspace, add_columns, table
+from .shared import SLICE, Workspace, add_columns, table
 
 PER_LABEL, LABEL_BYTES = 2000, 64 << 20
 NEIGHBOURS, BLOCK, FIRST_BLOCKS, COMMON, BEGINNING = 15, 64, 4, 0.06, 5
 THRESHOLD, SMOOTHING = 0.3, 0.2
-CACHED_WORDS = 200_000
+#: So many different words are looked up at a time, and so many bytes of text are taken together for that.
+CACHED_WORDS, PORTION = 200_000, 6 << 20
 
-LETTERS, RUNS = re.compile(r"[^\W\d_]+"), re.compile(r"\w+")
+LETTERS, BEYOND = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_\x00-\xff]")
 ASCII = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))
+LATIN = bytes(i if LETTERS.fullmatch(chr(i)) else 32 for i in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    """The runs of letters, in lower case."""
+def letters_only(text: str | None) -> str:
+    """The text in lower case, with spaces instead of all but letters."""
     text = (text or "").lower()
     if text.isascii():
-        return text.translate(ASCII).split()
-    words = RUNS.findall(text)
-    if all(map(str.isalpha, words)):
-        return words
-    return [w for run in words for w in ((run,) if run.isalpha() else LETTERS.findall(run))]
+        return text.translate(ASCII)
+    if BEYOND.search(text):
+        return " ".join(LETTERS.findall(text))
+    return text.encode("latin-1", "replace").translate(LATIN).decode("latin-1")  # what is replaced is no letter
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters, in lower case."""
+    return letters_only(text).split()
 
 
 def terms_of(word: str) -> list[str]:
@@ -93,44 +100,54 @@ def _example_terms(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "n_toxic", "m", "m_toxic"])
 
 
-class Rows(dict):
-    """Words met, with their rows in a table of the numbers of a word's terms, -1 for none; row 0 is that of words without any."""
-
-    def __init__(self, number: dict[str, int]):
-        self.number, self.terms = number, array("i", (-1, -1))
-
-    def __missing__(self, word: str) -> int:
-        own, *longer = terms_of(word)
-        own, beginning, row = self.number.get(own, -1), self.number.get(longer[0], -1) if longer else -1, 0
-        if own >= 0 or beginning >= 0:
-            row = len(self.terms) // 2
-            self.terms.extend((own, beginning))
-        self[word] = row
-        return row
-
-
 class Vocabulary:
     """Term numbers and counts of texts; terms that no example has are left out."""
 
     def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.rows = Rows(self.number)
-
-    def _found(self, words) -> np.ndarray:
-        if len(self.rows) > CACHED_WORDS:
-            self.rows = Rows(self.number)
-        rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        found = np.frombuffer(self.rows.terms, np.int32).reshape(-1, 2)[rows].ravel()
-        return found[found >= 0]
+        self.terms = pa.array(terms, pa.string())
+
+    def _numbers(self, words: pa.StringArray) -> np.ndarray:
+        """The numbers of the terms of each word, its own and its beginning's, -1 for none."""
+        longer = pc.greater(pc.utf8_length(words), BEGINNING)
+        beginnings = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, BEGINNING), "-", "")
+        wanted = pa.concat_arrays([words, pc.if_else(longer, beginnings, "")])
+        return pc.fill_null(pc.index_in(wanted, value_set=self.terms), -1).to_numpy().reshape(2, -1).T
+
+    def of_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each text's terms start, and the end of all; term numbers in order, each once a text; counts) of texts.
+
+        The words of all texts are brought together first, so that each different one is looked up once.
+        """
+        lists = pc.ascii_split_whitespace(pa.array([letters_only(t) for t in texts], pa.string()))
+        words = lists.flatten().dictionary_encode()
+        different = words.dictionary
+        numbers = [self._numbers(different[at : at + CACHED_WORDS]) for at in range(0, len(different), CACHED_WORDS)]
+        found = np.concatenate([np.zeros((0, 2), dtype=np.int32), *numbers])[words.indices.to_numpy()]
+        text = np.repeat(np.arange(len(texts), dtype=np.int64) << 32, pc.list_value_length(lists).to_numpy())
+        keys, counts = np.unique((text[:, None] | found)[found >= 0], return_counts=True)
+        starts = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.int64) << 32)
+        return starts, keys & 0xFFFFFFFF, counts.astype(np.float64)
+
+    def each(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(term numbers in order, counts) of each of some texts."""
+        starts, numbers, counts = self.of_all(texts)
+        return [(numbers[a:b], counts[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
     def distinct(self, text: str | None) -> np.ndarray:
         """The term numbers of a text, each once."""
-        return np.unique(self._found(set(words_of(text))))
+        return self(text)[0]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers in order, counts) of a text."""
-        numbers, counts = np.unique(self._found(words_of(text)), return_counts=True)
-        return numbers, counts.astype(np.float64)
+        return self.each([text])[0]
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about PORTION bytes of text, whatever the number of their rows; a longer text is not cut."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // PORTION)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
@@ -141,8 +158,8 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
         vocabulary, found, rows = Vocabulary(shared.value), np.zeros(len(terms), dtype=np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in batch.column("text").to_pylist():
-                found[vocabulary.distinct(text)] += 1
+            for portion in portions(batch):
+                found += np.bincount(vocabulary.of_all(portion.column("text").to_pylist())[1], minlength=len(terms))
         some = np.flatnonzero(found)
         columns = [np.append(some, -1), np.append(found[some], rows)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "n"])
@@ -175,9 +192,8 @@ def unit(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions of runs of postings, one run after another."""
-    ends = np.cumsum(sizes, dtype=np.int32)
-    at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
-    at += np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+    at = np.repeat((starts - np.cumsum(sizes, dtype=np.int32) + sizes).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
     return at
 
 
@@ -209,6 +225,16 @@ class BlockMaxIndex:
         self.run_block, self.run_at = self.owner[starts] // block, np.append(starts, len(run)).astype(np.int32)
         self.term_at = np.searchsorted(term[starts], np.arange(terms + 1)).astype(np.int32)
 
+    def __getstate__(self) -> dict:
+        """What is sent to the tasks: of the matrix, which holds mostly zeros, only the others with their positions."""
+        at = np.flatnonzero(self.matrix)
+        return {**vars(self), "matrix": (self.matrix.shape, at, self.matrix.ravel()[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, values = state["matrix"]
+        vars(self).update({**state, "matrix": np.zeros(shape)})
+        np.put(self.matrix, at, values)
+
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         """For each query the ``k`` examples of highest cosine, if above zero; ties to the earlier example."""
         known, split = np.zeros((len(queries), len(self.matrix))), []
@@ -220,20 +246,22 @@ class BlockMaxIndex:
         return [self._nearest(*q, scores, k) for q, scores in zip(split, known @ self.matrix, strict=True)]
 
     def _nearest(self, terms: np.ndarray, weights: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[float, int]]:
-        sizes = self.term_at[terms + 1] - self.term_at[terms]
-        runs, own = _runs(self.term_at[terms], sizes), np.repeat(weights, sizes)
-        blocks = self.run_block[runs]
+        starts = self.term_at.take(terms)  # take gathers faster than an index in brackets
+        sizes = self.term_at.take(terms + 1) - starts
+        runs, own = _runs(starts, sizes), np.repeat(weights, sizes)
+        blocks = self.run_block.take(runs)
         reached = scores.reshape(self.blocks, self.block).max(axis=1)
-        bound = reached + np.bincount(blocks, own * self.most[runs], minlength=self.blocks)
+        bound = reached + np.bincount(blocks, own * self.most.take(runs), minlength=self.blocks)
         first = np.zeros(self.blocks, dtype=bool)
         first[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else slice(None)] = True
         k, wanted = min(k, len(scores)), first
         for again in (True, False):
-            picked = np.flatnonzero(wanted[blocks])
-            starts = self.run_at[runs[picked]]
-            lengths = self.run_at[runs[picked] + 1] - starts
+            picked = np.flatnonzero(wanted.take(blocks))
+            some = runs.take(picked)
+            starts = self.run_at.take(some)
+            lengths = self.run_at.take(some + 1) - starts
             at = _runs(starts, lengths)
-            scores += np.bincount(self.owner[at], np.repeat(own[picked], lengths) * self.weight[at], minlength=len(scores))
+            scores += np.bincount(self.owner.take(at), np.repeat(own.take(picked), lengths) * self.weight.take(at), minlength=len(scores))
             least = np.partition(scores, -k)[-k]
             if again:  # a block whose bound stays below the k-th best so far can't hold a nearer example
                 wanted = ~first & (bound > 0) & (bound >= least - 1e-9)
@@ -275,8 +303,9 @@ class Voter:
         self.own = SMOOTHING * float(model["stands"].mean()) if len(model["stands"]) else 1.0
 
     def __call__(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
-        m, counted = self.model, [self.vocabulary(t) for t in texts]
-        found = m["index"].nearest([(terms, unit(counts, m["weights"][terms])) for terms, counts in counted], self.neighbours)
+        m, counted = self.model, self.vocabulary.each(texts)
+        queries = [(terms, unit(counts, m["weights"][terms])) for terms, counts in counted]
+        found = [near for at in range(0, len(queries), SLICE) for near in m["index"].nearest(queries[at : at + SLICE], self.neighbours)]
         return [(self._vote(near), near) for near in found]
 
     def _vote(self, near: list[tuple[float, int]]) -> float:
@@ -325,13 +354,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, neighbou
         vocabulary = Vocabulary(shared.value)
 
         def step(batch: pa.RecordBatch) -> list[list]:
-            found = [vocabulary(t) for t in batch.column("text").to_pylist()]
+            found = vocabulary.each(batch.column("text").to_pylist())
             return [[t.tolist() for t, _ in found], [c.tolist() for _, c in found]]
 
         return step
 
     listed = {"terms": pa.list_(pa.int32()), "counts": pa.list_(pa.float64())}
-    found = add_columns(examples, ["doc_id", "toxic", "stands_for", "tries"], listed, number).orderBy("doc_id").toArrow().to_pylist()
+    found = add_columns(examples, ["doc_id", "toxic", "stands_for", "tries"], listed, number, portions).orderBy("doc_id").toArrow().to_pylist()
     for r in found:
         r["terms"], r["counts"] = np.array(r["terms"], dtype=np.int32), np.array(r["counts"], dtype=np.float64)
     toxic = sum(r["toxic"] for r in found)
@@ -351,7 +380,7 @@ def voted(docs: DataFrame, model: dict, keep: list[str], neighbours: int = NEIGH
         voter = Voter(shared.value, neighbours)
         return lambda batch: [[vote for vote, _ in voter(batch.column("text").to_pylist())]]
 
-    return add_columns(docs, keep, {"vote": pa.float64()}, make)
+    return add_columns(docs, keep, {"vote": pa.float64()}, make, portions)
 
 
 def score(docs: DataFrame, model: dict, neighbours: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
@@ -377,7 +406,7 @@ def score(docs: DataFrame, model: dict, neighbours: int = NEIGHBOURS, keep: list
 
     keep = keep or [c for c in docs.columns if c not in ("score", "predicted", "evidence", "text")]
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-    return add_columns(docs, keep, {"score": pa.float64(), "predicted": pa.int32(), "evidence": evidence}, make)
+    return add_columns(docs, keep, {"score": pa.float64(), "predicted": pa.int32(), "evidence": evidence}, make, portions)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
